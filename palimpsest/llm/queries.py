@@ -6,10 +6,21 @@ import public_tokenizers as tokenizers_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, packing
+from palimpsest.llm import bpe, packing, quality, wordpiece
 from palimpsest.llm.common import table
 
 
+FERTILITY_VOCABULARIES = (tokenizers_of.path("piece_bpe_32k.model"), tokenizers_of.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op2_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), FERTILITY_VOCABULARIES, tokenizers_of.PATTERN)
+
+
+def op4_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), tokenizers_of.path("piece_bpe_32k.model"))
+
+
 def op5_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.token_pieces(docs, tokenizers_of.path("word_bpe_49k.json"))
@@ -29,6 +40,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_tokenizer_fertility": op2_tokenizer_fertility,
+    "op4_wordpiece_counts": op4_wordpiece_counts,
     "op5_sequence_packing": op5_sequence_packing,
     "op8_byte_bpe": op8_byte_bpe,
 }
