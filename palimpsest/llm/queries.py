@@ -6,10 +6,26 @@ import public_tokenizers as tokenizers_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, packing, quality, wordpiece
+from palimpsest.llm import bpe, packing, quality, secrets, urlrank, voronoi, wordpiece
 from palimpsest.llm.common import table
 
 
+#: Fixed values of the contract.
+URL_RULES = (
+    urlrank.Rule("block", "com", "/en/"),
+    urlrank.Rule("allow", "example.com", "/en/7"),
+    urlrank.Rule("allow", "net", "/de/"),
+    urlrank.Rule("block", "example.net", "/de/8"),
+    urlrank.Rule("block", "org", "/es/"),
+)
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokenizers_of.path("byte_bpe_50k.tiktoken")
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.default_forest(vocabulary), vocabulary, path_col="source")
+    return found.select("doc_id", "n_candidates", "n_findings", "findings", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
 FERTILITY_VOCABULARIES = (tokenizers_of.path("piece_bpe_32k.model"), tokenizers_of.path("byte_bpe_multi_50k.tiktoken"))
 
 
@@ -28,6 +44,14 @@ def op5_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(digests, docs.count())
 
 
+def op6_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5, scale=256)
+
+
+def op7_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrank.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizers_of.path("byte_bpe_50k.tiktoken"), tokenizers_of.PATTERN
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
@@ -40,9 +64,22 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_tokenizer_fertility": op2_tokenizer_fertility,
     "op4_wordpiece_counts": op4_wordpiece_counts,
     "op5_sequence_packing": op5_sequence_packing,
+    "op6_voronoi_top_k": op6_voronoi_top_k,
+    "op7_link_graph": op7_link_graph,
     "op8_byte_bpe": op8_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+ORACLES: dict[str, str] = {"op6_voronoi_top_k": TOP_K_SQL}
