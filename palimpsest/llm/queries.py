@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers_of
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, packing, quality, secrets, urlrank, voronoi, wordpiece
+from palimpsest.llm import bpe, jaccard, packing, quality, secrets, urlrank, voronoi, wordpiece
 from palimpsest.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_tokenizer_fertility": op2_tokenizer_fertility,
@@ -71,6 +75,7 @@ QUERIES = {
     "op6_voronoi_top_k": op6_voronoi_top_k,
     "op7_link_graph": op7_link_graph,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_parity_sketch_join": op9_parity_sketch_join,
 }
 TOP_K_SQL = """
 WITH v AS (
