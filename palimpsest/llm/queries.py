@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers as tokenizers_of
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, jaccard, packing, quality, secrets, urlrank, voronoi, wordpiece
+from palimpsest.llm import bpe, jaccard, packing, quality, rlz, secrets, suffix, urlrank, voronoi, wordpiece
 from palimpsest.llm.common import table
 
 
@@ -33,6 +33,15 @@ def op2_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), FERTILITY_VOCABULARIES, tokenizers_of.PATTERN)
 
 
+def _removed(spans: Column) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda total, s: total + (s["hi"] - s["lo"]).cast("long"))
+
+
+def op3_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = rlz.dedup(table(spark, sf_dir, "documents"))
+    return parsed.select("doc_id", "n_words", _removed(F.col("spans")).alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), tokenizers_of.path("piece_bpe_32k.model"))
 
@@ -67,15 +76,22 @@ def op9_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = suffix.dedup(table(spark, sf_dir, "documents"))
+    return parsed.select("doc_id", "n_bytes", _removed(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_tokenizer_fertility": op2_tokenizer_fertility,
+    "op3_relative_lz": op3_relative_lz,
     "op4_wordpiece_counts": op4_wordpiece_counts,
     "op5_sequence_packing": op5_sequence_packing,
     "op6_voronoi_top_k": op6_voronoi_top_k,
     "op7_link_graph": op7_link_graph,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_parity_sketch_join": op9_parity_sketch_join,
+    "op10_suffix_array": op10_suffix_array,
 }
 TOP_K_SQL = """
 WITH v AS (
