@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -27,6 +27,12 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of few rows, so that what is made from one stays small."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,5 +77,67 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def map_rows(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """Rows of the same columns, batch by batch in Python; batches are small."""
+    schema = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield function(part)
+
+    return df.mapInArrow(run, schema)
+
+
+def with_text(batch: pa.RecordBatch, text_col: str, texts: list[str | None], length_col: str = "n_chars") -> pa.RecordBatch:
+    """The batch with other texts, and their lengths where it has such a column."""
+    at = batch.schema.names.index(text_col)
+    batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+    if length_col in batch.schema.names:
+        at = batch.schema.names.index(length_col)
+        lengths = [None if t is None else len(t) for t in texts]
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(lengths, batch.schema.field(at).type))
+    return batch
+
+
+def row_keys(df: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns plus ``name``: unique, and ascending with the id.
+
+    Unique ids are their own keys.  Where ids repeat or are null, rows are numbered
+    in the order of id and text (nulls first), and that numbering is written down.
+    """
+    ids = df.groupBy(id_col).agg(F.count("*").alias("n")).agg(F.max("n"), F.count_if(F.col(id_col).isNull())).first()
+    if (ids[0] or 0) <= 1 and not ids[1]:
+        return df.withColumn(name, F.col(id_col).cast("long"))
+    return checkpointed(df.repartitionByRange(id_col, text_col).sortWithinPartitions(id_col, text_col).withColumn(name, F.monotonically_increasing_id()))
+
+
 def int_lists(flat: Any, offsets: Any) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+
+
+class BatchCache:
+    """A bounded memo filled for many keys at once.
+
+    ``get(keys)`` returns the mapping to look the keys up in; ``make`` is called
+    once with the keys not yet known.  Between calls at most two generations of
+    ``capacity`` entries (and one call's keys) are kept.
+    """
+
+    def __init__(self, make: Callable[[list], list], capacity: int):
+        self.make, self.capacity, self.young, self.older = make, capacity, {}, {}
+
+    def get(self, keys: list) -> dict:
+        if len(self.young) >= self.capacity:
+            self.older, self.young = self.young, {}
+        new = set(keys).difference(self.young)
+        if new:
+            old = self.older
+            if old:
+                known = [k for k in new if k in old]
+                self.young.update((k, old[k]) for k in known)
+                new.difference_update(known)
+            if new:
+                missing = list(new)
+                self.young.update(zip(missing, self.make(missing), strict=True))
+        return self.young

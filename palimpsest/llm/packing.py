@@ -11,6 +11,7 @@ null ids included, are packed like any other row; an empty table gives none.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,33 +21,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import GenerationCache, id_text, split_words, text_bytes
+from palimpsest.llm.common import BatchCache, id_text, split_words, text_bytes
 
 SEQUENCE = 2048
 DOCUMENTS_PER_GROUP = 4096
 CACHE_ENTRIES = 400_000
-_CACHED_LENGTH = 64
 
 
 class WordTokenizer:
     """Ids of a tokenizer that drops white space, memoised by word.
 
     Such a tokenizer never joins what white space separates, so a text's ids are
-    its words' ids in order.
+    its words' ids in order.  Unknown words are tokenized together, parted by a
+    character that is always one token of its own.
     """
 
+    #: A digit: the tokenizer takes every digit by itself, so it parts any two words.
+    SEPARATOR = "²"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = GenerationCache(self._packed, CACHE_ENTRIES)
+        self.mark = self._ids(self.SEPARATOR)
+        self.memo = BatchCache(self._packed, CACHE_ENTRIES)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _packed(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def _packed(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode() for w in words]
+        ids = np.array(self._ids(self.SEPARATOR.join(texts)), "<u4")
+        cuts = np.flatnonzero(ids == self.mark[0])
+        if len(self.mark) != 1 or len(cuts) != len(words) - 1:  # a word holds the separator itself
+            return [array("I", self._ids(t)).tobytes() for t in texts]
+        data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+        return [data[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)]
 
     def encode(self, text: bytes | None) -> bytes:
-        memo, packed = self.memo, self._packed
-        return b"".join([memo[w] if len(w) <= _CACHED_LENGTH else packed(w) for w in split_words(text)])
+        words = split_words(text)
+        return b"".join(map(self.memo.get(words).__getitem__, words))
 
 
 @lru_cache(maxsize=2)
