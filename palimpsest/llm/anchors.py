@@ -107,18 +107,6 @@ class Windows:
         return np.maximum(0, at - (self.length - self.gram)), np.minimum(n, at + self.length)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` plus ``key``: unique, and ascending with doc_id.
-
-    Unique ids are their own keys.  Where ids repeat or are null, rows are numbered
-    in the order of id and text (nulls first), and that numbering is written down.
-    """
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n"), F.count_if(F.col("doc_id").isNull())).first()
-    if (ids[0] or 0) <= 1 and not ids[1]:
-        return docs.select("doc_id", "text", F.col("doc_id").alias("key"))
-    return checkpointed(docs.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("key", F.monotonically_increasing_id()))
-
-
 def _anchor_rows(docs: DataFrame, how: Windows) -> DataFrame:
     """``fp, seg, key, at, upto``: anchors (``upto`` 0, or -1 if known to repeat) and whole
     spans ``at .. upto`` known to repeat within a task, under a name of their own."""
@@ -260,8 +248,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``doc_id, text, spans`` for every document of ``keyed`` documents."""
+def with_spans(docs: DataFrame, spans: DataFrame, key: str = "key", name: str = "spans") -> DataFrame:
+    """All columns of the documents plus the spans; null where there are none."""
     # what a document collects is bounded by its own length
-    marked = spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    return docs.join(marked, "key", "left").select("doc_id", "text", "spans")
+    marked = spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias(name)).withColumnRenamed("key", key)
+    return docs.join(marked, key, "left")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import GenerationCache, split_words, text_bytes
+from palimpsest.llm.common import GenerationCache, map_rows, slices, split_words, text_bytes
 
 CACHE_ENTRIES = 300_000
 _CACHED_LENGTH = 64
@@ -133,30 +133,48 @@ def duplicate_lines(text: bytes) -> int:
     return repeats
 
 
+def verdicts(texts: list[bytes | None], langs: list[str | None], vocabularies: list[Vocabulary]) -> list[tuple]:
+    """For each text: the base counts, whether it failed on them, whether it is kept, band, measures."""
+    rows = []
+    for text, lang in zip(texts, langs, strict=True):
+        text = text or b""
+        words, string = split_words(text), text.decode()
+        chars = len(string) - (len(text) - sum(map(len, words)))
+        repeats = repeated_words(words)
+        failed = len(words) < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * len(words)
+        name = lang if lang in BANDS else main_script(string)
+        band, measures = BANDS[name], [v.measure(words, chars) for v in vocabularies]
+        inside = all(band.least_chars <= c <= band.most_chars and f <= band.most_fallback and h >= band.least_entropy for c, f, h in measures)
+        rows.append((len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), duplicate_lines(text), repeats, failed, not failed and inside, name, *map(list, zip(*measures, strict=True))))
+    return rows
+
+
 def judge(df: DataFrame, paths: tuple[str, ...], pattern: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """Base counts, fertility measures of each vocabulary, and the verdict ``kept``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabularies = [vocabulary(p, pattern) for p in paths]
         for batch in batches:
-            rows = []
-            for text, lang in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                text = text or b""
-                words, string = split_words(text), text.decode()
-                chars = len(string) - (len(text) - sum(map(len, words)))
-                repeats = repeated_words(words)
-                failed = len(words) < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * len(words)
-                band_name = lang if lang in BANDS else main_script(string)
-                band, measures = BANDS[band_name], [v.measure(words, chars) for v in vocabularies]
-                inside = all(band.least_chars <= c <= band.most_chars and f <= band.most_fallback and h >= band.least_entropy for c, f, h in measures)
-                rows.append((len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), duplicate_lines(text), repeats, failed, not failed and inside, band_name, *map(list, zip(*measures, strict=True))))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(_KINDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, _KINDS, strict=True))], _NAMES)
+            for part in slices(batch):
+                rows = verdicts(text_bytes(part.column(1)), part.column(2).to_pylist(), vocabularies)
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c), k) for c, k in zip(columns, _KINDS, strict=True))], _NAMES)
 
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang")).mapInArrow(run, _SCHEMA)
 
 
+def kept_documents(df: DataFrame, paths: tuple[str, ...], pattern: str, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``df``, all columns, that the rules keep."""
+
+    def choose(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names = batch.schema.names
+        rows = verdicts(text_bytes(batch.column(names.index(text_col))), batch.column(names.index(lang_col)).to_pylist(), [vocabulary(p, pattern) for p in paths])
+        return batch.filter(pa.array([r[6] for r in rows], pa.bool_()))
+
+    return map_rows(df, choose)
+
+
 _NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "band", "chars_per_token", "fallback_share", "token_entropy"]
 _KINDS = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()] + [pa.list_(pa.float64())] * 3
 _SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, band string, chars_per_token array<double>, fallback_share array<double>, token_entropy array<double>"

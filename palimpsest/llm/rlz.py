@@ -21,8 +21,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.anchors import RangeHash, Windows, keyed, merged, repeated_spans, with_spans
-from palimpsest.llm.common import id_text, split_words, text_bytes
+from palimpsest.llm.anchors import MOST_SEGMENTS, RangeHash, Windows, merged, repeated_spans, with_spans
+from palimpsest.llm.common import id_text, row_keys, split_words, text_bytes
 from palimpsest.llm.jaccard import _memo
 
 LENGTH, GRAM = 20, 8
@@ -77,10 +77,10 @@ def compare_segments(pdf: pd.DataFrame) -> pd.DataFrame:
 WINDOWS = Windows(LENGTH, GRAM, word_symbols, earlier=True)
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = None) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_SEGMENTS) -> DataFrame:
     """``doc_id, n_words, spans, kept``: removed word spans, and the kept words joined by a space."""
-    docs = keyed(id_text(df, id_col, text_col))
-    spans = repeated_spans(docs.select("key", "text"), WINDOWS, compare_segments, *([] if most is None else [most]))
+    docs = row_keys(id_text(df, id_col, text_col), "key")
+    spans = repeated_spans(docs.select("key", "text"), WINDOWS, compare_segments, most)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,4 +95,4 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: i
             span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(cuts, span), pa.array(kept, pa.string())], ["doc_id", "n_words", "spans", "kept"])
 
-    return with_spans(docs, spans).mapInArrow(apply, "doc_id long, n_words long, spans array<struct<lo: int, hi: int>>, kept string")
+    return with_spans(docs, spans).select("doc_id", "text", "spans").mapInArrow(apply, "doc_id long, n_words long, spans array<struct<lo: int, hi: int>>, kept string")

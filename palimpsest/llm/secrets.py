@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import map_rows, slices, with_text
+
 #: At most so many labelled findings train a forest.
 MAX_TRAINING_ROWS = 20_000
 THRESHOLD = 0.5
@@ -212,30 +214,43 @@ def candidates(text: str) -> list[tuple[int, int, bool]]:
     return [(*m.span(m.lastindex), m.lastindex == 1) for m in CANDIDATE.finditer(text)]
 
 
+def findings_of(text: str | None, path: str | None, forest: Forest, words: frozenset[str], threshold: float) -> tuple[int, list[dict], str | None]:
+    """Number of candidates, the spans judged secret, and the text with them masked."""
+    spans = candidates(text) if text else []
+    if not spans:
+        return 0, [], text
+    x = np.array([features(text[a:b], text[max(0, a - _NEAR_CHARS) : a], text[b : b + _NEAR_CHARS], path, assigned, words) for a, b, assigned in spans])
+    hits = [{"start": a, "end": b, "score": float(s)} for (a, b, _), s in zip(spans, forest.score(x), strict=True) if s >= threshold]
+    out, at = [], 0
+    for h in hits:
+        out += [text[at : h["start"]], MASK]
+        at = h["end"]
+    return len(spans), hits, "".join([*out, text[at:]])
+
+
 def scan(df: DataFrame, forest: Forest, dictionary_path: str, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, n_candidates, n_findings, findings, clean_text``; spans count code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = dictionary(dictionary_path)
+        words, span = dictionary(dictionary_path), pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
         for batch in batches:
-            found_n, kept_spans, cleaned = [], [], []
-            for text, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                spans = candidates(text) if text else []
-                hits = []
-                if spans:
-                    x = np.array([features(text[a:b], text[max(0, a - _NEAR_CHARS) : a], text[b : b + _NEAR_CHARS], path, assigned, words) for a, b, assigned in spans])
-                    hits = [{"start": a, "end": b, "score": float(s)} for (a, b, _), s in zip(spans, forest.score(x), strict=True) if s >= threshold]
-                out, at = [], 0
-                for h in hits:
-                    out += [text[at : h["start"]], MASK]
-                    at = h["end"]
-                found_n.append(len(spans))
-                kept_spans.append(hits)
-                cleaned.append("".join([*out, text[at:]]) if hits else text)
-            span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
-            columns = [batch.column(0), pa.array(found_n, pa.int64()), pa.array([len(h) for h in kept_spans], pa.int64()), pa.array(kept_spans, pa.list_(span)), pa.array(cleaned, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_candidates", "n_findings", "findings", "clean_text"])
+            for part in slices(batch):
+                found = [findings_of(t, p, forest, words, threshold) for t, p in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
+                counts, hits, clean = zip(*found, strict=True)
+                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array([len(h) for h in hits], pa.int64()), pa.array(list(hits), pa.list_(span)), pa.array(clean, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_candidates", "n_findings", "findings", "clean_text"])
 
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     chosen = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), path.alias("path"))
     return chosen.mapInArrow(run, "doc_id long, n_candidates long, n_findings long, findings array<struct<start: bigint, end: bigint, score: double>>, clean_text string")
+
+
+def masked_documents(df: DataFrame, forest: Forest, dictionary_path: str, text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df``, all columns, with secrets masked in their texts."""
+
+    def mask(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, names = dictionary(dictionary_path), batch.schema.names
+        texts, paths = (batch.column(names.index(c)).to_pylist() for c in (text_col, path_col))
+        return with_text(batch, text_col, [findings_of(t, p, forest, words, threshold)[2] for t, p in zip(texts, paths, strict=True)])
+
+    return map_rows(df, mask)

@@ -22,9 +22,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from palimpsest.llm.anchors import Windows, keyed, merged, repeated_spans, with_spans
-from palimpsest.llm.common import id_text, text_bytes
+from palimpsest.llm.anchors import MOST_SEGMENTS, Windows, merged, repeated_spans, with_spans
+from palimpsest.llm.common import id_text, map_rows, row_keys, text_bytes, with_text
 
 LENGTH, GRAM = 200, 100
 
@@ -110,22 +111,45 @@ def compare_segments(pdf: pd.DataFrame) -> pd.DataFrame:
 WINDOWS = Windows(LENGTH, GRAM, byte_symbols, earlier=False)
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int | None = None) -> DataFrame:
+def without(text: bytes, marks: list[dict] | None) -> tuple[list[tuple[int, int]], bytes]:
+    """Maximal removed runs, and the remaining bytes."""
+    runs = merged([(m["lo"], min(m["hi"], len(text))) for m in marks or ()])
+    ends = [0, *(hi for _, hi in runs)]
+    return runs, b"".join(text[a:b] for a, b in zip(ends, [*(lo for lo, _ in runs), len(text)], strict=True))
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_SEGMENTS) -> DataFrame:
     """``doc_id, n_bytes, spans, kept``: removed byte spans and the remaining bytes of every row."""
-    docs = keyed(id_text(df, id_col, text_col))
-    spans = repeated_spans(docs.select("key", "text"), WINDOWS, compare_segments, *([] if most is None else [most]))
+    docs = row_keys(id_text(df, id_col, text_col), "key")
+    spans = repeated_spans(docs.select("key", "text"), WINDOWS, compare_segments, most)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, cuts, kept = [], [], []
             for text, marks in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                text = text or b""
-                runs = merged([(m["lo"], min(m["hi"], len(text))) for m in marks or ()])
-                ends = [0, *(hi for _, hi in runs)]
-                sizes.append(len(text))
+                runs, rest = without(text or b"", marks)
+                sizes.append(len(text or b""))
                 cuts.append([{"lo": a, "hi": b} for a, b in runs])
-                kept.append(b"".join(text[a:b] for a, b in zip(ends, [*(lo for lo, _ in runs), len(text)], strict=True)))
+                kept.append(rest)
             span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(cuts, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    return with_spans(docs, spans).mapInArrow(apply, "doc_id long, n_bytes long, spans array<struct<lo: int, hi: int>>, kept binary")
+    return with_spans(docs, spans).select("doc_id", "text", "spans").mapInArrow(apply, "doc_id long, n_bytes long, spans array<struct<lo: int, hi: int>>, kept binary")
+
+
+def deduped_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, without repeated strings; rows left with no text go.
+
+    A character cut in part goes as a whole; a null text stays null.
+    """
+    key = "__suffix_key"
+    docs = row_keys(df, key, id_col, text_col)
+    spans = repeated_spans(docs.select(F.col(key).alias("key"), F.col(text_col).cast("string").alias("text")), WINDOWS, compare_segments)
+    marked = with_spans(docs, spans, key, "__suffix_spans")
+
+    def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, marks = batch.schema.names.index(text_col), batch.column(batch.schema.names.index("__suffix_spans")).to_pylist()
+        texts = [None if t is None else without(t, m)[1].decode(errors="ignore") if m else t.decode() for t, m in zip(text_bytes(batch.column(at)), marks, strict=True)]
+        return with_text(batch, text_col, texts).filter(pa.array([not m or bool(t and t.strip()) for t, m in zip(texts, marks, strict=True)]))
+
+    return map_rows(marked, apply).select(*df.columns)
