@@ -15,20 +15,21 @@ columns other than the id and the text are ignored, so names cannot clash.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.common import GenerationCache, id_text, int_lists
+from palimpsest.llm.common import BatchCache, id_text, int_lists, slices
 
 _WORD_BITS = 8  # 256 ranks to a bitmap word
 _LOW = (1 << _WORD_BITS) - 1
-CACHE_ENTRIES = 400_000
-_CACHED_LENGTH = 64
+CACHE_ENTRIES = 600_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,80 +37,106 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class RankQueue:
-    """Least-rank-first queue of list positions; positions of a rank leave in ascending order."""
-
-    __slots__ = ("summary", "words", "buckets")
-
-    def __init__(self) -> None:
-        self.summary, self.words, self.buckets = 0, {}, {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> _WORD_BITS
-        bits = self.words.get(word, 0)
-        if not bits:
-            self.summary |= 1 << word
-        self.words[word] = bits | 1 << (rank & _LOW)
-
-    def pop(self) -> tuple[int, int]:
-        word = (self.summary & -self.summary).bit_length() - 1
-        bits = self.words[word]
-        first = bits & -bits
-        rank = word << _WORD_BITS | first.bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            bits ^= first
-            self.words[word] = bits
-            if not bits:
-                self.summary ^= 1 << word
-        return rank, position
-
-
-def merge_ids(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: always merge the leftmost pair of least rank."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    after, before, current = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-    queue, rank_of = RankQueue(), ranks.get
-    push, pop = queue.push, queue.pop
-    for i in range(n - 1):
-        rank = rank_of(piece[i : i + 2])
-        if rank is not None:
-            current[i] = rank
-            push(rank, i)
-    while queue.summary:
-        rank, i = pop()
-        if current[i] != rank:
-            continue
-        j = after[i]
-        k = after[i] = after[j]
-        current[i] = current[j] = -1
-        if k < n:
-            before[k] = i
-            rank = rank_of(piece[i : after[k]])
+class Merger:
+    """Merges pre-tokens; its queue is empty between calls and so is used again.
+
+    ``buckets`` maps a rank to its one waiting position, or to a heap of several, so
+    the leftmost leaves first.  ``words`` is the bitmap of ranks with a bucket and
+    the summary the bitmap of words in use.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.two = [ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
+        self.buckets: dict[int, int | list[int]] = {}
+        self.words = [0] * ((max(ranks.values()) >> _WORD_BITS) + 1)
+
+    def ids(self, piece: bytes) -> list[int]:
+        """Ids of one pre-token: always merge the leftmost pair of least rank."""
+        ranks, two, buckets, words, masks = self.ranks, self.two, self.buckets, self.words, _MASKS
+        find = ranks.get
+        whole = find(piece)
+        if whole is not None:
+            return [whole]
+        n, summary = len(piece), 0
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        current = [two[a << 8 | b] for a, b in pairwise(piece)]
+        current.append(None)
+        for i, rank in enumerate(current):
             if rank is not None:
-                current[i] = rank
-                push(rank, i)
-        p = before[i]
-        if p >= 0:
-            rank = rank_of(piece[p:k])
-            current[p] = -1 if rank is None else rank
-            if rank is not None:
-                push(rank, p)
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
-    return out
+                if rank in buckets:
+                    _add(buckets, rank, i)
+                else:
+                    buckets[rank] = i
+                    w = rank >> _WORD_BITS
+                    if not words[w]:
+                        summary |= masks[w]
+                    words[w] |= masks[rank & _LOW]
+        while summary:
+            # find-first-set over the summary, then over its word
+            w = (summary & -summary).bit_length() - 1
+            bits = words[w]
+            rank = w << _WORD_BITS | (bits & -bits).bit_length() - 1
+            i = buckets[rank]
+            if i.__class__ is list:
+                bucket, i = i, heappop(i)
+                if not bucket:
+                    bucket = None
+            else:
+                bucket = None
+            if bucket is None:
+                del buckets[rank]
+                words[w] = bits & (bits - 1)
+                if not words[w]:
+                    summary &= summary - 1
+            if current[i] != rank:
+                continue  # stale: a neighbour was merged since
+            j = after[i]
+            k = after[i] = after[j]
+            current[j] = None
+            p = before[i]
+            if p >= 0:
+                current[p] = rank = find(piece[p:k])
+                if rank is not None:
+                    if rank in buckets:
+                        _add(buckets, rank, p)
+                    else:
+                        buckets[rank] = p
+                        w = rank >> _WORD_BITS
+                        if not words[w]:
+                            summary |= masks[w]
+                        words[w] |= masks[rank & _LOW]
+            if k < n:
+                before[k] = i
+                current[i] = rank = find(piece[i : after[k]])
+                if rank is not None:
+                    if rank in buckets:
+                        _add(buckets, rank, i)
+                    else:
+                        buckets[rank] = i
+                        w = rank >> _WORD_BITS
+                        if not words[w]:
+                            summary |= masks[w]
+                        words[w] |= masks[rank & _LOW]
+            else:
+                current[i] = None
+        out, i = [], 0
+        while i < n:
+            k = after[i]
+            out.append(ranks[piece[i:k]])
+            i = k
+        return out
+
+
+_MASKS = [1 << i for i in range(4096)]
+
+
+def _add(buckets: dict, rank: int, position: int) -> None:
+    """A further position for a rank that has one."""
+    bucket = buckets[rank]
+    if bucket.__class__ is not list:
+        bucket = buckets[rank] = [bucket]
+    heappush(bucket, position)
 
 
 class ByteBpe:
@@ -123,18 +150,18 @@ class ByteBpe:
         self.token_bytes = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.token_bytes[rank] = token
-        self.memo = GenerationCache(self._packed, CACHE_ENTRIES)
+        self.merge = Merger(self.ranks).ids
+        self.memo = BatchCache(self._packed, CACHE_ENTRIES)
 
-    def _packed(self, piece: str) -> bytes:
-        return np.array(merge_ids(piece.encode(), self.ranks), "<i4").tobytes()
+    def _packed(self, pieces: list[str]) -> list[bytes]:
+        merge = self.merge
+        return [array("i", merge(p.encode())).tobytes() for p in pieces]
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, "<i4")
-        pieces, memo, packed = self.split(text), self.memo, self._packed
-        if max(map(len, pieces), default=0) <= _CACHED_LENGTH:
-            return np.frombuffer(b"".join(map(memo.__getitem__, pieces)), "<i4")
-        return np.frombuffer(b"".join([memo[p] if len(p) <= _CACHED_LENGTH else packed(p) for p in pieces]), "<i4")
+        pieces = self.split(text)
+        return np.frombuffer(b"".join(map(self.memo.get(pieces).__getitem__, pieces)), "<i4")
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
@@ -146,18 +173,21 @@ def codec(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids array<int>`` for every row."""
+def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
+    """``doc_id, ids array<int>`` for every row; with ``check`` also ``decoded``, what the ids decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in batches:
-            parts = [bpe.encode(t.as_py()) for t in batch.column(1)]
-            offsets = np.cumsum([0, *map(len, parts)])
-            flat = np.concatenate(parts) if parts else np.empty(0, "<i4")
-            yield pa.RecordBatch.from_arrays([batch.column(0), int_lists(flat, offsets)], ["doc_id", "ids"])
+            for small in slices(batch):
+                parts = [bpe.encode(t) for t in small.column(1).to_pylist()]
+                offsets = np.cumsum([0, *map(len, parts)])
+                columns = [small.column(0), int_lists(np.concatenate(parts), offsets)]
+                if check:
+                    columns.append(pa.array([bpe.decode(ids.tolist()) for ids in parts], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * check)
 
 
 def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -166,7 +196,10 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in batches:
-            decoded = [bpe.decode(x.as_py() or ()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+            for small in slices(batch):
+                column = small.column(1).fill_null([])
+                flat, ends = column.flatten().to_numpy().tolist(), np.cumsum([0, *column.value_lengths().to_pylist()]).tolist()
+                decoded = [bpe.decode(flat[a:b]) for a, b in pairwise(ends)]
+                yield pa.RecordBatch.from_arrays([*small.columns, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

@@ -63,7 +63,7 @@ def op7_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizers_of.path("byte_bpe_50k.tiktoken"), tokenizers_of.PATTERN
-    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    coded = bpe.encode(table(spark, sf_dir, "documents"), path, pattern, check=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
