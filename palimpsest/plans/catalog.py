@@ -1,11 +1,10 @@
-"""Registry of the engine's queries and their DuckDB twins."""
+"""All registered queries of the engine and their DuckDB twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from palimpsest.plans import conversation_queries
+from palimpsest.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "retention_by_type"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+MODULES = (conversation_queries,)
+__all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]
