@@ -6,18 +6,20 @@ so two sketches differ in no more chunks than the sets differ in elements.  Sets
 of one size band whose similarity reaches the threshold differ in at most D
 elements: of D + 1 + 2q chunks they agree in 2q + 1, and still in one after each
 set has left out its q lightest chunks.  Chunks that agree are found by one
-shuffle of (chunk key, node) pairs; a task forwards each key once and links its
-own repeats itself, so a frequent key stays small.
+shuffle of (chunk key, node) pairs.
 
-Linked nodes form candidate clusters.  Every cluster is verified with its true
-sets: small ones in one task, larger ones in pairs of blocks of bounded size.  A
-task compares sketches, then counts exact intersections, and returns no more
-links than a spanning forest, so no pair list of a group is ever made.
+The nodes of a key belong to its least node's cluster, so each pair that shares a
+key meets in a cluster, and a cluster is a row for each member, not for each pair.
+Clusters are compared twice, in blocks of bounded size: first whole sketches of
+about a bit for each shingle, whose Hamming distance bounds the sets' difference
+from below; then, for nodes with a partner left, the true sets.  A task returns no
+more links than a spanning forest, so no pair list of a group is ever made.
 
 Defined results: a text without words, or null, has an empty set and is linked
 with nothing; with fewer words than a shingle, the word sequence is its only
 shingle; repeated rows are documents of equal sets; a null id never names a
-component unless all its ids are null; an empty table gives no rows.
+component unless all its ids are null, and a set that only null ids have is linked
+with equal sets alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import BatchCache, checkpointed, id_text, slices, split_words, text_bytes
+from palimpsest.llm.common import BatchCache, checkpointed, id_text, row_keys, slices, split_words, text_bytes
 from palimpsest.llm.graph import components
 
 CACHE_ENTRIES = 300_000
 BAND_RATIO, LIGHT_SHARE = 1.5, 16
-#: Shingles of a verification block, and bits of the sketch that filters its pairs.
-BLOCK_SHINGLES, FILTER_BITS = 1_000_000, 512
+#: Shingles of a block when sketches and when true sets are compared, and rows of a task of small clusters.
+SKETCH_BLOCK, SET_BLOCK, TASK_ROWS = 8_000_000, 1_000_000, 20_000
 _BITS = 20
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -122,102 +124,140 @@ def fingerprint(shingles: np.ndarray) -> int:
     return int(mix(np.array([total]), 62).view(np.int64)[0])
 
 
-def shingle_nodes(df: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, node`` for every row; a null node for an empty set."""
+def whole_sketch(shingles: np.ndarray) -> bytes:
+    """Parity of the shingles by hash position, in 64 * 2**i bits, about one a shingle.
+
+    Positions are hashes modulo a power of two, so halves of a sketch fold by XOR.
+    """
+    bits = 64 << max(0, (len(shingles) - 1) // 64).bit_length()
+    flips = np.bincount((mix(shingles, 71) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(bool)).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, k) for t in text_bytes(batch.column(1))]
-            nodes = [fingerprint(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "node"])
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, node long")
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while sketch.shape[-1] > words:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
 
 
-def candidate_edges(df: DataFrame, k: int, threshold: Threshold, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``a, b``: for nodes that share a chunk key, links that connect them all."""
+def profiles(df: DataFrame, k: int, threshold: Threshold, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, node, sketch, keys`` for every row.
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    An empty set has no node; of equal sets in a slice of rows only the first carries keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2000):
-                keys, nodes, seen = [], [], set()
+            for part in slices(batch, 1000):
+                sizes, nodes, sketches, keys, seen = [], [], [], [], set()
                 for text in text_bytes(part.column(1)):
                     s = shingle_set(text, k)
-                    if len(s) and (node := fingerprint(s)) not in seen:
-                        seen.add(node)
-                        own = chunk_keys(s, threshold)
-                        keys.append(own)
-                        nodes.append(np.full(len(own), node, np.int64))
-                if not keys:
-                    continue
-                key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
-                order = np.lexsort((node, key))
-                key, node = key[order], node[order]
-                first = np.concatenate([[True], key[1:] != key[:-1]])
-                leader = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-                links = np.unique(np.stack([leader[~first], node[~first]], 1), axis=0)
-                links = links[links[:, 0] != links[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[first], links[:, 1]])), pa.array(np.concatenate([node[first], links[:, 1]])), pa.concat_arrays([pa.nulls(int(first.sum()), pa.int64()), pa.array(links[:, 0])])], ["key", "node", "leader"])
+                    node = fingerprint(s) if len(s) else None
+                    fresh = node is not None and node not in seen
+                    seen.add(node)
+                    sizes.append(len(s))
+                    nodes.append(node)
+                    sketches.append(whole_sketch(s) if len(s) else None)
+                    keys.append(chunk_keys(s, threshold).view(np.int64) if fresh else np.empty(0, np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), lists], ["doc_id", "n_shingles", "node", "sketch", "keys"])
+
+    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary, keys array<bigint>")
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """``root, node``: the nodes of each key with the key's least node, that one included."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last_node = None, None
+        last_key, head = None, 0  # a key's rows may span batches
         for batch in batches:
-            leader = batch.column(2)
-            found = [np.stack([leader.drop_null().to_numpy(), batch.column(1).filter(leader.is_valid()).to_numpy()], 1)]
-            plain = leader.is_null()
-            key, node = batch.column(0).filter(plain).to_numpy(), batch.column(1).filter(plain).to_numpy()
-            if len(key):
-                first = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
-                start = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
-                head = np.where(start < 0, last_node if last_node is not None else 0, node[start])
-                found.append(np.stack([head, node], 1)[~first])
-                last_key, last_node = key[-1], head[-1]
-            links = np.unique(np.concatenate(found), axis=0)
-            links = links[links[:, 0] != links[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
-
-    dealt = id_text(df, id_col, text_col).mapInArrow(deal, "key long, node long, leader long")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(meet, "a long, b long").distinct()
-
-
-def _links(sets: list[np.ndarray], names: np.ndarray, left: np.ndarray, threshold: Threshold, between: bool) -> list[tuple[int, int]]:
-    """Spanning links of the similar pairs; ``between``: only those across the two blocks."""
+            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            first = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
+            start = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
+            heads = np.where(start < 0, head, node[start])
+            last_key, head = key[-1], heads[-1]
+            other = heads != node
+            links = np.unique(np.stack([heads[other], node[other]], 1), axis=0)
+            roots = np.unique(links[:, 0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([links[:, 0], roots])), pa.array(np.concatenate([links[:, 1], roots]))], ["root", "node"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(F.explode("keys").alias("key"), "node")
+    return dealt.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(meet, "root long, node long").distinct()
+
+
+def in_blocks(members: DataFrame, block: int, columns: list[str]) -> DataFrame:
+    """Members (root, node, n_shingles) dealt to tasks: ``task, low, high`` and the block's number.
+
+    Clusters of one block share tasks; in larger ones every pair of blocks is a task.
+    """
+    total = members.groupBy("root").agg(F.ceil(F.sum("n_shingles") / block).cast("int").alias("blocks"))
+    tasks = F.greatest(F.lit(1), F.lit(-(-members.count() // TASK_ROWS)))
+    placed = members.join(total, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), tasks)).otherwise(F.xxhash64("root", F.lit(1)))
+    return placed.select("root", "node", "n_shingles", "block", task.alias("task"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *columns)
+
+
+def sketch_partners(pdf: pd.DataFrame, threshold: Threshold) -> pd.DataFrame:
+    """Cluster members that the whole sketches leave a possible partner."""
+    out = []
+    for root, members in pdf.groupby("root", sort=False):
+        members = members.drop_duplicates("node")
+        if len(members) < 2:
+            continue
+        members = members.sort_values("n_shingles", kind="stable")
+        sizes, nodes, block = members["n_shingles"].to_numpy(), members["node"].to_numpy(), members["block"].to_numpy()
+        between = len(set(block)) > 1
+        data = members["sketch"].tolist()
+        widths = np.array([len(d) // 8 for d in data])
+        hit, at = np.zeros(len(sizes), bool), 0
+        while at < len(sizes):  # one width at a time; partners are this wide or up to twice
+            end = int(np.searchsorted(widths, widths[at], "right"))
+            far = int(np.searchsorted(sizes, sizes[end - 1] * threshold.den // threshold.num, "right"))
+            mine = np.frombuffer(b"".join(data[at:end]), np.uint64).reshape(end - at, -1)
+            rest = [mine]
+            for w in np.unique(widths[end:far]).tolist():
+                some = [d for d, x in zip(data[end:far], widths[end:far], strict=True) if x == w]
+                rest.append(folded(np.frombuffer(b"".join(some), np.uint64).reshape(len(some), -1), mine.shape[1]))
+            wide = np.concatenate(rest)
+            for i in range(at, end):
+                upto = int(np.searchsorted(sizes, sizes[i] * threshold.den // threshold.num, "right"))
+                if upto <= i + 1:
+                    continue
+                differ = np.bitwise_count(wide[i + 1 - at : upto - at] ^ wide[i - at]).sum(1)
+                near = differ * (threshold.den + threshold.num) <= (threshold.den - threshold.num) * (sizes[i + 1 : upto] + sizes[i])
+                if between:
+                    near &= block[i + 1 : upto] != block[i]
+                if near.any():
+                    hit[i] = True
+                    hit[i + 1 : upto] |= near
+            at = end
+        out.append(pd.DataFrame({"root": root, "node": nodes[hit]}))
+    return pd.concat(out).astype("int64") if out else pd.DataFrame({"root": [], "node": []}, dtype="int64")
+
+
+def spanning_links(sets: list[np.ndarray], names: np.ndarray, block: np.ndarray, threshold: Threshold) -> list[tuple[int, int]]:
+    """Spanning links of the similar pairs; of two blocks, only pairs across them are compared."""
     sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = np.cumsum(counts > 1) - 1
-    owner = np.repeat(np.arange(len(sets)), sizes)
     keep = counts[inverse] > 1
-    column, owner = shared[inverse[keep]], owner[keep]
-    words = max(1, -(-int((counts > 1).sum()) // 64))
-    sketch = np.zeros((len(sets), FILTER_BITS), bool)
-    at = np.repeat(np.arange(len(sets)), sizes) * FILTER_BITS + (mix(flat, 71) % np.uint64(FILTER_BITS)).astype(np.int64)
-    sketch.ravel()[:] = np.bincount(at, minlength=len(sets) * FILTER_BITS) & 1
-    sketch = np.packbits(sketch, axis=1).view(np.uint64)
+    owner, column = np.repeat(np.arange(len(sets)), sizes)[keep], shared[inverse[keep]]
     starts = np.searchsorted(owner, np.arange(len(sets) + 1))
-    root = np.arange(len(sets))
-
-    def bits(i: int) -> np.ndarray:
-        row = np.zeros(words * 64, bool)
-        row[column[starts[i] : starts[i + 1]]] = True
-        return row
-
-    out = []
+    root, between, out = np.arange(len(sets)), len(set(block)) > 1, []
+    mine = np.zeros(int((counts > 1).sum()) + 1, bool)
     for i in range(len(sets) - 1):
         others = np.arange(i + 1, len(sets))
-        others = others[root[others] != root[i]]
+        possible = (root[others] != root[i]) & (np.minimum(sizes[others], sizes[i]) * threshold.den >= threshold.num * np.maximum(sizes[others], sizes[i]))
         if between:
-            others = others[left[others] != left[i]]
-        small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-        others = others[small * threshold.den >= threshold.num * large]
+            possible &= block[others] != block[i]
+        others = others[possible]
         if not len(others):
             continue
-        differ = np.bitwise_count(sketch[others] ^ sketch[i]).sum(1)
-        others = others[differ * (threshold.den + threshold.num) <= (threshold.den - threshold.num) * (sizes[others] + sizes[i])]
-        if not len(others):
-            continue
-        mine = bits(i)
+        own = column[starts[i] : starts[i + 1]]
+        mine[own] = True
         for at in range(0, len(others), 512):
             some = others[at : at + 512]
             lengths = starts[some + 1] - starts[some]
@@ -227,46 +267,57 @@ def _links(sets: list[np.ndarray], names: np.ndarray, left: np.ndarray, threshol
                 if root[j] != root[i]:
                     out.append((int(names[i]), int(names[j])))
                     root[root == root[j]] = root[i]
+        mine[own] = False
     return out
 
 
-def verified_links(nodes: DataFrame, docs: DataFrame, clusters: DataFrame, k: int, threshold: Threshold) -> DataFrame:
-    """Spanning ``a, b`` links of each candidate cluster, from the true sets.
+def verified_links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
+    """``a, b``: spanning links of the similar nodes of each cluster.
 
-    ``nodes``: node, doc_id, n_shingles (one document for each node); ``clusters``: node, root.
+    ``clusters``: root, node.  ``nodes``: node, doc_id, n_shingles, sketch, with one document for each.
     """
-    placed = nodes.join(clusters, "node")
-    sizes = placed.groupBy("root").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    placed = placed.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    texts = id_text(docs).join(placed.select("doc_id", "node", "root", "block", "blocks"), "doc_id")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, k).tobytes() for t in text_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary())], ["node", "root", "block", "blocks", "shingles"])
-
-    sets = texts.select("text", "node", "root", "block", "blocks").mapInArrow(hashed, "node long, root long, block int, blocks int, shingles binary")
-    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", "node", "block", "shingles", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    group = ["task", "low", "high"]
+    members = checkpointed(clusters.join(nodes.select("node", "n_shingles"), "node"))
+    sketched = in_blocks(members, SKETCH_BLOCK, []).join(nodes.select("node", "sketch"), "node")
+    near = sketched.groupBy(*group).applyInPandas(lambda pdf: sketch_partners(pdf, threshold), "root long, node long").distinct()
+    left = checkpointed(near.join(nodes.select("node", "n_shingles", "doc_id"), "node"))
+    texts = in_blocks(left, SET_BLOCK, ["doc_id"]).join(docs.select("doc_id", "text"), "doc_id")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node").sort_values("node", ignore_index=True)
-        if len(pdf) < 2:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        found = _links([np.frombuffer(s, "<u8") for s in pdf["shingles"]], pdf["node"].to_numpy(), pdf["block"].to_numpy(), threshold, pdf["low"].iloc[0] != pdf["high"].iloc[0])
+        found = []
+        for _, rows in pdf.groupby("root", sort=False):
+            sets, at = [], []
+            for i, (node, text) in enumerate(zip(rows["node"].tolist(), rows["text"].tolist(), strict=True)):
+                s = shingle_set(text.encode(), k) if text else ()
+                if len(s) and fingerprint(s) == node:  # ids may repeat with other texts
+                    sets.append(s)
+                    at.append(i)
+            rows = rows.iloc[at]
+            first = ~rows.duplicated("node").to_numpy()
+            if first.sum() > 1:
+                found += spanning_links([s for s, f in zip(sets, first, strict=True) if f], rows["node"].to_numpy()[first], rows["block"].to_numpy()[first], threshold)
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return met.groupBy("root", "low", "high").applyInPandas(verify, "a long, b long")
+    return texts.select("root", "node", "block", *group, "text").groupBy(*group).applyInPandas(verify, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row; ``num / den`` is the least similarity."""
     threshold, docs = Threshold(num, den), id_text(df, id_col, text_col)
-    rows = checkpointed(shingle_nodes(docs, k))
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"))
-    clusters = components(candidate_edges(docs, k, threshold))
-    links = verified_links(nodes, docs, clusters, k, threshold)
-    joined = components(links)
+    rows = checkpointed(profiles(docs, k, threshold))
+    # one document stands for each node; a null id cannot be looked up, so it only does if there is no other
+    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
+    joined = components(verified_links(stars(rows), nodes, docs, k, threshold))
     named = joined.join(nodes, "node").groupBy("root").agg(F.min("doc_id").alias("least"))
     chosen = nodes.join(joined, "node", "left").join(named, "root", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
-    # nodes unique; the rows of a very frequent set can be split by the join
+    # nodes are unique here; the rows of a very frequent set can be split by the join
     return rows.join(chosen, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, that come first in their component; texts without words all stay."""
+    key = "__jaccard_key"
+    docs = row_keys(df, key, id_col, text_col)
+    found = near_duplicates(docs, k, num, den, key, text_col)
+    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias(key))
+    return docs.join(first, key, "left_semi").select(*df.columns)
