@@ -20,7 +20,7 @@ def yes_no(output: Column) -> Column:
 def channel_entries(output: Column) -> Column:
     """(label, content) for each ``[word]`` line, and ``text`` for what stands before the first."""
     marks = F.regexp_extract_all(output, F.lit(r"\[(\w+)\]\n"), 1)
-    parts = F.transform(F.split(output, r"\[\w+\]\n"), F.trim)
+    parts = F.transform(F.split(output, r"\[\w+\]\n"), lambda x: F.trim(x))
     named = F.arrays_zip(F.concat(F.array(F.lit("text")), marks).alias("label"), parts.alias("content"))
     return F.filter(named, lambda e: (e["label"] != "text") | (e["content"] != ""))
 
@@ -73,7 +73,7 @@ def recovered_channels(stream: Column) -> Column:
     """(label, content) pairs of a raw ``<|channel|>name<|message|>text`` token stream."""
     names = F.regexp_extract_all(stream, F.lit(r"(?s)<\|channel\|>(\w+)[^<]*<\|message\|>(.*?)(?=<\||$)"), 1)
     texts = F.regexp_extract_all(stream, F.lit(r"(?s)<\|channel\|>(\w+)[^<]*<\|message\|>(.*?)(?=<\||$)"), 2)
-    return F.arrays_zip(names.alias("label"), F.transform(texts, F.trim).alias("content"))
+    return F.arrays_zip(names.alias("label"), F.transform(texts, lambda x: F.trim(x)).alias("content"))
 
 
 def recovered_calls(stream: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import conversation_queries, facts_queries
+from palimpsest.plans import conversation_queries, facts_queries, parsing_queries
 from palimpsest.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "retention_by_type"
-MODULES = (conversation_queries, facts_queries)
+MODULES = (conversation_queries, facts_queries, parsing_queries)
 __all__ = ["FLAGSHIP", "MODULES", "ORACLES", "QUERIES"]
