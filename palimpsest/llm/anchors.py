@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import checkpointed, slices, text_bytes
+from palimpsest.llm.common import checkpointed, claim, slices, text_bytes
 from palimpsest.llm.jaccard import mix
 
 #: Open segments of a bucket, and unequal segments of one anchor that go to one.
@@ -112,6 +112,7 @@ def _anchor_rows(docs: DataFrame, how: Windows) -> DataFrame:
     spans ``at .. upto`` known to repeat within a task, under a name of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
         for batch in batches:
             for part in slices(batch, 1000):
                 rows = []
@@ -175,7 +176,7 @@ def _spans_of(rows: DataFrame, how: Windows, most: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, how: Windows, compare: Callable[[pd.DataFrame], pd.DataFrame], most: int = MOST_SEGMENTS) -> DataFrame:
     """``key, lo, hi``: spans that together cover every repeated window, and nothing else.
 
-    ``docs``: key, text.  ``compare`` gets a bucket of open segments (group, key, lo,
+    ``docs``: key, text, and columns to be carried along.  ``compare`` gets a bucket of open segments (group, key, lo,
     at, symbols) and returns the spans it finds in them.
     """
     found = checkpointed(_spans_of(_anchor_rows(docs, how), how, most))
@@ -184,7 +185,8 @@ def repeated_spans(docs: DataFrame, how: Windows, compare: Callable[[pd.DataFram
     counts = opened.agg(F.count_if(~F.col("crowded")), F.count_if("crowded")).first()
     if counts[0] or counts[1]:
         marks = opened.groupBy("key").agg(F.collect_list(F.struct("at", "fp", "crowded")).alias("marks"))
-        wanted = docs.select("key", "text").join(marks, "key")
+        # the same columns and filter as where spans are applied, so the texts are shuffled once for both
+        wanted = docs.join(marks, "key").select("key", "text", "marks", *[c for c in docs.columns if c not in ("key", "text")])
         if counts[0]:
             spans.append(_compared(wanted, how, compare, max(1, -(-counts[0] // BUCKET_SEGMENTS))))
         if counts[1]:
@@ -210,7 +212,7 @@ def _compared(wanted: DataFrame, how: Windows, compare: Callable[[pd.DataFrame],
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["fp", "key", "lo", "at", "symbols"])
 
-    segments = wanted.select("key", "text", "marks").mapInArrow(cut, "fp long, key long, lo int, at int, symbols binary")
+    segments = wanted.mapInArrow(cut, "fp long, key long, lo int, at int, symbols binary")
     return segments.groupBy(F.pmod(F.xxhash64("fp"), F.lit(buckets)).alias("bucket")).applyInPandas(compare, "key long, lo int, hi int")
 
 
@@ -228,7 +230,7 @@ def _crowded(wanted: DataFrame, how: Windows) -> DataFrame:
                 start = np.unique(np.concatenate([np.arange(a, b - how.length + 1) for a, b in zip(lo, hi, strict=True)]))
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.of(start, start + how.length, 3).view(np.int64)), pa.array(np.full(len(start), key, np.int64)), pa.array(start.astype(np.int32))], ["window", "key", "start"])
 
-    rows = wanted.select("key", "text", "marks").mapInArrow(windows, "window long, key long, start int")
+    rows = wanted.mapInArrow(windows, "window long, key long, start int")
     place = F.struct("key", "start")
     firsts = rows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
     met = rows.join(firsts, "window")

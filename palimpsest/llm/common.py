@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import weakref
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -50,26 +51,43 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-class GenerationCache(dict):
-    """A bounded memo: ``make(key)`` fills it; when full, the older half goes.
+_CACHES: weakref.WeakSet = weakref.WeakSet()
+_OWNER: list[str] = [""]
 
-    Two generations of at most ``capacity`` entries live at once, so memory is
-    bounded while frequent keys survive a turnover.
+
+def claim(owner: str) -> None:
+    """Called where an operator's work begins in a Python worker.
+
+    Workers are used again by other operators; what those remember is let go, so a
+    worker holds one operator's caches at a time.
     """
+    if _OWNER[0] != owner:
+        _OWNER[0] = owner
+        for cache in list(_CACHES):
+            cache.forget()
+
+
+def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of few rows, so that what is made from one stays small."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    def __init__(self, make: Callable[[Any], Any], capacity: int):
-        super().__init__()
-        self.make, self.capacity, self.older = make, capacity, {}
 
-    def __missing__(self, key: Any) -> Any:
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.capacity:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+
+    The session's setting is used; a local folder is set only where the session
+    names none (tests on one machine).
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="palimpsest-checkpoint-"))
+    return df.checkpoint(eager=True)
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,7 +126,7 @@ def row_keys(df: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "
     """
     ids = df.groupBy(id_col).agg(F.count("*").alias("n")).agg(F.max("n"), F.count_if(F.col(id_col).isNull())).first()
     if (ids[0] or 0) <= 1 and not ids[1]:
-        return df.withColumn(name, F.col(id_col).cast("long"))
+        return df.withColumn(name, F.col(id_col).cast("long")).filter(F.col(name).isNotNull())
     return checkpointed(df.repartitionByRange(id_col, text_col).sortWithinPartitions(id_col, text_col).withColumn(name, F.monotonically_increasing_id()))
 
 
@@ -126,6 +144,10 @@ class BatchCache:
 
     def __init__(self, make: Callable[[list], list], capacity: int):
         self.make, self.capacity, self.young, self.older = make, capacity, {}, {}
+        _CACHES.add(self)
+
+    def forget(self) -> None:
+        self.young, self.older = {}, {}
 
     def get(self, keys: list) -> dict:
         if len(self.young) >= self.capacity:

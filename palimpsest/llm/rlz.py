@@ -80,7 +80,7 @@ WINDOWS = Windows(LENGTH, GRAM, word_symbols, earlier=True)
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_SEGMENTS) -> DataFrame:
     """``doc_id, n_words, spans, kept``: removed word spans, and the kept words joined by a space."""
     docs = row_keys(id_text(df, id_col, text_col), "key")
-    spans = repeated_spans(docs.select("key", "text"), WINDOWS, compare_segments, most)
+    spans = repeated_spans(docs, WINDOWS, compare_segments, most)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -121,7 +121,7 @@ def without(text: bytes, marks: list[dict] | None) -> tuple[list[tuple[int, int]
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_SEGMENTS) -> DataFrame:
     """``doc_id, n_bytes, spans, kept``: removed byte spans and the remaining bytes of every row."""
     docs = row_keys(id_text(df, id_col, text_col), "key")
-    spans = repeated_spans(docs.select("key", "text"), WINDOWS, compare_segments, most)
+    spans = repeated_spans(docs, WINDOWS, compare_segments, most)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,10 +142,11 @@ def deduped_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A character cut in part goes as a whole; a null text stays null.
     """
-    key = "__suffix_key"
-    docs = row_keys(df, key, id_col, text_col)
-    spans = repeated_spans(docs.select(F.col(key).alias("key"), F.col(text_col).cast("string").alias("text")), WINDOWS, compare_segments)
-    marked = with_spans(docs, spans, key, "__suffix_spans")
+    others = [c for c in df.columns if c != text_col]
+    rest = F.struct(*[F.col(c) for c in others]) if others else F.lit(None).cast("int")
+    docs = row_keys(df, "__suffix_key", id_col, text_col).select(F.col("__suffix_key").alias("key"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
+    joined = with_spans(docs, repeated_spans(docs, WINDOWS, compare_segments))
+    marked = joined.select(*[F.col("text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in df.columns], F.col("spans").alias("__suffix_spans"))
 
     def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
         at, marks = batch.schema.names.index(text_col), batch.column(batch.schema.names.index("__suffix_spans")).to_pylist()
