@@ -70,9 +70,10 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     share (sums to 1 for each kind and src that has edges).  Returns kind, host, score.
     """
     ranks, before = seeds.select("kind", "host", F.col("seed").alias("score")), None
-    sources = edges.select("kind", F.col("src").alias("host")).distinct()
+    links = edges.select("kind", F.col("src").alias("host"), "dst", "share")
+    sources = links.select("kind", "host").distinct()
     for i in range(rounds):
-        sent = ranks.join(edges, (ranks["kind"] == edges["kind"]) & (ranks["host"] == edges["src"])).select(edges["kind"], F.col("dst").alias("host"), (F.lit(damping) * F.col("score") * F.col("share")).alias("part"))
+        sent = ranks.join(links, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("score") * F.col("share")).alias("part"))
         resting = ranks.join(sources, ["kind", "host"], "left_anti").groupBy("kind").agg(F.sum("score").alias("rest"))
         back = seeds.join(resting, "kind", "left").select("kind", "host", (F.col("seed") * (1 - damping + damping * F.coalesce("rest", F.lit(0.0)))).alias("part"))
         ranks = sent.unionByName(back).groupBy("kind", "host").agg(F.sum("part").alias("score"))
