@@ -57,7 +57,7 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
 
 
 def _rows(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), np.uint8).reshape(-1, width), np.array([len(p) for p in parts])
+    return np.frombuffer(b"".join(p[:width].ljust(width, b"\0") for p in parts), np.uint8).reshape(-1, width), np.array([min(len(p), width) for p in parts])
 
 
 def repeat_extents(groups: list[int], before: list[bytes], after: list[bytes], length: int = LENGTH, left_most: int = LENGTH - GRAM) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
