@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.common import BatchCache, id_text, int_lists, slices
+from palimpsest.llm.common import BatchCache, claim, id_text, int_lists, slices
 
 _WORD_BITS = 8  # 256 ranks to a bitmap word
 _LOW = (1 << _WORD_BITS) - 1
@@ -177,6 +177,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     """``doc_id, ids array<int>`` for every row; with ``check`` also ``decoded``, what the ids decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe")
         bpe = codec(path, pattern)
         for batch in batches:
             for small in slices(batch):
@@ -194,6 +195,7 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, ids, decoded binary`` from ``doc_id, ids``; null ids decode to no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe")
         bpe = codec(path, pattern)
         for batch in batches:
             for small in slices(batch):

@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import BatchCache, checkpointed, id_text, row_keys, slices, split_words, text_bytes
+from palimpsest.llm.common import BatchCache, checkpointed, claim, id_text, row_keys, slices, split_words, text_bytes
 from palimpsest.llm.graph import components
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 250_000
 BAND_RATIO, LIGHT_SHARE = 1.5, 16
-#: Shingles of a block when sketches and when true sets are compared, and rows of a task of small clusters.
-SKETCH_BLOCK, SET_BLOCK, TASK_ROWS = 8_000_000, 1_000_000, 20_000
+#: Shingles of a block, and about as many of a task of small clusters, when sketches and when true sets are compared.
+SKETCH_BLOCK, SET_BLOCK = 8_000_000, 1_000_000
 _BITS = 20
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -148,6 +148,7 @@ def profiles(df: DataFrame, k: int, threshold: Threshold, id_col: str = "doc_id"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words")
         for batch in batches:
             for part in slices(batch, 1000):
                 sizes, nodes, sketches, keys, seen = [], [], [], [], set()
@@ -193,7 +194,7 @@ def in_blocks(members: DataFrame, block: int, columns: list[str]) -> DataFrame:
     Clusters of one block share tasks; in larger ones every pair of blocks is a task.
     """
     total = members.groupBy("root").agg(F.ceil(F.sum("n_shingles") / block).cast("int").alias("blocks"))
-    tasks = F.greatest(F.lit(1), F.lit(-(-members.count() // TASK_ROWS)))
+    tasks = F.lit(max(1, -(-(members.agg(F.sum("n_shingles")).first()[0] or 0) // block)))
     placed = members.join(total, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), tasks)).otherwise(F.xxhash64("root", F.lit(1)))
@@ -284,6 +285,7 @@ def verified_links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, k: in
     texts = in_blocks(left, SET_BLOCK, ["doc_id"]).join(docs.select("doc_id", "text"), "doc_id")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        claim("words")
         found = []
         for _, rows in pdf.groupby("root", sort=False):
             sets, at = [], []

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import BatchCache, id_text, split_words, text_bytes
+from palimpsest.llm.common import BatchCache, claim, id_text, split_words, text_bytes
 
 SEQUENCE = 2048
 DOCUMENTS_PER_GROUP = 4096
@@ -79,6 +79,7 @@ def token_pieces(df: DataFrame, path: str, end_id: int = 1, sequence: int = SEQU
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        claim("packing")
         tokenizer, rng = word_tokenizer(path), np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
             rows: list[tuple] = []

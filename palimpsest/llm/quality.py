@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,10 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import GenerationCache, map_rows, slices, split_words, text_bytes
+from palimpsest.llm.common import BatchCache, claim, map_rows, slices, split_words, text_bytes
 
-CACHE_ENTRIES = 300_000
-_CACHED_LENGTH = 64
+CACHE_ENTRIES = 250_000
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 #: Fixed value of the contract: characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -86,15 +86,14 @@ class Vocabulary:
             self.fallback = np.zeros(max(ranks.values()) + 1, bool)
             self.fallback[[r for t, r in ranks.items() if len(t) == 1 and t[0] >= 128]] = True
             self._ids = lambda word: encoding.encode_ordinary(" " + word)
-        self.memo = GenerationCache(self._packed, CACHE_ENTRIES)
+        self.memo = BatchCache(self._packed, CACHE_ENTRIES)
 
-    def _packed(self, word: bytes) -> bytes:
-        return np.array(self._ids(word.decode()), "<i4").tobytes()
+    def _packed(self, words: list[bytes]) -> list[bytes]:
+        return [array("i", self._ids(w.decode())).tobytes() for w in words]
 
     def measure(self, words: list[bytes], chars: int) -> tuple[float, float, float]:
         """Characters per token, fallback share, entropy in bits; zeros without words."""
-        memo, packed = self.memo, self._packed
-        ids = np.frombuffer(b"".join([memo[w] if len(w) <= _CACHED_LENGTH else packed(w) for w in words]), "<i4")
+        ids = np.frombuffer(b"".join(map(self.memo.get(words).__getitem__, words)), "<i4")
         if not len(ids):
             return 0.0, 0.0, 0.0
         share = np.bincount(ids)
@@ -153,6 +152,7 @@ def judge(df: DataFrame, paths: tuple[str, ...], pattern: str, id_col: str = "do
     """Base counts, fertility measures of each vocabulary, and the verdict ``kept``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         vocabularies = [vocabulary(p, pattern) for p in paths]
         for batch in batches:
             for part in slices(batch):
@@ -168,6 +168,7 @@ def kept_documents(df: DataFrame, paths: tuple[str, ...], pattern: str, text_col
     """The rows of ``df``, all columns, that the rules keep."""
 
     def choose(batch: pa.RecordBatch) -> pa.RecordBatch:
+        claim("quality")
         names = batch.schema.names
         rows = verdicts(text_bytes(batch.column(names.index(text_col))), batch.column(names.index(lang_col)).to_pylist(), [vocabulary(p, pattern) for p in paths])
         return batch.filter(pa.array([r[6] for r in rows], pa.bool_()))

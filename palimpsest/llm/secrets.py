@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import map_rows, slices, with_text
+from palimpsest.llm.common import claim, map_rows, slices, with_text
 
 #: At most so many labelled findings train a forest.
 MAX_TRAINING_ROWS = 20_000
@@ -249,6 +249,7 @@ def masked_documents(df: DataFrame, forest: Forest, dictionary_path: str, text_c
     """The rows of ``df``, all columns, with secrets masked in their texts."""
 
     def mask(batch: pa.RecordBatch) -> pa.RecordBatch:
+        claim("secrets")
         words, names = dictionary(dictionary_path), batch.schema.names
         texts, paths = (batch.column(names.index(c)).to_pylist() for c in (text_col, path_col))
         return with_text(batch, text_col, [findings_of(t, p, forest, words, threshold)[2] for t, p in zip(texts, paths, strict=True)])

@@ -20,10 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.common import GenerationCache, id_text, split_words, text_bytes
+from palimpsest.llm.common import BatchCache, claim, id_text, split_words, text_bytes
 
 CACHE_ENTRIES = 400_000
-_CACHED_LENGTH = 64
 _START, _CONTINUED, _NONE = 0, 1, -1
 #: The mark of a word start in the piece vocabulary.
 WORD_START = "▁"
@@ -90,21 +89,22 @@ def automaton(path: str) -> MatchAutomaton:
 
 
 @lru_cache(maxsize=2)
-def _memo(path: str) -> GenerationCache:
+def _memo(path: str) -> BatchCache:
     counter = automaton(path)
-    return GenerationCache(lambda w: counter.count(w.decode()), CACHE_ENTRIES)
+    return BatchCache(lambda words: [counter.count(w.decode()) for w in words], CACHE_ENTRIES)
 
 
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_tokens, n_unknown``; an unknown word is one token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counter = _memo(path), automaton(path)
+        claim("wordpiece")
+        memo = _memo(path)
         for batch in batches:
             words_n, tokens_n, unknown_n = [], [], []
             for text in text_bytes(batch.column(1)):
                 words = split_words(text)
-                counts = [memo[w] if len(w) <= _CACHED_LENGTH else counter.count(w.decode()) for w in words]
+                counts = list(map(memo.get(words).__getitem__, words))
                 unknown = counts.count(0)
                 words_n.append(len(words))
                 tokens_n.append(sum(counts) + unknown)
