@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,13 +14,16 @@ from palimpsest.operators.compactors import FirstSentences, RecentMessages, comp
 from palimpsest.operators.evaluation import contexts, judged_contexts
 from palimpsest.plans.registry import CONV_SQL, catalogue_sql, draw_sql, query, tok
 
-m = F.col("messages")
+
+def _m() -> Column:
+    return F.col("messages")
+
 TARGET, LONG_TARGET = 300, 1000
 
 
 @query(f"WITH {CONV_SQL} SELECT conv_id, n::INTEGER AS n_messages, m[1].role AS first_role, m[-1].role AS last_role, len(u)::INTEGER AS n_users FROM ctx")
 def assemble_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contexts(spark, sf_dir).select("conv_id", F.size(m).alias("n_messages"), F.get(m, F.lit(0))["role"].alias("first_role"), F.element_at(m, -1)["role"].alias("last_role"), F.size(M.user_turns(m)).alias("n_users"))
+    return contexts(spark, sf_dir).select("conv_id", F.size(_m()).alias("n_messages"), F.get(_m(), F.lit(0))["role"].alias("first_role"), F.element_at(_m(), -1)["role"].alias("last_role"), F.size(M.user_turns(_m())).alias("n_users"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN lower(trim(role)) IN ('user', 'human') THEN 'user' WHEN lower(trim(role)) IN ('system', 'developer') THEN 'system' ELSE 'assistant' END AS mapped FROM conversations")
@@ -30,13 +33,13 @@ def role_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, count(*)::INTEGER AS n_messages, sum(length(trim(text)))::BIGINT AS n_chars FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
 def trim_drop_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = contexts(spark, sf_dir).select("conv_id", M.cleaned(m).alias("messages"))
-    return clean.select("conv_id", F.size(m).alias("n_messages"), F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + F.length(x["content"])).alias("n_chars")).filter("n_messages > 0")
+    clean = contexts(spark, sf_dir).select("conv_id", M.cleaned(_m()).alias("messages"))
+    return clean.select("conv_id", F.size(_m()).alias("n_messages"), F.aggregate(_m(), F.lit(0).cast("long"), lambda a, x: a + F.length(x["content"])).alias("n_chars")).filter("n_messages > 0")
 
 
 @query(f"WITH {CONV_SQL} SELECT conv_id, list_sum(t)::INTEGER AS token_length FROM ctx")
 def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contexts(spark, sf_dir).select("conv_id", M.total_tokens(m).alias("token_length"))
+    return contexts(spark, sf_dir).select("conv_id", M.total_tokens(_m()).alias("token_length"))
 
 
 @query(f"SELECT doc_id, {tok('text')}::INTEGER AS n_tokens FROM documents")
@@ -46,13 +49,13 @@ def document_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CONV_SQL} SELECT count(*) AS n_rows, min(list_sum(t))::INTEGER AS min_tokens, max(list_sum(t))::INTEGER AS max_tokens, round(avg(list_sum(t)), 6) AS avg_tokens, round(avg(n), 6) AS avg_turns, round(avg(len(u)), 6) AS avg_users FROM ctx")
 def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = contexts(spark, sf_dir).select(M.total_tokens(m).alias("t"), F.size(m).alias("n"), F.size(M.user_turns(m)).alias("u"))
+    rows = contexts(spark, sf_dir).select(M.total_tokens(_m()).alias("t"), F.size(_m()).alias("n"), F.size(M.user_turns(_m())).alias("u"))
     return rows.agg(F.count("*").alias("n_rows"), F.min("t").alias("min_tokens"), F.max("t").alias("max_tokens"), *[F.round(F.avg(c), 6).alias(a) for c, a in (("t", "avg_tokens"), ("n", "avg_turns"), ("u", "avg_users"))])
 
 
 @query(f"WITH {CONV_SQL} SELECT conv_id, u[1]::INTEGER AS top, u[(len(u) // 2 + 1)::INTEGER]::INTEGER AS middle, u[-1]::INTEGER AS bottom FROM ctx WHERE len(u) > 0")
 def position_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = contexts(spark, sf_dir).select("conv_id", M.user_turns(m).alias("u")).filter(F.size("u") > 0)
+    users = contexts(spark, sf_dir).select("conv_id", M.user_turns(_m()).alias("u")).filter(F.size("u") > 0)
     return users.select("conv_id", *[M.at_position(F.col("u"), F.lit(p)).alias(p) for p in ("top", "middle", "bottom")])
 
 
@@ -60,7 +63,7 @@ def position_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, u[mid]::INTEGER AS middle_user_index, (u[mid] + 1)::INTEGER AS injection_position,
   (u[mid + 1] - u[mid - 1] + 1 + CASE WHEN m[u[mid + 1] + 2].role = 'assistant' THEN 1 ELSE 0 END)::INTEGER AS n_local, m[u[mid - 1] + 1].content AS first_text FROM w""")
 def local_context_r1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = contexts(spark, sf_dir).select("conv_id", M.user_turns(m).alias("u"), M.local_context(m, 1).alias("local")).filter("local is not null")
+    rows = contexts(spark, sf_dir).select("conv_id", M.user_turns(_m()).alias("u"), M.local_context(_m(), 1).alias("local")).filter("local is not null")
     middle = M.at_position(F.col("u"), F.lit("middle"))
     return rows.select("conv_id", middle.alias("middle_user_index"), (middle + 1).alias("injection_position"), F.size("local").alias("n_local"), F.get("local", F.lit(0))["content"].alias("first_text"))
 
@@ -74,34 +77,34 @@ def prev_assistant_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, md5(string_agg(role || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
 def render_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contexts(spark, sf_dir).select("conv_id", F.md5(M.rendered(m)).alias("digest"))
+    return contexts(spark, sf_dir).select("conv_id", F.md5(M.rendered(_m())).alias("digest"))
 
 
 @query("SELECT conv_id, md5(string_agg('[' || role || ']: ' || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
 def render_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contexts(spark, sf_dir).select("conv_id", F.md5(M.transcript(m)).alias("digest"))
+    return contexts(spark, sf_dir).select("conv_id", F.md5(M.transcript(_m())).alias("digest"))
 
 
 @query("SELECT conv_id, md5(string_agg(turn_no || '. ' || text, chr(10) ORDER BY turn)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_no FROM conversations) GROUP BY conv_id")
 def render_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contexts(spark, sf_dir).select("conv_id", F.md5(M.numbered(F.transform(m, lambda x: x["content"]))).alias("digest"))
+    return contexts(spark, sf_dir).select("conv_id", F.md5(M.numbered(F.transform(_m(), lambda x: x["content"]))).alias("digest"))
 
 
 @query("SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
 def embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contexts(spark, sf_dir).select("conv_id", F.md5(M.embedding_text(m)).alias("digest"))
+    return contexts(spark, sf_dir).select("conv_id", F.md5(M.embedding_text(_m())).alias("digest"))
 
 
 @query(f"WITH {CONV_SQL} SELECT conv_id, CASE WHEN m[1].role = 'system' THEN n - 1 ELSE n END::INTEGER AS n_without_leading, len(list_filter(m, lambda x: x.role <> 'system'))::INTEGER AS n_without_any, (CASE WHEN m[1].role = 'system' THEN list_sum(t[2:]) ELSE list_sum(t) END)::INTEGER AS token_length FROM ctx")
 def system_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = contexts(spark, sf_dir).select("conv_id", M.system_only_first(m).alias("messages"))
-    return checked.select("conv_id", F.size(M.without_leading_system(m)).alias("n_without_leading"), F.size(M.without_system(m)).alias("n_without_any"), M.total_tokens(M.without_leading_system(m)).alias("token_length"))
+    checked = contexts(spark, sf_dir).select("conv_id", M.system_only_first(_m()).alias("messages"))
+    return checked.select("conv_id", F.size(M.without_leading_system(_m())).alias("n_without_leading"), F.size(M.without_system(_m())).alias("n_without_any"), M.total_tokens(M.without_leading_system(_m())).alias("token_length"))
 
 
 def _injected(spark: SparkSession, sf_dir: str, position: str, repeat: int) -> DataFrame:
-    pairs = contexts(spark, sf_dir).filter(F.size(M.user_turns(m)) > 0).crossJoin(C.catalogue(spark))
+    pairs = contexts(spark, sf_dir).filter(F.size(M.user_turns(_m())) > 0).crossJoin(C.catalogue(spark))
     wrapped = C.framed(F.col("sssc"), F.lit(True), F.lit(True))
-    full = C.injected(m, C.targets(m, F.lit(position), F.lit(repeat), F.col("conv_id"), F.col("id")), wrapped)
+    full = C.injected(_m(), C.targets(_m(), F.lit(position), F.lit(repeat), F.col("conv_id"), F.col("id")), wrapped)
     return pairs.select("conv_id", F.col("id").alias("sssc_id"), F.md5(M.rendered(full)).alias("digest"))
 
 
@@ -143,13 +146,13 @@ def probe_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CONV_SQL} SELECT conv_id, least(n, 5)::INTEGER AS n_kept, list_sum(t)::INTEGER AS tokens_before, list_sum(t[greatest(n - 5, 0) + 1:])::INTEGER AS tokens_after, round(list_sum(t[greatest(n - 5, 0) + 1:]) / list_sum(t), 10) AS compression_ratio FROM ctx")
 def recent_n_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = contexts(spark, sf_dir).withColumn("kept", RecentMessages(5).compact(m)).withColumn("c", compaction(m, F.col("kept")))
+    kept = contexts(spark, sf_dir).withColumn("kept", RecentMessages(5).compact(_m())).withColumn("c", compaction(_m(), F.col("kept")))
     return kept.select("conv_id", F.size("kept").alias("n_kept"), "c.tokens_before", "c.tokens_after", F.round("c.compression_ratio", 10).alias("compression_ratio"))
 
 
 @query(f"""WITH {CONV_SQL} SELECT conv_id, md5(array_to_string(list_transform(u[1:3], lambda i: regexp_extract(m[i + 1].content, '^[^.!?\\n]*[.!?]?', 0)), ' ')) AS digest FROM ctx""")
 def extractive_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contexts(spark, sf_dir).select("conv_id", F.md5(F.get(FirstSentences(3).compact(m), F.lit(0))["content"]).alias("digest"))
+    return contexts(spark, sf_dir).select("conv_id", F.md5(F.get(FirstSentences(3).compact(_m()), F.lit(0))["content"]).alias("digest"))
 
 
 @query(r"""WITH x AS (SELECT conv_id, turn, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]') AS l FROM conversations),
@@ -165,7 +168,7 @@ def token_budget_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, (len(list_filter(sums, lambda x: x < {TARGET})) + 1)::INTEGER AS n_messages, sums[len(list_filter(sums, lambda x: x < {TARGET})) + 1]::INTEGER AS token_length FROM s""")
 def trim_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = K.trimmed_rows(contexts(spark, sf_dir), TARGET)
-    return rows.select("conv_id", F.size(m).alias("n_messages"), "token_length")
+    return rows.select("conv_id", F.size(_m()).alias("n_messages"), "token_length")
 
 
 _PAIR_SQL = f"""WITH {CONV_SQL}, s AS (SELECT conv_id, m, t, list_transform(range(1, n + 1), lambda i: list_sum(t[1:i])) AS sums FROM ctx WHERE list_sum(t) >= {TARGET}),
@@ -178,7 +181,7 @@ FROM h GROUP BY pair HAVING count(*) = 2"""
 @query(_PAIR_SQL)
 def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = K.paired_rows(contexts(spark, sf_dir), TARGET)
-    return rows.select("source_row_index", F.size(m).alias("n_messages"), "token_length", "source_conversation_count")
+    return rows.select("source_row_index", F.size(_m()).alias("n_messages"), "token_length", "source_conversation_count")
 
 
 @query(f"""WITH RECURSIVE {CONV_SQL}, r AS (SELECT row_number() OVER (ORDER BY conv_id) AS rn, conv_id, list_sum(t) AS t FROM ctx),
@@ -210,7 +213,7 @@ def masked_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def topic_cohesive_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.topic_cohesive(contexts(spark, sf_dir).withColumn("token_length", M.total_tokens(m)).select("conv_id", "token_length"), spark.read.parquet(f"{sf_dir}/embeddings.parquet"), LONG_TARGET)
+    return K.topic_cohesive(contexts(spark, sf_dir).withColumn("token_length", M.total_tokens(_m())).select("conv_id", "token_length"), spark.read.parquet(f"{sf_dir}/embeddings.parquet"), LONG_TARGET)
 
 
 @query(f"""WITH {CONV_SQL}, {catalogue_sql()}, r AS (SELECT cat.type, cat.id, list_contains(range(greatest(n - 5, 0), n), u[1]) AS kept FROM ctx, cat WHERE len(u) > 0)

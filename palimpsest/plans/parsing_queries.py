@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import grading as G
@@ -16,23 +16,26 @@ from palimpsest.plans.registry import CONV_SQL, catalogue_sql, draw_sql, query
 from palimpsest.sources.adapters import DEFAULT_QUESTION, normalised
 from palimpsest.streaming.extraction import windowed_counts
 
-m = F.col("messages")
+
+def _m() -> Column:
+    return F.col("messages")
+
 _COUNTS = "SELECT conv_id, count(*)::INTEGER AS n_messages, sum(length(trim(text)))::BIGINT AS n_chars FROM conversations WHERE trim(text) <> '' GROUP BY conv_id"
 
 
 def _counted(df: DataFrame) -> DataFrame:
-    return df.select("conv_id", F.size(m).alias("n_messages"), F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + F.length(x["content"])).alias("n_chars"))
+    return df.select("conv_id", F.size(_m()).alias("n_messages"), F.aggregate(_m(), F.lit(0).cast("long"), lambda a, x: a + F.length(x["content"])).alias("n_chars"))
 
 
 @query(_COUNTS)
 def adapter_turn_structs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = F.transform(m, lambda x: F.struct(F.when(x["role"] == "user", "human").otherwise("gpt").alias("from"), x["content"].alias("value")))
+    turns = F.transform(_m(), lambda x: F.struct(F.when(x["role"] == "user", "human").otherwise("gpt").alias("from"), x["content"].alias("value")))
     return _counted(normalised(contexts(spark, sf_dir).select("conv_id", turns.alias("conversations")), "sharegpt", ("conv_id",)))
 
 
 @query(_COUNTS)
 def adapter_turn_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = F.struct(F.transform(m, lambda x: x["role"]).alias("from"), F.transform(m, lambda x: x["content"]).alias("value"))
+    both = F.struct(F.transform(_m(), lambda x: x["role"]).alias("from"), F.transform(_m(), lambda x: x["content"]).alias("value"))
     return _counted(normalised(contexts(spark, sf_dir).select("conv_id", both.alias("conversations")), "sharegpt", ("conv_id",)))
 
 
@@ -48,7 +51,7 @@ def adapter_json_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_COUNTS)
 def adapter_content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.transform(m, lambda x: F.struct(x["role"].alias("role"), F.array(F.struct(x["content"].alias("text")), F.struct(F.lit(" ").alias("text"))).alias("content")))
+    parts = F.transform(_m(), lambda x: F.struct(x["role"].alias("role"), F.array(F.struct(x["content"].alias("text")), F.struct(F.lit(" ").alias("text"))).alias("content")))
     return _counted(normalised(contexts(spark, sf_dir).select("conv_id", parts.alias("messages")), "openresearcher", ("conv_id",)))
 
 
@@ -128,9 +131,9 @@ list_sort(list_transform(list_sort(list_transform(u, lambda i: struct_pack(d :=
 SELECT conv_id, sssc_id, 1::INTEGER AS n_items, text, places[1]::INTEGER AS source_turn_index FROM p""")
 def online_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each constraint is injected into three turns; the fold keeps it once, from the first."""
-    pairs = contexts(spark, sf_dir).filter(F.size(M.user_turns(m)) > 0).crossJoin(C.catalogue(spark))
-    places = C.targets(m, F.lit("top"), F.lit(3), F.col("conv_id"), F.col("id"))
-    found = E.registry(C.injected(m, places, C.framed(F.col("sssc"), F.lit(True), F.lit(True))))
+    pairs = contexts(spark, sf_dir).filter(F.size(M.user_turns(_m())) > 0).crossJoin(C.catalogue(spark))
+    places = C.targets(_m(), F.lit("top"), F.lit(3), F.col("conv_id"), F.col("id"))
+    found = E.registry(C.injected(_m(), places, C.framed(F.col("sssc"), F.lit(True), F.lit(True))))
     rows = pairs.select("conv_id", F.col("id").alias("sssc_id"), found.alias("r"))
     return rows.select("conv_id", "sssc_id", F.size("r").alias("n_items"), F.get("r", F.lit(0))["text"].alias("text"), F.get("r", F.lit(0))["source_turn_index"].alias("source_turn_index"))
 
