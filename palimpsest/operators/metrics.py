@@ -212,3 +212,74 @@ def joint_cells(rows: DataFrame, *raters: str) -> DataFrame:
     for r in raters[1:]:
         same = same & (F.col(r) == F.col(raters[0]))
     return known.groupBy(*raters).agg(F.count("*").alias("n")).withColumn("unanimous", same)
+
+
+def generative_agreement(rows: DataFrame, *keys: str) -> DataFrame:
+    """Free-generation verdicts against letter verdicts: counts, bounds and the paired comparison.
+
+    ``verdict`` is true, false or not_enough_information, which counts as a failure in
+    the lower bound and as a pass in the upper; the pairing uses decisive verdicts only.
+    """
+    v = F.col("verdict")
+    yes, no = v == "true", v == "false"
+    n = F.count(v)
+    first = rows.groupBy(*keys).agg(
+        n.alias("n_judged"), F.count_if(yes).alias("n_true"), F.count_if(no).alias("n_false"), (n - F.count_if(yes) - F.count_if(no)).alias("n_undecided"),
+        r10(F.count_if(yes) / F.nullif(F.count_if(yes) + F.count_if(no), F.lit(0))).alias("decisive_rate"),
+        r10(F.count_if(yes) / F.nullif(n, F.lit(0))).alias("lower_bound"), r10((n - F.count_if(no)) / F.nullif(n, F.lit(0))).alias("upper_bound"),
+    )
+    paired = agreement_by(rows.withColumn("a", F.when(yes, True).when(no, False)), "a", "compliant", *keys)
+    return first.join(paired, list(keys))
+
+
+def retention_relationship(rows: DataFrame) -> DataFrame:
+    """Decisive free-generation and letter rates of the compacted case, by whether it was retained."""
+    decided = F.when(F.col("verdict") == "true", 1.0).when(F.col("verdict") == "false", 0.0)
+    return rows.groupBy("retention").agg(F.count("*").alias("n"), F.count(decided).alias("n_decisive"), r10(F.avg(decided)).alias("generative_rate"), r10(rate(F.col("compliant"))).alias("letter_rate"))
+
+
+def prober_table(facts: DataFrame, runs: Sequence[str], reference: str) -> DataFrame:
+    """Each run's case rates and invalid share, and its agreement with a reference run on the compacted case."""
+    rows = facts.filter(F.col("run_id").isin(*runs))
+    table = success(rows).groupBy("run_id").agg(F.count("*").alias("n_success"), *[r10(rate(F.col(c))).alias(c) for c in (*CASES, "retention")], r10(invalid_rate(F.col("compacted"))).alias("invalid_rate"))
+    to = rows.filter(F.col("run_id") == reference).select(*PAIR, F.col("compacted").alias("r"))
+    met = rows.join(to, list(PAIR)).filter("compacted is not null and r is not null")
+    x, y, same = F.avg(F.col("r").cast("double")), F.avg(F.col("compacted").cast("double")), F.avg((F.col("compacted") == F.col("r")).cast("double"))
+    against = met.groupBy("run_id").agg(F.count("*").alias("n_paired"), r10(same).alias("agree_rate"), r10(kappa_of(same, x, y)).alias("kappa"))
+    return table.join(against, "run_id", "left")
+
+
+def prompt_pair_rates(facts: DataFrame, left_run: str, right_run: str) -> DataFrame:
+    """Two runs' rates side by side; nulls are dropped on each side by itself."""
+    side = lambda run: facts.filter(F.col("run_id") == run)
+    keys = ["dataset", "source_row_index", "sssc_id"]
+    joined = side(left_run).select(*keys, *[F.col(c).alias(f"l_{c}") for c in ("compacted", "retention", "tokens_after")]).join(side(right_run).select(*keys, *[F.col(c).alias(f"r_{c}") for c in ("compacted", "retention", "tokens_after")]), keys)
+    mean = lambda c: F.avg(F.col(c).cast("double"))
+    return joined.groupBy("dataset").agg(F.count("*").alias("n"), *[r10(mean(f"{s}_{c}")).alias(f"{s}_{c}") for c in ("compacted", "retention", "tokens_after") for s in ("l", "r")], *[r10(mean(f"r_{c}") - mean(f"l_{c}")).alias(f"delta_{c}") for c in ("compacted", "retention")])
+
+
+def run_inventory(facts: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows, successes and known verdicts of each run, with where the run came from."""
+    counts = facts.groupBy("run_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("status") == "success").alias("n_success"), *[F.count(c).alias(f"n_{c}") for c in (*CASES, "retention")])
+    return counts.join(sources, "run_id", "left")
+
+
+def summary_length(facts: DataFrame) -> DataFrame:
+    """Mean tokens left for every run, overall and by dataset."""
+    rows = success(facts).rollup("run_id", "dataset").agg(F.round(F.avg("tokens_after"), 6).alias("mean_tokens"), F.count("*").alias("n"))
+    return rows.filter("run_id is not null").select("run_id", F.coalesce("dataset", F.lit("all")).alias("dataset"), "mean_tokens", "n")
+
+
+def rejudge_report(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Agreement of two judges over all rows and by run."""
+    cells_ = agreement(F.col(a), F.col(b))
+    return rows.rollup("run_id").agg(*[c.alias(n) for n, c in cells_.items()]).withColumn("run_id", F.coalesce("run_id", F.lit("all")))
+
+
+def label_gate(rows: DataFrame, label: str) -> DataFrame:
+    """How many labels are read, missing or not recognised; a report waits until none is."""
+    from palimpsest.functions.text import human_label
+
+    read = human_label(F.col(label)).isNotNull()
+    blank = F.coalesce(F.trim(label), F.lit("")) == ""
+    return rows.agg(F.count_if(read).alias("n_read"), F.count_if(blank).alias("n_missing"), F.count_if(~read & ~blank).alias("n_unknown"), (F.count_if(~read) == 0).alias("complete"))

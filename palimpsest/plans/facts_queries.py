@@ -368,3 +368,64 @@ def upsert_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["run_id", "source_row_index", "sssc_id"]
     rows = facts(spark, sf_dir).select(*keys, "status")
     return S.upsert(rows, rows.filter("status = 'error'").withColumn("status", F.lit("retried")), keys)
+
+
+_GEN = f""", gen AS (SELECT *, CASE WHEN {draw_sql("'gen'", "run_id", "source_row_index", "sssc_id")} < 0.5 THEN 'true' WHEN {draw_sql("'gen'", "run_id", "source_row_index", "sssc_id")} < 0.85 THEN 'false' ELSE 'not_enough_information' END AS verdict, compacted AS compliant FROM facts WHERE status = 'success')"""
+
+
+def generated_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = draw("gen", F.col("run_id"), F.col("source_row_index"), F.col("sssc_id"))
+    verdict = F.when(d < 0.5, "true").when(d < 0.85, "false").otherwise("not_enough_information")
+    return A.success(facts(spark, sf_dir)).withColumns({"verdict": verdict, "compliant": F.col("compacted")})
+
+
+@query(f"""{FACTS} {_GEN}, c AS (SELECT compactor, count(verdict) AS n_judged, count(*) FILTER (verdict = 'true') AS n_true, count(*) FILTER (verdict = 'false') AS n_false FROM gen GROUP BY 1), x AS (SELECT * FROM (WITH """ + agree_sql("SELECT compactor, CASE verdict WHEN 'true' THEN true WHEN 'false' THEN false END AS a, compliant AS b FROM gen", "compactor") + """))
+SELECT compactor, n_judged, n_true, n_false, n_judged - n_true - n_false AS n_undecided, round(n_true / (n_true + n_false), 10) AS decisive_rate, round(n_true / n_judged, 10) AS lower_bound, round((n_judged - n_false) / n_judged, 10) AS upper_bound, x.* EXCLUDE (compactor) FROM c JOIN x USING (compactor)""")
+def generative_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.generative_agreement(generated_verdicts(spark, sf_dir), "compactor")
+
+
+@query(f"""{FACTS} {_GEN}, d AS (SELECT *, CASE verdict WHEN 'true' THEN 1.0 WHEN 'false' THEN 0.0 END::DOUBLE AS v FROM gen) SELECT retention, count(*) AS n, count(v) AS n_decisive, round(avg(v), 10) AS generative_rate, round({rate('compliant')}, 10) AS letter_rate FROM d GROUP BY 1""")
+def retention_relationship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.retention_relationship(generated_verdicts(spark, sf_dir))
+
+
+_RUNS = f"('{RUN_A}', '{RUN_B}', '{RUN_C}')"
+
+
+@query(f"""{FACTS}, t AS (SELECT run_id, count(*) AS n_success, round({rate('uninjected')}, 10) AS uninjected, round({rate('injected')}, 10) AS injected, round({rate('compacted')}, 10) AS compacted, round({rate('post')}, 10) AS post, round({rate('retention')}, 10) AS retention, round(avg((compacted IS NULL)::INTEGER), 10) AS invalid_rate FROM facts WHERE status = 'success' AND run_id IN {_RUNS} GROUP BY 1),
+m AS (SELECT a.run_id, r.compacted::INTEGER AS l, a.compacted::INTEGER AS q FROM facts a JOIN facts r USING (dataset, source_row_index, sssc_id) WHERE r.run_id = '{RUN_A}' AND a.run_id IN {_RUNS} AND a.compacted IS NOT NULL AND r.compacted IS NOT NULL),
+g AS (SELECT run_id, count(*) AS n_paired, avg(l) AS x, avg(q) AS y, avg((l = q)::INTEGER) AS po FROM m GROUP BY 1)
+SELECT t.*, n_paired, round(po, 10) AS agree_rate, {_KAPPA} AS kappa FROM t LEFT JOIN g USING (run_id)""")
+def prober_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.prober_table(facts(spark, sf_dir), (RUN_A, RUN_B, RUN_C), RUN_A)
+
+
+@query(f"""{FACTS} SELECT dataset, count(*) AS n, round(avg(a.compacted::INTEGER), 10) AS l_compacted, round(avg(b.compacted::INTEGER), 10) AS r_compacted, round(avg(a.retention::INTEGER), 10) AS l_retention, round(avg(b.retention::INTEGER), 10) AS r_retention, round(avg(a.tokens_after), 10) AS l_tokens_after, round(avg(b.tokens_after), 10) AS r_tokens_after,
+round(avg(b.compacted::INTEGER) - avg(a.compacted::INTEGER), 10) AS delta_compacted, round(avg(b.retention::INTEGER) - avg(a.retention::INTEGER), 10) AS delta_retention FROM (SELECT * FROM facts WHERE run_id = 'recent_4__top') a JOIN (SELECT * FROM facts WHERE run_id = 'extract_3__top') b USING (dataset, source_row_index, sssc_id) GROUP BY 1""")
+def prompt_pair_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.prompt_pair_rates(facts(spark, sf_dir), "recent_4__top", "extract_3__top")
+
+
+@query(f"""{FACTS} SELECT run_id, count(*) AS n_rows, count(*) FILTER (status = 'success') AS n_success, count(uninjected) AS n_uninjected, count(injected) AS n_injected, count(compacted) AS n_compacted, count(post) AS n_post, count(retention) AS n_retention, any_value(compactor) AS source FROM facts GROUP BY 1""")
+def run_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.operators.evaluation import manifest
+
+    return A.run_inventory(facts(spark, sf_dir), manifest(spark).select("run_id", F.col("compactor").alias("source")))
+
+
+@query(f"{FACTS} SELECT run_id, coalesce(dataset, 'all') AS dataset, round(avg(tokens_after), 6) AS mean_tokens, count(*) AS n FROM facts WHERE status = 'success' GROUP BY GROUPING SETS ((run_id), (run_id, dataset))")
+def summary_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.summary_length(facts(spark, sf_dir))
+
+
+@query(f"""{TWICE}, r AS (SELECT run_id, retention AS a, second AS b FROM judged UNION ALL SELECT 'all', retention, second FROM judged), t AS (SELECT * FROM (WITH """ + agree_sql("SELECT * FROM r", "run_id") + ")) SELECT * EXCLUDE (p_value) FROM t")
+def rejudge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.rejudge_report(judged_twice(spark, sf_dir), "retention", "second")
+
+
+@query("SELECT count(*) FILTER (quality IS NOT NULL) AS n_read, count(*) FILTER (quality IS NULL AND doc_id % 2 = 0) AS n_missing, count(*) FILTER (quality IS NULL AND doc_id % 2 = 1) AS n_unknown, count(*) FILTER (quality IS NULL) = 0 AS complete FROM documents LEFT JOIN labels USING (doc_id)")
+def label_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    said = F.when(F.col("quality") == 1, "yes").when(F.col("quality") == 0, "no").when(F.col("doc_id") % 2 == 0, " ").otherwise("hm")
+    return A.label_gate(docs.select("doc_id").join(labels, "doc_id", "left").withColumn("label", said), "label")
