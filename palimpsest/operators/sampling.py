@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.operators.common import checkpointed
+
 
 def stable_key(*parts: Column) -> Column:
     """Sixteen hexadecimal digits fixed by a row's identity."""
@@ -27,23 +29,26 @@ def key_sample(rows: DataFrame, n: int, seed: int = 0, key: str = "key") -> Data
 def balanced_sample(rows: DataFrame, n: int, verdict: str, seed: int = 0, key: str = "key") -> DataFrame:
     """Half of each verdict where there are enough; the other side fills up what is missing.
 
-    Each side is a top-n by a seeded order, so no side is gathered whole.
+    One pass: every task passes on at most n rows of each verdict, by a seeded order.
     """
     order = [seeded_order(seed, F.col(key)), F.col(key)]
-    sides = [rows.filter(F.col(verdict) == v).orderBy(*order).limit(n).withColumn("__rank", F.row_number().over(W.partitionBy(verdict).orderBy(*order))) for v in (True, False)]
-    both = sides[0].unionByName(sides[1])
-    counts = both.groupBy().agg(F.count_if(verdict).alias("__yes"), F.count_if(~F.col(verdict)).alias("__no"))
-    yes = F.least("__yes", F.greatest(F.lit(n // 2), F.lit(n) - F.least("__no", F.lit(n - n // 2))))
-    no = F.least("__no", F.lit(n) - yes)
-    return both.crossJoin(F.broadcast(counts)).filter(F.col("__rank") <= F.when(F.col(verdict), yes).otherwise(no)).select(*rows.columns)
+    known = rows.filter(F.col(verdict).isNotNull())
+    first = known.withColumn("__rank", F.row_number().over(W.partitionBy(verdict).orderBy(*order))).filter(F.col("__rank") <= n)
+    every = W.partitionBy(F.lit(0))  # 2 n rows at most
+    yes_n, no_n = F.count_if(F.col(verdict)).over(every), F.count_if(~F.col(verdict)).over(every)
+    yes = F.least(yes_n, F.greatest(F.lit(n // 2), F.lit(n) - F.least(no_n, F.lit(n - n // 2))))
+    wanted = first.withColumn("__yes", yes).withColumn("__no", F.least(no_n, F.lit(n) - F.col("__yes")))
+    return wanted.filter(F.col("__rank") <= F.when(F.col(verdict), F.col("__yes")).otherwise(F.col("__no"))).select(*rows.columns)
 
 
 def nested_sample(rows: DataFrame, forced: DataFrame, n: int, seed: int = 1, key: str = "key") -> DataFrame:
-    """The forced rows and a seeded sample of the others, n in all; ``forced`` marks the former."""
-    ids = forced.select(key).distinct()
-    kept = rows.join(ids, key, "left_semi")
-    rest = rows.join(ids, key, "left_anti").orderBy(seeded_order(seed, F.col(key)), key).limit(max(0, n - kept.count()))
-    return kept.withColumn("forced", F.lit(True)).unionByName(rest.withColumn("forced", F.lit(False)))
+    """The forced rows and a seeded sample of the others, n in all; ``forced`` marks the former.
+
+    The forced keys are a sample's, so they are written down once and come first in one top-n.
+    """
+    ids = checkpointed(forced.select(key).distinct())
+    marked = rows.join(ids.withColumn("forced", F.lit(True)), key, "left").withColumn("forced", F.coalesce("forced", F.lit(False)))
+    return marked.orderBy(F.desc("forced"), seeded_order(seed, F.col(key)), key).limit(max(n, ids.count())).select(*rows.columns, "forced")
 
 
 def parity_sample(keys: Sequence[str], n: int, seed: int) -> list[str]:
