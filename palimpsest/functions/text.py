@@ -117,3 +117,10 @@ def abbreviated(dataset: Column, compactor: Column) -> Column:
     capitals = F.regexp_replace(F.initcap(F.replace(dataset, F.lit("_"), F.lit(" "))), "[^A-Z0-9]", "")
     short = F.regexp_replace(compactor, r"\s*\(([A-Za-z])[^)]*\)", "-$1")
     return F.concat_ws(" ", capitals, short)
+
+
+def hashed_vector(text: Column, width: int) -> Column:
+    """Token counts by hash bucket: an embedder that needs no model; divide by its length to compare."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), 0)
+    buckets = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(width)))
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))

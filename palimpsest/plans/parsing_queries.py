@@ -174,3 +174,12 @@ def lexical_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = docs.select("doc_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
     met = places.join(rarest, "w").filter(F.contains("t", "i"))
     return met.groupBy("item_id").agg(F.count("*").alias("n_documents"))
+
+
+@query(r"""WITH w AS (SELECT conv_id, ('0x' || substr(md5(lower(x)), 1, 8))::BIGINT % 16 AS b FROM (SELECT conv_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) AS x FROM conversations)),
+c AS (SELECT conv_id, b, count(*) AS n FROM w GROUP BY 1, 2) SELECT conv_id, count(*)::INTEGER AS n_buckets, round(sqrt(sum(n * n)), 6) AS norm FROM c GROUP BY 1""")
+def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors without a model, from the contexts' joined contents."""
+    v = X.hashed_vector(M.embedding_text(_m()), 16)
+    rows = contexts(spark, sf_dir).select("conv_id", v.alias("v"))
+    return rows.select("conv_id", F.size(F.filter("v", lambda x: x > 0)).alias("n_buckets"), F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))

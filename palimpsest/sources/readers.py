@@ -179,3 +179,21 @@ def find_runs(runs: DataFrame, strict: bool = True, **wanted: object) -> DataFra
     if (found := runs.count()) != 1:
         raise ValueError(f"{found} runs match {json.dumps(wanted, default=str, sort_keys=True)}")
     return runs
+
+
+def discover_datasets(spark: SparkSession, roots: Sequence[str], pattern: str = "*_cat_*") -> DataFrame:
+    """``dataset, path`` of saved datasets below several roots; the first root that has one counts."""
+    jvm, found = spark.sparkContext._jvm, {}
+    for root in roots:
+        where = jvm.org.apache.hadoop.fs.Path(f"{root}/{pattern}")
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in files.globStatus(where) or []:
+            path = status.getPath()
+            if files.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+                found.setdefault(path.getName(), path.toString())
+    return spark.createDataFrame(sorted(found.items()), "dataset string, path string")
+
+
+def executor_environment(config: dict[str, object]) -> dict[str, str]:
+    """Session settings that give every executor the environment a runtime needs."""
+    return {f"spark.executorEnv.{k.upper()}": str(v) for k, v in config.items() if v is not None}

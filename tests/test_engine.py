@@ -299,3 +299,12 @@ def test_windows_are_the_same_on_a_stream(spark, tmp_path):
     stream = windowed_counts(read).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
     stream.awaitTermination(120)
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, windowed_counts(events).collect()))
+
+
+def test_discovery(spark, tmp_path):
+    for root, name in (("a", "x_cat_10k"), ("b", "x_cat_10k"), ("b", "y_cat_20k")):
+        spark.range(1).write.parquet(f"{tmp_path}/{root}/{name}")
+    (tmp_path / "b" / "z_cat_5k").mkdir()  # not finished
+    found = readers.discover_datasets(spark, [f"{tmp_path}/a", f"{tmp_path}/b"]).collect()
+    assert [(r.dataset, "/a/" in r.path) for r in found] == [("x_cat_10k", True), ("y_cat_20k", False)]
+    assert readers.executor_environment({"token_limit": 5, "none": None}) == {"spark.executorEnv.TOKEN_LIMIT": "5"}
