@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.stats import agreement, effect_retention, invalid_rate, kappa_of, mcnemar_exact, rate
+from palimpsest.functions.text import draw
 from palimpsest.operators.common import first_of
 
 PAIR = ("dataset", "source_row_index", "sssc_id")
@@ -283,3 +284,29 @@ def label_gate(rows: DataFrame, label: str) -> DataFrame:
     read = human_label(F.col(label)).isNotNull()
     blank = F.coalesce(F.trim(label), F.lit("")) == ""
     return rows.agg(F.count_if(read).alias("n_read"), F.count_if(blank).alias("n_missing"), F.count_if(~read & ~blank).alias("n_unknown"), (F.count_if(~read) == 0).alias("complete"))
+
+
+def home_field_interval(facts: DataFrame, focal: str, home: str, replicates: int = 200, level: float = 0.95, seed: str = "did") -> DataFrame:
+    """Percentile interval of the home-field contrast.
+
+    Conversations are resampled whole within each dataset, jointly for the focal
+    compactor and its peers, from their sums and counts; undefined replicates are dropped.
+    """
+    mine = F.col("compactor") == focal
+    part = lambda who, f: f(F.when(who, F.col("retention").cast("double")))
+    clusters = success(facts).groupBy("dataset", "source_row_index").agg(part(mine, F.sum).alias("fs"), part(mine, F.count).alias("fn"), part(~mine, F.sum).alias("ps"), part(~mine, F.count).alias("pn"))
+    slots = clusters.withColumn("slot", (F.row_number().over(W.partitionBy("dataset").orderBy("source_row_index")) - 1).cast("long"))
+    sizes = slots.groupBy("dataset").agg(F.count("*").alias("n"))
+    drawn = (
+        sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+        .withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+        .withColumn("slot", F.floor(draw(seed, F.col("dataset"), F.col("replicate"), F.col("i")) * F.col("n")).cast("long"))
+        .groupBy("dataset", "replicate", "slot")
+        .agg(F.count("*").alias("times"))
+    )
+    total = lambda c: F.sum(F.col("times") * F.coalesce(F.col(c), F.lit(0)))
+    gaps = drawn.join(slots, ["dataset", "slot"]).groupBy("dataset", "replicate").agg((total("fs") / F.nullif(total("fn"), F.lit(0)) - total("ps") / F.nullif(total("pn"), F.lit(0))).alias("gap"))
+    at_home = F.col("dataset") == home
+    did = gaps.groupBy("replicate").agg((F.avg(F.when(at_home, F.col("gap"))) - F.avg(F.when(~at_home, F.col("gap")))).alias("did")).filter("did is not null")
+    tail = (1 - level) / 2
+    return did.agg(F.count("*").alias("n_replicates"), F.round(F.percentile("did", F.lit(tail)), 9).alias("low"), F.round(F.percentile("did", F.lit(1 - tail)), 9).alias("high"))

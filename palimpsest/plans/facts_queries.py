@@ -429,3 +429,13 @@ def label_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     said = F.when(F.col("quality") == 1, "yes").when(F.col("quality") == 0, "no").when(F.col("doc_id") % 2 == 0, " ").otherwise("hm")
     return A.label_gate(docs.select("doc_id").join(labels, "doc_id", "left").withColumn("label", said), "label")
+
+
+@query(f"""{FACTS}, c AS (SELECT dataset, source_row_index, sum(retention::INTEGER) FILTER (compactor = 'extract_3') AS fs, count(retention) FILTER (compactor = 'extract_3') AS fn, sum(retention::INTEGER) FILTER (compactor <> 'extract_3') AS ps, count(retention) FILTER (compactor <> 'extract_3') AS pn FROM facts WHERE status = 'success' GROUP BY 1, 2),
+s AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY source_row_index) - 1 AS slot FROM c), z AS (SELECT dataset, count(*) AS n FROM s GROUP BY 1),
+dr AS (SELECT z.dataset, rep, floor({draw_sql("'did'", "z.dataset", "rep", "i")} * z.n)::BIGINT AS slot FROM z, range(0, {REPLICATES}) a(rep), range(0, (SELECT max(n) FROM z)) b(i) WHERE i < z.n),
+g AS (SELECT dataset, rep, sum(coalesce(fs, 0)) / nullif(sum(fn), 0) - sum(coalesce(ps, 0)) / nullif(sum(pn), 0) AS gap FROM dr JOIN s USING (dataset, slot) GROUP BY 1, 2),
+d AS (SELECT rep, avg(gap) FILTER (dataset = 'chat_10k') - avg(gap) FILTER (dataset <> 'chat_10k') AS did FROM g GROUP BY 1)
+SELECT count(did) AS n_replicates, round(quantile_cont(did, 0.025), 9) AS low, round(quantile_cont(did, 0.975), 9) AS high FROM d""")
+def home_field_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.home_field_interval(facts(spark, sf_dir), "extract_3", "chat_10k", REPLICATES)
