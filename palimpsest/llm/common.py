@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import weakref
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -149,7 +149,7 @@ class BatchCache:
     def forget(self) -> None:
         self.young, self.older = {}, {}
 
-    def get(self, keys: list) -> dict:
+    def get(self, keys: Iterable) -> dict:
         if len(self.young) >= self.capacity:
             self.older, self.young = self.young, {}
         new = set(keys).difference(self.young)

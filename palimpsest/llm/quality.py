@@ -91,13 +91,13 @@ class Vocabulary:
     def _packed(self, words: list[bytes]) -> list[bytes]:
         return [array("i", self._ids(w.decode())).tobytes() for w in words]
 
-    def measure(self, words: list[bytes], chars: int) -> tuple[float, float, float]:
+    def measure(self, words: list[bytes], distinct: dict[bytes, None], chars: int) -> tuple[float, float, float]:
         """Characters per token, fallback share, entropy in bits; zeros without words."""
-        ids = np.frombuffer(b"".join(map(self.memo.get(words).__getitem__, words)), "<i4")
+        ids = np.frombuffer(b"".join(map(self.memo.get(distinct).__getitem__, words)), "<i4")
         if not len(ids):
             return 0.0, 0.0, 0.0
-        share = np.bincount(ids)
-        share = share[share > 0] / len(ids)
+        placed = np.sort(ids)
+        share = np.diff(np.flatnonzero(np.concatenate([[True], placed[1:] != placed[:-1], [True]]))) / len(ids)
         return chars / len(ids), float(self.fallback[ids].mean()), float(-(share * np.log2(share)).sum())
 
 
@@ -106,16 +106,22 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def repeated_words(words: list[bytes]) -> int:
+def repeated_words(words: list[bytes], distinct: dict[bytes, None]) -> int:
     """Words inside windows of three words that occur twice or more in the text."""
-    n = len(words) - WINDOW + 1
+    n, base = len(words) - WINDOW + 1, len(distinct)
     if n < 2:
         return 0
-    numbers: dict[bytes, int] = {}
-    ids = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
-    pairs = np.unique(ids[:-1] * len(numbers) + ids[1:], return_inverse=True)[1]
-    _, inverse, counts = np.unique(pairs[:-1] * len(numbers) + ids[2:], return_inverse=True, return_counts=True)
-    starts = counts[inverse] > 1
+    numbers = dict(zip(distinct, range(base), strict=True))
+    ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+    names = ids[:-2] * base + ids[1:-1]
+    if base > 2_000_000:  # three numbers no longer fit one word
+        names = np.unique(names, return_inverse=True)[1]
+    names = names * base + ids[2:]
+    placed = np.sort(names)
+    repeated = placed[1:][placed[1:] == placed[:-1]]
+    if not len(repeated):
+        return 0
+    starts = np.isin(names, repeated)
     covered = np.zeros(len(words), bool)
     for k in range(WINDOW):
         covered[k : k + n] |= starts
@@ -139,10 +145,11 @@ def verdicts(texts: list[bytes | None], langs: list[str | None], vocabularies: l
         text = text or b""
         words, string = split_words(text), text.decode()
         chars = len(string) - (len(text) - sum(map(len, words)))
-        repeats = repeated_words(words)
+        distinct = dict.fromkeys(words)
+        repeats = repeated_words(words, distinct)
         failed = len(words) < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * len(words)
         name = lang if lang in BANDS else main_script(string)
-        band, measures = BANDS[name], [v.measure(words, chars) for v in vocabularies]
+        band, measures = BANDS[name], [v.measure(words, distinct, chars) for v in vocabularies]
         inside = all(band.least_chars <= c <= band.most_chars and f <= band.most_fallback and h >= band.least_entropy for c, f, h in measures)
         rows.append((len(words), chars, len(text) - len(text.translate(None, SYMBOLS)), duplicate_lines(text), repeats, failed, not failed and inside, name, *map(list, zip(*measures, strict=True))))
     return rows
