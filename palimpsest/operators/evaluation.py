@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions.messages import assemble, contains_text, message_tokens, user_turns
+from palimpsest.functions.messages import assemble, contains_text, user_turns
 from palimpsest.functions.text import draw, first_sentence, token_count
 from palimpsest.operators import constraints as C
 from palimpsest.operators.compactors import compactor
@@ -41,17 +41,30 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-def features(context: DataFrame) -> DataFrame:
-    """What the facts need of a context: its places and token counts, without its text."""
-    tokens = F.transform("messages", message_tokens)
-    said = F.transform(F.slice(user_turns(F.col("messages")), 1, 3), lambda i: token_count(first_sentence(F.get(F.col("messages"), i)["content"])))
-    return context.select(
-        "conv_id",
-        F.size("messages").alias("turns"),
-        user_turns(F.col("messages")).alias("users"),
-        tokens.alias("tokens"),
+def turns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+def lengths(turns: DataFrame) -> DataFrame:
+    """``conv_id, token_length, turns, users``: sums, so no text is shuffled."""
+    tokens = token_count(F.col("role")) + token_count(F.col("text")) + 1
+    return turns.groupBy("conv_id").agg(F.sum(tokens).cast("int").alias("token_length"), F.count("*").cast("int").alias("turns"), F.count_if(F.col("role") == "user").cast("int").alias("users"))
+
+
+def features(turns: DataFrame) -> DataFrame:
+    """What the facts need of a context: places and token counts of its turns.
+
+    Tokens are counted before turns are gathered, so texts stay where they are read.
+    """
+    user = F.col("role") == "user"
+    narrow = turns.select("conv_id", F.struct(F.col("turn").alias("at"), user.alias("user"), (token_count(F.col("role")) + token_count(F.col("text")) + 1).alias("t"), F.when(user, token_count(first_sentence(F.col("text")))).alias("f")).alias("m"))
+    listed = narrow.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    places = F.filter(F.transform("m", lambda x, i: F.when(x["user"], i)), lambda i: i.isNotNull())
+    said = F.slice(F.transform(F.filter("m", lambda x: x["user"]), lambda x: x["f"]), 1, 3)
+    return listed.select(
+        "conv_id", F.size("m").alias("turns"), places.alias("users"), F.transform("m", lambda x: x["t"]).alias("tokens"),
         F.aggregate(said, F.lit(2), lambda a, x: a + x).alias("extract_tokens"),
-    ).filter(F.size("users") > 0)
+    ).filter(F.size("users") > 0)
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +73,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     A constraint is retained where one of its target turns is kept; that equals the
     text judge's answer on the injected and compacted context.
     """
-    base = features(contexts(spark, sf_dir)).crossJoin(manifest(spark)).crossJoin(C.catalogue(spark).select(F.col("id").alias("sssc_id"), F.col("type").alias("sssc_type")))
+    base = features(turns_of(spark, sf_dir)).crossJoin(manifest(spark)).crossJoin(C.catalogue(spark).select(F.col("id").alias("sssc_id"), F.col("type").alias("sssc_type")))
     conv, cid, run, users = F.col("conv_id"), F.col("sssc_id"), F.col("run_id"), F.col("users")
     drawn = F.slice(F.array_sort(F.transform(users, lambda i: F.struct(draw("rep", conv, cid, i).alias("d"), i.alias("i")))), F.lit(1), F.least(F.col("repeat"), F.size(users)))
     n = F.size(users)

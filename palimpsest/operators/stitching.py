@@ -68,7 +68,8 @@ def concatenated(context: DataFrame, target: int, key: str = "conv_id", num_rows
                     index, ids, lengths = index + 1, [], []
             yield pd.DataFrame(rows, columns=["source_row_index", "sources", "token_length", "is_empty"])
 
-    narrow = context.select(F.col(key).cast("long").alias("id"), total_tokens(F.col("messages")).cast("long").alias("n"))
+    size = F.col("token_length") if "token_length" in context.columns else total_tokens(F.col("messages"))
+    narrow = context.select(F.col(key).cast("long").alias("id"), size.cast("long").alias("n"))
     return ordered_fold(narrow, ["id"], fold, "source_row_index long, sources array<long>, token_length long, is_empty boolean")
 
 

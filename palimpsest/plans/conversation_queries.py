@@ -11,7 +11,7 @@ from palimpsest.functions.text import token_count
 from palimpsest.operators import constraints as C
 from palimpsest.operators import stitching as K
 from palimpsest.operators.compactors import FirstSentences, RecentMessages, compaction, token_budget
-from palimpsest.operators.evaluation import contexts, judged_contexts
+from palimpsest.operators.evaluation import contexts, judged_contexts, lengths, turns_of
 from palimpsest.plans.registry import CONV_SQL, catalogue_sql, draw_sql, query, tok
 
 
@@ -39,7 +39,7 @@ def trim_drop_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CONV_SQL} SELECT conv_id, list_sum(t)::INTEGER AS token_length FROM ctx")
 def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contexts(spark, sf_dir).select("conv_id", M.total_tokens(_m()).alias("token_length"))
+    return lengths(turns_of(spark, sf_dir)).select("conv_id", "token_length")
 
 
 @query(f"SELECT doc_id, {tok('text')}::INTEGER AS n_tokens FROM documents")
@@ -49,7 +49,7 @@ def document_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CONV_SQL} SELECT count(*) AS n_rows, min(list_sum(t))::INTEGER AS min_tokens, max(list_sum(t))::INTEGER AS max_tokens, round(avg(list_sum(t)), 6) AS avg_tokens, round(avg(n), 6) AS avg_turns, round(avg(len(u)), 6) AS avg_users FROM ctx")
 def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = contexts(spark, sf_dir).select(M.total_tokens(_m()).alias("t"), F.size(_m()).alias("n"), F.size(M.user_turns(_m())).alias("u"))
+    rows = lengths(turns_of(spark, sf_dir)).select(F.col("token_length").alias("t"), F.col("turns").alias("n"), F.col("users").alias("u"))
     return rows.agg(F.count("*").alias("n_rows"), F.min("t").alias("min_tokens"), F.max("t").alias("max_tokens"), *[F.round(F.avg(c), 6).alias(a) for c, a in (("t", "avg_tokens"), ("n", "avg_turns"), ("u", "avg_users"))])
 
 
@@ -191,7 +191,7 @@ g AS (SELECT f.grp, r.rn, r.t, sum(r.t) OVER (PARTITION BY f.grp ORDER BY r.rn)
 k AS (SELECT grp, t, total, total <= {LONG_TARGET} / 0.8 OR run <= {LONG_TARGET} / 0.8 AS kept FROM g)
 SELECT grp AS source_row_index, count(*) FILTER (kept)::INTEGER AS source_conversation_count, coalesce(sum(t) FILTER (kept), 0)::BIGINT AS token_length FROM k GROUP BY grp HAVING max(total) >= {LONG_TARGET}""")
 def concat_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.concatenated(contexts(spark, sf_dir), LONG_TARGET).select("source_row_index", F.size("sources").alias("source_conversation_count"), "token_length")
+    return K.concatenated(lengths(turns_of(spark, sf_dir)), LONG_TARGET).select("source_row_index", F.size("sources").alias("source_conversation_count"), "token_length")
 
 
 _DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
@@ -213,7 +213,7 @@ def masked_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def topic_cohesive_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.topic_cohesive(contexts(spark, sf_dir).withColumn("token_length", M.total_tokens(_m())).select("conv_id", "token_length"), spark.read.parquet(f"{sf_dir}/embeddings.parquet"), LONG_TARGET)
+    return K.topic_cohesive(lengths(turns_of(spark, sf_dir)).select("conv_id", "token_length"), spark.read.parquet(f"{sf_dir}/embeddings.parquet"), LONG_TARGET)
 
 
 @query(f"""WITH {CONV_SQL}, {catalogue_sql()}, r AS (SELECT cat.type, cat.id, list_contains(range(greatest(n - 5, 0), n), u[1]) AS kept FROM ctx, cat WHERE len(u) > 0)
