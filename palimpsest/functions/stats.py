@@ -78,15 +78,16 @@ def bootstrap_interval(rows: DataFrame, keys: Sequence[str], value: str, replica
     keys = list(keys)
     known = rows.filter(F.col(value).isNotNull()).select(*keys, "slot", F.col(value).cast("double").alias("v"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
     sizes = known.groupBy(*keys).agg(F.count("*").alias("n"), (F.sum("v") / F.sum("w")).alias("mean"))
+    # replicates are spread before their draws are made; a few thousand rows move
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     drawn = (
         sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+        .repartition(parts, *keys, "replicate")
         .withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
         .withColumn("slot", F.floor(draw(seed, *[F.col(k) for k in keys], F.col("replicate"), F.col("i")) * F.col("n")).cast("long"))
         .select(*keys, "replicate", "slot")
     )
-    # the drawn slots are counted before they meet the rows
-    counted = drawn.groupBy(*keys, "replicate", "slot").agg(F.count("*").alias("times"))
-    means = counted.join(known, [*keys, "slot"]).groupBy(*keys, "replicate").agg((F.sum(F.col("times") * F.col("v")) / F.sum(F.col("times") * F.col("w"))).alias("m"))
+    means = drawn.join(known, [*keys, "slot"]).groupBy(*keys, "replicate").agg((F.sum("v") / F.sum("w")).alias("m"))
     tail = (1 - level) / 2
     bounds = means.groupBy(*keys).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
     joined = sizes.join(bounds, keys) if keys else sizes.crossJoin(bounds)

@@ -297,15 +297,15 @@ def home_field_interval(facts: DataFrame, focal: str, home: str, replicates: int
     clusters = success(facts).groupBy("dataset", "source_row_index").agg(part(mine, F.sum).alias("fs"), part(mine, F.count).alias("fn"), part(~mine, F.sum).alias("ps"), part(~mine, F.count).alias("pn"))
     slots = clusters.withColumn("slot", (F.row_number().over(W.partitionBy("dataset").orderBy("source_row_index")) - 1).cast("long"))
     sizes = slots.groupBy("dataset").agg(F.count("*").alias("n"))
+    parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     drawn = (
         sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+        .repartition(parts, "dataset", "replicate")
         .withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
         .withColumn("slot", F.floor(draw(seed, F.col("dataset"), F.col("replicate"), F.col("i")) * F.col("n")).cast("long"))
-        .groupBy("dataset", "replicate", "slot")
-        .agg(F.count("*").alias("times"))
     )
-    total = lambda c: F.sum(F.col("times") * F.coalesce(F.col(c), F.lit(0)))
-    gaps = drawn.join(slots, ["dataset", "slot"]).groupBy("dataset", "replicate").agg((total("fs") / F.nullif(total("fn"), F.lit(0)) - total("ps") / F.nullif(total("pn"), F.lit(0))).alias("gap"))
+    total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)))
+    gaps = drawn.select("dataset", "replicate", "slot").join(slots, ["dataset", "slot"]).groupBy("dataset", "replicate").agg((total("fs") / F.nullif(total("fn"), F.lit(0)) - total("ps") / F.nullif(total("pn"), F.lit(0))).alias("gap"))
     at_home = F.col("dataset") == home
     did = gaps.groupBy("replicate").agg((F.avg(F.when(at_home, F.col("gap"))) - F.avg(F.when(~at_home, F.col("gap")))).alias("did")).filter("did is not null")
     tail = (1 - level) / 2
