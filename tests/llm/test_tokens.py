@@ -157,6 +157,14 @@ def test_quality_bands_and_edges(spark, edges):
     assert sorted(r.doc_id for r in quality.kept_documents(df, VOCABULARIES, P.PATTERN).collect()) == [1, 4]
 
 
+def test_bands_part_labelled_clean_from_junk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality"), "doc_id")
+    judged = quality.judge(docs.drop("quality"), VOCABULARIES, P.PATTERN).filter("not base_failed").join(docs.select("doc_id", "quality"), "doc_id")
+    seen = Counter((r.quality, r.kept) for r in judged.collect())
+    assert seen[0, False] + seen[0, True] >= 20 and seen[0, True] <= 0.1 * seen[0, False]
+    assert seen[1, True] >= 200 and seen[1, False] <= 0.02 * seen[1, True]
+
+
 def test_forest_on_held_out_findings():
     words = secrets.dictionary(RANKS)
     forest, held = secrets.default_forest(RANKS), secrets.labelled_findings(2000, sorted(words)[3::11], seed=99)
