@@ -35,9 +35,10 @@ THRESHOLD = 0.5
 MASK = "[SECRET]"
 _NEAR_CHARS = 48
 
+#: No upper lengths: a whole run is one candidate, and is read once.
 CANDIDATE = re.compile(
-    r"""[:=][ \t]{0,2}["']?([A-Za-z0-9+/_.~!@$%^&*=-]{8,512})"""
-    r"""|(?<![A-Za-z0-9+/_-])((?=[A-Za-z+/_-]{0,64}[0-9])(?=[0-9+/_-]{0,64}[A-Za-z])[A-Za-z0-9+/_-]{16,512}={0,2})"""
+    r"""[:=][ \t]{0,2}["']?([A-Za-z0-9+/_.~!@$%^&*=-]{8,})"""
+    r"""|(?<![A-Za-z0-9+/_-])((?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2})"""
 )
 #: Words that speak for and against a secret nearby, and prefixes of issued keys.
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private")

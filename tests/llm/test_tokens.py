@@ -192,3 +192,12 @@ def test_secrets_are_masked_and_prose_is_not(spark, edges):
     masked = secrets.masked_documents(edges, forest, RANKS)
     assert masked.columns == edges.columns and masked.filter("text is null").count() == 1
     assert secrets.scan(edges.limit(0), forest, RANKS).count() == 0
+
+
+def test_long_secrets_are_masked_whole():
+    forest, words, rng = secrets.default_forest(RANKS), secrets.dictionary(RANKS), random.Random(3)
+    for n in (500, 513, 1200, 9000):
+        key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+        for text in (f'token = "{key}" and prose', f"bearer {key} and prose", f"bearer {'A' * 80}{key} and prose"):
+            count, hits, clean = secrets.findings_of(text, None, forest, words, secrets.THRESHOLD)
+            assert count == len(hits) == 1 and clean == text[: text.index(key)].rstrip("A") + secrets.MASK + text[text.index(key) + n :]
