@@ -74,17 +74,19 @@ def assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(run, "id long, v binary, pivot int, distance double")
 
 
-def needed_groups(q: np.ndarray, pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+def needed_groups(q: np.ndarray, pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, k: int, own: int | np.ndarray = 1) -> np.ndarray:
     """For each query, which groups may hold one of its k best scores.
 
-    The query's own row may be counted in a guarantee, so k + 1 rows must reach it.
+    The ``own`` rows of the query's id may all be counted in a guarantee, so k + own
+    rows must reach it.
     """
+    least = k + np.broadcast_to(own, len(q))
     middle, reach = q @ pivots.T, np.sqrt((q**2).sum(1))[:, None] * radius
     low, high = middle - reach, middle + reach
     order = np.argsort(-low, axis=1)
-    enough = (np.cumsum(size[order], axis=1) > k).argmax(1)
+    enough = (np.cumsum(size[order], axis=1) >= least[:, None]).argmax(1)
     sure = np.take_along_axis(low, order, 1)[np.arange(len(q)), enough]
-    sure[size.sum() <= k] = -np.inf
+    sure[size.sum() < least] = -np.inf
     slack = 1e-6 * (np.abs(high).max(1, initial=1.0) + 1)
     return (high >= (sure - slack)[:, None]) & (size > 0)
 
@@ -106,16 +108,16 @@ def top_k(df: DataFrame, is_query, k: int, scale: int, id_col: str = "vec_id", v
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, data = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            ids, data, own = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
             for at in range(0, len(ids), QUERY_BLOCK):
                 q = np.frombuffer(b"".join(data[at : at + QUERY_BLOCK]), "<f8").reshape(-1, width)
-                row, group = np.nonzero(needed_groups(q, chosen, radius, size, k))
+                row, group = np.nonzero(needed_groups(q, chosen, radius, size, k, own[at : at + QUERY_BLOCK]))
                 times = cells[group]
                 row, group = np.repeat(row, times), np.repeat(group, times)
                 salt = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at + row]), pa.array([data[at + i] for i in row], pa.binary()), pa.array(group.astype(np.int32)), pa.array(salt.astype(np.int32))], ["query_id", "q", "pivot", "salt"])
 
-    queries = placed.filter(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v"))
+    queries = placed.filter(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
     asked = queries.mapInArrow(send, "query_id long, q binary, pivot int, salt int")
     spread = F.create_map(*[F.lit(x) for i, c in enumerate(cells.tolist()) if c > 1 for x in (i, c)]) if (cells > 1).any() else F.create_map(F.lit(-1), F.lit(1))
     salted = placed.select("id", "v", "pivot", F.pmod(F.xxhash64("id", "v"), F.coalesce(F.element_at(spread, F.col("pivot")), F.lit(1)).cast("long")).cast("int").alias("salt"))

@@ -241,6 +241,28 @@ def test_groups_are_left_out():
     assert needed[:, 0].all() and needed.sum() < 12
 
 
+def test_groups_of_a_repeated_query_id_are_kept():
+    pivots, radius, size = np.array([[10.0, 0.0], [1.0, 0.0]]), np.zeros(2), np.array([6, 50])
+    q = np.array([[10.0, 0.0]])
+    assert voronoi.needed_groups(q, pivots, radius, size, 5).tolist() == [[True, False]]
+    assert voronoi.needed_groups(np.repeat(q, 3, 0), pivots, radius, size, 5, np.array([1, 2, 52])).tolist() == [[True, False], [True, True], [True, True]]
+
+
+def test_top_k_with_repeated_ids_is_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(0, [40.0, 0.0])] * 8 + [(10, [0.0, 40.0])] * 2 + [(i, [0.0, 40.0]) for i in (11, 12, 13, 14)]
+    rows += [(100 + i, [float(x) for x in rng.integers(1, 6, 2)]) for i in range(50)] + [(101, [3.0, 3.0])] * 5
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for q in {i for i, _ in rows if i % 10 == 0}:
+        own = min(np.array(v).tobytes() for i, v in rows if i == q)
+        best = sorted((-int(256 * 256 * np.dot(np.frombuffer(own), v)), i) for i, v in rows if i != q)[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    for pivots in (3, 7, 60):
+        got = voronoi.top_k(df, lambda i: i % 10 == 0, 5, 256, pivots=pivots)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def brute_ranks(seeds, edges, rounds, damping):
     out = {}
     for kind in {k for k, *_ in seeds}:
