@@ -15,7 +15,7 @@ from palimpsest.operators.common import ordered_fold, row_index
 
 #: A stitched row may exceed its target by this factor before its tail is cropped.
 SLACK = 0.8
-BLOCK_ROWS, POOL_ROWS = 4096, 5000
+BLOCK_ROWS, MAX_BLOCKS = 4096, 1024
 
 
 def trimmed_rows(context: DataFrame, target: int, key: str = "conv_id", num_rows: int | None = None) -> DataFrame:
@@ -130,6 +130,49 @@ def nearest_to_seed(vectors: DataFrame) -> DataFrame:
     return others.groupBy("label", F.col("s.vec_id").alias("seed_id")).agg(F.min_by("vec_id", near).alias("nearest_id"))
 
 
+class FreeRows:
+    """Unused rows in blocks around pivots; the nearest is exact.
+
+    All scores of a block with pivot p and radius r lie below ``p.c + r |c|``, so blocks
+    are read best bound first, until none can hold a better row or an equal earlier one.
+    """
+
+    def __init__(self, vectors: np.ndarray):
+        n = len(vectors)
+        self.pivots = vectors[np.linspace(0, n - 1, max(1, min(MAX_BLOCKS, round(n**0.5 / 2)))).astype(int)]
+        self.free, self.radius, norms = np.ones(n, bool), np.zeros(len(self.pivots)), (self.pivots**2).sum(1)
+        near = np.concatenate([(norms - 2 * vectors[at : at + BLOCK_ROWS] @ self.pivots.T).argmin(1) for at in range(0, n, BLOCK_ROWS)])
+        self.rows = np.split(np.argsort(near, kind="stable"), np.cumsum(np.bincount(near, minlength=len(self.pivots)))[:-1])
+        self.parts = [vectors[r] for r in self.rows]
+        for i, (part, pivot) in enumerate(zip(self.parts, self.pivots, strict=True)):
+            self.radius[i] = np.sqrt(((part - pivot) ** 2).sum(1)).max(initial=0.0)
+        self.block, self.used = near, np.zeros(len(self.pivots), int)
+
+    def nearest(self, centre: np.ndarray) -> int:
+        most = self.pivots @ centre + self.radius * np.linalg.norm(centre)
+        best, score = -1, -np.inf
+        for b in np.argsort(-most):
+            if most[b] < score - 1e-8:
+                break
+            open_rows = self.free[self.rows[b]]
+            if not open_rows.any():
+                continue
+            scores = np.where(open_rows, np.round(self.parts[b] @ centre, 9), -np.inf)
+            at = int(scores.argmax())
+            row = int(self.rows[b][at])
+            if best < 0 or scores[at] > score or (scores[at] == score and row < best):
+                best, score = row, scores[at]
+        return best
+
+    def settle(self, taken: list[int]) -> None:
+        """Rows that stay used; a block is packed when half of it is."""
+        np.add.at(self.used, self.block[taken], 1)
+        for b in np.unique(self.block[taken]):
+            if 2 * self.used[b] > len(self.rows[b]):
+                keep = self.free[self.rows[b]]
+                self.rows[b], self.parts[b], self.used[b] = self.rows[b][keep], self.parts[b][keep], 0
+
+
 def cohesive_pool(ids: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, target: int) -> list[tuple[list[int], int]]:
     """Greedy rows of one pool: seeds in id order, then the nearest unused to the centroid.
 
@@ -138,40 +181,38 @@ def cohesive_pool(ids: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, tar
     """
     order = np.argsort(ids)
     ids, vectors, lengths = ids[order], vectors[order], lengths[order]
-    free, out = np.ones(len(ids), bool), []
-    while free.any():
-        taken = [int(np.flatnonzero(free)[0])]
-        free[taken[0]] = False
-        while lengths[taken].sum() < target and free.any():
+    index, out, seed, left = FreeRows(vectors), [], 0, int(lengths.sum())
+    free = index.free
+    while left >= target and left > 0:
+        while not free[seed]:
+            seed += 1
+        taken = [seed]
+        free[seed] = False
+        while lengths[taken].sum() < target:
             centre = vectors[taken].mean(0)
             centre /= max(np.linalg.norm(centre), 1e-12)
-            open_rows = np.flatnonzero(free)
-            best = int(open_rows[np.argmax(np.round(vectors[open_rows] @ centre, 9))])
-            taken.append(best)
-            free[best] = False
-        if lengths[taken].sum() < target:
-            break
+            taken.append(index.nearest(centre))
+            free[taken[-1]] = False
         while len(taken) > 1 and lengths[taken].sum() > target / SLACK:
             free[taken.pop()] = True
+        index.settle(taken)
         out.append((ids[taken].tolist(), int(lengths[taken].sum())))
+        left -= out[-1][1]
     return out
 
 
-def topic_cohesive(lengths: DataFrame, vectors: DataFrame, target: int, key: str = "conv_id", pool: str = "label", pool_rows: int = POOL_ROWS) -> DataFrame:
+def topic_cohesive(lengths: DataFrame, vectors: DataFrame, target: int, key: str = "conv_id", pool: str = "label") -> DataFrame:
     """``label, pool, row, sources, token_length``: greedy topic rows within each label.
 
-    One label, whole, is the exact sequential result; labels of more than ``pool_rows``
-    rows are dealt to pools by a hash, as each step needs the one before.
+    Each label is solved whole, as each step needs the one before; ``pool`` is always 0.
     """
     joined = vectors.join(lengths, vectors["vec_id"] == lengths[key]).select(F.col(pool).alias("label"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("token_length").alias("n"))
-    sizes = joined.groupBy("label").agg(F.ceil(F.count("*") / pool_rows).alias("pools"))
-    dealt = joined.join(sizes, "label").withColumn("pool", F.pmod(F.xxhash64("id"), F.col("pools")))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = cohesive_pool(pdf["id"].to_numpy(), np.stack(pdf["v"]).astype(float), pdf["n"].to_numpy(), target)
-        return pd.DataFrame([(pdf["label"].iloc[0], pdf["pool"].iloc[0], i, s, t) for i, (s, t) in enumerate(rows)], columns=["label", "pool", "row", "sources", "token_length"])
+        return pd.DataFrame([(pdf["label"].iloc[0], 0, i, s, t) for i, (s, t) in enumerate(rows)], columns=["label", "pool", "row", "sources", "token_length"])
 
-    return dealt.groupBy("label", "pool").applyInPandas(solve, "label int, pool long, row int, sources array<long>, token_length long")
+    return joined.groupBy("label").applyInPandas(solve, "label int, pool long, row int, sources array<long>, token_length long")
 
 
 def byte_bins(rows: DataFrame, most_rows: int, most_bytes: int, id_col: str, size_col: str) -> DataFrame:

@@ -114,6 +114,32 @@ def test_cohesive_pool_takes_the_nearest():
     assert K.cohesive_pool(np.array([0, 1, 2, 3]), v, np.array([5, 5, 5, 5]), 10) == [([0, 2], 10), ([1, 3], 10)]
 
 
+def plain_cohesive(vectors, lengths, target):
+    free, out = set(range(len(vectors))), []
+    while free:
+        taken = [min(free)]
+        free -= set(taken)
+        while sum(lengths[taken]) < target and free:
+            centre = vectors[taken].mean(0)
+            rows = np.array(sorted(free))
+            taken.append(int(rows[np.argmax(np.round(vectors[rows] @ (centre / max(np.linalg.norm(centre), 1e-12)), 9))]))
+            free.remove(taken[-1])
+        if sum(lengths[taken]) < target:
+            return out
+        while len(taken) > 1 and sum(lengths[taken]) > target / K.SLACK:
+            free.add(taken.pop())
+        out.append((taken, int(sum(lengths[taken]))))
+
+
+def test_topic_rows_of_a_large_label_are_the_plain_ones(spark):
+    rng = np.random.default_rng(9)
+    x, n = np.round(rng.standard_normal((5200, 4)), 2), rng.integers(1, 300, 5200)
+    vectors = spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    lengths = spark.createDataFrame(list(enumerate(n.tolist())), "conv_id long, token_length long")
+    rows = K.topic_cohesive(lengths, vectors, 700).orderBy("pool", "row").collect()
+    assert [(r.sources, r.token_length) for r in rows] == plain_cohesive(x, n, 700)
+
+
 def test_oversize_row_is_an_error(spark):
     with pytest.raises(Exception, match="more than a bin"):
         K.byte_bins(spark.createDataFrame([(1, 99)], "i long, s long"), 5, 50, "i", "s").collect()
