@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import checkpointed
 
-DAMPING, ROUNDS, CHECKPOINT_EVERY, TOLERANCE = 0.85, 20, 5, 1e-6
+#: Changes shrink by DAMPING a round, so about 100 rounds always settle; MAX_ROUNDS is never reached.
+DAMPING, MAX_ROUNDS, CHECKPOINT_EVERY, TOLERANCE = 0.85, 400, 5, 1e-6
 THRESHOLD = 2.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'>\s]+)"""
@@ -63,8 +64,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """Personalised PageRank for several kinds at once.
+def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
+    """Personalised PageRank for several kinds at once, until it settles or for ``rounds``.
 
     ``seeds``: kind, host, seed (sums to 1 in a kind).  ``edges``: kind, src, dst,
     share (sums to 1 for each kind and src that has edges).  Returns kind, host, score.
@@ -72,7 +73,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     ranks, before = seeds.select("kind", "host", F.col("seed").alias("score")), None
     links = edges.select("kind", F.col("src").alias("host"), "dst", "share")
     sources = links.select("kind", "host").distinct()
-    for i in range(rounds):
+    for i in range(MAX_ROUNDS if rounds is None else rounds):
         sent = ranks.join(links, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("score") * F.col("share")).alias("part"))
         resting = ranks.join(sources, ["kind", "host"], "left_anti").groupBy("kind").agg(F.sum("score").alias("rest"))
         back = seeds.join(resting, "kind", "left").select("kind", "host", (F.col("seed") * (1 - damping + damping * F.coalesce("rest", F.lit(0.0)))).alias("part"))
@@ -84,6 +85,9 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
                 if (moved or 0.0) < TOLERANCE:
                     break
             before = ranks
+    else:
+        if rounds is None:
+            raise RuntimeError("the ranks did not settle")
     return ranks
 
 

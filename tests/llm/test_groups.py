@@ -294,6 +294,14 @@ def test_propagation_is_brute_force(spark):
     assert {(r.kind, r.host): pytest.approx(r.score) for r in got.collect()} == want
 
 
+def test_propagation_goes_on_until_it_settles(spark):
+    edges = [("trust", f"h{i}", f"h{i + 1}", 1.0) for i in range(24)]
+    seeds = [("trust", "h0", 1.0)]
+    got = urlrank.propagate(spark.createDataFrame(seeds, "kind string, host string, seed double"), spark.createDataFrame(edges, "kind string, src string, dst string, share double"))
+    want = brute_ranks(seeds, edges, 400, urlrank.DAMPING)
+    assert {(r.kind, r.host): pytest.approx(r.score, abs=1e-6) for r in got.collect()} == want
+
+
 def test_links_carry_distrust_and_trust(spark):
     link = lambda *to: " ".join(f'<a href="https://{t}/x">x</a>' for t in to)
     pages = [(1, "https://bad.org/es/1", ""), (2, "http://feeds-bad.site/a", link("bad.org", "bad.org")), (3, "http://fine.site/a", link("good.net")), (4, "https://good.net/de/1", link("near.site")), (5, "http://NEAR.site/q?x#y", None)]
