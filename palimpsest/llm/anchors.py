@@ -6,13 +6,21 @@ of ``gram`` symbols with the least hash is its anchor, so equal windows have equ
 anchors at equal offsets, wherever they stand.  Around an anchor lies a segment:
 all symbols of all windows that hold it.
 
-1. One shuffle brings anchors of equal grams together: rows of four numbers.
-   Within a task, equal segments are merged first, so a passage that a third of
-   all documents share arrives as a few rows.
-2. Equal segments repeat as a whole.  Anchors with unequal segments are open.
-3. Open segments are compared by the operator's own method, in buckets of bounded
-   size.  Anchors with more unequal segments than a bucket holds take another exact
-   way: their windows' hashes are counted and joined, which no key can skew.
+1. One shuffle by (gram, segment) brings equal segments together: a class, whose
+   first place stands for it.  Within a slice of documents, equal segments are
+   merged first, so a passage that a third of all documents share arrives as a few
+   rows, and a common gram with unequal neighbours is dealt over all tasks.
+2. Segments of a class repeat as a whole: the later ones from the first.  Classes of
+   one gram are counted with partial sums; where there are several, the first
+   segments of each are open.
+3. Open segments are compared by the operator's own method, in blocks of bounded
+   size.  Anchors with more classes than a block holds take another exact way:
+   their windows' hashes are counted and joined, which no key can skew.
+
+Defined results: a null text has no symbols and an empty table no spans; a text of
+any length is read whole; equal windows of one document count as well as those of
+two; among places that tie, the one of the lesser key, then of the lesser start, is
+the first; keys must be unique, so rows that repeat are documents of their own.
 """
 
 from __future__ import annotations
@@ -27,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import checkpointed, claim, slices, text_bytes
+from palimpsest.llm.common import claim, slices, stored, text_bytes
 from palimpsest.llm.jaccard import mix
 
-#: Open segments of a bucket, and unequal segments of one anchor that go to one.
-BUCKET_SEGMENTS, MOST_SEGMENTS = 16_384, 16_384
+#: Open segments of a block, and classes of one anchor that go to one.
+BLOCK_SEGMENTS, MOST_SEGMENTS = 16_384, 16_384
+#: Grams ranked at once: positions take the low bits of what is ranked.
+RANKED = 1 << 26
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _POSITION = np.uint64((1 << 28) - 1)
@@ -97,9 +107,13 @@ class Windows:
         """Positions and gram hashes of all anchors, ascending."""
         if hashes.n < self.length:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        grams = hashes.grams(self.gram)
-        marked = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
-        least = (sliding_min(marked, self.length - self.gram + 1) & _POSITION).astype(np.int64)
+        grams, width = hashes.grams(self.gram), self.length - self.gram + 1
+        parts = []
+        for begin in range(0, len(grams) - width + 1, RANKED):  # the windows of each part reach into the next
+            some = grams[begin : begin + RANKED + width - 1]
+            marked = (some & ~_POSITION) | np.arange(len(some), dtype=np.uint64)
+            parts.append(begin + (sliding_min(marked, width) & _POSITION).astype(np.int64))
+        least = np.concatenate(parts)
         at = least[np.concatenate([[True], least[1:] != least[:-1]])]
         return at, grams[at]
 
@@ -108,8 +122,9 @@ class Windows:
 
 
 def _anchor_rows(docs: DataFrame, how: Windows) -> DataFrame:
-    """``fp, seg, key, at, upto``: anchors (``upto`` 0, or -1 if known to repeat) and whole
-    spans ``at .. upto`` known to repeat within a task, under a name of their own."""
+    """``fp, seg, key, at, copies, hi, src``: an anchor for each class of a slice of documents,
+    with its number of ``copies`` there; the other copies (``copies`` 0) as whole spans
+    ``at .. hi``, whose source starts at ``src`` of document ``seg``, under a name of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("words")
@@ -125,79 +140,101 @@ def _anchor_rows(docs: DataFrame, how: Windows) -> DataFrame:
                 order = np.lexsort((at, key, seg, fp))
                 again = np.zeros(len(fp), bool)
                 again[1:] = (np.diff(fp[order]) == 0) & (np.diff(seg[order]) == 0)
-                known = again.copy()
-                if not how.earlier:
-                    known[:-1] |= again[1:]
-                # a task's repeats need no further comparison: the first of a kind goes on for all
                 once = order[~again]
-                rest = np.sort(order[again])  # by document and place
-                key2, lo2, hi2 = key[rest], lo[rest], hi[rest]
-                starts = np.flatnonzero(np.concatenate([[True], (key2[1:] != key2[:-1]) | (lo2[1:] > hi2[:-1])])) if len(rest) else np.empty(0, np.int64)
-                ends = np.append(starts[1:], len(rest)) - 1 if len(rest) else starts
+                copies = np.diff(np.append(np.flatnonzero(~again), len(order)))
+                lead = np.empty(len(fp), np.int64)
+                lead[order] = np.repeat(once, copies)
+                rest = np.sort(order[again])  # by document and place; from one source, spans join
+                key2, lo2, hi2, src_key, src = key[rest], lo[rest], hi[rest], key[lead[rest]], lo[lead[rest]]
+                if not how.earlier:
+                    src_key, src = np.zeros_like(key2), lo2  # any other place will do
+                starts = np.empty(0, np.int64)
+                if len(rest):
+                    part_at = (np.diff(key2) != 0) | (lo2[1:] > hi2[:-1]) | (np.diff(src_key) != 0) | (np.diff(src - lo2) != 0)
+                    starts = np.flatnonzero(np.concatenate([[True], part_at]))
+                ends = np.append(starts[1:], len(rest))[: len(starts)] - 1
                 names = mix(mix(key2[starts].view(np.uint64), 8) + lo2[starts].astype(np.uint64), 8)
+                none = np.zeros(len(once), np.int32)
                 columns = (
                     np.concatenate([fp[once], names]).view(np.int64),
-                    np.concatenate([seg[once], np.zeros(len(starts), np.uint64)]).view(np.int64),
+                    np.concatenate([seg[once].view(np.int64), src_key[starts]]),
                     np.concatenate([key[once], key2[starts]]),
                     np.concatenate([at[once], lo2[starts]]).astype(np.int32),
-                    np.concatenate([np.where(known[~again], -1, 0), hi2[ends]]).astype(np.int32),
+                    np.concatenate([copies, np.zeros(len(starts), np.int64)]).astype(np.int32),
+                    np.concatenate([none, hi2[ends]]).astype(np.int32),
+                    np.concatenate([none, src[starts]]).astype(np.int32),
                 )
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["fp", "seg", "key", "at", "upto"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["fp", "seg", "key", "at", "copies", "hi", "src"])
 
-    return docs.select("key", "text").mapInArrow(run, "fp long, seg long, key long, at int, upto int")
+    return docs.select("key", "text").mapInArrow(run, "fp long, seg long, key long, at int, copies int, hi int, src int")
 
 
-def _spans_of(rows: DataFrame, how: Windows, most: int) -> DataFrame:
-    """What matters of the rows: ``fp, key, at, lo, hi, repeated, open, crowded``.
+def met_classes(docs: DataFrame, how: Windows) -> DataFrame:
+    """``fp, key, at, n, lo, hi, src_key, src_lo``: every anchor and known span, written down.
 
-    ``hi`` may lie beyond the text's end; whoever uses it stops there.
+    ``n`` counts a class at its first place and is null elsewhere; ``src_key`` is null
+    at first places.  ``hi`` may lie beyond the text's end; whoever uses it stops there.
     """
-    same, group = W.partitionBy("fp", "seg"), W.partitionBy("fp")
-    place = F.struct("key", "at")
-    seen = (
-        rows.withColumn("first", F.min(place).over(same))
-        .withColumn("last", F.max(place).over(same))
-        .withColumn("seg_low", F.min("seg").over(group))
-        .withColumn("seg_high", F.max("seg").over(group))
-    )
-    lead, whole = F.col("first") == place, F.col("upto") > 0
-    repeated = ~lead if how.earlier else F.col("first") != F.col("last")
-    kept = seen.select(
-        "fp", "key", "at",
-        F.when(whole, F.col("at")).otherwise(F.greatest(F.lit(0), F.col("at") - (how.length - how.gram))).alias("lo"),
-        F.when(whole, F.col("upto")).otherwise(F.col("at") + how.length).alias("hi"),
-        ((F.col("upto") != 0) | repeated).alias("repeated"),
-        (lead & ~whole & (F.col("seg_low") != F.col("seg_high"))).alias("open"),
+    same, place = W.partitionBy("fp", "seg"), F.struct("key", "at")
+    seen = _anchor_rows(docs, how).withColumn("first", F.min(place).over(same)).withColumn("n", F.sum("copies").over(same))
+    whole, left = F.col("copies") == 0, how.length - how.gram
+    lead = ~whole & (F.col("first") == place)
+    lo = F.when(whole, F.col("at")).otherwise(F.greatest(F.lit(0), F.col("at") - left))
+    return stored(
+        seen.select(
+            "fp", "key", "at", F.when(lead, F.col("n")).alias("n"), lo.alias("lo"),
+            F.when(whole, F.col("hi")).otherwise(F.col("at") + how.length).alias("hi"),
+            F.when(whole, F.col("seg")).when(~lead, F.col("first.key")).alias("src_key"),
+            F.when(whole, F.col("src")).when(~lead, F.col("first.at") - F.col("at") + lo).alias("src_lo"),
+        )
     )
-    crowd = F.sum(F.col("open").cast("long")).over(group)
-    return kept.withColumn("crowded", crowd > most).filter("repeated or open")
+
+
+def open_classes(met: DataFrame, most: int) -> DataFrame:
+    """``fp, key, at, n, crowded``: the first places of classes whose gram has several, written down."""
+    classes = met.filter("n is not null").select("fp", "key", "at", "n")
+    several = classes.groupBy("fp").agg(F.count("*").alias("classes")).filter("classes > 1")
+    return stored(classes.join(several, "fp").select("fp", "key", "at", "n", (F.col("classes") > most).alias("crowded")))
+
+
+def marked_texts(docs: DataFrame, opened: DataFrame) -> DataFrame:
+    """``key, text, marks`` of the documents with open places, and what else they carry.
+
+    These are the columns and the filter that ``with_spans`` has too, so the texts are shuffled once for both.
+    """
+    marks = opened.groupBy("key").agg(F.collect_list(F.struct("at", "fp", "n", "crowded")).alias("marks"))
+    return docs.join(marks, "key").select("key", "text", "marks", *[c for c in docs.columns if c not in ("key", "text")])
 
 
 def repeated_spans(docs: DataFrame, how: Windows, compare: Callable[[pd.DataFrame], pd.DataFrame], most: int = MOST_SEGMENTS) -> DataFrame:
-    """``key, lo, hi``: spans that together cover every repeated window, and nothing else.
+    """``key, lo, hi, src_key, src_lo``: spans that together cover every repeated window, and nothing else.
 
-    ``docs``: key, text, and columns to be carried along.  ``compare`` gets a bucket of open segments (group, key, lo,
-    at, symbols) and returns the spans it finds in them.
+    ``docs``: key, text, and columns to be carried along.  ``compare`` gets a block of
+    open segments (fp, key, lo, at, n, symbols) and returns the spans it finds in them.
+    The source is an earlier place with the same symbols; null or meaningless unless
+    ``how.earlier``.
     """
-    found = checkpointed(_spans_of(_anchor_rows(docs, how), how, most))
-    spans = [found.filter("repeated").select("key", "lo", "hi")]
-    opened = found.filter("open")
+    met = met_classes(docs, how)
+    known = F.col("src_key").isNotNull() if how.earlier else F.col("src_key").isNotNull() | (F.col("n") > 1)
+    columns = ["key", "lo", "hi", "src_key", "src_lo"]
+    out = met.filter(known).select(*columns)
+    opened = open_classes(met, most)
     counts = opened.agg(F.count_if(~F.col("crowded")), F.count_if("crowded")).first()
     if counts[0] or counts[1]:
-        marks = opened.groupBy("key").agg(F.collect_list(F.struct("at", "fp", "crowded")).alias("marks"))
-        # the same columns and filter as where spans are applied, so the texts are shuffled once for both
-        wanted = docs.join(marks, "key").select("key", "text", "marks", *[c for c in docs.columns if c not in ("key", "text")])
+        wanted = marked_texts(docs, opened)
         if counts[0]:
-            spans.append(_compared(wanted, how, compare, max(1, -(-counts[0] // BUCKET_SEGMENTS))))
+            out = out.unionByName(in_blocks(wanted, how, counts[0]).applyInPandas(compare, SPANS))
         if counts[1]:
-            spans.append(_crowded(wanted, how))
-    out = spans[0]
-    for s in spans[1:]:
-        out = out.unionByName(s)
+            out = out.unionByName(_crowded(wanted, how).select(*columns))
     return out
 
 
-def _compared(wanted: DataFrame, how: Windows, compare: Callable[[pd.DataFrame], pd.DataFrame], buckets: int) -> DataFrame:
+SPANS = "key long, lo int, hi int, src_key long, src_lo int"
+
+
+def in_blocks(wanted: DataFrame, how: Windows, segments: int):
+    """Open segments that are not crowded, grouped into blocks by their grams."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 200):
@@ -207,17 +244,18 @@ def _compared(wanted: DataFrame, how: Windows, compare: Callable[[pd.DataFrame],
                     for m in marks:
                         if not m["crowded"]:
                             lo, hi = how.segment(np.array(m["at"]), len(symbols))
-                            rows.append((m["fp"], key, int(lo), m["at"], symbols[lo:hi].tobytes()))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["fp", "key", "lo", "at", "symbols"])
+                            rows.append((m["fp"], key, int(lo), m["at"], m["n"], symbols[lo:hi].tobytes()))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["fp", "key", "lo", "at", "n", "symbols"])
 
-    segments = wanted.mapInArrow(cut, "fp long, key long, lo int, at int, symbols binary")
-    return segments.groupBy(F.pmod(F.xxhash64("fp"), F.lit(buckets)).alias("bucket")).applyInPandas(compare, "key long, lo int, hi int")
+    blocks = max(1, -(-segments // BLOCK_SEGMENTS))
+    cuts = wanted.mapInArrow(cut, "fp long, key long, lo int, at int, n long, symbols binary")
+    return cuts.groupBy(F.pmod(F.xxhash64("fp"), F.lit(blocks)).alias("block"))
 
 
-def _crowded(wanted: DataFrame, how: Windows) -> DataFrame:
-    """The windows of crowded anchors by their hashes: counted with partial sums, then joined."""
+def _crowded_windows(wanted: DataFrame, how: Windows) -> DataFrame:
+    """``window, key, start``: the windows of crowded anchors, named by their hashes."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,13 +268,20 @@ def _crowded(wanted: DataFrame, how: Windows) -> DataFrame:
                 start = np.unique(np.concatenate([np.arange(a, b - how.length + 1) for a, b in zip(lo, hi, strict=True)]))
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.of(start, start + how.length, 3).view(np.int64)), pa.array(np.full(len(start), key, np.int64)), pa.array(start.astype(np.int32))], ["window", "key", "start"])
 
-    rows = wanted.mapInArrow(windows, "window long, key long, start int")
-    place = F.struct("key", "start")
-    firsts = rows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    met = rows.join(firsts, "window")
+    return wanted.mapInArrow(windows, "window long, key long, start int")
+
+
+def window_groups(wanted: DataFrame, how: Windows) -> DataFrame:
+    """``window, first, copies``: the repeated windows of crowded anchors, counted with partial sums."""
+    return _crowded_windows(wanted, how).groupBy("window").agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+
+
+def _crowded(wanted: DataFrame, how: Windows) -> DataFrame:
+    """The spans of crowded anchors: an equi-join of windows with the repeated ones."""
+    met = _crowded_windows(wanted, how).join(window_groups(wanted, how), "window")
     if how.earlier:
-        met = met.filter(place != F.col("first"))
-    return met.select("key", F.col("start").alias("lo"), (F.col("start") + how.length).cast("int").alias("hi"))
+        met = met.filter(F.struct("key", "start") != F.col("first"))
+    return met.select("key", F.col("start").alias("lo"), (F.col("start") + how.length).cast("int").alias("hi"), F.col("first.key").alias("src_key"), F.col("first.start").alias("src_lo"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -250,8 +295,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, key: str = "key", name: str = "spans") -> DataFrame:
+def with_spans(docs: DataFrame, spans: DataFrame, key: str = "key", name: str = "spans", columns: tuple[str, ...] = ("lo", "hi")) -> DataFrame:
     """All columns of the documents plus the spans; null where there are none."""
     # what a document collects is bounded by its own length
-    marked = spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias(name)).withColumnRenamed("key", key)
+    marked = spans.groupBy("key").agg(F.collect_set(F.struct(*columns)).alias(name)).withColumnRenamed("key", key)
     return docs.join(marked, key, "left")

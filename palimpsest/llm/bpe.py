@@ -29,7 +29,7 @@ from palimpsest.llm.common import BatchCache, claim, id_text, int_lists, slices
 
 _WORD_BITS = 8  # 256 ranks to a bitmap word
 _LOW = (1 << _WORD_BITS) - 1
-CACHE_ENTRIES = 600_000
+CACHE_BYTES = 128 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -50,10 +50,11 @@ class Merger:
         self.two = [ranks.get(bytes((a, b))) for a in range(256) for b in range(256)]
         self.buckets: dict[int, int | list[int]] = {}
         self.words = [0] * ((max(ranks.values()) >> _WORD_BITS) + 1)
+        self.masks = [1 << i for i in range(max(1 << _WORD_BITS, len(self.words)))]
 
     def ids(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: always merge the leftmost pair of least rank."""
-        ranks, two, buckets, words, masks = self.ranks, self.two, self.buckets, self.words, _MASKS
+        ranks, two, buckets, words, masks = self.ranks, self.two, self.buckets, self.words, self.masks
         find = ranks.get
         whole = find(piece)
         if whole is not None:
@@ -128,9 +129,6 @@ class Merger:
         return out
 
 
-_MASKS = [1 << i for i in range(4096)]
-
-
 def _add(buckets: dict, rank: int, position: int) -> None:
     """A further position for a rank that has one."""
     bucket = buckets[rank]
@@ -151,7 +149,7 @@ class ByteBpe:
         for token, rank in self.ranks.items():
             self.token_bytes[rank] = token
         self.merge = Merger(self.ranks).ids
-        self.memo = BatchCache(self._packed, CACHE_ENTRIES)
+        self.memo = BatchCache(self._packed, CACHE_BYTES)
 
     def _packed(self, pieces: list[str]) -> list[bytes]:
         merge = self.merge

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import weakref
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,29 +31,52 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of few rows, so that what is made from one stays small."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def slices(batch: pa.RecordBatch, rows: int = 500, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of few rows and few bytes of text, so that what is made from one stays small."""
+    ends = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            ends += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(ends), 0
+    while at < batch.num_rows:
+        most = size + (int(ends[at - 1]) if at else 0)
+        end = max(at + 1, min(at + rows, int(np.searchsorted(ends, most, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Set the folder for checkpoints from ``spark.checkpoint.dir``, unless it is set.
 
-    The session's setting is used; a local folder is set only where the session
-    names none (tests on one machine).
+    A local folder is made only where the session names none and the master is
+    local (tests on one machine).
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="palimpsest-checkpoint-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a written table beside the checkpoints: columns compress, unlike a checkpoint's rows."""
+    checkpoint_folder(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _CACHES: weakref.WeakSet = weakref.WeakSet()
 _OWNER: list[str] = [""]
 
@@ -67,29 +93,6 @@ def claim(owner: str) -> None:
             cache.forget()
 
 
-def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of few rows, so that what is made from one stays small."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
-
-    The session's setting is used; a local folder is set only where the session
-    names none (tests on one machine).
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="palimpsest-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, under fixed names."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -135,31 +138,50 @@ def int_lists(flat: Any, offsets: Any) -> pa.ListArray:
 
 
 class BatchCache:
-    """A bounded memo filled for many keys at once.
+    """A memo bounded in bytes, filled for many keys at once.
 
     ``get(keys)`` returns the mapping to look the keys up in; ``make`` is called
     once with the keys not yet known.  Between calls at most two generations of
-    ``capacity`` entries (and one call's keys) are kept.
+    ``capacity`` bytes (and one call's keys) are kept; keys over ``LONGEST`` are
+    never remembered, as long ones seldom come again.
     """
 
+    #: Bytes of an entry beside its key and value, about.
+    OVERHEAD, LONGEST = 170, 64
+
     def __init__(self, make: Callable[[list], list], capacity: int):
-        self.make, self.capacity, self.young, self.older = make, capacity, {}, {}
+        self.make, self.capacity = make, capacity
+        self.forget()
         _CACHES.add(self)
 
     def forget(self) -> None:
-        self.young, self.older = {}, {}
+        self.young, self.older, self.size, self.passing = {}, {}, 0, []
+
+    def _take(self, entries: Iterable[tuple]) -> None:
+        for key, value in entries:
+            self.young[key] = value
+            self.size += self.OVERHEAD + len(key) + (len(value) if isinstance(value, bytes) else 8)
 
     def get(self, keys: Iterable) -> dict:
-        if len(self.young) >= self.capacity:
-            self.older, self.young = self.young, {}
+        for key in self.passing:
+            del self.young[key]
+        self.passing = []
+        if self.size >= self.capacity:
+            self.older, self.young, self.size = self.young, {}, 0
         new = set(keys).difference(self.young)
-        if new:
+        if new and self.older:
             old = self.older
-            if old:
-                known = [k for k in new if k in old]
-                self.young.update((k, old[k]) for k in known)
-                new.difference_update(known)
-            if new:
-                missing = list(new)
-                self.young.update(zip(missing, self.make(missing), strict=True))
+            known = [k for k in new if k in old]
+            self._take((k, old[k]) for k in known)
+            new.difference_update(known)
+        if new:
+            missing = list(new)
+            made = self.make(missing)
+            self.passing = [k for k in missing if len(k) > self.LONGEST]
+            if self.passing:
+                self.young.update(zip(missing, made, strict=True))
+                long = set(self.passing)
+                self._take((k, self.young[k]) for k in missing if k not in long)
+            else:
+                self._take(zip(missing, made, strict=True))
         return self.young

@@ -6,7 +6,9 @@ so two sketches differ in no more chunks than the sets differ in elements.  Sets
 of one size band whose similarity reaches the threshold differ in at most D
 elements: of D + 1 + 2q chunks they agree in 2q + 1, and still in one after each
 set has left out its q lightest chunks.  Chunks that agree are found by one
-shuffle of (chunk key, node) pairs.
+shuffle of (chunk key, node) pairs.  A chunk without shingles says nothing; sets
+that keep one take part by the D + 1 shingles of least hash instead, of which sets
+that differ in at most D elements share one.
 
 The nodes of a key belong to its least node's cluster, so each pair that shares a
 key meets in a cluster, and a cluster is a row for each member, not for each pair.
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import BatchCache, checkpointed, claim, id_text, row_keys, slices, split_words, text_bytes
 from palimpsest.llm.graph import components
 
-CACHE_ENTRIES = 250_000
+CACHE_BYTES = 56 << 20
 BAND_RATIO, LIGHT_SHARE = 1.5, 16
 #: Shingles of a block, and about as many of a task of small clusters, when sketches and when true sets are compared.
 SKETCH_BLOCK, SET_BLOCK = 8_000_000, 1_000_000
@@ -60,7 +62,7 @@ def _word_hashes(words: list[bytes]) -> list[bytes]:
 
 @lru_cache(maxsize=1)
 def _memo() -> BatchCache:
-    return BatchCache(_word_hashes, CACHE_ENTRIES)
+    return BatchCache(_word_hashes, CACHE_BYTES)
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
@@ -87,16 +89,17 @@ class Threshold:
         self.bounds = np.array(self.starts)
 
     def bands(self, n: int) -> list[int]:
-        """The size's own band, and the next where a partner there could be similar enough."""
+        """The size's own band, and all above where a partner could be similar enough."""
         own = int(np.searchsorted(self.bounds, n, "right")) - 1
-        return [own] + ([own + 1] if n * self.den >= self.num * self.starts[own + 1] else [])
+        last = int(np.searchsorted(self.bounds, n * self.den // max(1, self.num), "right")) - 1
+        return list(range(own, max(own, last) + 1))
 
-    def chunks(self, band: int) -> tuple[int, int]:
-        """Number of chunks and how many of the lightest a set leaves out."""
+    def chunks(self, band: int) -> tuple[int, int, int]:
+        """Number of chunks, how many of the lightest a set leaves out, and how many elements may differ."""
         most = self.starts[band + 1] - 1
         differ = (self.den - self.num) * 2 * most // (self.den + self.num)
         left_out = differ // LIGHT_SHARE
-        return differ + 1 + 2 * left_out, left_out
+        return differ + 1 + 2 * left_out, left_out, differ
 
     def similar(self, common: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
         return common * self.den >= self.num * (a + b - common)
@@ -107,14 +110,19 @@ def chunk_keys(shingles: np.ndarray, threshold: Threshold) -> np.ndarray:
     zobrist = mix(mix(shingles, 21) & np.uint64((1 << _BITS) - 1), 22)
     keys = []
     for band in threshold.bands(len(shingles)):
-        count, left_out = threshold.chunks(band)
+        count, left_out, differ = threshold.chunks(band)
         chunk = (mix(shingles, 31 + band) % np.uint64(count)).astype(np.int64)
         order = np.argsort(chunk)
         weight = np.bincount(chunk, minlength=count)
         sketch, full = np.zeros(count, np.uint64), np.flatnonzero(weight)
         sketch[full] = np.bitwise_xor.reduceat(zobrist[order], np.concatenate([[0], np.cumsum(weight)[full][:-1]]))
         chosen = np.sort(np.argsort(weight, kind="stable")[left_out:]) if left_out else np.arange(count)
-        keys.append(mix(sketch[chosen] + mix(chosen.astype(np.uint64), 41), 51 + band))
+        told = chosen[weight[chosen] > 0]
+        keys.append(mix(sketch[told] + mix(told.astype(np.uint64), 41), 51 + band))
+        if len(told) < len(chosen):
+            ranked = mix(shingles, 42)
+            first = np.partition(ranked, differ)[: differ + 1] if differ + 1 < len(ranked) else ranked
+            keys.append(mix(first, 151 + band))
     return np.concatenate(keys)
 
 

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import BatchCache, claim, id_text, split_words, text_bytes
+from palimpsest.llm.common import BatchCache, claim, id_text, slices, split_words, text_bytes
 
 SEQUENCE = 2048
 DOCUMENTS_PER_GROUP = 4096
-CACHE_ENTRIES = 600_000
+CACHE_BYTES = 128 << 20
 
 
 class WordTokenizer:
@@ -44,7 +44,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self._ids(self.SEPARATOR)
-        self.memo = BatchCache(self._packed, CACHE_ENTRIES)
+        self.memo = BatchCache(self._packed, CACHE_BYTES)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -81,9 +81,9 @@ def token_pieces(df: DataFrame, path: str, end_id: int = 1, sequence: int = SEQU
 
         claim("packing")
         tokenizer, rng = word_tokenizer(path), np.random.default_rng(TaskContext.get().partitionId())
-        for batch in batches:
+        for part in (p for batch in batches for p in slices(batch)):
             rows: list[tuple] = []
-            for doc, text, key in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), rng.integers(0, 1 << 62, batch.num_rows).tolist(), strict=True):
+            for doc, text, key in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), rng.integers(0, 1 << 62, part.num_rows).tolist(), strict=True):
                 data = tokenizer.encode(text) + end
                 total = len(data) // 4
                 rows += [(doc, s, min(sequence, total - s), total, data[4 * s : 4 * (s + sequence)], key) for s in range(0, total, sequence)]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import BatchCache, claim, map_rows, slices, split_words, text_bytes
 
-CACHE_ENTRIES = 250_000
+CACHE_BYTES = 56 << 20
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 #: Fixed value of the contract: characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -90,7 +90,7 @@ class Vocabulary:
             self.fallback = np.zeros(max(ranks.values()) + 1, bool)
             self.fallback[[r for t, r in ranks.items() if len(t) == 1 and t[0] >= 128]] = True
             self._ids = lambda word: encoding.encode_ordinary(" " + word)
-        self.memo = BatchCache(self._packed, CACHE_ENTRIES)
+        self.memo = BatchCache(self._packed, CACHE_BYTES)
 
     def _packed(self, words: list[bytes]) -> list[bytes]:
         return [array("i", self._ids(w.decode())).tobytes() for w in words]

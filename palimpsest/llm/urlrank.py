@@ -6,12 +6,14 @@ them; mass of hosts without links returns to the seeds.  A page that no rule
 judges is blocked when its host's distrust per page is ``threshold`` times the
 average page's or more, and exceeds the host's trust per page.
 
-Host edges are counted before they are shuffled, so a host with a third of all
-pages is one node like any other.  Ranks are checkpointed every few rounds.
+A link without a host of its own stays on the page's host and is an edge from the
+host to itself: it keeps rank where it is.  Host edges are counted before they are
+shuffled, so a host with a third of all pages is one node like any other.  Ranks
+are checkpointed every few rounds; a graph without edges settles like any other.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path,
-fits no rule and is allowed; null html has no links; repeated rows each give
-their own row, and each counts as a page; an empty table gives no rows.
+fits no rule and is allowed; null html has no links; hosts that tie are judged
+alike, each by its own scores; repeated rows each give their own row, and each counts as a page; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ from palimpsest.llm.common import checkpointed
 DAMPING, MAX_ROUNDS, CHECKPOINT_EVERY, TOLERANCE = 0.85, 400, 5, 1e-6
 THRESHOLD = 2.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'>\s]+)"""
+_LINK = r"""(?i)(?:href|src)\s*=\s*["']?([^"'>\s]+)"""
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
+_HOST = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]+)"
 
 
 @dataclass(frozen=True)
@@ -58,10 +62,19 @@ def rule_column(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """``src, dst, links`` between different hosts, from absolute links in the html."""
-    links = pages.filter("host <> ''").select("host", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_LINK), 1))).alias("to"))
-    edges = links.select(F.col("host").alias("src"), F.translate("to", _UPPER, _LOWER).alias("dst"))
-    return edges.filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
+    """``src, dst, links``: how many pages of a host link to a host, their own included.
+
+    Relative links lead to the page's own host; links with a scheme and no host
+    (mail, scripts), and those to a place on the same page, lead nowhere.
+    """
+
+    def target(link: Column) -> Column:
+        host = F.translate(F.regexp_extract(link, _HOST, 1), _UPPER, _LOWER)
+        return F.when(host != "", host).when(~link.rlike(_SCHEME) & ~link.startswith("#") & ~link.startswith("//"), F.col("host"))
+
+    found = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(_LINK), 1), target))
+    links = pages.filter("host <> ''").select(F.col("host").alias("src"), F.explode(found).alias("dst"))
+    return links.filter("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, damping: float = DAMPING) -> DataFrame:
@@ -103,17 +116,15 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], threshold: float = THRESHOL
     totals = per_host.agg(F.sum("pages").alias("all_pages"), F.sum("trust").alias("all_trust"), F.sum("distrust").alias("all_distrust"))
     kinds = per_host.crossJoin(F.broadcast(totals)).select("host", F.expr("stack(2, 'trust', trust / nullif(all_trust, 0), 'distrust', distrust / nullif(all_distrust, 0)) as (kind, seed)")).filter("seed > 0")
     edges = checkpointed(host_edges(base))
-    if edges.isEmpty():
-        scores = kinds.withColumnRenamed("seed", "score")
-    else:
-        out, into = edges.groupBy("src").agg(F.sum("links").alias("n")), edges.groupBy("dst").agg(F.sum("links").alias("n"))
-        along = edges.join(out, "src").select(F.lit("trust").alias("kind"), "src", "dst", (F.col("links") / F.col("n")).alias("share"))
-        against = edges.join(into, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("links") / F.col("n")).alias("share"))
-        scores = propagate(checkpointed(kinds), checkpointed(along.unionByName(against)))
+    out, into = edges.groupBy("src").agg(F.sum("links").alias("n")), edges.groupBy("dst").agg(F.sum("links").alias("n"))
+    along = edges.join(out, "src").select(F.lit("trust").alias("kind"), "src", "dst", (F.col("links") / F.col("n")).alias("share"))
+    against = edges.join(into, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("links") / F.col("n")).alias("share"))
+    scores = propagate(checkpointed(kinds), checkpointed(along.unionByName(against)))
     mean = F.col("pages") / F.col("all_pages")
     of_kind = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")))
     by_host = scores.groupBy("host").agg(of_kind("trust").alias("t"), of_kind("distrust").alias("d"))
     lifts = per_host.join(by_host, "host").crossJoin(F.broadcast(totals)).select("host", F.coalesce(F.col("t") / mean, F.lit(0.0)).alias("trust"), F.coalesce(F.col("d") / mean, F.lit(0.0)).alias("distrust"))
+    lifts = checkpointed(lifts)  # a row a host; both sides of the join are then plain shuffles, so a hot host's pages can be split
     method = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return ruled.drop("html").join(lifts, "host", "left").select(
         "page_id", "host", "path", F.col("hit.text").alias("rule"), F.coalesce("hit.verdict", method).alias("verdict"),

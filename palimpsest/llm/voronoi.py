@@ -1,13 +1,15 @@
 """Exact top-k inner-product search as a Voronoi join.
 
 Rows fall to the nearest of a bounded number of pivots.  Each group is summed up
-by its size and radius, a table of as many rows as pivots.  With them a query q
-knows, for every group with pivot p and radius r, that all scores there lie in
-``q.p -+ |q| r``.  Groups whose best possible score is below the k-th best that
-the summaries guarantee are left out; to the other groups' cells the query is
-sent, the queries being the far smaller side.  Large groups are split into cells
-of bounded size by a hash of the row, each cell is solved with one matrix product
-per block, and each query's cell results are merged, a few rows a cell.
+by its size, its radius and the k + 1 smallest distances to its pivot, a table of a
+few numbers a pivot.  With them a query q knows that a row at distance d from pivot
+p scores within ``q.p -+ |q| d``: the summaries' lower bounds guarantee a k-th best
+score.  Groups whose best possible score ``q.p + |q| r`` is below it are left out; to
+the other groups' cells the query is sent, the queries being the far smaller side,
+with the least distance from the pivot that a useful row has.  Large groups are
+split into cells of bounded size by a hash of the row; each cell is solved with
+matrix products over its rows that lie far enough out for a block's queries, and
+each query's cell results are merged, a few rows a cell.
 
 Vectors become integers floor(scale * x); scores are exact while they stay below
 2**53.
@@ -74,21 +76,30 @@ def assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(run, "id long, v binary, pivot int, distance double")
 
 
-def needed_groups(q: np.ndarray, pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, k: int, own: int | np.ndarray = 1) -> np.ndarray:
-    """For each query, which groups may hold one of its k best scores.
+def needed_groups(q: np.ndarray, pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, k: int, own: int | np.ndarray = 1, nearest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each query and group: whether it may hold one of the k best scores, and the
+    least distance from the pivot of a row that may.
 
+    ``nearest``: the smallest distances of each group, ascending, padded with infinity.
     The ``own`` rows of the query's id may all be counted in a guarantee, so k + own
     rows must reach it.
     """
     least = k + np.broadcast_to(own, len(q))
-    middle, reach = q @ pivots.T, np.sqrt((q**2).sum(1))[:, None] * radius
-    low, high = middle - reach, middle + reach
+    nearest = np.empty((len(pivots), 0)) if nearest is None else nearest
+    known = np.isfinite(nearest)
+    length, middle = np.sqrt((q**2).sum(1))[:, None], q @ pivots.T
+    # a guarantee for each row named by its distance, and one for the others of a group
+    counts = np.concatenate([np.ones(int(known.sum()), np.int64), size - known.sum(1)])
+    group = np.concatenate([np.nonzero(known)[0], np.arange(len(pivots))])
+    distance = np.concatenate([nearest[known], radius])
+    low, high = middle[:, group] - length * distance, middle + length * radius
     order = np.argsort(-low, axis=1)
-    enough = (np.cumsum(size[order], axis=1) >= least[:, None]).argmax(1)
+    enough = (np.cumsum(counts[order], axis=1) >= least[:, None]).argmax(1)
     sure = np.take_along_axis(low, order, 1)[np.arange(len(q)), enough]
     sure[size.sum() < least] = -np.inf
-    slack = 1e-6 * (np.abs(high).max(1, initial=1.0) + 1)
-    return (high >= (sure - slack)[:, None]) & (size > 0)
+    sure = (sure - 1e-6 * (np.abs(high).max(1, initial=1.0) + 1))[:, None]
+    out = np.divide(sure - middle, length, out=np.zeros_like(middle), where=(length > 0) & np.isfinite(sure))
+    return (high >= sure) & (size > 0), out
 
 
 def top_k(df: DataFrame, is_query, k: int, scale: int, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None) -> DataFrame:
@@ -105,31 +116,39 @@ def top_k(df: DataFrame, is_query, k: int, scale: int, id_col: str = "vec_id", v
     for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("distance").alias("r")).collect():  # a row a pivot
         size[r.pivot], radius[r.pivot] = r.n, r.r
     cells = np.maximum(1, -(-size // CELL_ROWS))
+    nearest = np.full((len(chosen), k + 1), np.inf)
+    close = placed.withColumn("n", F.row_number().over(W.partitionBy("pivot").orderBy("distance"))).filter(F.col("n") <= k + 1)
+    for r in close.select("pivot", "n", "distance").collect():  # k + 1 rows a pivot
+        nearest[r.pivot, r.n - 1] = r.distance
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, data, own = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
             for at in range(0, len(ids), QUERY_BLOCK):
                 q = np.frombuffer(b"".join(data[at : at + QUERY_BLOCK]), "<f8").reshape(-1, width)
-                row, group = np.nonzero(needed_groups(q, chosen, radius, size, k, own[at : at + QUERY_BLOCK]))
+                needed, out = needed_groups(q, chosen, radius, size, k, own[at : at + QUERY_BLOCK], nearest)
+                row, group = np.nonzero(needed)
                 times = cells[group]
                 row, group = np.repeat(row, times), np.repeat(group, times)
                 salt = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + row]), pa.array([data[at + i] for i in row], pa.binary()), pa.array(group.astype(np.int32)), pa.array(salt.astype(np.int32))], ["query_id", "q", "pivot", "salt"])
+                columns = [pa.array(ids[at + row]), pa.array([data[at + i] for i in row], pa.binary()), pa.array(group.astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(out[row, group])]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "q", "pivot", "salt", "out"])
 
     queries = placed.filter(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
-    asked = queries.mapInArrow(send, "query_id long, q binary, pivot int, salt int")
+    asked = queries.mapInArrow(send, "query_id long, q binary, pivot int, salt int, out double")
     spread = F.create_map(*[F.lit(x) for i, c in enumerate(cells.tolist()) if c > 1 for x in (i, c)]) if (cells > 1).any() else F.create_map(F.lit(-1), F.lit(1))
-    salted = placed.select("id", "v", "pivot", F.pmod(F.xxhash64("id", "v"), F.coalesce(F.element_at(spread, F.col("pivot")), F.lit(1)).cast("long")).cast("int").alias("salt"))
+    salted = placed.select("id", "v", "pivot", "distance", F.pmod(F.xxhash64("id", "v"), F.coalesce(F.element_at(spread, F.col("pivot")), F.lit(1)).cast("long")).cast("int").alias("salt"))
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        right = right.sort_values("id", kind="stable", ignore_index=True)
-        ids, x, parts = right["id"].to_numpy(), _matrix(right["v"], width), []
+        right, left = right.sort_values("distance", ascending=False, ignore_index=True), left.sort_values("out", ignore_index=True)
+        every, x, parts, inward = right["id"].to_numpy(), _matrix(right["v"], width), [], -right["distance"].to_numpy()
         for at in range(0, len(left), QUERY_BLOCK):
             some = left.iloc[at : at + QUERY_BLOCK]
-            scores = _matrix(some["q"], width) @ x.T
+            # rows nearer to the pivot than any of these queries needs are not read
+            ids = every[: int(np.searchsorted(inward, -some["out"].iloc[0], "right"))]
+            scores = _matrix(some["q"], width) @ x[: len(ids)].T
             for query, row in zip(some["query_id"].tolist(), scores, strict=True):
                 row = np.where(ids == query, -np.inf, row)
                 if len(row) > k:
@@ -140,7 +159,7 @@ def top_k(df: DataFrame, is_query, k: int, scale: int, id_col: str = "vec_id", v
                 best = best[np.lexsort((ids[best], -row[best]))][:k]
                 best = best[np.isfinite(row[best])]
                 parts.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": row[best].astype(np.int64)}))
-        return pd.concat(parts).astype("int64")
+        return pd.concat(parts).astype("int64") if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     keys = ["pivot", "salt"]
     local = asked.groupBy(*keys).cogroup(salted.groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score long")

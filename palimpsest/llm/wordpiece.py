@@ -20,9 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.common import BatchCache, claim, id_text, split_words, text_bytes
+from palimpsest.llm.common import BatchCache, claim, id_text, slices, split_words, text_bytes
 
-CACHE_ENTRIES = 400_000
+CACHE_BYTES = 88 << 20
 _START, _CONTINUED, _NONE = 0, 1, -1
 #: The mark of a word start in the piece vocabulary.
 WORD_START = "▁"
@@ -91,7 +91,7 @@ def automaton(path: str) -> MatchAutomaton:
 @lru_cache(maxsize=2)
 def _memo(path: str) -> BatchCache:
     counter = automaton(path)
-    return BatchCache(lambda words: [counter.count(w.decode()) for w in words], CACHE_ENTRIES)
+    return BatchCache(lambda words: [counter.count(w.decode()) for w in words], CACHE_BYTES)
 
 
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,9 +100,9 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("wordpiece")
         memo = _memo(path)
-        for batch in batches:
+        for part in (p for batch in batches for p in slices(batch)):
             words_n, tokens_n, unknown_n = [], [], []
-            for text in text_bytes(batch.column(1)):
+            for text in text_bytes(part.column(1)):
                 words = split_words(text)
                 counts = list(map(memo.get(words).__getitem__, words))
                 unknown = counts.count(0)
@@ -110,6 +110,6 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 tokens_n.append(sum(counts) + unknown)
                 unknown_n.append(unknown)
             counted = [pa.array(np.array(x, np.int64)) for x in (words_n, tokens_n, unknown_n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counted], ["doc_id", "n_words", "n_tokens", "n_unknown"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *counted], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")

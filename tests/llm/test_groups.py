@@ -184,29 +184,131 @@ def test_dedup_edges(spark, docs):
     assert {r.doc_id: r.text or "" for r in left.collect()} == want
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.tuples(st.text("ab", max_size=6), st.text("ab", max_size=8)), min_size=2, max_size=9))
-def test_interval_tree_finds_all_occurrences(parts):
-    """Every pair that shares length bytes around the gram is in a common repeat group."""
-    length, before, after = 9, [a.encode() for a, _ in parts], [b"gg" + b.encode() for _, b in parts]
-    left, right, groups = suffix.repeat_extents([1] * len(parts), before, after, length, 6)
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", max_size=6), st.text("ab", max_size=8), st.integers(1, 2)), min_size=1, max_size=9))
+def test_interval_tree_finds_maximal_groups(parts):
+    """The groups are the maximal repeats around the gram, each with all its members."""
+    length, before, after, copies = 9, [a.encode() for a, *_ in parts], [b"gg" + b.encode() for _, b, _ in parts], [n for *_, n in parts]
     share = lambda x, y: next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+    got = Counter((tuple(sorted(m.tolist())), left, right) for m, left, right in suffix.maximal_repeats([1] * len(parts), before, after, copies, length, 6))
+    want = Counter(((i,), len(before[i]), len(after[i])) for i, n in enumerate(copies) if n > 1)
+    strings = set()
     for i in range(len(parts)):
-        met = [(share(before[i], before[j]), min(length, share(after[i], after[j]))) for j in range(len(parts)) if j != i]
-        good = [(a, b) for a, b in met if a + b >= length]
-        assert (left[i], right[i]) == ((max(a for a, _ in good), max(b for _, b in good)) if good else (0, 0))
         for j in range(i):
-            if share(before[i], before[j]) + min(length, share(after[i], after[j])) >= length:
-                assert any(i in g and j in g for g in groups)
+            strings.add((before[i][: share(before[i], before[j])], after[i][: min(length, share(after[i], after[j]))]))
+    for left, right in strings:
+        members = tuple(k for k in range(len(parts)) if before[k].startswith(left) and after[k].startswith(right))
+        wide = min(share(before[a], before[b]) for a in members for b in members if a != b), min(length, min(share(after[a], after[b]) for a in members for b in members if a != b))
+        if len(left) + len(right) >= length and wide == (len(left), len(right)):
+            want[members, len(left), len(right)] = 1
+    assert got == want
+    left, right = suffix.shared_extents(suffix.maximal_repeats([1] * len(parts), before, after, copies, length, 6), len(parts))
+    for i in range(len(parts)):
+        good = [(a, b) for (m, a, b) in want if i in m]
+        assert (left[i], right[i]) == ((max(a for a, _ in good), max(b for _, b in good)) if good else (0, 0))
 
 
-def test_lz_resumes_at_a_factor_boundary():
-    block, size = rlz.ReferenceBlock(4), 4
-    hashes = lambda s: np.array([ord(c) for c in s], np.uint64)
-    assert block.factor(hashes("abcdef"), 1, 0) == []
-    assert block.factor(hashes("defghi"), 2, 0) == []
-    assert block.factor(hashes("cdefgh"), 3, 0) == [(0, size), (1, 6)] or block.factor(hashes("cdefgh"), 4, 0)
-    assert block.factor(hashes("zzabcdefghizz"), 5, 10)[0][0] == 2
+@pytest.mark.parametrize("most", [anchors.MOST_SEGMENTS, 1])
+def test_repeat_groups_list_repeats_with_all_occurrences(docs, most):
+    rows = list(enumerate(fixture_texts()))
+    data = {i: (t or "").encode() for i, t in rows}
+    groups, seen = defaultdict(list), Counter()
+    for r in suffix.repeat_groups(docs, most=most).collect():
+        groups[r.group_id].append(r)
+    covered = {i: set() for i in data}
+    for members in groups.values():
+        strings = {data[r.doc_id][r.lo : r.hi] for r in members}
+        assert len(strings) == 1 and sum(r.copies for r in members) > 1 and len(strings.pop()) >= suffix.LENGTH
+        seen.update((r.doc_id, r.lo, r.hi) for r in members)
+        for r in members:
+            covered[r.doc_id].update(range(r.lo, r.hi))
+    # occurrences that the groups name cover every repeated string's first place at least
+    counts, first = Counter(), {}
+    for i, b in sorted(data.items()):
+        for at in range(len(b) - 199):
+            counts[b[at : at + 200]] += 1
+            first.setdefault(b[at : at + 200], (i, at))
+    assert all(set(range(at, at + 200)) <= covered[i] for w, (i, at) in first.items() if counts[w] > 1)
+
+
+def brute_longest(parts, least):
+    """For each place: the longest match with any earlier place."""
+    out = {}
+    for p, x in enumerate(parts):
+        for i in range(len(x)):
+            best = 0
+            for q, y in enumerate(parts[: p + 1]):
+                for j in range(len(y) if q < p else i):
+                    k = 0
+                    while i + k < len(x) and j + k < len(y) and x[i + k] == y[j + k]:
+                        k += 1
+                    best = max(best, k)
+            if best >= least:
+                out[p, i] = best
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=14), min_size=1, max_size=6))
+def test_reference_block_finds_the_longest_earlier_match(texts):
+    parts = [np.array([ord(c) for c in t], np.uint64) for t in texts]
+    block = rlz.ReferenceBlock(parts)
+    at, size, source = block.earlier(3)
+    own = {int(s): (p, 0) for p, s in enumerate(block.starts)}
+    assert sorted(own) == block.starts.tolist()
+    owner = np.searchsorted(block.starts, at, "right") - 1
+    assert {(int(p), int(a - block.starts[p])): int(n) for p, a, n in zip(owner, at, size, strict=True)} == brute_longest(texts, 3)
+    assert (source < at).all()
+    for p, factors in enumerate(block.factors(3)):
+        for a, b, q, j in factors:
+            assert (q, j) < (p, a) and texts[p][a:b] == texts[q][j : j + b - a]
+        windows = {i for (x, s), n in brute_longest(texts, 3).items() if x == p for i in range(s, s + n)}
+        assert {i for a, b, *_ in factors for i in range(a, b)} == windows
+
+
+def test_factors_take_the_longest_of_all_places():
+    numbers = lambda s: np.array([ord(c) for c in s], np.uint64)
+    block = rlz.ReferenceBlock([numbers(s) for s in ("abcdX", "abcdefgh", "abcdefgh", "cdefghab")])
+    assert block.factors(4) == [[], [(0, 4, 0, 0)], [(0, 8, 1, 0)], [(0, 6, 1, 2)]]
+
+
+def test_parsing_resumes_at_a_factor_boundary():
+    """A match across the end of the farthest one is still found; continued matches are one."""
+    matches = [(0, 30, 1, 100), (15, 36, 2, 0), (20, 45, 1, 120), (60, 80, 3, 5), (80, 101, 3, 25)]
+    assert rlz.parsed(matches, 100) == [(0, 45, 1, 100), (60, 100, 3, 5)]
+    assert rlz.parsed([(0, 25, 1, 0), (10, 40, 2, 0)], 90) == [(0, 25, 1, 0), (10, 40, 2, 0)]
+    assert rlz.parsed([], 9) == []
+
+
+def test_documents_are_parsed_whole(docs):
+    """Factors are as long as whole copies, lie in order, and hold what their sources hold."""
+    rows = list(enumerate(fixture_texts()))
+    words = {i: (t or "").encode().split() for i, t in rows}
+    parses = {r.doc_id: r.factors for r in rlz.dedup(docs).collect()}
+    for i, factors in parses.items():
+        assert all(a.lo < b.lo and a.hi < b.hi for a, b in zip(factors, factors[1:], strict=False))
+        for f in factors:
+            assert (f.src_key, f.src_lo) < (i, f.lo) and words[i][f.lo : f.hi] == words[f.src_key][f.src_lo : f.src_lo + f.hi - f.lo]
+    assert [(f.lo, f.hi) for f in parses[1]] == [(0, 160)]
+
+
+def test_queries_go_through_their_methods(docs, monkeypatch):
+    """Without its index or its tree, an operator finds less."""
+    rows, nothing = list(enumerate(fixture_texts())), lambda pdf: pdf[["key", "lo"]].iloc[:0].assign(hi=0, src_key=0, src_lo=0)
+    monkeypatch.setattr(rlz, "compare_segments", nothing)
+    assert sum(s.hi - s.lo for r in rlz.dedup(docs).collect() for s in r.spans) < sum(row[2] * n for row, n in brute_words(rows).items())
+    monkeypatch.setattr(suffix, "compare_segments", nothing)
+    assert sum(s.hi - s.lo for r in suffix.dedup(docs).collect() for s in r.spans) < sum(row[2] * n for row, n in brute_bytes(rows).items())
+
+
+def test_anchors_of_texts_longer_than_what_is_ranked_at_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    symbols = rng.integers(0, 3, 3000).astype(np.uint64)
+    hashes = anchors.RangeHash(symbols)
+    want = rlz.WINDOWS.anchors(hashes)
+    monkeypatch.setattr(anchors, "RANKED", 37)
+    got = rlz.WINDOWS.anchors(hashes)
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
 
 
 def brute_top(rows, k, every):
@@ -237,15 +339,15 @@ def test_top_k_is_brute_force(spark, monkeypatch):
 def test_groups_are_left_out():
     rng = np.random.default_rng(7)
     pivots = 100 * np.eye(12)
-    needed = voronoi.needed_groups(pivots[:1] + rng.standard_normal((3, 12)), pivots, np.full(12, 2.0), np.full(12, 20), 5)
+    needed, out = voronoi.needed_groups(pivots[:1] + rng.standard_normal((3, 12)), pivots, np.full(12, 2.0), np.full(12, 20), 5)
     assert needed[:, 0].all() and needed.sum() < 12
 
 
 def test_groups_of_a_repeated_query_id_are_kept():
     pivots, radius, size = np.array([[10.0, 0.0], [1.0, 0.0]]), np.zeros(2), np.array([6, 50])
     q = np.array([[10.0, 0.0]])
-    assert voronoi.needed_groups(q, pivots, radius, size, 5).tolist() == [[True, False]]
-    assert voronoi.needed_groups(np.repeat(q, 3, 0), pivots, radius, size, 5, np.array([1, 2, 52])).tolist() == [[True, False], [True, True], [True, True]]
+    assert voronoi.needed_groups(q, pivots, radius, size, 5)[0].tolist() == [[True, False]]
+    assert voronoi.needed_groups(np.repeat(q, 3, 0), pivots, radius, size, 5, np.array([1, 2, 52]))[0].tolist() == [[True, False], [True, True], [True, True]]
 
 
 def test_top_k_with_repeated_ids_is_brute_force(spark):
