@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import draw
@@ -67,28 +68,98 @@ def mcnemar_exact(gains: Column, losses: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
-def bootstrap_interval(rows: DataFrame, keys: Sequence[str], value: str, replicates: int = 200, level: float = 0.95, seed: str = "boot", weight: str | None = None) -> DataFrame:
-    """``keys, n, mean, low, high``: percentile interval of resampled means.
+def slot_draws(sizes: DataFrame, keys: Sequence[str], replicates: int, seed: str) -> DataFrame:
+    """``keys, replicate, slot``: as many slots below ``n`` for each replicate, drawn with replacement.
 
-    Each replicate draws as many rows as the group has; draws depend on the seed, the
-    group, the replicate and the slot only, so any partitioning gives the same result.
-    ``weight``: rows are cluster sums of ``value`` over ``weight``, and a replicate's
-    mean is the ratio of their sums.  Rows need an order: column ``slot`` from 0 on.
+    A hash gives four draws; they depend on the seed, the group, the replicate and the
+    place only, so any partitioning gives the same.
     """
-    keys = list(keys)
-    known = rows.filter(F.col(value).isNotNull()).select(*keys, "slot", F.col(value).cast("double").alias("v"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
-    sizes = known.groupBy(*keys).agg(F.count("*").alias("n"), (F.sum("v") / F.sum("w")).alias("mean"))
-    # replicates are spread before their draws are made; a few thousand rows move
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = (
+    tasks = -(-replicates // 50)  # replicates are spread before their draws are made
+    blocks = (
         sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .repartition(parts, *keys, "replicate")
-        .withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-        .withColumn("slot", F.floor(draw(seed, *[F.col(k) for k in keys], F.col("replicate"), F.col("i")) * F.col("n")).cast("long"))
-        .select(*keys, "replicate", "slot")
+        .repartition(tasks, *keys, "replicate")
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 4).cast("int"))))
+        .withColumn("hash", F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys], F.col("replicate").cast("string"), F.col("block").cast("string"))))
     )
-    means = drawn.join(known, [*keys, "slot"]).groupBy(*keys, "replicate").agg((F.sum("v") / F.sum("w")).alias("m"))
+    drawn = blocks.select(*keys, "replicate", "n", F.posexplode(F.transform(F.array(*[F.lit(i) for i in (1, 9, 17, 25)]), lambda i: F.col("hash").substr(i, F.lit(8)))).alias("part", "hex"), "block")
+    kept = drawn.filter(F.col("block") * 4 + F.col("part") < F.col("n"))
+    return kept.select(*keys, "replicate", F.floor(F.conv("hex", 16, 10).cast("long") / F.lit(4294967296.0) * F.col("n")).cast("long").alias("slot"))
+
+
+def bounds(column: str, level: float) -> list[Column]:
     tail = (1 - level) / 2
-    bounds = means.groupBy(*keys).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
-    joined = sizes.join(bounds, keys) if keys else sizes.crossJoin(bounds)
-    return joined.select(*keys, "n", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
+    return [F.round(F.percentile(column, F.lit(q)), 9).alias(name) for name, q in (("low", tail), ("high", 1 - tail))]
+
+
+def cluster_interval(clusters: DataFrame, strata: Sequence[str], value: str, weight: str, replicates: int = 5000, level: float = 0.95, seed: str = "cluster") -> DataFrame:
+    """``n, mean, low, high`` of the pooled ratio of sums: clusters are resampled whole within each stratum.
+
+    Rows are cluster sums of ``value`` over ``weight``, with their places ``slot`` (from 0
+    on) in the stratum; a replicate pools the sums of all strata.
+    """
+    strata = list(strata)
+    known = clusters.select(*strata, "slot", F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w"))
+    sizes = known.groupBy(*strata).agg(F.count("*").alias("n"))
+    means = slot_draws(sizes, strata, replicates, seed).join(known, [*strata, "slot"]).groupBy("replicate").agg((F.sum("v") / F.sum("w")).alias("m"))
+    whole = known.agg(F.count("*").alias("n"), F.round(F.sum("v") / F.sum("w"), 9).alias("mean"))
+    return whole.crossJoin(means.agg(*bounds("m", level)))  # one row each
+
+
+def binomial_tables(cases: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, low, cdf``: from ``keys, left, p`` the distribution of successes, from ``low`` on.
+
+    Terms come from the recurrence between neighbours, in logarithms, within twelve
+    deviations of the mean; what lies beyond is less than any draw can tell.
+    """
+    left, p, k = F.col("left"), F.col("p"), F.col("__k")
+    reach = 12 * F.sqrt(left * p * (1 - p)) + 12
+    low, high = F.greatest(F.lit(0), F.floor(left * p - reach)), F.least(left, F.ceil(left * p + reach))
+    rows = cases.withColumn("low", low.cast("long")).withColumn("__k", F.explode(F.sequence(F.col("low"), high.cast("long"))))
+    upto, whole = W.partitionBy(*keys).orderBy("__k"), W.partitionBy(*keys)
+    step = F.when(k == F.col("low"), 0.0).otherwise(F.log((left - k + 1) / k) + F.log(p / (1 - p)))
+    logs = rows.withColumn("log", F.sum(step).over(upto))
+    weights = logs.withColumn("weight", F.exp(F.col("log") - F.max("log").over(whole)))
+    summed = weights.withColumn("c", F.sum("weight").over(upto) / F.sum("weight").over(whole))
+    return summed.groupBy(*keys).agg(F.min("__k").alias("low"), F.array_sort(F.collect_list("c")).alias("cdf"))
+
+
+def resampled_means(sizes: DataFrame, keys: Sequence[str], values: Sequence[float], replicates: int, seed: str) -> DataFrame:
+    """``keys, replicate, m``: means of resampled groups that hold few different values.
+
+    ``sizes``: ``n`` and the count ``k<i>`` of each value.  Drawing n rows with replacement
+    gives multinomial counts of the values; they are drawn as such, one binomial after the
+    other by its inverse distribution, so no replicate visits the rows.
+    """
+    keys = list(keys)
+    rows = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("left", F.col("n")).withColumn("total", F.lit(0.0))
+    rest = F.col("n")
+    for i, value in enumerate(values[:-1]):
+        p = F.coalesce(F.col(f"k{i}") / F.nullif(rest, F.lit(0)), F.lit(0.0))
+        rows = rows.withColumn("p", p).withColumn("u", draw(seed, *[F.col(c) for c in keys], F.col("replicate"), i))
+        cases = rows.filter("p > 0 and p < 1 and left > 0").select(*keys, "left", "p").distinct()
+        rows = rows.join(binomial_tables(cases, [*keys, "left"]), [*keys, "left"], "left")
+        found = F.col("low") + F.size(F.filter("cdf", lambda c: c < F.col("u")))
+        count = F.when(F.col("p") <= 0, F.lit(0)).when(F.col("p") >= 1, F.col("left")).otherwise(F.coalesce(found, F.lit(0)))
+        rows = rows.withColumn("c", count).withColumn("total", F.col("total") + F.col("c") * F.lit(float(value))).withColumn("left", F.col("left") - F.col("c")).drop("low", "cdf")
+        rest = rest - F.col(f"k{i}")
+    return rows.select(*keys, "replicate", ((F.col("total") + F.col("left") * F.lit(float(values[-1]))) / F.col("n")).alias("m"))
+
+
+def value_counts(value: Column, values: Sequence[float]) -> list[Column]:
+    """What ``resampled_means`` needs to know of a group, as aggregates."""
+    return [F.count(value).alias("n"), *[F.count_if(value == v).alias(f"k{i}") for i, v in enumerate(values)]]
+
+
+def few_valued_interval(rows: DataFrame, keys: Sequence[str], value: str, values: Sequence[float] = (0, 1), replicates: int = 2000, level: float = 0.95, seed: str = "boot") -> DataFrame:
+    """``keys, n, mean, low, high``: percentile interval of the resampled mean of a column with few values.
+
+    Nulls are dropped; a group without rows has no interval, one with a single row is
+    certain.  A value that is not listed is an error.
+    """
+    v = F.col(value)
+    listed = F.when(v.isin(*values), v.cast("double")).when(v.isNotNull(), F.raise_error(F.concat(F.lit("value not listed: "), v.cast("string"))).cast("double"))
+    known = rows.withColumn("__v", listed).filter("__v is not null")
+    sizes = known.groupBy(*keys).agg(*value_counts(F.col("__v"), values), F.round(F.avg("__v"), 9).alias("mean"))
+    means = resampled_means(sizes.drop("mean"), keys, values, replicates, seed).groupBy(*keys).agg(*bounds("m", level))
+    joined = sizes.select(*keys, "n", "mean").join(means, list(keys)) if keys else sizes.select("n", "mean").crossJoin(means)
+    return joined.select(*keys, "n", "mean", "low", "high")

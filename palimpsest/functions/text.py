@@ -51,8 +51,12 @@ def token_target(text: Column) -> Column:
 
 
 def context_tokens(name: Column) -> Column:
-    """The number before ``k`` in a dataset name, times 1000; null if there is none."""
-    return F.nullif(F.regexp_extract(F.lower(name), r"(\d+)k(?:[_-]|$)", 1), F.lit("")).cast("long") * 1000
+    """Thousands named by a part of a dataset name such as ``10k``, as tokens; null if no part is one.
+
+    Parts stand between underscores or dashes; a part counts if it ends in digits and a ``k``.
+    """
+    parts = F.transform(F.split(F.lower(name), "[_-]"), lambda part: F.regexp_extract(part, "([0-9]+)k$", 1))
+    return F.get(F.filter(parts, lambda digits: digits != ""), F.lit(0)).cast("long") * 1000
 
 
 def slug(text: Column, default: str = "run") -> Column:

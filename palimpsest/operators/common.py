@@ -3,23 +3,47 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's ``spark.checkpoint.dir``; a local folder only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and stored tables, from ``spark.checkpoint.dir``.
+
+    A local folder is made only where the session names none and the master is local.
+    """
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="palimpsest-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the session's ``spark.checkpoint.dir``."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, *partitions: str) -> tuple[str, DataFrame]:
+    """The rows as a written table in the shared folder: its path, and the table read back."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partitions).parquet(path)
+    return path, read_stored(df.sparkSession, path, df.schema)
+
+
+def read_stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
 def row_index(df: DataFrame, order: Sequence[str], name: str = "source_row_index") -> DataFrame:
     """Adds 0, 1, 2, ... in the given order, without gathering the rows in one task.
 
@@ -33,6 +57,14 @@ def row_index(df: DataFrame, order: Sequence[str], name: str = "source_row_index
     return placed.withColumn("__part", part).join(before, "__part").withColumn(name, F.col("__before") + inside).drop("__part", "__before", "__at")
 
 
+def numbered_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "slot") -> DataFrame:
+    """Adds 0, 1, 2, ... within each key in the given order; no task holds a key's rows."""
+    rows = row_index(df, [*keys, *order], "__row")
+    first = rows.groupBy(*keys).agg(F.min("__row").alias("__first"))
+    joined = rows.join(first, list(keys)) if keys else rows.crossJoin(first)
+    return joined.withColumn(name, F.col("__row") - F.col("__first")).drop("__row", "__first")
+
+
 def ordered_fold(df: DataFrame, order: Sequence[str], fold: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """A sequential pass over the rows in order.
 

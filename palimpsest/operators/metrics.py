@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.stats import agreement, effect_retention, invalid_rate, kappa_of, mcnemar_exact, rate
-from palimpsest.functions.text import draw
-from palimpsest.operators.common import first_of
+from palimpsest.functions.stats import agreement, bounds, cluster_interval, effect_retention, few_valued_interval, invalid_rate, kappa_of, mcnemar_exact, rate, resampled_means, slot_draws, value_counts
+from palimpsest.operators.common import checkpointed, numbered_within
 
 PAIR = ("dataset", "source_row_index", "sssc_id")
 CASES = ("uninjected", "injected", "compacted", "post")
@@ -35,9 +34,14 @@ def compression(facts: DataFrame) -> DataFrame:
     return success(facts).groupBy("compactor").agg(F.round(F.avg("tokens_before"), 6).alias("avg_before"), F.round(F.avg("tokens_after"), 6).alias("avg_after"), F.round(F.avg(F.col("tokens_after") / F.col("tokens_before")), 9).alias("avg_ratio"), F.count("*").alias("n_rows"))
 
 
+def first_runs(facts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns of each pair's first run in the manifest, by partial aggregation."""
+    return facts.groupBy(*PAIR).agg(F.min_by(F.struct(*columns), "manifest_pos").alias("first")).select(*PAIR, "first.*")
+
+
 def baselines(facts: DataFrame) -> DataFrame:
     """Rates of the conditions that no compactor touches: all rows, each pair once, the first run's."""
-    once = first_of(facts.select(*PAIR, "manifest_pos", "uninjected", "injected"), PAIR, ["manifest_pos"])
+    once = first_runs(facts, ("uninjected", "injected"))
     return once.groupBy("dataset").agg(rate(F.col("uninjected")).alias("base"), rate(F.col("injected")).alias("injected_base"))
 
 
@@ -70,7 +74,7 @@ def four_groups(facts: DataFrame) -> DataFrame:
     keys = ["dataset", "compactor"]
     done = success(facts)
     own = long_verdicts(done, keys).filter(F.col("case").isin("compacted", "post")).groupBy(*keys, "case").agg(r10(rate(F.col("verdict"))).alias("rate"), F.count("verdict").alias("n"))
-    once = first_of(done.select(*PAIR, "manifest_pos", *CASES), PAIR, ["manifest_pos"])
+    once = first_runs(done, CASES)
     shared = long_verdicts(once, ["dataset"]).filter(F.col("case").isin("uninjected", "injected")).groupBy("dataset", "case").agg(r10(rate(F.col("verdict"))).alias("rate"), F.count("verdict").alias("n"))
     return own.unionByName(own.select(*keys).distinct().join(shared, "dataset", "left"))
 
@@ -83,10 +87,11 @@ def decomposition(groups: DataFrame) -> DataFrame:
     return wide.select("dataset", "compactor", r10(position).alias("position_advantage"), r10(loss).alias("compaction_loss"), r10(gap - position - loss).alias("residual"), r10(gap).alias("total_gap"), (F.abs(gap - position - loss) < 1e-9).alias("identity_check"))
 
 
-def paired_loss(facts: DataFrame) -> DataFrame:
-    """Mean of injected minus compacted over rows where both are known."""
-    both = success(facts).filter("injected is not null and compacted is not null")
-    return both.groupBy("compactor").agg(F.count("*").alias("n"), r10(F.avg(F.col("injected").cast("double") - F.col("compacted").cast("double"))).alias("loss"))
+def paired_loss(facts: DataFrame, replicates: int = 2000) -> DataFrame:
+    """Mean of injected minus compacted over rows where both are known, with its interval."""
+    both = success(facts).withColumn("d", F.col("injected").cast("int") - F.col("compacted").cast("int"))
+    out = few_valued_interval(both, ["compactor"], "d", (-1, 0, 1), replicates, seed="loss")
+    return out.select("compactor", "n", F.col("mean").alias("loss"), "low", "high")
 
 
 def confusion(facts: DataFrame) -> DataFrame:
@@ -161,16 +166,16 @@ def pairwise_runs(facts: DataFrame, runs: Sequence[str]) -> DataFrame:
     return met.groupBy("case", "l_run", "r_run").agg(F.count("*").alias("n_paired"), r10(x).alias("left_rate"), r10(y).alias("right_rate"), r10(y - x).alias("rate_delta"), r10(same).alias("agree_rate"), r10(kappa_of(same, x, y)).alias("cohen_kappa"))
 
 
-def contrasts(facts: DataFrame) -> DataFrame:
-    """Three contrasts between conditions on rows where both are known."""
-    done = success(facts)
+def contrasts(facts: DataFrame, replicates: int = 5000) -> DataFrame:
+    """Three contrasts between conditions on rows where both are known, with their intervals; one scan."""
     pairs = (("injected", "uninjected"), ("compacted", "uninjected"), ("post", "compacted"))
-    rows = None
-    for a, b in pairs:
-        both = done.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-        one = both.groupBy("compactor").agg(F.count("*").alias("n"), r10(rate(F.col(a))).alias("left_rate"), r10(rate(F.col(b))).alias("right_rate"), r10(F.avg(F.col(a).cast("double") - F.col(b).cast("double"))).alias("difference")).withColumn("contrast", F.lit(f"{a}-{b}"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    sides = F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("contrast"), F.col(a).cast("int").alias("a"), F.col(b).cast("int").alias("b")) for a, b in pairs]))
+    both = success(facts).select("compactor", sides.alias("x")).select("compactor", "x.*").filter("a is not null and b is not null")
+    keys, values = ["compactor", "contrast"], (-1, 0, 1)
+    sums = both.groupBy(*keys).agg(*value_counts(F.col("a") - F.col("b"), values), r10(F.avg("a")).alias("left_rate"), r10(F.avg("b")).alias("right_rate"), r10(F.avg(F.col("a") - F.col("b"))).alias("difference"))
+    sums = checkpointed(sums)  # a few rows, read twice
+    intervals = resampled_means(sums, keys, values, replicates, "contrast").groupBy(*keys).agg(*bounds("m", 0.95))
+    return sums.join(intervals, keys).select("compactor", "n", "left_rate", "right_rate", "difference", "contrast", "low", "high")
 
 
 def stability_pairs(facts: DataFrame) -> DataFrame:
@@ -286,7 +291,7 @@ def label_gate(rows: DataFrame, label: str) -> DataFrame:
     return rows.agg(F.count_if(read).alias("n_read"), F.count_if(blank).alias("n_missing"), F.count_if(~read & ~blank).alias("n_unknown"), (F.count_if(~read) == 0).alias("complete"))
 
 
-def home_field_interval(facts: DataFrame, focal: str, home: str, replicates: int = 200, level: float = 0.95, seed: str = "did") -> DataFrame:
+def home_field_interval(facts: DataFrame, focal: str, home: str, replicates: int = 2000, level: float = 0.95, seed: str = "did") -> DataFrame:
     """Percentile interval of the home-field contrast.
 
     Conversations are resampled whole within each dataset, jointly for the focal
@@ -295,18 +300,19 @@ def home_field_interval(facts: DataFrame, focal: str, home: str, replicates: int
     mine = F.col("compactor") == focal
     part = lambda who, f: f(F.when(who, F.col("retention").cast("double")))
     clusters = success(facts).groupBy("dataset", "source_row_index").agg(part(mine, F.sum).alias("fs"), part(mine, F.count).alias("fn"), part(~mine, F.sum).alias("ps"), part(~mine, F.count).alias("pn"))
-    slots = clusters.withColumn("slot", (F.row_number().over(W.partitionBy("dataset").orderBy("source_row_index")) - 1).cast("long"))
+    slots = numbered_within(clusters, ["dataset"], ["source_row_index"])
     sizes = slots.groupBy("dataset").agg(F.count("*").alias("n"))
-    parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = (
-        sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .repartition(parts, "dataset", "replicate")
-        .withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-        .withColumn("slot", F.floor(draw(seed, F.col("dataset"), F.col("replicate"), F.col("i")) * F.col("n")).cast("long"))
-    )
     total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)))
-    gaps = drawn.select("dataset", "replicate", "slot").join(slots, ["dataset", "slot"]).groupBy("dataset", "replicate").agg((total("fs") / F.nullif(total("fn"), F.lit(0)) - total("ps") / F.nullif(total("pn"), F.lit(0))).alias("gap"))
+    drawn = slot_draws(sizes, ["dataset"], replicates, seed)
+    gaps = drawn.join(slots, ["dataset", "slot"]).groupBy("dataset", "replicate").agg((total("fs") / F.nullif(total("fn"), F.lit(0)) - total("ps") / F.nullif(total("pn"), F.lit(0))).alias("gap"))
     at_home = F.col("dataset") == home
     did = gaps.groupBy("replicate").agg((F.avg(F.when(at_home, F.col("gap"))) - F.avg(F.when(~at_home, F.col("gap")))).alias("did")).filter("did is not null")
-    tail = (1 - level) / 2
-    return did.agg(F.count("*").alias("n_replicates"), F.round(F.percentile("did", F.lit(tail)), 9).alias("low"), F.round(F.percentile("did", F.lit(1 - tail)), 9).alias("high"))
+    return did.agg(F.count("*").alias("n_replicates"), *bounds("did", level))
+
+
+def clustered_delta(facts: DataFrame, left_run: str, right_run: str, replicates: int = 5000) -> DataFrame:
+    """The pooled difference of two runs' compliance and its interval: conversations are resampled within datasets."""
+    side = lambda run: F.max(F.when((F.col("run_id") == run), F.col("compacted").cast("int")))
+    pairs = facts.filter(F.col("run_id").isin(left_run, right_run)).groupBy(*PAIR).agg(side(left_run).alias("a"), side(right_run).alias("b")).filter("a is not null and b is not null")
+    clusters = pairs.groupBy("dataset", "source_row_index").agg(F.sum(F.col("b") - F.col("a")).alias("v"), F.count("*").alias("w"))
+    return cluster_interval(numbered_within(clusters, ["dataset"], ["source_row_index"]), ["dataset"], "v", "w", replicates)

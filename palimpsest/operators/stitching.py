@@ -45,11 +45,19 @@ def joined_messages(lists: Column, one_system: Column) -> Column:
     return F.flatten(F.transform(lists, lambda x, i: F.when(one_system & (i > 0), without_leading_system(x)).otherwise(x)))
 
 
+def stitching_lengths(context: DataFrame, one_system: bool, key: str = "conv_id") -> DataFrame:
+    """``key, token_length, later_length``: what a context adds to a row as its first and as a later part."""
+    whole = total_tokens(F.col("messages"))
+    later = total_tokens(without_leading_system(F.col("messages"))) if one_system else whole
+    return context.select(key, whole.alias("token_length"), later.alias("later_length"))
+
+
 def concatenated(context: DataFrame, target: int, key: str = "conv_id", num_rows: int | None = None) -> DataFrame:
     """``source_row_index, sources, token_length, is_empty``: rows of consecutive contexts.
 
     Lengths add up in key order until the target; the tail is then cropped to
-    ``target / SLACK``, which may leave nothing.  The last row is dropped if short.
+    ``target / SLACK``, which may leave nothing.  The last row is dropped if short.  A
+    context that is not its row's first counts ``later_length``, where there is one.
     """
     most = target / SLACK
 
@@ -57,9 +65,9 @@ def concatenated(context: DataFrame, target: int, key: str = "conv_id", num_rows
         index, ids, lengths = 0, [], []
         for batch in batches:
             rows = []
-            for i, n in zip(batch["id"].tolist(), batch["n"].tolist(), strict=True):
+            for i, n, m in zip(batch["id"].tolist(), batch["n"].tolist(), batch["m"].tolist(), strict=True):
+                lengths.append(m if ids else n)
                 ids.append(i)
-                lengths.append(n)
                 if sum(lengths) >= target:
                     while lengths and sum(lengths) > most:
                         ids.pop(), lengths.pop()
@@ -69,7 +77,8 @@ def concatenated(context: DataFrame, target: int, key: str = "conv_id", num_rows
             yield pd.DataFrame(rows, columns=["source_row_index", "sources", "token_length", "is_empty"])
 
     size = F.col("token_length") if "token_length" in context.columns else total_tokens(F.col("messages"))
-    narrow = context.select(F.col(key).cast("long").alias("id"), size.cast("long").alias("n"))
+    later = F.col("later_length") if "later_length" in context.columns else size
+    narrow = context.select(F.col(key).cast("long").alias("id"), size.cast("long").alias("n"), later.cast("long").alias("m"))
     return ordered_fold(narrow, ["id"], fold, "source_row_index long, sources array<long>, token_length long, is_empty boolean")
 
 
@@ -173,46 +182,67 @@ class FreeRows:
                 self.rows[b], self.parts[b], self.used[b] = self.rows[b][keep], self.parts[b][keep], 0
 
 
-def cohesive_pool(ids: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, target: int) -> list[tuple[list[int], int]]:
+class Unfilled(ValueError):
+    """The rows left cannot fill another row, or fewer rows were made than asked for."""
+
+
+def cohesive_pool(ids: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, target: int, later: np.ndarray | None = None, rows: int | None = None) -> list[tuple[list[int], int]]:
     """Greedy rows of one pool: seeds in id order, then the nearest unused to the centroid.
 
-    Past ``target / SLACK`` the latest rows are put back, never the seed.  Stops when
-    the rest of the pool cannot fill a row.
+    ``later``: lengths of rows that do not come first, without their leading system
+    message.  Past ``target / SLACK`` the latest rows are put back, never the seed.  With
+    ``rows``, so many are made, and it is an error if the pool cannot fill them; without,
+    as many as it fills.
     """
     order = np.argsort(ids)
     ids, vectors, lengths = ids[order], vectors[order], lengths[order]
-    index, out, seed, left = FreeRows(vectors), [], 0, int(lengths.sum())
+    later = lengths if later is None else later[order]
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+    index, out, seed, most = FreeRows(vectors), [], 0, int(target / SLACK)
     free = index.free
-    while left >= target and left > 0:
-        while not free[seed]:
+    while free.any() if rows is None else len(out) < rows:
+        while seed < len(free) and not free[seed]:
             seed += 1
-        taken = [seed]
+        if seed == len(free):
+            raise Unfilled(f"{len(out)} of {rows} rows were made before the pool was used up")
+        taken, total = [seed], int(lengths[seed])
         free[seed] = False
-        while lengths[taken].sum() < target:
+        while total < target and free.any():
             centre = vectors[taken].mean(0)
-            centre /= max(np.linalg.norm(centre), 1e-12)
-            taken.append(index.nearest(centre))
+            taken.append(index.nearest(centre / max(np.linalg.norm(centre), 1e-12)))
             free[taken[-1]] = False
-        while len(taken) > 1 and lengths[taken].sum() > target / SLACK:
+            total += int(later[taken[-1]])
+        if total < target:
+            if rows is None:
+                break
+            raise Unfilled(f"the rows left hold {total} of {target} tokens; {len(out)} of {rows} rows were made")
+        while len(taken) > 1 and total > most:
+            total -= int(later[taken[-1]])
             free[taken.pop()] = True
         index.settle(taken)
-        out.append((ids[taken].tolist(), int(lengths[taken].sum())))
-        left -= out[-1][1]
+        out.append((ids[taken].tolist(), total))
     return out
 
 
-def topic_cohesive(lengths: DataFrame, vectors: DataFrame, target: int, key: str = "conv_id", pool: str = "label") -> DataFrame:
-    """``label, pool, row, sources, token_length``: greedy topic rows within each label.
+def topic_cohesive(lengths: DataFrame, vectors: DataFrame, target: int, key: str = "conv_id", pool: str | None = None, rows: int | None = None) -> DataFrame:
+    """``pool, row, sources, token_length``: greedy topic rows over all of the dataset.
 
-    Each label is solved whole, as each step needs the one before; ``pool`` is always 0.
+    ``lengths``: key, ``token_length`` and, where leading system messages are dropped from
+    later rows, ``later_length``.  Every step needs the one before, over all rows: the
+    dataset's ids, lengths and vectors, not its texts, are solved in one task.  For a
+    dataset too large for that, ``pool`` names a column of ``vectors`` (a topic label)
+    whose values are solved apart, each in a task; rows then never mix labels.
     """
-    joined = vectors.join(lengths, vectors["vec_id"] == lengths[key]).select(F.col(pool).alias("label"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("token_length").alias("n"))
+    joined = vectors.join(lengths, vectors["vec_id"] == lengths[key])
+    later = F.col("later_length") if "later_length" in lengths.columns else F.col("token_length")
+    narrow = joined.select((F.col(pool) if pool else F.lit(0)).cast("long").alias("pool"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("token_length").alias("n"), later.alias("m"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = cohesive_pool(pdf["id"].to_numpy(), np.stack(pdf["v"]).astype(float), pdf["n"].to_numpy(), target)
-        return pd.DataFrame([(pdf["label"].iloc[0], 0, i, s, t) for i, (s, t) in enumerate(rows)], columns=["label", "pool", "row", "sources", "token_length"])
+        made = cohesive_pool(pdf["id"].to_numpy(), np.stack(pdf["v"]).astype(float), pdf["n"].to_numpy(), target, pdf["m"].to_numpy(), rows)
+        return pd.DataFrame([(pdf["pool"].iloc[0], i, s, t) for i, (s, t) in enumerate(made)], columns=["pool", "row", "sources", "token_length"])
 
-    return joined.groupBy("label").applyInPandas(solve, "label int, pool long, row int, sources array<long>, token_length long")
+    return narrow.groupBy("pool").applyInPandas(solve, "pool long, row int, sources array<long>, token_length long")
 
 
 def byte_bins(rows: DataFrame, most_rows: int, most_bytes: int, id_col: str, size_col: str) -> DataFrame:

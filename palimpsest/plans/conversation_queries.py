@@ -211,9 +211,29 @@ def masked_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.nearest_to_seed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-@query(None)
+#: A step of the greedy stitching adds the nearest free context, gives the latest one back, or ends a row.
+_TOPIC_SQL = f"""WITH RECURSIVE {CONV_SQL},
+src AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v, list_sum(t)::BIGINT AS n
+  FROM embeddings JOIN ctx ON vec_id = conv_id),
+step AS (
+  SELECT 0 AS made, []::BIGINT[] AS used, []::BIGINT[] AS taken, list_resize([]::DOUBLE[], 64, 0.0) AS total_v, 0::BIGINT AS total, false AS filled, []::BIGINT[] AS done, 0::BIGINT AS done_total
+  UNION ALL
+  (WITH s AS (SELECT *, filled AND NOT (len(taken) > 1 AND total > floor({LONG_TARGET} / 0.8)) AS ends FROM step),
+  c AS (SELECT src.id, src.v, src.n, -round(list_sum(list_transform(list_zip(src.v, s.total_v), lambda z: z[1] * z[2])) / greatest(sqrt(list_sum(list_transform(s.total_v, lambda y: y * y))), 1e-12), 9) AS d
+    FROM s JOIN src ON NOT list_contains(s.used, src.id) AND NOT list_contains(s.taken, src.id) WHERE NOT s.filled),
+  nxt AS (SELECT * FROM c ORDER BY d, id LIMIT 1), gone AS (SELECT src.* FROM s JOIN src ON src.id = s.taken[-1] WHERE s.filled AND NOT s.ends)
+  SELECT made + 1, list_concat(used, taken), []::BIGINT[], list_resize([]::DOUBLE[], 64, 0.0), 0::BIGINT, false, taken, total FROM s WHERE ends
+  UNION ALL SELECT made, used, taken[:-2], list_transform(list_zip(total_v, v), lambda z: z[1] - z[2]), total - n, true, []::BIGINT[], 0::BIGINT FROM s, gone
+  UNION ALL SELECT made, used, list_append(taken, id), list_transform(list_zip(total_v, v), lambda z: z[1] + z[2]), total + n, total + n >= {LONG_TARGET}, []::BIGINT[], 0::BIGINT FROM s, nxt))
+SELECT (made - 1)::INTEGER AS "row", array_to_string(done, ',') AS sources, done_total AS token_length FROM step WHERE len(done) > 0"""
+
+
+@query(_TOPIC_SQL)
 def topic_cohesive_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.topic_cohesive(lengths(turns_of(spark, sf_dir)).select("conv_id", "token_length"), spark.read.parquet(f"{sf_dir}/embeddings.parquet"), LONG_TARGET)
+    """Rows over the whole dataset, as many as it fills."""
+    sizes = lengths(turns_of(spark, sf_dir)).select("conv_id", "token_length")
+    rows = K.topic_cohesive(sizes, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), LONG_TARGET)
+    return rows.select("row", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"), F.col("token_length"))
 
 
 @query(f"""WITH {CONV_SQL}, {catalogue_sql()}, r AS (SELECT cat.type, cat.id, list_contains(range(greatest(n - 5, 0), n), u[1]) AS kept FROM ctx, cat WHERE len(u) > 0)

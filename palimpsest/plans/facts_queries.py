@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.stats import bootstrap_interval
+from palimpsest.functions.stats import few_valued_interval
 from palimpsest.functions.text import draw
 from palimpsest.operators import metrics as A
 from palimpsest.operators import sampling as S
@@ -21,6 +20,36 @@ def rate(c: str, where: str | None = None) -> str:
     return f"avg({c}::INTEGER)" + (f" FILTER ({where})" if where else "")
 
 
+def few_sql(keys: tuple[str, ...], values: tuple[int, ...], replicates: int, seed: str) -> str:
+    """``few``: the twin of ``few_valued_interval`` over ``src`` (keys, v), by exact binomial terms."""
+    k = ", ".join(keys)
+    parts = [f"""sz AS (SELECT {k}, count(v) AS n, avg(v) AS mean, {", ".join(f"count(*) FILTER (v = {v}) AS k{i}" for i, v in enumerate(values))} FROM src WHERE v IS NOT NULL GROUP BY {k}),
+s0 AS (SELECT sz.*, rep, n AS rest, 0.0 AS total FROM sz, range(0, {replicates}) r(rep))"""]
+    rest = "n"
+    for i, v in enumerate(values[:-1]):
+        u = draw_sql(repr(seed), *keys, "rep", str(i))
+        parts.append(f"""
+l{i} AS (SELECT *, coalesce(k{i} / nullif({rest}, 0), 0.0) AS p, {u} AS u FROM s{i}),
+c{i} AS (SELECT DISTINCT {k}, rest, p FROM l{i} WHERE p > 0 AND p < 1 AND rest > 0),
+w{i} AS (SELECT {k}, rest, x, exp(lgamma(rest + 1) - lgamma(x + 1) - lgamma(rest - x + 1) + x * ln(p) + (rest - x) * ln(1 - p)) AS w
+  FROM c{i}, unnest(range(greatest(0, floor(rest * p - 12 * sqrt(rest * p * (1 - p)) - 12))::BIGINT, least(rest, ceil(rest * p + 12 * sqrt(rest * p * (1 - p)) + 12))::BIGINT + 1)) t(x)),
+f{i} AS (SELECT {k}, rest, x, sum(w) OVER (PARTITION BY {k}, rest ORDER BY x) / sum(w) OVER (PARTITION BY {k}, rest) AS c FROM w{i}),
+g{i} AS (SELECT l.*, CASE WHEN p <= 0 THEN 0 WHEN p >= 1 THEN l.rest ELSE coalesce(f.x, 0) END AS got FROM l{i} l ASOF LEFT JOIN f{i} f ON {" AND ".join(f"l.{c} = f.{c}" for c in keys)} AND l.rest = f.rest AND l.u <= f.c),
+s{i + 1} AS (SELECT * EXCLUDE (p, u, got, rest, total), rest - got AS rest, total + got * {v} AS total FROM g{i})""")
+        rest += f" - k{i}"
+    last = len(values) - 1
+    parts.append(f"""
+few AS (SELECT {k}, n, round(mean, 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM (SELECT {k}, n, mean, (total + rest * {values[-1]}) / n AS m FROM s{last}) GROUP BY {k}, n, mean)""")
+    return ",".join(parts)
+
+
+def slots_sql(keys: tuple[str, ...], replicates: int, seed: str) -> str:
+    """``dr``: the twin of ``slot_draws`` over ``z`` (keys, n)."""
+    text = " || '|' || ".join([repr(seed), *[f"z.{k}::VARCHAR" for k in keys], "rep::VARCHAR", "(i // 4)::VARCHAR"])
+    return f"""dr AS (SELECT {", ".join(f"z.{k}" for k in keys)}, rep, floor(('0x' || substr(md5({text}), (1 + 8 * (i % 4))::INTEGER, 8))::BIGINT / 4294967296.0 * z.n)::BIGINT AS slot
+  FROM z, range(0, {replicates}) a(rep), range(0, (SELECT max(n) FROM z)) b(i) WHERE i < z.n)"""
+
+
 def _retention_sql(*keys: str) -> str:
     k = ", ".join(keys)
     return f"{FACTS} SELECT {k}, round({rate('retention')}, 10) AS retention_rate, count(*) FILTER (retention) AS n_retained, count(retention) AS n_judged, count(*) AS n_rows FROM facts GROUP BY {k}"
@@ -110,7 +139,7 @@ def compliance_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.withColumn("residual", F.abs("residual"))
 
 
-@query(f"{FACTS} SELECT compactor, count(*) AS n, round(avg(injected::INTEGER - compacted::INTEGER), 10) AS loss FROM facts WHERE status = 'success' AND injected IS NOT NULL AND compacted IS NOT NULL GROUP BY 1")
+@query(f"{FACTS}, src AS (SELECT compactor, injected::INTEGER - compacted::INTEGER AS v FROM facts WHERE status = 'success' AND injected IS NOT NULL AND compacted IS NOT NULL), " + few_sql(("compactor",), (-1, 0, 1), 2000, "loss") + " SELECT compactor, n, mean AS loss, low, high FROM few")
 def paired_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.paired_loss(facts(spark, sf_dir))
 
@@ -258,7 +287,12 @@ def pairwise_probers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.pairwise_runs(facts(spark, sf_dir), (RUN_A, RUN_B, RUN_C))
 
 
-@query(FACTS + " " + " UNION ALL ".join(f"SELECT compactor, count(*) AS n, round(avg({a}::INTEGER), 10) AS left_rate, round(avg({b}::INTEGER), 10) AS right_rate, round(avg({a}::INTEGER - {b}::INTEGER), 10) AS difference, '{a}-{b}' AS contrast FROM facts WHERE status = 'success' AND {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1" for a, b in (("injected", "uninjected"), ("compacted", "uninjected"), ("post", "compacted"))))
+_CONTRASTS = " UNION ALL ".join(f"SELECT compactor, '{a}-{b}' AS contrast, {a}::INTEGER AS a, {b}::INTEGER AS b FROM facts WHERE status = 'success' AND {a} IS NOT NULL AND {b} IS NOT NULL" for a, b in (("injected", "uninjected"), ("compacted", "uninjected"), ("post", "compacted")))
+
+
+@query(f"{FACTS}, known AS ({_CONTRASTS}), src AS (SELECT compactor, contrast, a - b AS v FROM known), " + few_sql(("compactor", "contrast"), (-1, 0, 1), 5000, "contrast") + """,
+t AS (SELECT compactor, contrast, round(avg(a), 10) AS left_rate, round(avg(b), 10) AS right_rate, round(avg(a - b), 10) AS difference FROM known GROUP BY 1, 2)
+SELECT compactor, n, left_rate, right_rate, difference, contrast, low, high FROM t JOIN few USING (compactor, contrast)""")
 def condition_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.contrasts(facts(spark, sf_dir))
 
@@ -289,45 +323,26 @@ def tool_call_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.tool_calls(calls, "case", "user_id", "event_type")
 
 
-REPLICATES = 200
-
-
-def _boot_sql(source: str, keys: tuple[str, ...], seed: str) -> str:
-    k = ", ".join(keys)
-    d = draw_sql(repr(seed), *[f"z.{x}" for x in keys], "rep", "i")
-    return f"""src AS ({source}), z AS (SELECT {k}, count(*) AS n, sum(v) / sum(w) AS mean FROM src GROUP BY {k}),
-dr AS (SELECT {', '.join(f'z.{x}' for x in keys)}, rep, floor({d} * z.n)::BIGINT AS slot FROM z, range(0, {REPLICATES}) a(rep), range(0, (SELECT max(n) FROM z)) b(i) WHERE i < z.n),
-ms AS (SELECT {k}, rep, sum(v) / sum(w) AS m FROM dr JOIN src USING ({k}, slot) GROUP BY {k}, rep)
-SELECT {k}, z.n, round(z.mean, 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM ms JOIN z USING ({k}) GROUP BY {k}, z.n, z.mean"""
-
-
-def _slots(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return rows.withColumn("slot", (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
-
-
-_SLOT = "row_number() OVER (PARTITION BY {k} ORDER BY source_row_index, sssc_id) - 1 AS slot"
-
-
-@query(f"{FACTS}, " + _boot_sql(f"SELECT compactor, {_SLOT.format(k='compactor')}, compacted::INTEGER AS v, 1.0 AS w FROM facts WHERE status = 'success' AND position = 'middle' AND compacted IS NOT NULL", ("compactor",), "mean"))
+@query(f"{FACTS}, src AS (SELECT compactor, compacted::INTEGER AS v FROM facts WHERE status = 'success'), " + few_sql(("compactor",), (0, 1), 2000, "mean") + " SELECT * FROM few")
 def bootstrap_mean_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.success(facts(spark, sf_dir)).filter("position = 'middle' and compacted is not null").withColumn("v0", F.col("compacted").cast("double"))
-    return bootstrap_interval(_slots(rows, ["compactor"], ["source_row_index", "sssc_id"]), ["compactor"], "v0", REPLICATES, seed="mean")
+    rows = A.success(facts(spark, sf_dir)).withColumn("v", F.col("compacted").cast("int"))
+    return few_valued_interval(rows, ["compactor"], "v", (0, 1), 2000, seed="mean")
 
 
-@query(f"{FACTS}, " + _boot_sql(f"SELECT compactor, {_SLOT.format(k='compactor')}, post::INTEGER - compacted::INTEGER AS v, 1.0 AS w FROM facts WHERE status = 'success' AND position = 'bottom' AND compacted IS NOT NULL AND post IS NOT NULL", ("compactor",), "diff"))
+@query(f"{FACTS}, src AS (SELECT compactor, post::INTEGER - compacted::INTEGER AS v FROM facts WHERE status = 'success'), " + few_sql(("compactor",), (-1, 0, 1), 5000, "diff") + " SELECT * FROM few")
 def paired_diff_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.success(facts(spark, sf_dir)).filter("position = 'bottom' and compacted is not null and post is not null").withColumn("v0", F.col("post").cast("double") - F.col("compacted").cast("double"))
-    return bootstrap_interval(_slots(rows, ["compactor"], ["source_row_index", "sssc_id"]), ["compactor"], "v0", REPLICATES, seed="diff")
+    rows = A.success(facts(spark, sf_dir)).withColumn("v", F.col("post").cast("int") - F.col("compacted").cast("int"))
+    return few_valued_interval(rows, ["compactor"], "v", (-1, 0, 1), 5000, seed="diff")
 
 
-@query(f"""{FACTS}, pr AS (SELECT a.dataset, a.source_row_index, b.compacted::INTEGER - a.compacted::INTEGER AS d FROM facts a JOIN facts b USING (dataset, source_row_index, sssc_id) WHERE a.run_id = '{RUN_A}' AND b.run_id = '{RUN_B}' AND a.compacted IS NOT NULL AND b.compacted IS NOT NULL), """ + _boot_sql("SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY source_row_index) - 1 AS slot, sum(d) AS v, count(*)::DOUBLE AS w FROM pr GROUP BY dataset, source_row_index", ("dataset",), "cluster"))
+@query(f"""{FACTS}, pr AS (SELECT dataset, source_row_index, b.compacted::INTEGER - a.compacted::INTEGER AS d FROM facts a JOIN facts b USING (dataset, source_row_index, sssc_id) WHERE a.run_id = '{RUN_A}' AND b.run_id = '{RUN_B}' AND a.compacted IS NOT NULL AND b.compacted IS NOT NULL),
+cl AS (SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY source_row_index) - 1 AS slot, sum(d) AS v, count(*) AS w FROM pr GROUP BY dataset, source_row_index),
+z AS (SELECT dataset, count(*) AS n FROM cl GROUP BY 1), """ + slots_sql(("dataset",), 5000, "cluster") + """,
+ms AS (SELECT rep, sum(v) / sum(w) AS m FROM dr JOIN cl USING (dataset, slot) GROUP BY rep)
+SELECT (SELECT count(*) FROM cl) AS n, (SELECT round(sum(v) / sum(w), 9) FROM cl) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM ms""")
 def clustered_delta_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations are resampled whole, within each dataset."""
-    keys = ["dataset", "source_row_index", "sssc_id"]
-    side = lambda run, name: facts(spark, sf_dir).filter((F.col("run_id") == run) & F.col("compacted").isNotNull()).select(*keys, F.col("compacted").cast("double").alias(name))
-    pairs = side(RUN_A, "a").join(side(RUN_B, "b"), keys)
-    clusters = pairs.groupBy("dataset", "source_row_index").agg(F.sum(F.col("b") - F.col("a")).alias("v0"), F.count("*").alias("w0"))
-    return bootstrap_interval(_slots(clusters, ["dataset"], ["source_row_index"]), ["dataset"], "v0", REPLICATES, seed="cluster", weight="w0")
+    """Conversations are resampled whole, within each dataset; a replicate pools all datasets."""
+    return A.clustered_delta(facts(spark, sf_dir), RUN_A, RUN_B)
 
 
 _KEYED = f"{FACTS}, keyed AS (SELECT substr(sha1(concat_ws('|', dataset, source_row_index, sssc_id, run_id)), 1, 16) AS key, run_id, source_row_index, sssc_id, retention FROM facts WHERE retention IS NOT NULL)"
@@ -433,9 +448,9 @@ def label_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{FACTS}, c AS (SELECT dataset, source_row_index, sum(retention::INTEGER) FILTER (compactor = 'extract_3') AS fs, count(retention) FILTER (compactor = 'extract_3') AS fn, sum(retention::INTEGER) FILTER (compactor <> 'extract_3') AS ps, count(retention) FILTER (compactor <> 'extract_3') AS pn FROM facts WHERE status = 'success' GROUP BY 1, 2),
 s AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY source_row_index) - 1 AS slot FROM c), z AS (SELECT dataset, count(*) AS n FROM s GROUP BY 1),
-dr AS (SELECT z.dataset, rep, floor({draw_sql("'did'", "z.dataset", "rep", "i")} * z.n)::BIGINT AS slot FROM z, range(0, {REPLICATES}) a(rep), range(0, (SELECT max(n) FROM z)) b(i) WHERE i < z.n),
+""" + slots_sql(("dataset",), 2000, "did") + """,
 g AS (SELECT dataset, rep, sum(coalesce(fs, 0)) / nullif(sum(fn), 0) - sum(coalesce(ps, 0)) / nullif(sum(pn), 0) AS gap FROM dr JOIN s USING (dataset, slot) GROUP BY 1, 2),
 d AS (SELECT rep, avg(gap) FILTER (dataset = 'chat_10k') - avg(gap) FILTER (dataset <> 'chat_10k') AS did FROM g GROUP BY 1)
 SELECT count(did) AS n_replicates, round(quantile_cont(did, 0.025), 9) AS low, round(quantile_cont(did, 0.975), 9) AS high FROM d""")
 def home_field_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.home_field_interval(facts(spark, sf_dir), "extract_3", "chat_10k", REPLICATES)
+    return A.home_field_interval(facts(spark, sf_dir), "extract_3", "chat_10k")

@@ -70,11 +70,9 @@ def evaluate(spark: SparkSession, config: dict) -> list[str]:
         data = readers.read_dataset(spark, spec["dataset"]["path"], spec["dataset"].get("rows"), bool(config.get("test")))
         work = phases.pairs(spark, data, attrs.get("position", "top"), attrs.get("repeat", 1), attrs.get("explicitness", True), attrs.get("hard", True))
         path = f"{root}/{run['run_id']}"
-        before = spark.read.parquet(path) if writers.exists(spark, path) else None
+        before = spark.read.parquet(path) if writers.recovered(spark, path) else None
         made = phases.evaluated(work, compactor(spec["compactor"]["name"]), spec["probe"]["runtime"], spec["evaluator"]["runtime"], before)
-        staged = f"{path}__new"
-        made.write.mode("overwrite").parquet(staged)  # what is read must not be written over
-        spark.read.parquet(staged).write.mode("overwrite").parquet(path)
+        writers.replace_table(made, path)
         writers.write_json(spark, spec, f"{path}.json")
         done.append(run["run_id"])
     return done

@@ -10,33 +10,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _files(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as it names it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    files, where = _files(spark, path)
+    files, where = file_system(spark, path)
     return files.exists(where)
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end: the committer's mark is there."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def replace_table(df: DataFrame, path: str) -> DataFrame:
+    """Write a table beside its place and move it there when it is whole.
+
+    The table may be read by ``df`` itself.  Whatever breaks off leaves a whole table:
+    the old one, or, between the two moves, the new one under its staged name, which
+    ``recovered`` puts in place.
+    """
+    spark = df.sparkSession
+    staged, old = f"{path}__new", f"{path}__old"
+    files, where = file_system(spark, path)
+    df.write.mode("overwrite").parquet(staged)
+    if files.exists(where):
+        files.delete(file_system(spark, old)[1], True)
+        files.rename(where, file_system(spark, old)[1])
+    files.rename(file_system(spark, staged)[1], where)
+    files.delete(file_system(spark, old)[1], True)
+    return spark.read.parquet(path)
+
+
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Whether there is a whole table at ``path``, after finishing a replacement that broke off."""
+    files, where = file_system(spark, path)
+    staged, old = f"{path}__new", f"{path}__old"
+    if not complete(spark, path):
+        for other in (staged, old):
+            if complete(spark, other):
+                files.delete(where, True)
+                files.rename(file_system(spark, other)[1], where)
+                break
+    for other in (staged, old):
+        files.delete(file_system(spark, other)[1], True)
+    return complete(spark, path)
+
+
 def write_results(df: DataFrame, path: str) -> None:
     """Replace the partitions of the runs in ``df``; other runs stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def write_dataset(df: DataFrame, path: str, columns: Sequence[str] = ("source_row_index", "messages", "token_length", "source_conversation_count")) -> DataFrame:
-    """Write once; what is there already is read back instead."""
+    """Write once; a whole table that is there already is read back instead, a broken one is written anew."""
     spark = df.sparkSession
-    if not exists(spark, path):
-        df.select(*[c for c in columns if c in df.columns]).write.mode("errorifexists").parquet(path)
+    if not recovered(spark, path):
+        return replace_table(df.select(*[c for c in columns if c in df.columns]), path)
     return spark.read.parquet(path)
 
 
 def write_json(spark: SparkSession, value: object, path: str) -> None:
     """A small JSON document, through Spark's file system."""
-    files, where = _files(spark, path)
+    files, where = file_system(spark, path)
     out = files.create(where, True)
     try:
         out.write(bytearray(json.dumps(value, indent=2, sort_keys=True, default=str).encode()))
@@ -70,7 +109,7 @@ def cached(spark: SparkSession, path: str, identity: dict, make: Callable[[], Da
     """A table kept under its identity's hash, made where it is not there yet."""
     name = hashlib.sha256(json.dumps(identity, sort_keys=True).encode()).hexdigest()[:16]
     where, note = f"{path}/{name}", f"{path}/{name}.json"
-    if not (exists(spark, note) and exists(spark, where) and read_json(spark, note) == json.loads(json.dumps(identity))):
+    if not (exists(spark, note) and complete(spark, where) and read_json(spark, note) == json.loads(json.dumps(identity))):
         make().write.mode("overwrite").parquet(where)
         write_json(spark, identity, note)
     return spark.read.parquet(where)

@@ -49,15 +49,45 @@ def test_effect_retention_has_no_value_without_an_effect(spark):
     assert one.select(stats.effect_retention(F.lit(0.9), F.lit(0.3), F.lit(0.9)).alias("x")).first().x == pytest.approx(1.0)
 
 
-def test_bootstrap_resembles_numpy_and_ignores_partitions(spark):
+def test_cluster_interval_resembles_numpy_and_ignores_partitions(spark):
     v = np.random.default_rng(0).random(200)
-    rows = spark.createDataFrame([("g", i, float(x)) for i, x in enumerate(v)], "k string, slot long, v double")
-    a = stats.bootstrap_interval(rows.repartition(7), ["k"], "v", 400).first()
-    assert a == stats.bootstrap_interval(rows.coalesce(1), ["k"], "v", 400).first()
+    rows = spark.createDataFrame([("g", i, float(x), 1.0) for i, x in enumerate(v)], "k string, slot long, v double, w double")
+    a = stats.cluster_interval(rows.repartition(7), ["k"], "v", "w", 400).first()
+    assert a == stats.cluster_interval(rows.coalesce(1), ["k"], "v", "w", 400).first()
     half = 1.96 * v.std() / math.sqrt(200)
-    assert a.low == pytest.approx(v.mean() - half, abs=0.02) and a.high == pytest.approx(v.mean() + half, abs=0.02)
-    single = stats.bootstrap_interval(rows.limit(1), ["k"], "v", 10).first()
-    assert single["low"] == single["high"] == single["mean"]
+    assert a.n == 200 and a.low == pytest.approx(v.mean() - half, abs=0.02) and a.high == pytest.approx(v.mean() + half, abs=0.02)
+    single = stats.cluster_interval(rows.limit(1), ["k"], "v", "w", 10).first()
+    assert single["low"] == single["high"] == pytest.approx(single["mean"], abs=1e-9)
+
+
+def test_cluster_interval_pools_strata(spark):
+    """A replicate adds the sums of all strata; each keeps its number of clusters."""
+    rows = [("a", i, 0.0, 1.0) for i in range(30)] + [("b", i, 6.0, 2.0) for i in range(10)]
+    out = stats.cluster_interval(spark.createDataFrame(rows, "k string, slot long, v double, w double"), ["k"], "v", "w", 50).first()
+    assert (out.n, out["mean"], out.low, out.high) == (40, 1.2, 1.2, 1.2)
+
+
+def test_few_valued_interval_resembles_resampling(spark):
+    rng = np.random.default_rng(5)
+    v = rng.choice([-1, 0, 1], 300, p=[0.2, 0.5, 0.3])
+    rows = spark.createDataFrame([("g", int(x)) for x in v] + [("g", None), ("one", 1), ("same", 0), ("same", 0)], "k string, v int")
+    got = {r.k: r for r in stats.few_valued_interval(rows, ["k"], "v", (-1, 0, 1), 2000).collect()}
+    means = np.array([rng.choice(v, len(v)).mean() for _ in range(4000)])
+    assert got["g"].n == 300 and got["g"]["mean"] == pytest.approx(v.mean(), abs=1e-9)
+    assert (got["g"].low, got["g"].high) == (pytest.approx(np.quantile(means, 0.025), abs=0.01), pytest.approx(np.quantile(means, 0.975), abs=0.01))
+    assert (got["one"].low, got["one"].high, got["same"].low, got["same"].high) == (1, 1, 0, 0)
+    assert stats.few_valued_interval(rows.filter("v is null"), ["k"], "v", (0, 1), 20).count() == 0
+    with pytest.raises(Exception, match="value not listed"):
+        stats.few_valued_interval(rows, ["k"], "v", (0, 1), 20).collect()
+
+
+def test_binomial_tables_are_the_distribution(spark):
+    cases = [(1, 0.5), (7, 0.01), (40, 0.3), (3000, 0.9), (100_000, 0.5)]
+    df = spark.createDataFrame([("g", n, p) for n, p in cases], "k string, left long, p double")
+    for r in stats.binomial_tables(df, ["k", "left"]).collect():
+        p, cdf = dict(cases)[r["left"]], np.array(r.cdf)
+        terms = [math.exp(math.lgamma(r["left"] + 1) - math.lgamma(x + 1) - math.lgamma(r["left"] - x + 1) + x * math.log(p) + (r["left"] - x) * math.log(1 - p)) for x in range(r["left"] + 1)]
+        assert np.abs(cdf - np.cumsum(terms)[r.low : r.low + len(cdf)]).max() < 1e-8 and len(cdf) < 60 + 25 * math.sqrt(r["left"])
 
 
 def test_decomposition_adds_up(spark):
@@ -103,41 +133,68 @@ def test_concatenation(spark):
 
 def test_topic_rows_use_each_context_once(spark):
     lengths = contexts(spark, SF).withColumn("token_length", M.total_tokens(F.col("messages")))
-    rows = K.topic_cohesive(lengths, spark.read.parquet(f"{SF}/embeddings.parquet"), 300).collect()
-    used = [i for r in rows for i in r.sources]
-    assert rows and len(used) == len(set(used))
+    for pool in (None, "label"):
+        rows = K.topic_cohesive(lengths, spark.read.parquet(f"{SF}/embeddings.parquet"), 300, pool=pool).collect()
+        used = [i for r in rows for i in r.sources]
+        assert rows and len(used) == len(set(used))
 
 
 def test_cohesive_pool_takes_the_nearest():
     v = np.array([[1, 0], [0, 1], [0.9, 0.1], [0.8, 0.2]], float)
     v /= np.linalg.norm(v, axis=1)[:, None]
     assert K.cohesive_pool(np.array([0, 1, 2, 3]), v, np.array([5, 5, 5, 5]), 10) == [([0, 2], 10), ([1, 3], 10)]
+    # a later row without its system message is shorter, so another is taken, which is too much and given back
+    assert K.cohesive_pool(np.array([0, 1, 2, 3]), v, np.array([5, 5, 5, 5]), 10, np.array([4, 4, 4, 4])) == [([0, 2], 9)]
+
+
+def test_cohesive_pool_makes_so_many_rows_or_fails():
+    v, n = np.eye(4), np.array([5, 5, 5, 3])
+    assert K.cohesive_pool(np.arange(4), v, n, 10, rows=1) == [([0, 1], 10)]
+    assert len(K.cohesive_pool(np.arange(4), v, n, 10)) == 1
+    with pytest.raises(K.Unfilled, match="8 of 10 tokens; 1 of 2 rows"):
+        K.cohesive_pool(np.arange(4), v, n, 10, rows=2)
+    with pytest.raises(K.Unfilled, match="used up"):
+        K.cohesive_pool(np.arange(4), v, np.array([5, 5, 5, 5]), 10, rows=3)
 
 
-def plain_cohesive(vectors, lengths, target):
+def plain_cohesive(vectors, lengths, later, target):
+    """The stated steps on plain lists, every free row looked at in each."""
+    vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
     free, out = set(range(len(vectors))), []
     while free:
         taken = [min(free)]
         free -= set(taken)
-        while sum(lengths[taken]) < target and free:
+        size = lambda: int(lengths[taken[0]] + sum(later[taken[1:]]))
+        while size() < target and free:
             centre = vectors[taken].mean(0)
             rows = np.array(sorted(free))
             taken.append(int(rows[np.argmax(np.round(vectors[rows] @ (centre / max(np.linalg.norm(centre), 1e-12)), 9))]))
             free.remove(taken[-1])
-        if sum(lengths[taken]) < target:
+        if size() < target:
             return out
-        while len(taken) > 1 and sum(lengths[taken]) > target / K.SLACK:
+        while len(taken) > 1 and size() > target / K.SLACK:
             free.add(taken.pop())
-        out.append((taken, int(sum(lengths[taken]))))
+        out.append((list(taken), size()))
 
 
-def test_topic_rows_of_a_large_label_are_the_plain_ones(spark):
+def test_topic_rows_of_a_large_dataset_are_the_plain_ones(spark):
     rng = np.random.default_rng(9)
     x, n = np.round(rng.standard_normal((5200, 4)), 2), rng.integers(1, 300, 5200)
-    vectors = spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
-    lengths = spark.createDataFrame(list(enumerate(n.tolist())), "conv_id long, token_length long")
-    rows = K.topic_cohesive(lengths, vectors, 700).orderBy("pool", "row").collect()
-    assert [(r.sources, r.token_length) for r in rows] == plain_cohesive(x, n, 700)
+    m = np.maximum(0, n - rng.integers(0, 30, 5200))
+    vectors = spark.createDataFrame([(i, r.tolist(), i % 3) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    lengths = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(n, m, strict=True))], "conv_id long, token_length long, later_length long")
+    rows = K.topic_cohesive(lengths, vectors, 700).orderBy("row").collect()
+    assert [(r.sources, r.token_length) for r in rows] == plain_cohesive(x, n, m, 700)
+
+
+def test_later_lengths_leave_out_a_system_message(spark):
+    talks = spark.createDataFrame([(i, [Row(role="system", content="a b c"), Row(role="user", content="w " * 3)]) for i in range(4)], f"conv_id long, messages {M.MESSAGES}")
+    sizes = K.stitching_lengths(talks, True)
+    assert {(r.token_length, r.later_length) for r in sizes.collect()} == {(10, 5)}
+    rows = K.concatenated(talks.join(sizes, "conv_id"), 15)
+    assert [(r.sources, r.token_length) for r in rows.orderBy("source_row_index").collect()] == [([0, 1], 15), ([2, 3], 15)]
+    made = K.stitched_messages(rows, talks, one_system=True)
+    assert {r.t for r in made.select(M.total_tokens(F.col("messages")).alias("t")).collect()} == {15}
 
 
 def test_oversize_row_is_an_error(spark):
