@@ -6,21 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def letter_grade(output: Column, letter: Column) -> Column:
     """Whether a bare A or B equals the right letter; null for any other output."""
-    given = F.upper(F.trim(output))
+    given = F.upper(stripped(output))
     return F.when(given.isin("A", "B"), given == letter)
 
 
 def yes_no(output: Column) -> Column:
-    given = F.upper(F.trim(output))
+    given = F.upper(stripped(output))
     return F.when(given.startswith("YES"), True).when(given.startswith("NO"), False)
 
 
 def channel_entries(output: Column) -> Column:
     """(label, content) for each ``[word]`` line, and ``text`` for what stands before the first."""
     marks = F.regexp_extract_all(output, F.lit(r"\[(\w+)\]\n"), 1)
-    parts = F.transform(F.split(output, r"\[\w+\]\n"), lambda x: F.trim(x))
+    parts = F.transform(F.split(output, r"\[\w+\]\n"), stripped)
     named = F.arrays_zip(F.concat(F.array(F.lit("text")), marks).alias("label"), parts.alias("content"))
     return F.filter(named, lambda e: (e["label"] != "text") | (e["content"] != ""))
 

@@ -33,6 +33,14 @@ def pairs(spark: SparkSession, dataset: DataFrame, position: str = "top", repeat
     )
 
 
+def of_constraints(rows: DataFrame, ids: Sequence[int]) -> DataFrame:
+    """The rows of chosen constraints; an id that no constraint has is an error."""
+    unknown = set(ids) - {c.id for c in C.CATALOGUE}
+    if unknown:
+        raise ValueError(f"no constraints {sorted(unknown)}")
+    return rows.filter(F.col("sssc_id").isin(*ids))
+
+
 def retention_only(rows: DataFrame) -> DataFrame:
     """Pairs with the probe conditions left empty."""
     empty = {f"{c}_{f}": F.lit(None).cast("string" if f == "output" else "boolean") for c in CASES[:2] for f in ("output", "compliant")}

@@ -73,16 +73,21 @@ def write_dataset(df: DataFrame, path: str, columns: Sequence[str] = ("source_ro
     return spark.read.parquet(path)
 
 
-def write_json(spark: SparkSession, value: object, path: str) -> None:
-    """A small JSON document, through Spark's file system."""
+def write_bytes(spark: SparkSession, content: bytes, path: str) -> None:
+    """A small file, through Spark's file system."""
     files, where = file_system(spark, path)
     out = files.create(where, True)
     try:
-        out.write(bytearray(json.dumps(value, indent=2, sort_keys=True, default=str).encode()))
+        out.write(bytearray(content))
     finally:
         out.close()
 
 
+def write_json(spark: SparkSession, value: object, path: str) -> None:
+    """A small JSON document, through Spark's file system."""
+    write_bytes(spark, json.dumps(value, indent=2, sort_keys=True, default=str).encode(), path)
+
+
 def read_json(spark: SparkSession, path: str) -> object:
     return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
 
