@@ -121,14 +121,19 @@ def with_text(batch: pa.RecordBatch, text_col: str, texts: list[str | None], len
     return batch
 
 
+def ids_are_keys(df: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether no id is null or repeated."""
+    ids = df.groupBy(id_col).agg(F.count("*").alias("n")).agg(F.max("n"), F.count_if(F.col(id_col).isNull())).first()
+    return (ids[0] or 0) <= 1 and not ids[1]
+
+
 def row_keys(df: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns plus ``name``: unique, and ascending with the id.
 
     Unique ids are their own keys.  Where ids repeat or are null, rows are numbered
     in the order of id and text (nulls first), and that numbering is written down.
     """
-    ids = df.groupBy(id_col).agg(F.count("*").alias("n")).agg(F.max("n"), F.count_if(F.col(id_col).isNull())).first()
-    if (ids[0] or 0) <= 1 and not ids[1]:
+    if ids_are_keys(df, id_col):
         return df.withColumn(name, F.col(id_col).cast("long")).filter(F.col(name).isNotNull())
     return checkpointed(df.repartitionByRange(id_col, text_col).sortWithinPartitions(id_col, text_col).withColumn(name, F.monotonically_increasing_id()))
 

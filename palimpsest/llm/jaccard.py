@@ -19,9 +19,10 @@ more links than a spanning forest, so no pair list of a group is ever made.
 
 Defined results: a text without words, or null, has an empty set and is linked
 with nothing; with fewer words than a shingle, the word sequence is its only
-shingle; repeated rows are documents of equal sets; a null id never names a
-component unless all its ids are null, and a set that only null ids have is linked
-with equal sets alone; an empty table gives no rows.
+shingle; repeated rows are documents of equal sets, and rows that repeat an id each
+have their own text's links; a row with a null id is linked like any other, but names
+its component only if all ids there are null; a similarity that equals the threshold
+links; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import BatchCache, checkpointed, claim, id_text, row_keys, slices, split_words, text_bytes
+from palimpsest.llm.common import BatchCache, checkpointed, claim, id_text, ids_are_keys, row_keys, slices, split_words, text_bytes
 from palimpsest.llm.graph import components
 
 CACHE_BYTES = 56 << 20
@@ -299,7 +300,7 @@ def verified_links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, k: in
             sets, at = [], []
             for i, (node, text) in enumerate(zip(rows["node"].tolist(), rows["text"].tolist(), strict=True)):
                 s = shingle_set(text.encode(), k) if text else ()
-                if len(s) and fingerprint(s) == node:  # ids may repeat with other texts
+                if len(s) and fingerprint(s) == node:
                     sets.append(s)
                     at.append(i)
             rows = rows.iloc[at]
@@ -313,9 +314,21 @@ def verified_links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame, k: in
 
 def near_duplicates(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row; ``num / den`` is the least similarity."""
-    threshold, docs = Threshold(num, den), id_text(df, id_col, text_col)
+    docs = id_text(df, id_col, text_col)
+    if ids_are_keys(docs):
+        return linked(docs, k, num, den)
+    # rows are linked by keys of their own, and named by ids afterwards
+    keyed = row_keys(docs, "row")
+    found = linked(keyed.select(F.col("row").alias("doc_id"), "text"), k, num, den).withColumnRenamed("doc_id", "row")
+    named = keyed.select("row", "doc_id").join(found, "row")
+    least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    return named.join(least, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+
+
+def linked(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """As ``near_duplicates``, of ``doc_id, text`` whose ids are keys."""
+    threshold = Threshold(num, den)
     rows = checkpointed(profiles(docs, k, threshold))
-    # one document stands for each node; a null id cannot be looked up, so it only does if there is no other
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
     joined = components(verified_links(stars(rows), nodes, docs, k, threshold))
     named = joined.join(nodes, "node").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -328,6 +341,6 @@ def one_of_each(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col
     """The rows of ``df``, all columns, that come first in their component; texts without words all stay."""
     key = "__jaccard_key"
     docs = row_keys(df, key, id_col, text_col)
-    found = near_duplicates(docs, k, num, den, key, text_col)
+    found = linked(id_text(docs, key, text_col), k, num, den)
     first = found.filter("doc_id = component_id").select(F.col("doc_id").alias(key))
     return docs.join(first, key, "left_semi").select(*df.columns)

@@ -9,7 +9,7 @@ their main script.  Words are tokenized one by one and memoised, so the measures
 do not depend on neighbouring white space.
 
 Defined results: a null or empty text has no words and fails the base rule;
-a null language means the script's band; repeated rows each give their own row;
+a null language, or none in the table, means the script's band; repeated rows each give their own row;
 columns other than those named are ignored.
 """
 
@@ -181,7 +181,8 @@ def kept_documents(df: DataFrame, paths: tuple[str, ...], pattern: str, text_col
     def choose(batch: pa.RecordBatch) -> pa.RecordBatch:
         claim("quality")
         names = batch.schema.names
-        rows = verdicts(text_bytes(batch.column(names.index(text_col))), batch.column(names.index(lang_col)).to_pylist(), [vocabulary(p, pattern) for p in paths])
+        langs = batch.column(names.index(lang_col)).to_pylist() if lang_col in names else [None] * batch.num_rows
+        rows = verdicts(text_bytes(batch.column(names.index(text_col))), langs, [vocabulary(p, pattern) for p in paths])
         return batch.filter(pa.array([r[6] for r in rows], pa.bool_()))
 
     return map_rows(df, choose)

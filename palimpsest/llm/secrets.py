@@ -1,16 +1,18 @@
 """Secret scans: candidate strings judged by a random forest.
 
-A pattern proposes candidates: values after ``:`` or ``=``, and long runs that mix
-letters and digits.  A forest trained on labelled findings then removes the false
-positives from features of the candidate (length, character transitions, class
-shares, entropy, dictionary coverage), of the document's path, and of the
-neighbouring words.  Training data are bounded by ``MAX_TRAINING_ROWS``; scoring
-reads every whole text in one pass, without a shuffle.
+A wide pattern proposes candidates: private key blocks, passwords in urls, values after
+``:`` or ``=``, dotted tokens, and every long run of key characters, plain long words
+among them.  A forest trained on labelled findings then removes the false positives from
+features of the candidate (length, character transitions, class shares, entropy,
+dictionary coverage), of the document's path, and of the neighbouring words.  Training
+data are bounded by ``MAX_TRAINING_ROWS``; scoring reads every whole text in one pass,
+without a shuffle.
 
 Defined results: a null or empty text has no candidates and stays as it is; a null
-path counts as no path; overlapping candidates cannot occur, as matches are taken
-from left to right; repeated rows each give their own row; columns other than
-those named are ignored.
+path, or none in the table, counts as no path; overlapping candidates cannot occur, as
+matches are taken from left to right and the first form that fits wins; a score that
+equals the threshold is a finding; repeated rows each give their own row; columns
+other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -37,17 +40,23 @@ _NEAR_CHARS = 48
 
 #: No upper lengths: a whole run is one candidate, and is read once.
 CANDIDATE = re.compile(
-    r"""[:=][ \t]{0,2}["']?([A-Za-z0-9+/_.~!@$%^&*=-]{8,})"""
-    r"""|(?<![A-Za-z0-9+/_-])((?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2})"""
+    r"""(-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?)"""
+    r"""|://[^\s/:@]*:([^\s/@]+)@"""
+    r"""|[:=][ \t]{0,2}["']?([A-Za-z0-9+/_.~!@$%^&*=-]{8,})"""
+    r"""|(?<![\w+/-])([A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,}){2,})"""
+    r"""|(?<![\w+/-])([A-Za-z0-9+/_-]{16,}={0,2})"""
 )
+#: Number of the pattern's group for a value after ``:`` or ``=``.
+_ASSIGNED = 3
 #: Words that speak for and against a secret nearby, and prefixes of issued keys.
 SECRET_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "bearer", "credential", "private")
-DECOY_WORDS = ("commit", "sha", "md5", "hash", "checksum", "digest", "uuid", "guid", "revision", "example", "placeholder", "version", "build", "etag", "href", "src", "isbn")
+DECOY_WORDS = ("commit", "sha", "md5", "hash", "checksum", "digest", "uuid", "guid", "example", "placeholder", "version", "build", "etag", "href", "src", "isbn", "integrity", "base64", "http", "revision")
 KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk-", "sk_live_", "xox", "eyJ", "AIza", "glpat-")
 PATH_DECOYS = ("test", "spec", "example", "sample", "fixture", "mock", "doc")
 FEATURES = (
     "length", "transitions", "digits", "uppers", "lowers", "symbols", "entropy", "hexadecimal",
     "dictionary", "assigned", "prefix", "secret_before", "decoy_before", "decoy_after", "path_decoy", "slashes",
+    "likelihood", "case_changes", "glued", "armoured",
 )
 
 
@@ -59,6 +68,31 @@ def dictionary(path: str) -> frozenset[str]:
         return frozenset(t.decode().lower() for t in tokens if len(t) >= 4 and t.isalpha())
 
 
+class Lexicon:
+    """Plain words, and how likely their letters follow one another."""
+
+    def __init__(self, words: frozenset[str]):
+        self.words = words
+        counts = np.ones((26, 26))
+        for word in words:
+            letters = [ord(c) - 97 for c in word if "a" <= c <= "z"]
+            for a, b in pairwise(letters):
+                counts[a, b] += 1
+        self.pairs = np.log2(counts / counts.sum(1, keepdims=True)).ravel()
+
+    def likelihood(self, candidate: str) -> float:
+        """Mean log-likelihood, in bits, of neighbouring letters; that of a random pair where there are none."""
+        codes = np.frombuffer(candidate.lower().encode("latin-1", "replace"), np.uint8).astype(np.int64) - 97
+        letters = (codes >= 0) & (codes < 26)
+        both = letters[1:] & letters[:-1]
+        return float(self.pairs[codes[:-1][both] * 26 + codes[1:][both]].mean()) if both.any() else -4.7
+
+
+@lru_cache(maxsize=2)
+def lexicon(path: str) -> Lexicon:
+    return Lexicon(dictionary(path))
+
+
 def coverage(candidate: str, words: frozenset[str]) -> float:
     """Share of the characters that longest dictionary words cover, left to right."""
     low, i, covered = candidate.lower(), 0, 0
@@ -73,21 +107,22 @@ def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
 
-def features(candidate: str, before: str, after: str, path: str | None, assigned: bool, words: frozenset[str]) -> list[float]:
+def features(candidate: str, before: str, after: str, path: str | None, assigned: bool, lexicon_: Lexicon) -> list[float]:
     n = len(candidate)
     kinds = [_kind(c) for c in candidate]
     share = np.unique(list(candidate), return_counts=True)[1] / n
+    glued = before[-1:].isalpha() or after[:1].isalpha()
     before, after, path = before.lower(), after.lower(), (path or "").lower()
     return [
         min(n, 200),
-        sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1),
+        sum(a != b for a, b in pairwise(kinds)) / max(1, n - 1),
         kinds.count(0) / n,
         kinds.count(1) / n,
         kinds.count(2) / n,
         kinds.count(3) / n,
         float(-(share * np.log2(share)).sum()),
         float(all(c in "0123456789abcdefABCDEF" for c in candidate)),
-        coverage(candidate, words),
+        coverage(candidate, lexicon_.words),
         float(assigned),
         float(candidate.startswith(KEY_PREFIXES)),
         float(any(w in before for w in SECRET_WORDS)),
@@ -95,6 +130,10 @@ def features(candidate: str, before: str, after: str, path: str | None, assigned
         float(any(w in after for w in DECOY_WORDS)),
         float(any(w in path for w in PATH_DECOYS)),
         candidate.count("/") / n,
+        lexicon_.likelihood(candidate),
+        sum({a, b} == {1, 2} for a, b in pairwise(kinds)) / max(1, n - 1),
+        float(glued),
+        float(candidate.startswith("-----BEGIN")),
     ]
 
 
@@ -154,74 +193,151 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = 31, depth: int = 10, least:
     return Forest(tuple(grown))
 
 
-def fit(findings: pd.DataFrame, words: frozenset[str]) -> Forest:
+def fit(findings: pd.DataFrame, lexicon_: Lexicon) -> Forest:
     """Train from labelled findings: columns candidate, before, after, path, assigned, label."""
     if len(findings) > MAX_TRAINING_ROWS:
         raise ValueError(f"at most {MAX_TRAINING_ROWS} labelled findings")
-    x = np.array([features(r.candidate, r.before, r.after, r.path, r.assigned, words) for r in findings.itertuples()])
+    x = np.array([features(r.candidate, r.before, r.after, r.path, r.assigned, lexicon_) for r in findings.itertuples()])
     return train(x, findings["label"].to_numpy(np.float64))
 
 
-def labelled_findings(n: int, words: list[str], seed: int = 11) -> pd.DataFrame:
-    """Labelled findings made by rule: issued-looking keys and passwords against hashes, paths and prose."""
-    rng = np.random.default_rng(seed)
-    pick = lambda items: items[int(rng.integers(len(items)))]
-    hexes, upper, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    run = lambda letters, k: "".join(letters[i] for i in rng.integers(0, len(letters), k))
-    prose = lambda: " ".join(pick(words) for _ in range(4))
-    rows = []
+class Findings:
+    """Findings made by rule, in named forms: issued-looking keys against what only looks like them.
+
+    Each form gives the candidate, the text right before it, and whether it is assigned.
+    """
+
+    HEX, UPPER, LETTERS = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    MIXED, URLSAFE, BASE64 = LETTERS + "0123456789", LETTERS + "0123456789_-", LETTERS + "0123456789+/"
+
+    def __init__(self, words: list[str], seed: int):
+        self.words, self.rng = words, np.random.default_rng(seed)
+
+    def pick(self, items):
+        return items[int(self.rng.integers(len(items)))]
+
+    def size(self, low: int, high: int) -> int:
+        return int(self.rng.integers(low, high))
+
+    def run(self, letters: str, n: int) -> str:
+        return "".join(letters[i] for i in self.rng.integers(0, len(letters), n))
+
+    def join(self, by: str, n: int) -> str:
+        return by.join(self.pick(self.words) for _ in range(n))
+
+    def named(self, names: tuple[str, ...] | list[str]) -> str:
+        return f"{self.pick(names)}{self.pick(['=', ': ', ' = '])}{self.pick(['', chr(34), chr(39)])}"
+
+    def invented(self) -> str:
+        """A long word of no listed language: chunks of plain words."""
+        word = ""
+        while len(word) < self.size(16, 34):
+            piece = self.pick(self.words)
+            word += piece[: self.size(2, 6)] if self.size(0, 2) else piece[-self.size(2, 6) :]
+        return word.capitalize() if not self.size(0, 5) else word
+
+    #: Forms of secrets, each with what stands before it.
+    def secret(self, form: str) -> tuple[str, str, bool]:
+        secret_name = self.named(SECRET_WORDS)
+        match form:
+            case "hex":
+                return self.run(self.HEX, self.pick([16, 18, 20, 32, 40, 64])), secret_name, True
+            case "access_id":
+                return self.pick(["AKIA", "ASIA"]) + self.run(self.UPPER, 16), "", False
+            case "prefixed":
+                return self.pick(["ghp_", "gho_", "sk-", "sk_live_", "glpat-", "AIza"]) + self.run(self.MIXED, self.size(20, 40)), "", False
+            case "mixed":
+                return self.run(self.MIXED, self.size(20, 64)), secret_name, True
+            case "password":
+                return self.pick(self.words) + self.run(self.MIXED + "!@$%", self.size(5, 12)), self.named(["password", "passwd", "pwd"]), True
+            case "bearer":
+                return self.run(self.MIXED, self.size(28, 48)), self.pick(["bearer ", "token ", "auth "]), False
+            case "letters":
+                return self.run(self.LETTERS, self.size(20, 64)), self.pick(["bearer ", "token ", "the key ", secret_name]), False
+            case "blob":
+                return self.run(self.BASE64, self.size(80, 900)), self.pick([secret_name, "bearer ", "private "]), bool(self.size(0, 2))
+            case "jwt":
+                return ".".join(["eyJ" + self.run(self.URLSAFE, self.size(20, 40)), self.run(self.URLSAFE, self.size(40, 300)), self.run(self.URLSAFE, 43)]), self.pick(["bearer ", "", "token "]), False
+            case "pem":
+                lines = "\n".join(self.run(self.BASE64, 64) for _ in range(self.size(3, 20)))
+                return f"-----BEGIN {self.pick(['', 'RSA ', 'EC '])}PRIVATE KEY-----\n{lines}\n-----END PRIVATE KEY-----", "", False
+            case _:
+                return self.run(self.MIXED, self.size(8, 20)), f"{self.pick(['postgres', 'https', 'amqp'])}://{self.pick(self.words)}:", False
+
+    def decoy(self, form: str) -> tuple[str, str, bool]:
+        match form:
+            case "hash":
+                return self.run(self.HEX, self.pick([32, 40, 64])), f"{self.pick(['commit', 'sha256', 'md5', 'checksum', 'digest', 'etag'])}{self.pick([' ', ': ', '='])}", bool(self.size(0, 2))
+            case "uuid":
+                return "-".join(self.run(self.HEX, k) for k in (8, 4, 4, 4, 12)), self.pick(["uuid ", "id ", "guid "]), False
+            case "path":
+                return self.join("/", 4) + f"/{self.size(0, 1000)}", self.pick(["", "href=", "see "]), bool(self.size(0, 2))
+            case "snake":
+                return self.join("_", 3) + f"{self.size(0, 100)}", "", False
+            case "joined":
+                return self.join("", 2), ": ", True
+            case "placeholder":
+                return self.pick(["changeme", "password", "your_password", "example_token", "xxxxxxxx", "placeholder"]), f"{self.pick(['password', 'token', 'secret'])}=", True
+            case "digits":
+                return self.run("0123456789", self.size(16, 22)), self.pick(["isbn: ", "id: ", "no ", "number ", "with "]), bool(self.size(0, 2))
+            case "kebab":
+                return self.join("-", 3) + f"-{self.size(0, 10000)}", "", False
+            case "invented":
+                return self.invented(), "", False
+            case "near_secret":
+                return self.invented(), f"{self.pick(SECRET_WORDS)} {self.pick(['', 'and ', 'or '])}", False
+            case "camel":
+                return self.pick(self.words) + "".join(self.pick(self.words).capitalize() for _ in range(self.size(2, 5))), self.pick(["", "", "call ", "= "]), False
+            case "url":
+                return f"//{self.join('.', 2)}.com/{self.join('/', 2)}", self.pick(["http:", "https:"]), True
+            case "integrity":
+                return f"sha384-{self.run(self.BASE64, 64)}", "integrity=" + chr(34), True
+            case _:
+                return self.run(self.BASE64, self.size(60, 400)), "src=data:image/png;base64,", False
+
+
+SECRET_FORMS = ("hex", "access_id", "prefixed", "mixed", "password", "bearer", "letters", "blob", "jwt", "pem", "url_password")
+DECOY_FORMS = ("hash", "uuid", "path", "snake", "joined", "placeholder", "digits", "kebab", "invented", "near_secret", "camel", "url", "integrity", "image")
+
+
+def labelled_findings(n: int, words: list[str], seed: int = 11, secrets: tuple[str, ...] = SECRET_FORMS, decoys: tuple[str, ...] = DECOY_FORMS) -> pd.DataFrame:
+    """``n`` labelled findings, half of them secrets, of the given forms."""
+    made, rows = Findings(words, seed), []
     for i in range(n):
-        label, path = i % 2, pick(["", "src1", "config/app.py", "web", "notes.txt"])
-        quote = pick(["", '"', "'"])
-        if label:
-            form = int(rng.integers(6))
-            name = pick(list(SECRET_WORDS))
-            candidate, before, assigned = (
-                (run(hexes, pick([16, 18, 20, 32, 40, 64])), f"{prose()} {name}{pick(['=', ': ', ' = '])}{quote}", True),
-                (pick(["AKIA", "ASIA"]) + run(upper, 16), f"{prose()} ", False),
-                (pick(["ghp_", "gho_", "sk-", "sk_live_", "glpat-", "AIza"]) + run(mixed, int(rng.integers(20, 40))), f"{prose()} ", False),
-                (run(mixed, int(rng.integers(20, 64))), f"{prose()} {name}{pick(['=', ': ', ' = '])}{quote}", True),
-                (pick(words) + run(mixed + "!@$%", int(rng.integers(5, 12))), f"{prose()} {pick(['password', 'passwd', 'pwd'])}{pick(['=', ': '])}{quote}", True),
-                (run(mixed, int(rng.integers(28, 48))), f"{prose()} {pick(['bearer', 'token', 'auth'])} ", False),
-            )[form]
-            after = f" {prose()}"
-        else:
-            form = int(rng.integers(8))
-            candidate, before, assigned = (
-                (run(hexes, pick([32, 40, 64])), f"{prose()} {pick(['commit', 'sha256', 'md5', 'checksum', 'digest', 'etag'])}{pick([' ', ': ', '='])}", bool(rng.integers(2))),
-                ("-".join(run(hexes, k) for k in (8, 4, 4, 4, 12)), f"{prose()} {pick(['uuid', 'id', 'guid'])} ", False),
-                ("/".join(pick(words) for _ in range(4)) + f"/{int(rng.integers(1000))}", f"{prose()} {pick(['', 'href=', 'see '])}", bool(rng.integers(2))),
-                ("_".join(pick(words) for _ in range(3)) + f"{int(rng.integers(100))}", f"{prose()} ", False),
-                (pick(words) + pick(words), f"{prose()}: ", True),
-                (pick(["changeme", "password", "your_password", "example_token", "xxxxxxxx", "placeholder", "<password>"[1:-1]]), f"{prose()} {pick(['password', 'token', 'secret'])}=", True),
-                (run("0123456789", int(rng.integers(16, 22))), f"{prose()} {pick(['isbn', 'id', 'no', 'number'])}: ", True),
-                ("-".join(pick(words) for _ in range(3)) + f"-{int(rng.integers(10000))}", f"{prose()} ", False),
-            )[form]
-            after = f" {prose()}"
-            path = pick([path, path, "tests/data", "docs/example.md"])
-        rows.append((candidate, before[-_NEAR_CHARS:], after[:_NEAR_CHARS], path, assigned, label))
-    return pd.DataFrame(rows, columns=["candidate", "before", "after", "path", "assigned", "label"])
+        label, form = i % 2, made.pick(secrets if i % 2 else decoys)
+        candidate, before, assigned = made.secret(form) if label else made.decoy(form)
+        before, after = f"{made.join(' ', 4)} {before}", made.pick([" ", ". ", ", ", '" ']) + made.join(" ", 4)
+        if label and form == "url_password":
+            after = "@" + made.join(".", 2)
+        if not label and form in ("invented", "near_secret") and made.size(0, 3) == 0:  # part of a word with accents
+            before, after = before[:-1] + made.pick("éüñàß"), made.pick(["", "é"]) + after
+        path = made.pick(["", "src1", "config/app.py", "web", "notes.txt", *(["tests/data", "docs/example.md"] if not label else [])])
+        rows.append((candidate, before[-_NEAR_CHARS:], after[:_NEAR_CHARS], path, assigned, label, form))
+    return pd.DataFrame(rows, columns=["candidate", "before", "after", "path", "assigned", "label", "form"])
 
 
 @lru_cache(maxsize=2)
-def default_forest(dictionary_path: str, rows: int = 6000) -> Forest:
+def default_forest(dictionary_path: str, rows: int = 8000) -> Forest:
     """A forest from the rule-made findings; the same on every call."""
-    words = dictionary(dictionary_path)
-    return fit(labelled_findings(rows, sorted(words)[::7]), words)
+    known = lexicon(dictionary_path)
+    return fit(labelled_findings(rows, sorted(known.words)[::7]), known)
 
 
 def candidates(text: str) -> list[tuple[int, int, bool]]:
     """Start, end and whether the value was assigned, left to right."""
-    return [(*m.span(m.lastindex), m.lastindex == 1) for m in CANDIDATE.finditer(text)]
+    return [(*m.span(m.lastindex), m.lastindex == _ASSIGNED) for m in CANDIDATE.finditer(text)]
 
 
-def findings_of(text: str | None, path: str | None, forest: Forest, words: frozenset[str], threshold: float) -> tuple[int, list[dict], str | None]:
+def findings_of(text: str | None, path: str | None, forest: Forest, lexicon_: Lexicon, threshold: float) -> tuple[int, list[dict], str | None]:
     """Number of candidates, the spans judged secret, and the text with them masked."""
     spans = candidates(text) if text else []
     if not spans:
         return 0, [], text
-    x = np.array([features(text[a:b], text[max(0, a - _NEAR_CHARS) : a], text[b : b + _NEAR_CHARS], path, assigned, words) for a, b, assigned in spans])
-    hits = [{"start": a, "end": b, "score": float(s)} for (a, b, _), s in zip(spans, forest.score(x), strict=True) if s >= threshold]
+    hits: list[dict] = []
+    for at in range(0, len(spans), 4096):
+        some = spans[at : at + 4096]
+        x = np.array([features(text[a:b], text[max(0, a - _NEAR_CHARS) : a], text[b : b + _NEAR_CHARS], path, assigned, lexicon_) for a, b, assigned in some])
+        hits += [{"start": a, "end": b, "score": float(s)} for (a, b, _), s in zip(some, forest.score(x), strict=True) if s >= threshold]
     out, at = [], 0
     for h in hits:
         out += [text[at : h["start"]], MASK]
@@ -233,7 +349,7 @@ def scan(df: DataFrame, forest: Forest, dictionary_path: str, id_col: str = "doc
     """``doc_id, n_candidates, n_findings, findings, clean_text``; spans count code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, span = dictionary(dictionary_path), pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
+        words, span = lexicon(dictionary_path), pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
         for batch in batches:
             for part in slices(batch):
                 found = [findings_of(t, p, forest, words, threshold) for t, p in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
@@ -251,8 +367,9 @@ def masked_documents(df: DataFrame, forest: Forest, dictionary_path: str, text_c
 
     def mask(batch: pa.RecordBatch) -> pa.RecordBatch:
         claim("secrets")
-        words, names = dictionary(dictionary_path), batch.schema.names
-        texts, paths = (batch.column(names.index(c)).to_pylist() for c in (text_col, path_col))
+        words, names = lexicon(dictionary_path), batch.schema.names
+        texts = batch.column(names.index(text_col)).to_pylist()
+        paths = batch.column(names.index(path_col)).to_pylist() if path_col in names else [None] * batch.num_rows
         return with_text(batch, text_col, [findings_of(t, p, forest, words, threshold)[2] for t, p in zip(texts, paths, strict=True)])
 
     return map_rows(df, mask)

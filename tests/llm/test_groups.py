@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -104,12 +105,32 @@ def test_similar_sets_share_a_key(n, gone, new, seed):
         assert set(jaccard.chunk_keys(a, threshold).tolist()) & set(jaccard.chunk_keys(b, threshold).tolist())
 
 
+@pytest.mark.parametrize("n", [6, 12, 50, 100])
+def test_no_key_is_common_to_unrelated_sets(n):
+    rng, threshold, seen = np.random.default_rng(n), jaccard.Threshold(85, 100), Counter()
+    for _ in range(10_000):
+        seen.update(set(jaccard.chunk_keys(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)), threshold).tolist()))
+    assert seen.most_common(1)[0][1] <= 3
+
+
+def test_bands_reach_every_similar_size():
+    for num in (50, 60, 85):
+        threshold = jaccard.Threshold(num, 100)
+        for small in range(1, 120):
+            for large in range(small, small * 100 // num + 1):
+                assert set(threshold.bands(small)) & set(threshold.bands(large))
+
+
 def test_join_edges(spark, docs):
     schema = "doc_id long, text string"
     assert jaccard.near_duplicates(spark.createDataFrame([], schema)).count() == 0
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (2, "q r s t u v w"), (2, "other words entirely are here now ok"), (None, "only null ids have this one text")]
     got = Counter((r.doc_id, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, schema)).collect())
     assert got == Counter({(1, 1): 2, (None, 1): 1, (2, 2): 2, (None, None): 1})
+    near = " ".join(prose(random.Random(4), 120)).split()
+    chain = [(7, " ".join(near)), (None, " ".join(near[6:])), (9, " ".join(near[12:])), (3, "b"), (None, None)]
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(chain, schema), 5, 90, 100).collect())
+    assert got == Counter({(7, 7): 1, (None, 7): 1, (9, 7): 1, (3, 3): 1, (None, None): 1})
     kept = jaccard.one_of_each(spark.createDataFrame(rows, schema)).collect()
     assert Counter(r.text for r in kept) == Counter({t: 1 for _, t in rows})
     one = jaccard.one_of_each(docs, 5, 80, 100)
@@ -418,17 +439,100 @@ def test_links_carry_distrust_and_trust(spark):
     assert urlrank.judge(df.limit(0), queries.URL_RULES).count() == 0
 
 
+def brute_judged(pages, rules, threshold):
+    """Verdicts of (page_id, url, html) rows from plain dictionaries, iterated until nothing moves."""
+    parts = []
+    for _, url, html in pages:
+        found = re.search("://([^/?#]*)([^?#]*)", url or "")
+        host, path = (found[1].translate({c: c + 32 for c in range(65, 91)}), found[2]) if found else ("", "")
+        hits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        parts.append((host, path, max(hits, key=lambda r: len(r.text), default=None), html or ""))
+    pages_of, links = Counter(h for h, *_ in parts if h), Counter()
+    for host, _, _, html in parts:
+        targets = set()
+        for link in re.findall(r"""(?i)(?:href|src)\s*=\s*["']?([^"'>\s]+)""", html):
+            far = re.match("(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]+)", link)
+            if far:
+                targets.add(far[1].lower())
+            elif not re.match("[A-Za-z][A-Za-z0-9+.-]*:|#|//", link):
+                targets.add(host)
+        if host:
+            links.update((host, t) for t in targets)
+    scores = {}
+    for kind, verdict in (("trust", "allow"), ("distrust", "block")):
+        seed = Counter(h for h, _, r, _ in parts if h and r and r.verdict == verdict)
+        total = sum(seed.values())
+        edges = [((a, b) if kind == "trust" else (b, a), n) for (a, b), n in links.items()]
+        out = Counter()
+        for (a, _), n in edges:
+            out[a] += n
+        got = brute_ranks([(kind, h, n / total) for h, n in seed.items()], [(kind, a, b, n / out[a]) for (a, b), n in edges], 200, urlrank.DAMPING) if total else {}
+        scores[kind] = {h: got.get((kind, h), 0.0) / (n / sum(pages_of.values())) for h, n in pages_of.items()}
+    rows = {}
+    for (i, *_), (host, path, rule, _) in zip(pages, parts, strict=True):
+        t, d = scores["trust"].get(host, 0.0), scores["distrust"].get(host, 0.0)
+        rows[i] = (host, path, rule.text if rule else None, rule.verdict if rule else "block" if d >= threshold and d > t else "allow", pytest.approx(t, abs=1e-4), pytest.approx(d, abs=1e-4))
+    return rows
+
+
+def judged_rows(df):
+    return {r.page_id: (r.host, r.path, r.rule, r.verdict, r.trust, r.distrust) for r in df.collect()}
+
+
+def test_url_query_is_brute_force(spark):
+    pages = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
+    assert judged_rows(queries.QUERIES["op7_link_graph"](spark, SF)) == brute_judged(pages, queries.URL_RULES, urlrank.THRESHOLD)
+
+
+def test_linked_pages_are_judged_by_brute_force(spark):
+    rng, pages = random.Random(12), []
+    hosts = [f"h{i}.{rng.choice(['com', 'net', 'org', 'site'])}" for i in range(25)]
+    for i in range(160):
+        host = rng.choice(hosts[: 1 + rng.randrange(25)])
+        links = [rng.choice([f"https://{rng.choice(hosts)}/x", f"//{rng.choice(hosts).upper()}/y", "/same", "next.html", "mailto:a@b.c", "#top", "javascript:void(0)"]) for _ in range(rng.randrange(6))]
+        pages.append((i, f"http://{host}/{rng.choice(['en', 'de', 'es', 'x'])}/{rng.randrange(99)}?q", " ".join(f'<a href="{x}">' for x in links)))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    for threshold in (1.0, 2.0):
+        assert judged_rows(urlrank.judge(df, queries.URL_RULES, threshold)) == brute_judged(pages, queries.URL_RULES, threshold)
+
+
+def test_url_query_goes_through_propagation(spark, monkeypatch):
+    called, method = [], urlrank.propagate
+    monkeypatch.setattr(urlrank, "propagate", lambda *a, **k: called.append(a[1].count()) or method(*a, **k))
+    queries.QUERIES["op7_link_graph"](spark, SF).count()
+    assert len(called) == 1 and called[0] > 0
+
+
+def test_bounds_leave_groups_and_rows_out():
+    """On clustered vectors most groups, and of the others the rows near the pivot, are not needed."""
+    rng = np.random.default_rng(3)
+    pivots = np.round(100 * rng.standard_normal((40, 16)))
+    rows = [p + np.round(2 * rng.standard_normal((200, 16))) for p in pivots]
+    distances = [np.sort(np.sqrt(((x - p) ** 2).sum(1))) for x, p in zip(rows, pivots, strict=True)]
+    radius, size, nearest = np.array([d[-1] for d in distances]), np.array([200] * 40), np.array([d[:6] for d in distances])
+    q = np.concatenate([x[:3] for x in rows])
+    wide, _ = voronoi.needed_groups(q, pivots, radius, size, 5)
+    tight, out = voronoi.needed_groups(q, pivots, radius, size, 5, 1, nearest)
+    assert tight.mean() < 0.2 and tight.sum() <= wide.sum() and (tight <= wide).all()
+    scores = np.concatenate(rows) @ q.T
+    for i in range(len(q)):
+        best = np.sort(scores[:, i])[-6]
+        for g in np.flatnonzero([(x @ q[i] >= best).any() for x in rows]):
+            near = rows[g][rows[g] @ q[i] >= best]
+            assert tight[i, g] and (np.sqrt(((near - pivots[g]) ** 2).sum(1)) >= out[i, g] - 1e-6).all()
+
+
 def brute_pipeline(rows):
     """The stages on plain lists: rows are (doc_id, text, lang, source)."""
-    from palimpsest.llm import quality, secrets
+    from palimpsest.llm import secrets
+    from tests.llm.test_tokens import brute_verdict
 
-    vocabularies = [quality.vocabulary(p, P.PATTERN) for p in queries.FERTILITY_VOCABULARIES]
-    rows = [r for r in rows if quality.verdicts([r[1].encode() if r[1] else None], [r[2]], vocabularies)[0][6]]
+    rows = [r for r in rows if brute_verdict(r[1], r[2])[-1]]
     first = {i for i, (_, c) in brute_components([(i, t) for i, t, *_ in rows], 5, 80, 100).items() if i == c}
     rows = [r for r in rows if r[0] in first]
     kept = {i: b.decode(errors="ignore") for i, n, k, _, b in brute_bytes([(i, t) for i, t, *_ in rows]) if not k or b.strip()}
     vocabulary = P.path("byte_bpe_50k.tiktoken")
-    forest, words = secrets.default_forest(vocabulary), secrets.dictionary(vocabulary)
+    forest, words = secrets.default_forest(vocabulary), secrets.lexicon(vocabulary)
     return {i: secrets.findings_of(kept[i], source, forest, words, secrets.THRESHOLD)[2] for i, _, _, source in rows if i in kept}
 
 
