@@ -2,6 +2,20 @@
 
 Every stage takes all rows that the one before kept.  The first four return the
 columns of ``documents``; the last returns packed pieces.
+
+Defined results, for each stage: an empty table gives none, columns beside ``doc_id``,
+``text``, ``lang``, ``source`` and ``n_chars`` pass through whatever their names, and
+
+* quality rules: a null or empty text goes; a null language, or none in the table, is
+  judged by the text's script; rows that repeat are judged alike.
+* n-gram Jaccard: of rows that tie, repeats included, the first by id and text stays,
+  null ids before others; texts without words all stay.
+* suffix array: a null text stays null; a text that repeats as a whole goes at every
+  place; rows that repeat an id are documents of their own.
+* secret scan: a null or empty text stays as it is, a null source is no path; very long
+  secrets are masked whole.
+* packing: a null text is empty and holds the end id alone; rows that repeat, null ids
+  included, are packed each; a text of any length is cut into full sequences.
 """
 
 from __future__ import annotations
