@@ -1,31 +1,51 @@
-"""Model runtimes: an interface, deterministic stand-ins, and their use on DataFrames."""
+"""Model runtimes: stand-ins, local models, chat servers and batch files, and their use on DataFrames.
+
+A provider names a runtime: ``stub_letter`` and ``stub_judge``; ``local:module:function``;
+``chat:url#model`` for a server of the chat-completions form; ``serve:name`` for one that
+is started here, with the command of ``SERVED``.
+"""
 
 from __future__ import annotations
 
+import importlib
+import json
 import os
 import random
+import shlex
+import subprocess
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators.stitching import byte_bins
+
+#: Limits of a hosted batch file: rows and bytes.
+BATCH_ROWS, BATCH_BYTES = 50_000, 190 << 20
+#: Calls of one worker that wait for a server side by side.
+SIDE_BY_SIDE = 8
+
 
 @dataclass(frozen=True)
-class ModelResponse:
-    text: str
-    model: str
-    usage: dict[str, int] = field(default_factory=dict)
-    raw: dict = field(default_factory=dict)
+class Answer:
+    """What a model said, and how many tokens were read and said where it tells."""
+
+    said: str
+    read_tokens: int = 0
+    said_tokens: int = 0
 
 
 class Runtime(Protocol):
-    """``batch_generate`` answers conversations in order, one response each."""
+    """``answers`` takes message lists and gives an answer for each, in order."""
 
-    def batch_generate(self, conversations: Sequence[list[dict]]) -> list[ModelResponse]: ...
+    def answers(self, talks: Sequence[list[dict]]) -> list[Answer]: ...
 
     def close(self) -> None: ...
 
@@ -33,16 +53,118 @@ class Runtime(Protocol):
 class StubRuntime:
     """Answers by a function of the last message; for tests and offline runs."""
 
-    def __init__(self, answer: Callable[[str], str], model: str = "stub"):
-        self.answer, self.model = answer, model
+    def __init__(self, answer: Callable[[str], str]):
+        self.answer = answer
 
-    def batch_generate(self, conversations: Sequence[list[dict]]) -> list[ModelResponse]:
-        return [ModelResponse(self.answer(c[-1]["content"]), self.model, {"messages": len(c)}) for c in conversations]
+    def answers(self, talks: Sequence[list[dict]]) -> list[Answer]:
+        return [Answer(self.answer(t[-1]["content"])) for t in talks]
 
     def close(self) -> None:
         return None
 
 
+class LocalModel:
+    """A function in this process that completes talks, called with a bounded number at once."""
+
+    def __init__(self, place: str, most: int = 32):
+        module, _, name = place.partition(":")
+        self.complete, self.most = getattr(importlib.import_module(module), name), most
+
+    def answers(self, talks: Sequence[list[dict]]) -> list[Answer]:
+        said: list[str] = []
+        for at in range(0, len(talks), self.most):
+            some = list(talks[at : at + self.most])
+            out = self.complete(some)
+            if len(out) != len(some):
+                raise ValueError(f"{len(out)} answers to {len(some)} talks")
+            said += out
+        return [Answer(s) for s in said]
+
+    def close(self) -> None:
+        close = getattr(self.complete, "close", None)
+        if close:
+            close()
+
+
+class ServerBusy(RuntimeError):
+    """A server asks to be called again; ``retry_after`` seconds from now, if it says so."""
+
+    def __init__(self, code: int, retry_after: float | None):
+        super().__init__(f"the server answered {code}")
+        self.retry_after = retry_after
+
+
+def credential(name: str) -> str:
+    """A secret from the environment variable, or from the file that ``<name>_FILE`` names."""
+    if value := os.environ.get(name):
+        return value
+    path = os.environ.get(f"{name}_FILE")
+    if not path:
+        raise ValueError(f"neither {name} nor {name}_FILE is set")
+    with open(path) as secret:
+        return secret.read().strip()
+
+
+class ChatServer:
+    """A chat-completions server over HTTP; several calls wait side by side, each with its own backoff."""
+
+    def __init__(self, url: str, model: str, key_name: str | None = None, options: dict | None = None, timeout: float = 600.0):
+        self.url, self.model, self.options, self.timeout = url.rstrip("/"), model, options or {}, timeout
+        self.headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {credential(key_name)}"} if key_name else {})
+        self.pool = ThreadPoolExecutor(SIDE_BY_SIDE)
+
+    def _call(self, talk: list[dict]) -> Answer:
+        body = json.dumps({"model": self.model, "messages": talk, **self.options}).encode()
+        try:
+            with urllib.request.urlopen(urllib.request.Request(f"{self.url}/v1/chat/completions", body, self.headers), timeout=self.timeout) as reply:
+                found = json.load(reply)
+        except urllib.error.HTTPError as e:
+            if e.code == 429 or e.code >= 500:
+                wait = e.headers.get("Retry-After")
+                raise ServerBusy(e.code, float(wait) if wait else None) from e
+            raise ValueError(f"the server refused the request: {e.code} {e.read()[:500].decode(errors='replace')}") from e
+        counts = found.get("usage") or {}
+        return Answer(found["choices"][0]["message"]["content"] or "", counts.get("prompt_tokens", 0), counts.get("completion_tokens", 0))
+
+    def answers(self, talks: Sequence[list[dict]]) -> list[Answer]:
+        return list(self.pool.map(lambda t: with_backoff(lambda: self._call(t)), talks))
+
+    def close(self) -> None:
+        self.pool.shutdown(wait=False, cancel_futures=True)
+
+
+class ServedModel:
+    """A chat server started as a process of its own, used when it is ready, and stopped at the end."""
+
+    def __init__(self, command: Sequence[str], url: str, model: str, patience: float = 600.0, health: str = "/health"):
+        self.process = subprocess.Popen(list(command), stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL)
+        end = time.monotonic() + patience
+        while True:
+            try:
+                with urllib.request.urlopen(url.rstrip("/") + health, timeout=5):
+                    break
+            except OSError as e:
+                if self.process.poll() is not None or time.monotonic() > end:
+                    self._stop()
+                    raise RuntimeError(f"the server did not get ready: {' '.join(command)}") from e
+                time.sleep(0.2)
+        self.server = ChatServer(url, model)
+
+    def answers(self, talks: Sequence[list[dict]]) -> list[Answer]:
+        return self.server.answers(talks)
+
+    def _stop(self) -> None:
+        self.process.terminate()
+        try:
+            self.process.wait(10)
+        except subprocess.TimeoutExpired:
+            self.process.kill()
+
+    def close(self) -> None:
+        self.server.close()
+        self._stop()
+
+
 def echo_letter(prompt: str) -> str:
     return "A" if len(prompt) % 2 else "B"
 
@@ -55,16 +177,32 @@ PROVIDERS: dict[str, Callable[[], Runtime]] = {"stub_letter": lambda: StubRuntim
 
 
 def runtime(provider: str) -> Runtime:
-    if provider not in PROVIDERS:
-        raise ValueError(f"no runtime {provider}; there are {', '.join(sorted(PROVIDERS))}")
-    return PROVIDERS[provider]()
+    """The runtime of a provider; a server's key is read from the variable ``CHAT_KEY_NAME`` names, if any."""
+    if provider in PROVIDERS:
+        return PROVIDERS[provider]()
+    kind, _, rest = provider.partition(":")
+    if kind == "local":
+        return LocalModel(rest)
+    if kind == "chat":
+        url, _, model = rest.partition("#")
+        return ChatServer(url, model, os.environ.get("CHAT_KEY_NAME"))
+    if kind == "serve":
+        # SERVED_<name>: url, model and command, parted by white space
+        url, model, *command = shlex.split(credential(f"SERVED_{rest}"))
+        return ServedModel(command, url, model)
+    raise ValueError(f"no runtime {provider}; there are {', '.join(sorted(PROVIDERS))}, local:, chat: and serve:")
 
 
 def with_backoff(call: Callable[[], object], attempts: int = 6, cap: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> object:
-    """Repeat a call that fails, after the server's hint or twice the last pause, at most ``cap`` seconds."""
+    """Repeat a call that fails, after the server's hint or twice the last pause, at most ``cap`` seconds.
+
+    A refusal (``ValueError``) will not change and is not tried again.
+    """
     for i in range(attempts):
         try:
             return call()
+        except ValueError:
+            raise
         except Exception as e:
             if i == attempts - 1:
                 raise
@@ -76,7 +214,7 @@ def generated(df: DataFrame, provider: str, messages: str, id_cols: Sequence[str
     """``id_cols, output, status, error``: one model for each worker, called by batches.
 
     A failing batch is tried again row by row; a row that fails is an error row.
-    ``partitions`` sets how many calls run side by side.
+    ``partitions`` sets how many workers call side by side.
     """
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in id_cols)
     ids = list(id_cols)
@@ -87,12 +225,12 @@ def generated(df: DataFrame, provider: str, messages: str, id_cols: Sequence[str
             for batch in batches:
                 talks = [[dict(m.asDict() if hasattr(m, "asDict") else m) for m in c] for c in batch[messages]]
                 try:
-                    rows = [(r.text, "success", None) for r in with_backoff(lambda t=talks: model.batch_generate(t), 2, 0.0)]
+                    rows = [(a.said, "success", None) for a in with_backoff(lambda t=talks: model.answers(t), 2, 0.0)]
                 except Exception:
                     rows = []
                     for t in talks:
                         try:
-                            rows.append((with_backoff(lambda t=t: model.batch_generate([t]), 3, 0.0)[0].text, "success", None))
+                            rows.append((with_backoff(lambda t=t: model.answers([t]), 3, 0.0)[0].said, "success", None))
                         except Exception as e:
                             rows.append((None, "error", str(e)))
                 yield pd.concat([batch[ids].reset_index(drop=True), pd.DataFrame(rows, columns=["output", "status", "error"])], axis=1)
@@ -108,6 +246,32 @@ def seeded(seed: int | None = None) -> random.Random:
     return random.Random(int(os.environ.get("GLOBAL_SEED", "42")) if seed is None else seed)
 
 
+def write_batch_files(requests: DataFrame, path: str, model: str, messages: str = "messages", key: str = "custom_id", most_rows: int = BATCH_ROWS, most_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Requests as JSON lines below ``<path>/bin=<n>``, each bin within a hosted service's limits; ``key, bin``.
+
+    ``key`` is a whole number; bins hold neighbouring keys.  Each folder is one upload.
+    """
+    body = F.struct(F.lit(model).alias("model"), F.col(messages).alias("messages"))
+    line = F.to_json(F.struct(F.col(key).cast("string").alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"), body.alias("body")))
+    lines = requests.select(F.col(key).alias("id"), line.alias("value"))
+    bins = byte_bins(lines.withColumn("size", F.octet_length("value") + 1), most_rows, most_bytes, "id", "size")
+    lines.join(bins, "id").select("bin", "value").repartition("bin").sortWithinPartitions("bin").write.mode("overwrite").partitionBy("bin").text(path)
+    return bins.withColumnRenamed("id", key)
+
+
+#: Fixed value: the fields of a hosted batch's result lines that are read.
+_RESULT = "struct<custom_id: string, response: struct<status_code: int, body: struct<choices: array<struct<message: struct<content: string>>>>>, error: struct<message: string>>"
+
+
+def read_batch_files(spark: SparkSession, path: str, key: str = "custom_id") -> DataFrame:
+    """``key, output, error`` of result lines; a line that is not JSON stops the job."""
+    r = F.from_json("value", _RESULT, {"mode": "FAILFAST"})
+    body = F.col("r.response.body.choices")
+    bad = F.when(F.col("r.response.status_code") >= 400, F.concat(F.lit("status "), F.col("r.response.status_code").cast("string")))
+    rows = spark.read.text(path).filter(F.trim("value") != "").select(r.alias("r"))
+    return rows.select(F.col("r.custom_id").cast("long").alias(key), F.get(body, F.lit(0))["message"]["content"].alias("output"), F.coalesce(F.col("r.error.message"), bad).alias("error"))
+
+
 def batch_results(requests: DataFrame, results: DataFrame, key: str = "custom_id") -> DataFrame:
     """Requests with the outputs of a hosted batch job; one that is missing or failed has status ``error``."""
     joined = requests.join(results, key, "left")

@@ -9,35 +9,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions.messages import MESSAGES, total_tokens, user_turns
-from palimpsest.operators import metrics as A
+from palimpsest.functions.messages import MESSAGES, embedding_text, total_tokens, user_turns
+from palimpsest.functions.text import hashed_vector
+from palimpsest.operators import extraction as E
 from palimpsest.operators import phases, runs
 from palimpsest.operators import stitching as K
 from palimpsest.operators.common import row_index
 from palimpsest.operators.compactors import compactor
+from palimpsest.plans.analyses import tables_of
 from palimpsest.sources import readers, writers
 
 #: A pair of trimmed halves is built for this target, as one context seldom reaches it.
 PAIRED_TARGET = 220_000
+#: Numbers of a hashed vector, where a dataset brings no vectors of a model.
+VECTOR_WIDTH = 256
 
 
 def generate_dataset(spark: SparkSession, config: dict) -> DataFrame:
     """Read a source, stitch it to a target length, save it once, and write its manifest.
 
-    ``method``: trim, vanilla or topic (with ``vectors``: a table of vec_id, embedding, label).
+    ``method``: trim, vanilla or topic.  Topic stitching compares the vectors of ``vectors``
+    (conv_id, embedding; conv_id counts the source's rows from 0 in its files' order), or
+    hashed token counts where none are given; ``pool`` names a column of ``vectors``
+    whose values are stitched apart.
     """
     target, rows = int(config["target_size"]), 5 if config.get("test") else config.get("num_convo")
-    source = row_index(readers.read_source(spark, config["root"], config["dataset"]).withColumn("__order", F.xxhash64("messages")), ["__order"], "conv_id")
+    source = readers.in_file_order(readers.read_source(spark, config["root"], config["dataset"]), "conv_id")
     if config["method"] == "trim" and target == PAIRED_TARGET:
         made = K.paired_rows(source, target // 2)
     elif config["method"] == "trim":
         made = row_index(K.trimmed_rows(source, target, num_rows=rows), ["conv_id"]).withColumn("source_conversation_count", F.lit(1))
     else:
+        one_system = "hermes" in config["dataset"]
+        sizes = K.stitching_lengths(source, one_system)
         if config["method"] == "vanilla":
-            placed = K.concatenated(source, target, num_rows=rows)
+            placed = K.concatenated(sizes, target, num_rows=rows)
         else:
-            placed = row_index(K.topic_cohesive(source, spark.read.parquet(config["vectors"]), target), ["label", "pool", "row"])
-        lists = K.stitched_messages(placed, source, one_system="hermes" in config["dataset"])
+            if "vectors" in config:
+                vectors = spark.read.parquet(config["vectors"]).withColumnRenamed("conv_id", "vec_id")
+            else:
+                vectors = source.select(F.col("conv_id").alias("vec_id"), hashed_vector(embedding_text(F.col("messages")), VECTOR_WIDTH).alias("embedding"))
+            placed = row_index(K.topic_cohesive(sizes, vectors, target, pool=config.get("pool"), rows=rows), ["pool", "row"])
+        lists = K.stitched_messages(placed, source, one_system=one_system)
         counts = placed.select("source_row_index", F.size("sources").alias("source_conversation_count"))
         made = counts.join(lists, "source_row_index", "left").withColumn("messages", F.coalesce("messages", F.array().cast(MESSAGES)))  # a row may be cropped to nothing
         made = made.withColumn("token_length", total_tokens(F.col("messages")))
@@ -78,23 +91,56 @@ def evaluate(spark: SparkSession, config: dict) -> list[str]:
     return done
 
 
-def analyse(spark: SparkSession, facts: DataFrame, out: str) -> dict[str, int]:
-    """The analysis tables of an evaluation as CSV, and a Markdown report of the headline."""
-    facts = facts.persist()
-    tables: dict[str, DataFrame] = {
-        "headline": A.headline(facts), "per_run": A.per_run(facts), "four_groups": A.four_groups(facts), "decomposition": A.decomposition(A.four_groups(facts)),
-        "by_type": A.retention_by(facts, "sssc_type"), "by_position": A.retention_by(facts, "dataset", "position"), "compression": A.compression(facts),
-        "confusion": A.confusion(facts), "residuals": A.additive_residuals(facts), "stability": A.stability_summary(A.stability_pairs(facts)),
-    }
-    for name, table in tables.items():
-        writers.write_csv(table, f"{out}/{name}")
-    writers.write_json(spark, {"report": writers.markdown(tables["headline"].orderBy("dataset", "compactor"), "Headline")}, f"{out}/report.json")
-    counts = {name: spark.read.option("header", True).csv(f"{out}/{name}").count() for name in tables}
-    facts.unpersist()
-    return counts
+def analyse(spark: SparkSession, config: dict) -> dict[str, list[str]]:
+    """The tables of analyses as CSV, and a report of the main experiment's headline.
+
+    ``facts``: a Parquet table of facts, or ``root`` and ``manifest``: finished runs to be
+    joined.  ``out``; ``analyses`` (all that can be made, if absent); ``settings``.
+    """
+    if "facts" in config:
+        facts = spark.read.parquet(config["facts"])
+    else:
+        facts = readers.union_runs(spark, config["root"], config["manifest"], config.get("experiment", "main"), config.get("missing", "raise"))
+    done = {}
+    for name, tables in tables_of(facts, config.get("analyses"), config.get("settings", {})).items():
+        for table, rows in tables.items():
+            writers.write_csv(rows, f"{config['out']}/{name}/{table}")
+        done[name] = sorted(tables)
+        if name == "main_experiment":
+            report = writers.markdown(tables["headline"].orderBy("dataset", "compactor"), "Headline")
+            writers.write_bytes(spark, report.encode(), f"{config['out']}/report.md")
+    return done
+
+
+def summarise_datasets(spark: SparkSession, config: dict) -> DataFrame:
+    """``roots`` to look in, ``out``: tokens, turns and sources of every saved dataset, as CSV."""
+    found = readers.discover_datasets(spark, config["roots"], config.get("pattern", "*_cat_*"))
+    table = dataset_summary(spark, {r.dataset: r.path for r in found.collect()})  # a row a dataset
+    writers.write_csv(table.orderBy("avg_tokens", "dataset"), config["out"])
+    return table
+
+
+def reprobe(spark: SparkSession, config: dict) -> DataFrame:
+    """Probe a run's fixed contexts anew: ``contexts``, ``runtime``, ``cases``, ``out``; with ``judge``, free
+    generations are judged as true, false or undecided."""
+    rows, cases = spark.read.parquet(config["contexts"]), tuple(config.get("cases", phases.CASES))
+    answers = phases.reprobed(rows, config["runtime"], cases)
+    if "judge" in config:
+        asked = answers.drop("status", "error").join(rows.select(*phases.KEYS, "wrapped"), list(phases.KEYS))
+        answers = phases.regraded_generations(asked, config["judge"])
+    return writers.replace_table(answers, config["out"])
+
+
+def extract(spark: SparkSession, config: dict) -> DataFrame:
+    """Run the extractor over a saved dataset's pairs: ``dataset``, ``out``; registries, and whether each was found."""
+    data = readers.read_dataset(spark, config["dataset"], config.get("rows"), bool(config.get("test")))
+    work = phases.pairs(spark, data, config.get("position", "top")).select(*phases.KEYS, "sssc_type", "wrapped", E.registry(F.col("injected")).alias("registry"))
+    kept = F.exists("registry", lambda x: F.contains(x["text"], F.col("wrapped")) | F.contains(F.col("wrapped"), x["text"]))
+    identity = runs.extractor_run_id(config["name"], "rules", "lexical")
+    return writers.replace_table(work.withColumn("retention", kept).withColumn("run_id", F.lit(identity)).drop("wrapped"), f"{config['out']}/{identity}")
 
 
-JOBS: dict[str, Callable] = {"generate_dataset": generate_dataset, "evaluate": evaluate}
+JOBS: dict[str, Callable] = {"generate_dataset": generate_dataset, "evaluate": evaluate, "analyse": analyse, "summarise_datasets": summarise_datasets, "reprobe": reprobe, "extract": extract}
 
 
 def main(args: list[str]) -> None:

@@ -107,11 +107,17 @@ def with_token_length(df: DataFrame) -> DataFrame:
     return df if "token_length" in df.columns else df.withColumn("token_length", total_tokens(F.col("messages")))
 
 
+def in_file_order(df: DataFrame, name: str) -> DataFrame:
+    """Numbers rows from 0 on in the order of their files' names and of the rows in each, as they are read."""
+    placed = df.withColumn("__file", F.input_file_name()).withColumn("__row", F.monotonically_increasing_id())
+    return row_index(placed, ["__file", "__row"], name).drop("__file", "__row")
+
+
 def read_dataset(spark: SparkSession, path: str, num_rows: int | None = None, test: bool = False) -> DataFrame:
     """A saved dataset by ``source_row_index``; a test takes five rows at most, too few rows are an error."""
     df = spark.read.parquet(path)
     if "source_row_index" not in df.columns:
-        df = row_index(df.withColumn("__file", F.input_file_name()).withColumn("__row", F.monotonically_increasing_id()), ["__file", "__row"]).drop("__file", "__row")
+        df = in_file_order(df, "source_row_index")
     df = df.withColumn("messages", projected(F.col("messages")))
     if test:
         num_rows = min(5, num_rows or 5)
