@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,16 @@ def total_tokens(messages: Column) -> Column:
     return F.aggregate(messages, F.lit(0), lambda total, m: total + message_tokens(m))
 
 
+def message_lengths(df: DataFrame, count: Callable[[Column], Column], key: str, messages: str = "messages", name: str = "token_length") -> DataFrame:
+    """``key, token_length``: as ``total_tokens``, with another counter, such as a tokenizer file's.
+
+    Texts go to the counter one message a row, so no row holds more than a message.
+    """
+    said = df.select(key, F.explode_outer(messages).alias("m"))
+    each = F.when(F.col("m").isNotNull(), count(F.col("m.role")) + count(F.col("m.content")) + 1).otherwise(0)
+    return said.groupBy(key).agg(F.sum(each).cast("int").alias(name))
+
+
 def user_turns(messages: Column) -> Column:
     """Zero-based places of user messages."""
     return F.filter(F.transform(messages, lambda m, i: F.when(m["role"] == "user", i)), lambda i: i.isNotNull())

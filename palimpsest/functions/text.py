@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,31 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(TOKEN_PATTERN))
 
 
+def vocabulary_token_count(path: str, special: bool = False) -> Callable[[Column], Column]:
+    """Counts tokens by a tokenizer file instead of the pattern; null for null.
+
+    The file is read once in each Python worker; texts come to it in Arrow batches.
+    """
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        tokenizer = _tokenizer(path)
+        known = texts.notna()
+        found = pd.Series(0, index=texts.index, dtype="float").where(known)
+        lengths = [len(e.ids) for at in range(0, int(known.sum()), 256) for e in tokenizer.encode_batch_fast(texts[known].iloc[at : at + 256].tolist(), add_special_tokens=special)]
+        found[known] = lengths
+        return found.astype("Int32")
+
+    return count
+
+
+@functools.lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def draw(*parts: Column | str | int) -> Column:
     """A uniform number in [0, 1) fixed by the parts, joined with bars."""
     text = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])

@@ -86,6 +86,33 @@ def token_budget(turns: DataFrame, budget: int, key: str = "conv_id", order: str
     return placed.groupBy(key).agg(F.array_join(F.transform(kept, lambda x: x["token"]), " ").alias("kept"), F.count("*").alias("n_tokens"), F.count_if(F.col("rank") <= budget).alias("n_kept"))
 
 
+def classified_tokens(df: DataFrame, scores: Callable[[list[str]], list[float]], rate: float, text: str = "text", id_cols: tuple[str, ...] = ("source_row_index",), force: tuple[str, ...] = ("\n", "?"), window: int = 512) -> DataFrame:
+    """``id_cols, kept, n_tokens, n_kept``: what a token classifier keeps of each text, in order.
+
+    ``scores`` gives, for a window of tokens, how much each is worth keeping; the best
+    ``rate`` of a text's tokens stay (at least one), ties to the earlier, and ``force``
+    tokens besides.  A null text stays null.
+    """
+    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in id_cols)
+    pieces = re.compile(r"\n|\w+|[^\w\s]")
+
+    def keep(value: str | None) -> tuple[str | None, int, int]:
+        if value is None:
+            return None, 0, 0
+        tokens = pieces.findall(value)
+        worth = [s for at in range(0, len(tokens), window) for s in scores(tokens[at : at + window])]
+        best = sorted(range(len(tokens)), key=lambda i: (-worth[i], i))[: max(1, int(rate * len(tokens)))]
+        chosen = sorted({*best, *(i for i, t in enumerate(tokens) if t in force)}) if tokens else []
+        return " ".join(tokens[i] for i in chosen), len(tokens), len(chosen)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = pd.DataFrame([keep(v) for v in batch[text]], columns=["kept", "n_tokens", "n_kept"])
+            yield pd.concat([batch[list(id_cols)].reset_index(drop=True), made], axis=1)
+
+    return df.select(*id_cols, text).mapInPandas(run, f"{fields}, kept string, n_tokens long, n_kept long")
+
+
 def model_compaction(df: DataFrame, model: Callable[[list[str]], list[str]], prompt: str = "prompt", retries: int = 3, id_cols: tuple[str, ...] = ("source_row_index",)) -> DataFrame:
     """Summaries by a model: ``id_cols, summary, status, error``.
 

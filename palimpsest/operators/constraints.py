@@ -104,10 +104,12 @@ def pair_seeds(rows: int, constraints: int = len(CATALOGUE), seed: int = 42) ->
 
 #: Prompts that ask a model to compact a transcript; the key is the style's name.
 SUMMARY_PROMPTS = {
-    "plain": "Summarise the conversation so that work can go on from the summary.",
-    "targeted": "Summarise the conversation. Keep every lasting instruction of the user word for word.",
-    "brief": "Give the state of the conversation in a few short points.",
-    "structured": "Summarise under the headings Goal, Decisions, Open points and Instructions.",
+    "plain": "Summarise the conversation so that work can go on from the summary alone. Say what was asked, what was done, and what is still open.",
+    "targeted": "Summarise the conversation so that work can go on from the summary alone. Before anything else, copy every lasting instruction of the user word for word under the heading Instructions: how to answer, what to avoid, what to do each time. Then say what was asked, done and left open.",
+    "brief": "Give the state of the conversation in at most ten short points. Leave out greetings and anything already settled.",
+    "structured": "Summarise under these headings, each of them even if empty: Goal, Decisions, Files and facts, Errors and their causes, Open points, Next step, Instructions.",
+    "handover": "You hand this conversation over to a colleague who has not read it. Write what they must know to go on: the user's aims, the state of the work, names and numbers in use, and how the user wants to be served.",
+    "chronological": "Retell the conversation in order, one line for each turn that matters, with the turn's speaker. Keep exact names, numbers and quoted words.",
 }
 
 
@@ -128,17 +130,43 @@ def extractor_prompt(known: Column, previous: Column, turn: Column) -> Column:
     return F.struct(system.alias("system"), user.alias("user"))
 
 
-#: Simulated tools of the probed assistant: name and purpose.
-TOOLS = (("search", "look something up"), ("open_page", "read a page"), ("run_code", "run a short program"), ("send_mail", "send a message"), ("read_file", "read a file"), ("write_file", "write a file"))
+#: Simulated tools of the probed assistant: name, purpose, and its arguments with their kinds; the first is required.
+TOOLS = (
+    ("search", "Look something up on the web.", (("query", "string"), ("results", "integer"))),
+    ("open_page", "Read a page by its address.", (("url", "string"), ("from_line", "integer"))),
+    ("find_in_page", "Find words in the page that is open.", (("words", "string"),)),
+    ("run_code", "Run a short program and return what it prints.", (("code", "string"), ("language", "string"))),
+    ("send_mail", "Send a message.", (("to", "string"), ("subject", "string"), ("body", "string"))),
+    ("read_file", "Read a file.", (("path", "string"), ("lines", "integer"))),
+    ("write_file", "Write a file anew.", (("path", "string"), ("content", "string"))),
+    ("list_files", "List a folder.", (("path", "string"), ("deep", "boolean"))),
+    ("run_command", "Run a shell command.", (("command", "string"), ("seconds", "integer"))),
+    ("remember", "Keep a note for later turns.", (("note", "string"),)),
+)
+
+
+def tool_schemas() -> list[dict]:
+    """The tools in the form that chat servers take."""
+
+    def schema(name: str, purpose: str, arguments: tuple[tuple[str, str], ...]) -> dict:
+        properties = {a: {"type": kind} for a, kind in arguments}
+        return {"type": "function", "function": {"name": name, "description": purpose, "parameters": {"type": "object", "properties": properties, "required": [arguments[0][0]]}}}
+
+    return [schema(*t) for t in TOOLS]
 
 
 def tools_message(free: bool = False) -> str:
-    listed = "\n".join(f"- {name}: {purpose}" for name, purpose in TOOLS)
+    listed = "\n".join(f"- {name}({', '.join(a for a, _ in arguments)}): {purpose}" for name, purpose, arguments in TOOLS)
     return f"Tools:\n{listed}\n" + ("Use tools as needed." if free else "Do not call tools; answer with a letter.")
 
 
 #: System prompt of a dataset by the start of its name.
-SYSTEM_PROMPTS = {"agent": "You are a careful agent with tools.", "research": "You are a research assistant.", "chat": "You are a helpful assistant."}
+SYSTEM_PROMPTS = {
+    "agent": "You are a careful agent with tools. Take one step at a time, check what each gave, and say when the task is done.",
+    "research": "You are a research assistant. Find sources, compare them, and answer with what they support.",
+    "longdoc": "You answer questions about long documents from their text alone.",
+    "chat": "You are a helpful assistant.",
+}
 
 
 def system_prompt(dataset: Column) -> Column:

@@ -176,3 +176,38 @@ def test_labels(spark):
     assert value(df, X.flag_suffix(F.lit("run_soft"), flags)).hard is False
     with pytest.raises(Exception, match="no framing"):
         value(df, X.flag_suffix(F.lit("run"), flags))
+
+
+def test_tokenizer_files_count_tokens(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from palimpsest.functions.text import vocabulary_token_count
+
+    path = P.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["one two three", "", None, "naïve 日本語 🙂", "x" * 5000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    want = {i: None if t is None else len(plain.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    count = vocabulary_token_count(path)
+    assert {r.i: r.n for r in df.select("i", count(F.col("t")).alias("n")).collect()} == want
+    talks = spark.createDataFrame([(1, [("user", texts[0]), ("assistant", texts[3])]), (2, [])], f"k int, messages {M.MESSAGES}")
+    size = lambda t: len(plain.encode(t, add_special_tokens=False).ids)
+    assert {r.k: r.token_length for r in M.message_lengths(talks, count, "k").collect()} == {1: size("user") + size(texts[0]) + 1 + size("assistant") + size(texts[3]) + 1, 2: 0}
+
+
+def test_classified_tokens_keep_the_best_and_the_forced(spark):
+    from palimpsest.operators.compactors import classified_tokens
+
+    df = spark.createDataFrame([(1, "a bb ccc? dddd\nee"), (2, None), (3, ""), (4, "same same")], "source_row_index int, text string")
+    rows = {r.source_row_index: (r.kept, r.n_tokens, r.n_kept) for r in classified_tokens(df, lambda tokens: [float(len(t)) for t in tokens], 0.3, window=3).collect()}
+    assert rows == {1: ("ccc ? dddd \n", 7, 4), 2: (None, 0, 0), 3: ("", 0, 0), 4: ("same", 2, 1)}
+
+
+def test_tools_have_schemas():
+    from palimpsest.operators import constraints as C
+
+    schemas = C.tool_schemas()
+    assert len({s["function"]["name"] for s in schemas}) == len(C.TOOLS) == 10
+    assert all(set(s["function"]["parameters"]["required"]) <= set(s["function"]["parameters"]["properties"]) for s in schemas)
+    assert all(s["function"]["name"] in C.tools_message() for s in schemas)
