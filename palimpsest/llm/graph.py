@@ -3,6 +3,10 @@
 Every round is two aggregations and two equi-joins over edges, so a hub with a
 third of all edges is pre-aggregated before the shuffle and its join can be split.
 Each half round is checkpointed; nothing is collected but a checksum.
+
+Defined results: edges with a null end, and of a node to itself, are left out; repeated
+edges count once; the least node names a component, so there are no ties; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

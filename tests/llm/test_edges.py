@@ -52,6 +52,21 @@ def test_each_stage_alone(spark, hard, stage):
     assert out.columns == hard.columns and out.count() <= len(ROWS)
 
 
+def test_packing_stage_alone(spark, hard):
+    packed = dict(corpus_pipeline.STAGES)["sequence_packing"](spark, hard, "").collect()
+    assert sum(r.start == 0 for r in packed) == len(ROWS) and {r.doc_id for r in packed} == {i for i, *_ in ROWS}
+    assert [r.length for r in packed if r.doc_id in (2, 3)] == [1, 1] and max(r.offset + r.length for r in packed) <= 2048
+    assert sum(r.length for r in packed if r.doc_id == 4) == next(r.doc_tokens for r in packed if r.doc_id == 4) > 2048
+
+
+def test_stages_without_language_or_source(spark, hard):
+    bare = hard.drop("lang", "source")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, bare, "")
+        assert out.columns == bare.columns, name
+        assert out.count() > 0
+
+
 @pytest.mark.parametrize("name", [q for q in queries.QUERIES if q not in ("op6_voronoi_top_k", "op7_link_graph")])
 def test_queries_give_every_row(spark, hard, tmp_path, name):
     hard.write.parquet(f"{tmp_path}/documents.parquet")
