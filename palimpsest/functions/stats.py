@@ -106,41 +106,52 @@ def cluster_interval(clusters: DataFrame, strata: Sequence[str], value: str, wei
 
 
 def binomial_tables(cases: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys, low, cdf``: from ``keys, left, p`` the distribution of successes, from ``low`` on.
+    """``keys, low, cdf``: from ``keys, size, p`` the distribution of successes, from ``low`` on.
 
-    Terms come from the recurrence between neighbours, in logarithms, within twelve
-    deviations of the mean; what lies beyond is less than any draw can tell.
+    ``size`` is one of the keys.  Terms come from the recurrence between neighbours, in
+    logarithms, within seven deviations of the mean and a little more; what lies beyond is
+    less than any draw of 32 bits can tell.
     """
-    left, p, k = F.col("left"), F.col("p"), F.col("__k")
-    reach = 12 * F.sqrt(left * p * (1 - p)) + 12
-    low, high = F.greatest(F.lit(0), F.floor(left * p - reach)), F.least(left, F.ceil(left * p + reach))
+    size, p, k = F.col("size"), F.col("p"), F.col("__k")
+    reach = 7 * F.sqrt(size * p * (1 - p)) + 9
+    low, high = F.greatest(F.lit(0), F.floor(size * p - reach)), F.least(size, F.ceil(size * p + reach))
     rows = cases.withColumn("low", low.cast("long")).withColumn("__k", F.explode(F.sequence(F.col("low"), high.cast("long"))))
     upto, whole = W.partitionBy(*keys).orderBy("__k"), W.partitionBy(*keys)
-    step = F.when(k == F.col("low"), 0.0).otherwise(F.log((left - k + 1) / k) + F.log(p / (1 - p)))
+    step = F.when(k == F.col("low"), 0.0).otherwise(F.log((size - k + 1) / k) + F.log(p / (1 - p)))
     logs = rows.withColumn("log", F.sum(step).over(upto))
     weights = logs.withColumn("weight", F.exp(F.col("log") - F.max("log").over(whole)))
     summed = weights.withColumn("c", F.sum("weight").over(upto) / F.sum("weight").over(whole))
     return summed.groupBy(*keys).agg(F.min("__k").alias("low"), F.array_sort(F.collect_list("c")).alias("cdf"))
 
 
+def _below(values: Column, least: Column) -> Column:
+    return F.size(F.filter(values, lambda v: v < least))
+
+
 def resampled_means(sizes: DataFrame, keys: Sequence[str], values: Sequence[float], replicates: int, seed: str) -> DataFrame:
     """``keys, replicate, m``: means of resampled groups that hold few different values.
 
     ``sizes``: ``n`` and the count ``k<i>`` of each value.  Drawing n rows with replacement
     gives multinomial counts of the values; they are drawn as such, one binomial after the
-    other by its inverse distribution, so no replicate visits the rows.
+    other by its inverse distribution, so no replicate visits the rows.  Where replicates
+    have different numbers left to draw, each draws for the least of them and for its own
+    rest apart, which is the same in distribution and needs small tables only.
     """
     keys = list(keys)
     rows = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("left", F.col("n")).withColumn("total", F.lit(0.0))
     rest = F.col("n")
     for i, value in enumerate(values[:-1]):
         p = F.coalesce(F.col(f"k{i}") / F.nullif(rest, F.lit(0)), F.lit(0.0))
-        rows = rows.withColumn("p", p).withColumn("u", draw(seed, *[F.col(c) for c in keys], F.col("replicate"), i))
-        cases = rows.filter("p > 0 and p < 1 and left > 0").select(*keys, "left", "p").distinct()
-        rows = rows.join(binomial_tables(cases, [*keys, "left"]), [*keys, "left"], "left")
-        found = F.col("low") + F.size(F.filter("cdf", lambda c: c < F.col("u")))
-        count = F.when(F.col("p") <= 0, F.lit(0)).when(F.col("p") >= 1, F.col("left")).otherwise(F.coalesce(found, F.lit(0)))
-        rows = rows.withColumn("c", count).withColumn("total", F.col("total") + F.col("c") * F.lit(float(value))).withColumn("left", F.col("left") - F.col("c")).drop("low", "cdf")
+        rows = rows.withColumn("p", p).withColumn("s1", F.min("left").over(W.partitionBy(*keys))).withColumn("s2", F.col("left") - F.col("s1"))
+        cases = rows.select(*keys, F.explode(F.array("s1", "s2")).alias("size"), "p").filter("p > 0 and p < 1 and size > 0").distinct()
+        tables = binomial_tables(cases, [*keys, "size"])
+        count = F.lit(0)
+        for part in (1, 2):
+            named = tables.select(*keys, F.col("size").alias(f"s{part}"), F.col("low").alias(f"low{part}"), F.col("cdf").alias(f"cdf{part}"))
+            rows = rows.withColumn(f"u{part}", draw(seed, *[F.col(c) for c in keys], F.col("replicate"), i, part)).join(named, [*keys, f"s{part}"], "left")
+            count = count + F.coalesce(F.col(f"low{part}") + _below(F.col(f"cdf{part}"), F.col(f"u{part}")), F.lit(0))
+        drawn = F.when(F.col("p") <= 0, F.lit(0)).when(F.col("p") >= 1, F.col("left")).otherwise(count)
+        rows = rows.withColumn("c", drawn).withColumn("total", F.col("total") + F.col("c") * F.lit(float(value))).withColumn("left", F.col("left") - F.col("c")).select(*sizes.columns, "replicate", "left", "total")
         rest = rest - F.col(f"k{i}")
     return rows.select(*keys, "replicate", ((F.col("total") + F.col("left") * F.lit(float(values[-1]))) / F.col("n")).alias("m"))
 

@@ -27,15 +27,16 @@ def few_sql(keys: tuple[str, ...], values: tuple[int, ...], replicates: int, see
 s0 AS (SELECT sz.*, rep, n AS rest, 0.0 AS total FROM sz, range(0, {replicates}) r(rep))"""]
     rest = "n"
     for i, v in enumerate(values[:-1]):
-        u = draw_sql(repr(seed), *keys, "rep", str(i))
+        u1, u2 = (draw_sql(repr(seed), *keys, "rep", str(i), str(part)) for part in (1, 2))
+        same = lambda f: " AND ".join(f"l.{c} = {f}.{c}" for c in keys)
         parts.append(f"""
-l{i} AS (SELECT *, coalesce(k{i} / nullif({rest}, 0), 0.0) AS p, {u} AS u FROM s{i}),
-c{i} AS (SELECT DISTINCT {k}, rest, p FROM l{i} WHERE p > 0 AND p < 1 AND rest > 0),
-w{i} AS (SELECT {k}, rest, x, exp(lgamma(rest + 1) - lgamma(x + 1) - lgamma(rest - x + 1) + x * ln(p) + (rest - x) * ln(1 - p)) AS w
-  FROM c{i}, unnest(range(greatest(0, floor(rest * p - 12 * sqrt(rest * p * (1 - p)) - 12))::BIGINT, least(rest, ceil(rest * p + 12 * sqrt(rest * p * (1 - p)) + 12))::BIGINT + 1)) t(x)),
-f{i} AS (SELECT {k}, rest, x, sum(w) OVER (PARTITION BY {k}, rest ORDER BY x) / sum(w) OVER (PARTITION BY {k}, rest) AS c FROM w{i}),
-g{i} AS (SELECT l.*, CASE WHEN p <= 0 THEN 0 WHEN p >= 1 THEN l.rest ELSE coalesce(f.x, 0) END AS got FROM l{i} l ASOF LEFT JOIN f{i} f ON {" AND ".join(f"l.{c} = f.{c}" for c in keys)} AND l.rest = f.rest AND l.u <= f.c),
-s{i + 1} AS (SELECT * EXCLUDE (p, u, got, rest, total), rest - got AS rest, total + got * {v} AS total FROM g{i})""")
+l{i} AS (SELECT *, coalesce(k{i} / nullif({rest}, 0), 0.0) AS p, min(rest) OVER (PARTITION BY {k}) AS s1, rest - min(rest) OVER (PARTITION BY {k}) AS s2, {u1} AS u1, {u2} AS u2 FROM s{i}),
+c{i} AS (SELECT {k}, s1 AS size, p FROM l{i} WHERE p > 0 AND p < 1 AND s1 > 0 UNION SELECT {k}, s2, p FROM l{i} WHERE p > 0 AND p < 1 AND s2 > 0),
+w{i} AS (SELECT {k}, size, x, exp(lgamma(size + 1) - lgamma(x + 1) - lgamma(size - x + 1) + x * ln(p) + (size - x) * ln(1 - p)) AS w
+  FROM c{i}, unnest(range(greatest(0, floor(size * p - 7 * sqrt(size * p * (1 - p)) - 9))::BIGINT, least(size, ceil(size * p + 7 * sqrt(size * p * (1 - p)) + 9))::BIGINT + 1)) t(x)),
+f{i} AS (SELECT {k}, size, x, sum(w) OVER (PARTITION BY {k}, size ORDER BY x) / sum(w) OVER (PARTITION BY {k}, size) AS c FROM w{i}),
+g{i} AS (SELECT l.*, CASE WHEN p <= 0 THEN 0 WHEN p >= 1 THEN l.rest ELSE coalesce(f.x, 0) + coalesce(h.x, 0) END AS got FROM l{i} l ASOF LEFT JOIN f{i} f ON {same("f")} AND l.s1 = f.size AND l.u1 <= f.c ASOF LEFT JOIN f{i} h ON {same("h")} AND l.s2 = h.size AND l.u2 <= h.c),
+s{i + 1} AS (SELECT * EXCLUDE (p, s1, s2, u1, u2, got, rest, total), rest - got AS rest, total + got * {v} AS total FROM g{i})""")
         rest += f" - k{i}"
     last = len(values) - 1
     parts.append(f"""

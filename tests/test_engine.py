@@ -5,6 +5,7 @@ import random
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -83,11 +84,11 @@ def test_few_valued_interval_resembles_resampling(spark):
 
 def test_binomial_tables_are_the_distribution(spark):
     cases = [(1, 0.5), (7, 0.01), (40, 0.3), (3000, 0.9), (100_000, 0.5)]
-    df = spark.createDataFrame([("g", n, p) for n, p in cases], "k string, left long, p double")
-    for r in stats.binomial_tables(df, ["k", "left"]).collect():
-        p, cdf = dict(cases)[r["left"]], np.array(r.cdf)
-        terms = [math.exp(math.lgamma(r["left"] + 1) - math.lgamma(x + 1) - math.lgamma(r["left"] - x + 1) + x * math.log(p) + (r["left"] - x) * math.log(1 - p)) for x in range(r["left"] + 1)]
-        assert np.abs(cdf - np.cumsum(terms)[r.low : r.low + len(cdf)]).max() < 1e-8 and len(cdf) < 60 + 25 * math.sqrt(r["left"])
+    df = spark.createDataFrame([("g", n, p) for n, p in cases], "k string, size long, p double")
+    for r in stats.binomial_tables(df, ["k", "size"]).collect():
+        p, cdf = dict(cases)[r["size"]], np.array(r.cdf)
+        terms = [math.exp(math.lgamma(r["size"] + 1) - math.lgamma(x + 1) - math.lgamma(r["size"] - x + 1) + x * math.log(p) + (r["size"] - x) * math.log(1 - p)) for x in range(r["size"] + 1)]
+        assert np.abs(cdf - np.cumsum(terms)[r.low : r.low + len(cdf)]).max() < 1e-8 and len(cdf) < 60 + 25 * math.sqrt(r["size"])
 
 
 def test_decomposition_adds_up(spark):
@@ -375,6 +376,24 @@ def test_streamed_extraction_equals_the_batch_fold(spark, tmp_path):
     assert sorted(map(tuple, spark.table("found").collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_a_late_or_repeated_turn_changes_nothing():
+    from palimpsest.operators.constraints import EXPLICIT
+    from palimpsest.streaming.extraction import fold
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    state, said = State(), [f"{EXPLICIT}say {w}." for w in ("one", "two", "three")]
+    batch = lambda *rows: [pd.DataFrame(rows, columns=["turn", "role", "text"])]
+    found = lambda frames: pd.concat(list(fold((7,), frames, state)))["source_turn_index"].tolist()
+    assert found(batch((4, "user", said[1]), (2, "user", said[0]))) == [2, 4]
+    assert found(batch((4, "user", said[1]), (3, "user", said[2]))) == []  # a repeated delivery, and one that is late
+    assert found(batch((5, "assistant", said[2]), (6, "user", said[2] + " " + said[0]))) == [6]
+
+
 def test_windows_are_the_same_on_a_stream(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.write.parquet(f"{tmp_path}/e")
