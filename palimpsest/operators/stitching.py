@@ -100,32 +100,37 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, p: s + p)
 
 
+def _nearest_among(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k rows of ``b`` nearest to each of ``a``, itself left out; ``b`` is sorted by id."""
+    x, y, parts = np.stack(a["v"]).astype(float), np.stack(b["v"]).astype(float), []
+    for at in range(0, len(a), 512):
+        ids = a["id"].to_numpy()[at : at + 512]
+        scores = np.round(x[at : at + 512] @ y.T, 9)
+        scores[ids[:, None] == b["id"].to_numpy()[None]] = -np.inf
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        parts.append(pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "neighbour_id": b["id"].to_numpy()[best.ravel()], "similarity": np.take_along_axis(scores, best, 1).ravel()}))
+    out = pd.concat(parts)
+    return out[np.isfinite(out["similarity"])]
+
+
 def nearest(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, neighbour_id, similarity``: every row's k nearest by inner product.
 
-    Rows are dealt to blocks of bounded size; each pair of blocks is one matrix
-    product that returns k candidates a query, and the blocks' candidates are merged.
+    Rows are dealt to blocks of bounded size; each pair of blocks meets once, in a task
+    that returns k candidates for every row of both, and a row's candidates are merged.
     """
     blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("id", "v", F.col("b").alias("q"), every.alias("d"))
-    right = rows.select("id", "v", F.col("b").alias("d"), every.alias("q"))
-
-    def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "neighbour_id": [], "similarity": []})
-        b = b.sort_values("id", ignore_index=True)
-        x, y, parts = np.stack(a["v"]).astype(float), np.stack(b["v"]).astype(float), []
-        for at in range(0, len(a), 512):
-            scores = np.round(x[at : at + 512] @ y.T, 9)
-            scores[a["id"].to_numpy()[at : at + 512, None] == b["id"].to_numpy()[None]] = -np.inf
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            parts.append(pd.DataFrame({"query_id": np.repeat(a["id"].to_numpy()[at : at + 512], best.shape[1]), "neighbour_id": b["id"].to_numpy()[best.ravel()], "similarity": np.take_along_axis(scores, best, 1).ravel()}))
-        out = pd.concat(parts)
-        return out[np.isfinite(out["similarity"])]
-
-    found = left.groupBy("q", "d").cogroup(right.groupBy("q", "d")).applyInPandas(solve, "query_id long, neighbour_id long, similarity double")
+    met = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "v", "b", F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        low, high = pdf[pdf["b"] == pdf["low"]], pdf[pdf["b"] == pdf["high"]]
+        sides = [(low, high)] if len(low) == len(high) == len(pdf) else [(low, high), (high, low)]
+        parts = [_nearest_among(a.reset_index(drop=True), b.reset_index(drop=True), k) for a, b in sides if len(a) and len(b)]
+        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "neighbour_id": [], "similarity": []})
+
+    found = met.groupBy("low", "high").applyInPandas(solve, "query_id long, neighbour_id long, similarity double")
     place = W.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id")
     ranked = found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "neighbour_id", F.round("similarity", 6).alias("similarity"))

@@ -203,14 +203,18 @@ def test_oversize_row_is_an_error(spark):
         K.byte_bins(spark.createDataFrame([(1, 99)], "i long, s long"), 5, 50, "i", "s").collect()
 
 
-def test_nearest_is_brute_force(spark):
+def test_nearest_is_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((40, 6))
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
     sims = np.round(x @ x.T, 9)
     np.fill_diagonal(sims, -np.inf)
-    for r in K.nearest(df, 3).collect():
-        assert r.neighbour_id == np.argsort(-sims[r.query_id], kind="stable")[r.rank - 1]
+    for rows in (K.BLOCK_ROWS, 7):
+        monkeypatch.setattr(K, "BLOCK_ROWS", rows)
+        found = K.nearest(df, 3).collect()
+        assert len(found) == 120
+        for r in found:
+            assert r.neighbour_id == np.argsort(-sims[r.query_id], kind="stable")[r.rank - 1]
 
 
 def test_samples_do_not_depend_on_partitions(spark):
