@@ -6,9 +6,11 @@ so two sketches differ in no more chunks than the sets differ in elements.  Sets
 of one size band whose similarity reaches the threshold differ in at most D
 elements: of D + 1 + 2q chunks they agree in 2q + 1, and still in one after each
 set has left out its q lightest chunks.  Chunks that agree are found by one
-shuffle of (chunk key, node) pairs.  A chunk without shingles says nothing; sets
-that keep one take part by the D + 1 shingles of least hash instead, of which sets
-that differ in at most D elements share one.
+shuffle of (chunk key, node) pairs.  A chunk without shingles says nothing and has no
+key.  A set with at most 2q such chunks agrees with a similar one in another chunk as
+well, which both keep: chunks without shingles are the lightest, so they are left out
+first.  Sets with more of them also take part by their D + 1 shingles of least hash, of
+which sets that differ in at most D elements share one.
 
 The nodes of a key belong to its least node's cluster, so each pair that shares a
 key meets in a cluster, and a cluster is a row for each member, not for each pair.
@@ -40,7 +42,8 @@ from palimpsest.llm.common import BatchCache, checkpointed, claim, id_text, ids_
 from palimpsest.llm.graph import components
 
 CACHE_BYTES = 56 << 20
-BAND_RATIO, LIGHT_SHARE = 1.5, 16
+#: One in LIGHT_SHARE of the elements that may differ, and at least one from LIGHT_FROM on, is the number of chunks left out.
+BAND_RATIO, LIGHT_SHARE, LIGHT_FROM = 1.5, 12, 5
 #: Shingles of a block, and about as many of a task of small clusters, when sketches and when true sets are compared.
 SKETCH_BLOCK, SET_BLOCK = 8_000_000, 1_000_000
 _BITS = 20
@@ -99,7 +102,7 @@ class Threshold:
         """Number of chunks, how many of the lightest a set leaves out, and how many elements may differ."""
         most = self.starts[band + 1] - 1
         differ = (self.den - self.num) * 2 * most // (self.den + self.num)
-        left_out = differ // LIGHT_SHARE
+        left_out = max(differ // LIGHT_SHARE, int(differ >= LIGHT_FROM))
         return differ + 1 + 2 * left_out, left_out, differ
 
     def similar(self, common: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
@@ -120,7 +123,7 @@ def chunk_keys(shingles: np.ndarray, threshold: Threshold) -> np.ndarray:
         chosen = np.sort(np.argsort(weight, kind="stable")[left_out:]) if left_out else np.arange(count)
         told = chosen[weight[chosen] > 0]
         keys.append(mix(sketch[told] + mix(told.astype(np.uint64), 41), 51 + band))
-        if len(told) < len(chosen):
+        if np.count_nonzero(weight == 0) > 2 * left_out:
             ranked = mix(shingles, 42)
             first = np.partition(ranked, differ)[: differ + 1] if differ + 1 < len(ranked) else ranked
             keys.append(mix(first, 151 + band))
