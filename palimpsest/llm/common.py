@@ -162,10 +162,14 @@ class BatchCache:
     def forget(self) -> None:
         self.young, self.older, self.size, self.passing = {}, {}, 0, []
 
-    def _take(self, entries: Iterable[tuple]) -> None:
-        for key, value in entries:
-            self.young[key] = value
-            self.size += self.OVERHEAD + len(key) + (len(value) if isinstance(value, bytes) else 8)
+    def _take(self, keys: list, values: list) -> None:
+        self.young.update(zip(keys, values, strict=True))
+        self._weigh(keys, values, 1)
+
+    def _weigh(self, keys: list, values: list, sign: int) -> None:
+        if keys:
+            data = sum(map(len, values)) if isinstance(values[0], bytes) else 8 * len(values)
+            self.size += sign * (self.OVERHEAD * len(keys) + sum(map(len, keys)) + data)
 
     def get(self, keys: Iterable) -> dict:
         for key in self.passing:
@@ -177,16 +181,12 @@ class BatchCache:
         if new and self.older:
             old = self.older
             known = [k for k in new if k in old]
-            self._take((k, old[k]) for k in known)
+            self._take(known, [old[k] for k in known])
             new.difference_update(known)
         if new:
             missing = list(new)
-            made = self.make(missing)
-            self.passing = [k for k in missing if len(k) > self.LONGEST]
-            if self.passing:
-                self.young.update(zip(missing, made, strict=True))
-                long = set(self.passing)
-                self._take((k, self.young[k]) for k in missing if k not in long)
-            else:
-                self._take(zip(missing, made, strict=True))
+            self._take(missing, self.make(missing))
+            if max(map(len, missing)) > self.LONGEST:
+                self.passing = [k for k in missing if len(k) > self.LONGEST]
+                self._weigh(self.passing, [self.young[k] for k in self.passing], -1)
         return self.young
