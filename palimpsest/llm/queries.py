@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers_of
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, jaccard, packing, quality, rlz, secrets, suffix, urlrank, voronoi, wordpiece
+from palimpsest.llm import balltree, bpe, chosenpath, jaccard, packing, phrases, quality, rlz, secrets, suffix, urlrank, voronoi, wordpiece
 from palimpsest.llm.common import table
 
 
@@ -81,6 +81,19 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("doc_id", "n_bytes", _removed(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return balltree.hard_negatives(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0, moved, scale=256, positives=5, negatives=5, window=(80, 100, 100))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=5, least=100, top=2000)
+
+
+def op13_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.near_duplicates(table(spark, sf_dir, "documents"), k=5, num=85, den=100)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_tokenizer_fertility": op2_tokenizer_fertility,
@@ -92,6 +105,9 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_parity_sketch_join": op9_parity_sketch_join,
     "op10_suffix_array": op10_suffix_array,
+    "op11_ball_tree": op11_ball_tree,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_chosen_path": op13_chosen_path,
 }
 TOP_K_SQL = """
 WITH v AS (
@@ -103,4 +119,44 @@ s AS (
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
-ORACLES: dict[str, str] = {"op6_voronoi_top_k": TOP_K_SQL}
+HARD_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id AS vec_id, q.label = c.label AS same,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+PHRASES_SQL = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS x
+  FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM t),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, unnest([1, 2, 3, 4, 5]) AS k, w FROM w),
+o AS (SELECT lang, k, unnest(list_transform(range(1, len(w)::BIGINT - k + 2), lambda i: w[i : i + k - 1])) AS p FROM g WHERE len(w) >= k),
+f AS (SELECT lang, k, p, count(*)::BIGINT AS f FROM o GROUP BY lang, k, p HAVING count(*) >= 100),
+inside AS (
+  SELECT lang, p, max(f) AS f FROM (
+    SELECT lang, f, p[1 : k - 1] AS p FROM f WHERE k > 2 UNION ALL SELECT lang, f, p[2 : k] AS p FROM f WHERE k > 2) GROUP BY lang, p),
+c AS (SELECT f.* FROM f LEFT JOIN inside i ON f.lang = i.lang AND f.p = i.p WHERE k >= 2 AND (i.f IS NULL OR 100 * i.f < 100 * f.f)),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+s AS (
+  SELECT c.lang, c.p, c.cut, c.f AS a, x.f AS l, y.f AS r, n, ((1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.p[1 : c.cut] JOIN f y ON y.lang = c.lang AND y.p = c.p[c.cut + 1 : c.k] JOIN total t ON t.lang = c.lang),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+r AS (SELECT *, array_to_string(p, ' ') AS phrase FROM m)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM r QUALIFY rank <= 2000
+"""
+ORACLES: dict[str, str] = {"op6_voronoi_top_k": TOP_K_SQL, "op11_ball_tree": HARD_NEGATIVES_SQL, "op12_phrase_collocations": PHRASES_SQL}
