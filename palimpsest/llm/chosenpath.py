@@ -67,12 +67,14 @@ def trees_for(recall: float, num: int, den: int) -> int:
 
 def minwise(shingles: np.ndarray, places: int) -> np.ndarray:
     """The least hash of the shingles under each of ``places`` functions."""
-    base = mix(shingles, 81)
-    out = np.empty(places, np.uint64)
-    for i in range(places):
-        x = (base ^ np.uint64((2 * i + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+    base, out = mix(shingles, 81), np.full(places, np.iinfo(np.uint64).max, np.uint64)
+    functions = ((2 * np.arange(places, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    for at in range(0, len(base), 2048):
+        x = base[at : at + 2048] ^ functions
+        x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
-        out[i] = (x * np.uint64(0x94D049BB133111EB)).min()
+        x *= np.uint64(0x94D049BB133111EB)
+        np.minimum(out, x.min(1), out=out)
     return out
 
 
@@ -159,7 +161,7 @@ def dealt(members: DataFrame, block: int, columns: list[str]) -> DataFrame:
     return placed.select("path", "node", "n_shingles", "label", "block", task.alias("task"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *columns)
 
 
-def possible_pairs(sizes: np.ndarray, label: np.ndarray, block: np.ndarray, i: int, upto: int, between: bool) -> np.ndarray:
+def possible_pairs(label: np.ndarray, block: np.ndarray, i: int, upto: int, between: bool) -> np.ndarray:
     """Which of the members i + 1 to upto are to be compared with member i."""
     other = label[i + 1 : upto] != label[i]
     return other & (block[i + 1 : upto] != block[i]) if between else other
@@ -167,30 +169,32 @@ def possible_pairs(sizes: np.ndarray, label: np.ndarray, block: np.ndarray, i: i
 
 def sketch_partners(pdf: pd.DataFrame, threshold: Threshold) -> pd.DataFrame:
     """Members that the whole sketches leave a possible partner in their tree node."""
-    out, gain, loss = [], threshold.den + threshold.num, threshold.den - threshold.num
-    for path, members in pdf.groupby("path", sort=False):
-        members = members.drop_duplicates("node").sort_values("n_shingles", kind="stable")
-        if len(members) < 2:
+    gain, loss = threshold.den + threshold.num, threshold.den - threshold.num
+    pdf = pdf.sort_values(["path", "n_shingles", "node"], ignore_index=True)
+    path, nodes, sizes, block, label = (pdf[c].to_numpy() for c in ("path", "node", "n_shingles", "block", "label"))
+    data, hit = pdf["sketch"].tolist(), np.zeros(len(pdf), bool)
+    twice = np.concatenate([[False], (nodes[1:] == nodes[:-1]) & (path[1:] == path[:-1])])
+    starts = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+    for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(path)], strict=True):
+        own = slice(start, end)
+        ends = start + np.searchsorted(sizes[own], sizes[own] * threshold.den // threshold.num, "right")
+        if (ends <= np.arange(start + 1, end + 1)).all():
             continue
-        sizes, nodes, block, label = (members[c].to_numpy() for c in ("n_shingles", "node", "block", "label"))
-        data, between = members["sketch"].tolist(), members["block"].nunique() > 1
-        ends = np.searchsorted(sizes, sizes * threshold.den // threshold.num, "right")
-        widths, hit, cache = np.array([len(d) // 8 for d in data]), np.zeros(len(sizes), bool), {}
-        for i, upto in enumerate(ends.tolist()):
-            if upto <= i + 1:
+        between = bool((block[own] != block[start]).any())
+        widths = np.array([len(d) // 8 for d in data[own]])
+        width, first, sketches = 0, 0, None
+        for i, upto in enumerate(ends.tolist(), start):
+            if upto <= i + 1 or twice[i]:
                 continue
-            width = int(widths[i])
-            if width not in cache:  # members from here on, folded to this width
-                last = int(ends[np.flatnonzero(widths == width)[-1]])
-                cache = {width: (i, np.concatenate([folded(np.frombuffer(d, np.uint64), width)[None] for d in data[i:last]]))}
-            first, sketches = cache[width]
+            if (now := int(widths[i - start])) != width:  # members from here on, folded to this width
+                width, first, last = now, i, int(ends[np.flatnonzero(widths == now)[-1]])
+                sketches = np.concatenate([folded(np.frombuffer(d, np.uint64), width)[None] for d in data[i:last]])
             differ = np.bitwise_count(sketches[i + 1 - first : upto - first] ^ sketches[i - first]).sum(1)
-            near = possible_pairs(sizes, label, block, i, upto, between) & (differ * gain <= loss * (sizes[i + 1 : upto] + sizes[i]))
+            near = possible_pairs(label, block, i, upto, between) & ~twice[i + 1 : upto] & (differ * gain <= loss * (sizes[i + 1 : upto] + sizes[i]))
             if near.any():
                 hit[i] = True
                 hit[i + 1 : upto] |= near
-        out.append(pd.DataFrame({"path": path, "node": nodes[hit], "label": label[hit]}))
-    return pd.concat(out).astype("int64") if out else pd.DataFrame({"path": [], "node": [], "label": []}, dtype="int64")
+    return pdf.loc[hit, ["path", "node", "label"]]
 
 
 def similar_pairs(sets: list[np.ndarray], names: np.ndarray, label: np.ndarray, block: np.ndarray, threshold: Threshold) -> list[tuple[int, int]]:
