@@ -13,10 +13,10 @@ A pair at the threshold s survives a tree with probability of at least s (1 - x)
 x is the least root of ``x = (1 - s + s x)**2`` (Threshold.survival); independent trees
 are repeated until the chance to miss a pair is below ``1 - recall``.
 
-The first tree runs alone and its links are closed to components; in the other trees
-a tree node whose sets are of one component is left out, and sets of one component
-are not compared again, so a large group of copies is compared once and not in every
-tree.  Comparing means: Hamming distance of whole parity sketches, which bounds the sets'
+The first tree is compared alone, and each set takes the least set that it was found
+connected to as its label; in the other trees a tree node whose sets have one label is left
+out, and sets of one label are not compared again, so a large group of copies is compared
+once and not in every tree.  Comparing means: Hamming distance of whole parity sketches, which bounds the sets'
 difference from below and never loses a link; then full shingle sets.
 
 Defined results: a text without words, or null, has an empty set and is linked with
@@ -46,7 +46,7 @@ from palimpsest.llm.graph import components
 from palimpsest.llm.jaccard import Threshold, fingerprint, folded, mix, shingle_set, whole_sketch
 
 #: Sets of a tree node that is compared at once, levels below a tree's first, places for each level, and probe places.
-SMALL, LEVELS, PLACES, PROBES = 256, 5, 4, 4
+SMALL, LEVELS, PLACES, PROBES = 1024, 5, 4, 4
 #: A large tree node is dense where its sets agree at this share of the probe places or more.
 DENSE = 0.5
 #: Shingles of a block, and about as many of a task of small tree nodes, when sketches and when full sets are compared.
@@ -112,7 +112,7 @@ def profiles(docs: DataFrame, k: int, trees: int) -> DataFrame:
 
 
 def branched(rows: DataFrame, level: int) -> DataFrame:
-    """``path, node, tokens`` of the children: two places of the level's own, selected by the path."""
+    """``tree, path, node, tokens`` of the children: two places of the level's own, selected by the path."""
     first = F.pmod(F.xxhash64("path"), F.lit(PLACES))
     second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(1)), F.lit(PLACES - 1)), F.lit(PLACES))
     start = PROBES + level * PLACES
@@ -120,11 +120,11 @@ def branched(rows: DataFrame, level: int) -> DataFrame:
     def child(place: Column) -> Column:
         return F.xxhash64("path", place, F.element_at("tokens", (place + start + 1).cast("int")))
 
-    return rows.select(F.explode(F.array(child(first), child(second))).alias("path"), "node", "tokens")
+    return rows.select("tree", F.explode(F.array(child(first), child(second))).alias("path"), "node", "tokens")
 
 
 def tree_nodes(start: DataFrame) -> DataFrame:
-    """``path, node``: the members of every tree node to compare, from ``path, node, tokens``.
+    """``tree, path, node``: the members of every tree node to compare, from the first nodes' and ``tokens``.
 
     A level's sizes are a stored table, so that the join of members with them can be split
     where one path holds many.
@@ -134,16 +134,16 @@ def tree_nodes(start: DataFrame) -> DataFrame:
         sizes = checkpointed(now.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"))
         big = sizes.filter(F.col("n") > SMALL)
         if level == LEVELS or big.isEmpty():
-            leaves.append(now.join(sizes.select("path"), "path").select("path", "node"))
+            leaves.append(now.join(sizes.select("path"), "path").select("tree", "path", "node"))
             break
-        leaves.append(now.join(sizes.filter(F.col("n") <= SMALL).select("path"), "path").select("path", "node"))
+        leaves.append(now.join(sizes.filter(F.col("n") <= SMALL).select("path"), "path").select("tree", "path", "node"))
         large = checkpointed(now.join(big, "path"))
         probes = F.posexplode(F.slice("tokens", 1, PROBES)).alias("place", "token")
         same = large.select("path", "n", probes).groupBy("path", "n", "place", "token").agg(F.count("*").alias("m"))
         agree = same.groupBy("path", "n").agg((F.sum(F.col("m").cast("double") * (F.col("m") - 1)) / (PROBES * F.col("n") * (F.col("n") - 1.0))).alias("share"))
         dense = checkpointed(agree.select("path", (F.col("share") >= DENSE).alias("dense")))
         marked = large.join(dense, "path")
-        leaves.append(marked.filter("dense").select("path", "node"))
+        leaves.append(marked.filter("dense").select("tree", "path", "node"))
         now = checkpointed(branched(marked.filter("not dense"), level))
     return reduce(DataFrame.unionByName, leaves)
 
@@ -198,9 +198,10 @@ def sketch_partners(pdf: pd.DataFrame, threshold: Threshold) -> pd.DataFrame:
 
 
 def similar_pairs(sets: list[np.ndarray], names: np.ndarray, label: np.ndarray, block: np.ndarray, threshold: Threshold) -> list[tuple[int, int]]:
-    """Spanning links of the similar pairs among full sets, by inverted lists of their shared shingles.
+    """Each set that is similar to others, or connected by them, with the least set of those.
 
-    Links between members that earlier links here connect are left out, as are labels' own.
+    Full sets are compared by inverted lists of their shared shingles; pairs of one label,
+    or connected by earlier pairs, are left out.
     """
     order = np.argsort([len(s) for s in sets], kind="stable")
     sets, names, label, block = [sets[i] for i in order], names[order], label[order], block[order]
@@ -212,7 +213,7 @@ def similar_pairs(sets: list[np.ndarray], names: np.ndarray, label: np.ndarray,
     by_shingle = np.argsort(column, kind="stable")
     lists, starts = owner[by_shingle], np.searchsorted(column[by_shingle], np.arange(len(counts) + 1))
     mine = np.searchsorted(owner, np.arange(len(sets) + 1))
-    group, out = np.unique(label, return_inverse=True)[1], []
+    group, linked_any = np.unique(label, return_inverse=True)[1], np.zeros(len(sets), bool)
     for i in range(len(sets)):
         own = column[mine[i] : mine[i + 1]]
         upto = int(np.searchsorted(sizes, sizes[i] * threshold.den // threshold.num, "right"))
@@ -228,13 +229,13 @@ def similar_pairs(sets: list[np.ndarray], names: np.ndarray, label: np.ndarray,
         common = np.bincount(lists[at], minlength=len(sets))[i + 1 : upto]
         for j in (np.flatnonzero(open_pairs & threshold.similar(common, int(sizes[i]), sizes[i + 1 : upto])) + i + 1).tolist():
             if group[j] != group[i]:
-                out.append((int(names[i]), int(names[j])))
+                linked_any |= (group == group[j]) | (group == group[i])
                 group[group == group[j]] = group[i]
-    return out
+    return [(int(names[group == g].min()), int(x)) for g in np.unique(group[linked_any]) for x in names[group == g]]
 
 
 def compared(members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, threshold: Threshold) -> DataFrame:
-    """``a, b``: spanning links of the similar sets of each tree node.
+    """``a, b``: the similar sets of each tree node, connected ones with the least of them.
 
     ``members``: path, node, label.  ``nodes``: node, doc_id, n_shingles, sketch.
     """
@@ -264,25 +265,16 @@ def linked(docs: DataFrame, k: int, num: int, den: int, recall: float) -> DataFr
     rows = stored(profiles(docs, k, trees))
     first = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots"), F.first("tokens").alias("tokens"))
     nodes = stored(first)
-
-    def rooted(which: Column) -> DataFrame:
-        """The trees' first nodes that two sets or more share, with their members."""
-        every = nodes.select(F.explode(which).alias("path"), "node")
-        shared = checkpointed(every.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").select("path"))
-        return every.join(shared, "path")
-
-    def with_tokens(members: DataFrame) -> DataFrame:
-        return members.join(nodes.select("node", "tokens"), "node").select("path", "node", "tokens")
-
-    met = tree_nodes(checkpointed(with_tokens(rooted(F.slice("roots", 1, 1)))))
-    links = checkpointed(compared(met.withColumn("label", F.col("node")), nodes, docs, k, threshold))
-    label = checkpointed(components(links))
-    others = checkpointed(rooted(F.slice("roots", 2, trees - 1)).join(label, "node", "left").select("path", "node", F.coalesce("root", "node").alias("label")))
+    every = nodes.select(F.posexplode("roots").alias("tree", "path"), "node")
+    shared = checkpointed(every.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").select("path"))
+    members = every.join(shared, "path").join(nodes.select("node", "tokens"), "node")
+    met = checkpointed(tree_nodes(checkpointed(members.select("tree", "path", "node", "tokens"))))
+    links = checkpointed(compared(met.filter("tree = 0").select("path", "node", F.col("node").alias("label")), nodes, docs, k, threshold))
+    # connected to its label, each: sets of one label are of one component
+    label = checkpointed(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")))
+    others = checkpointed(met.filter("tree > 0").select("path", "node").join(label, "node", "left").select("path", "node", F.coalesce("label", "node").alias("label")))
     mixed = checkpointed(others.groupBy("path").agg((F.min("label") < F.max("label")).alias("mixed")).filter("mixed").select("path"))
-    met = tree_nodes(checkpointed(with_tokens(others.join(mixed, "path").select("path", "node"))))
-    labelled = checkpointed(met.join(label, "node", "left").select("path", "node", F.coalesce("root", "node").alias("label")))
-    mixed = checkpointed(labelled.groupBy("path").agg((F.min("label") < F.max("label")).alias("mixed")).filter("mixed").select("path"))
-    more = compared(labelled.join(mixed, "path"), nodes, docs, k, threshold)
+    more = compared(others.join(mixed, "path"), nodes, docs, k, threshold)
     joined = components(links.unionByName(more))
     least = joined.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("least"))
     named = nodes.select("node", "doc_id").join(joined, "node", "left").join(least, "root", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
