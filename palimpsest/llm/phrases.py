@@ -62,13 +62,27 @@ class Words(dict):
         return number
 
 
-def packed(lists: np.ndarray) -> bytes:
-    """Places as differences; a list's first place is told from the one before, so it may go back."""
-    return np.diff(lists, prepend=0).astype("<i4").tobytes()
+def packed(places: np.ndarray) -> bytes:
+    """Places as differences of one to five bytes; a list's first is told from the one before, so it may go back."""
+    step = np.diff(places, prepend=0)
+    value = ((step << 1) ^ (step >> 63)).astype(np.uint64)
+    size = 1 + sum((value >> np.uint64(7 * b) > 0).astype(np.int64) for b in range(1, 5))
+    start = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    for b in range(5):
+        has = size > b
+        out[start[has] + b] = (value[has] >> np.uint64(7 * b)).astype(np.uint8) & 127 | (size[has] > b + 1).astype(np.uint8) << 7
+    return out.tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, "<i4"), dtype=np.int64)
+    part = np.frombuffer(data, np.uint8)
+    if not len(part):
+        return np.empty(0, np.int64)
+    start = np.concatenate([[0], np.flatnonzero(part < 128)[:-1] + 1])
+    at = np.arange(len(part)) - np.repeat(start, np.diff(start, append=len(part)))
+    value = np.add.reduceat((part & 127).astype(np.int64) << (7 * at), start)
+    return np.cumsum((value >> 1) ^ -(value & 1))
 
 
 def by_list(number: np.ndarray, place: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,14 +139,14 @@ def word_postings(df: DataFrame, lang_col: str = "lang", text_col: str = "text")
     return chosen.mapInArrow(run, _STATE)
 
 
-def chosen_lists(phrases: pa.Array, n: np.ndarray, lists: np.ndarray, kept: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The kept phrases, and for each of their places in ascending order: place and phrase."""
+def chosen_lists(n: np.ndarray, lists: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of the kept lists, in ascending order: place, and the list's number among those kept."""
     number = np.full(len(n), -1, np.int64)
     number[kept] = np.arange(len(kept))
     owner = np.repeat(number, n)
     place, owner = lists[owner >= 0], owner[owner >= 0]
     order = np.argsort(place, kind="stable")
-    return phrases.take(pa.array(kept)), place[order], owner[order]
+    return place[order], owner[order]
 
 
 def merged(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,20 +156,20 @@ def merged(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def lengthened(state: DataFrame, k: int) -> DataFrame:
-    """The lists of k + 1 words from a slice's row and the numbers of the k-word lists that go on (``kept``)."""
+    """The lists of k + 1 words from a slice's row and its k-word lists that go on: their numbers and phrases (``kept``)."""
+    read = state.select("slice", "lang", "places", "n", "lists", "words", "word_n", "word_lists", "kept.i", "kept.phrase")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                slice_id, lang, places = (batch.column(c)[i].as_py() for c in (0, 1, 2))
-                phrases, n, words, word_n, kept = (batch.column(c)[i].values for c in (3, 4, 6, 7, 9))
-                lists, word_lists = (unpacked(batch.column(c)[i].as_py()) for c in (5, 8))
-                kept = np.sort(kept.to_numpy())
-                phrases, place, phrase = chosen_lists(phrases, n.to_numpy(), lists, kept)
+            for row in range(batch.num_rows):
+                slice_id, lang, places = (batch.column(c)[row].as_py() for c in (0, 1, 2))
+                n, words, word_n, kept, phrases = (batch.column(c)[row].values for c in (3, 5, 6, 8, 9))
+                lists, word_lists = (unpacked(batch.column(c)[row].as_py()) for c in (4, 7))
+                place, phrase = chosen_lists(n.to_numpy(), lists, kept.to_numpy())
                 if k == 1:
                     words, word_place, word = phrases, place, phrase
                 else:
-                    words, word_place, word = chosen_lists(words, word_n.to_numpy(), word_lists, np.arange(len(words)))
+                    word_place, word = chosen_lists(word_n.to_numpy(), word_lists, np.arange(len(words)))
                 follows, at = merged(place + k, word_place)
                 frequent, _ = merged(place + 1, place)  # the phrase of the last k words
                 follows &= frequent
@@ -170,7 +184,7 @@ def lengthened(state: DataFrame, k: int) -> DataFrame:
                 word_lists, word_n = by_list(renamed, word_place[useful], len(used))
                 yield _row(slice_id, lang, places, spelled, counts, longer, words.take(pa.array(used)), word_n, word_lists)
 
-    return state.mapInArrow(run, _STATE)
+    return read.mapInArrow(run, _STATE)
 
 
 def frequent_phrases(df: DataFrame, longest: int, least: int, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -184,8 +198,8 @@ def frequent_phrases(df: DataFrame, longest: int, least: int, lang_col: str = "l
         levels.append(found.groupBy("lang", "phrase").agg(F.first("f").alias("f")).select("lang", F.lit(k).alias("k"), "phrase", "f"))
         if k == longest or found.isEmpty():
             break
-        kept = found.groupBy("slice").agg(F.collect_list("i").alias("kept"))  # numbers of one slice's lists
-        state = stored(lengthened(state.join(kept, "slice").select(*state.columns, "kept"), k))
+        kept = found.groupBy("slice").agg(F.collect_list(F.struct("i", "phrase")).alias("kept"))  # of one slice's lists
+        state = stored(lengthened(state.drop("phrases").join(kept, "slice"), k))
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
