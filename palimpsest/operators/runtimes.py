@@ -2,15 +2,22 @@
 
 A provider names a runtime: ``stub_letter`` and ``stub_judge``; ``local:module:function``;
 ``chat:url#model`` for a server of the chat-completions form; ``serve:name`` for one that
-is started here, with the command of ``SERVED``.
+is started here, with the command of ``SERVED_<name>``.  ``flaky:n:provider`` fails on every
+n-th talk, by a hash, and is the named provider otherwise; it stands in for a busy server.
+
+A worker process keeps its runtimes: a local model is loaded once a worker, not once a
+task, and a started server is one a machine (``served``), shared by all its workers.
 """
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import importlib
 import json
 import os
 import random
+import re
 import shlex
 import subprocess
 import time
@@ -25,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators import served
 from palimpsest.operators.stitching import byte_bins
 
 #: Limits of a hosted batch file: rows and bytes.
@@ -127,7 +135,11 @@ class ChatServer:
         return Answer(found["choices"][0]["message"]["content"] or "", counts.get("prompt_tokens", 0), counts.get("completion_tokens", 0))
 
     def answers(self, talks: Sequence[list[dict]]) -> list[Answer]:
-        return list(self.pool.map(lambda t: with_backoff(lambda: self._call(t)), talks))
+        return [raised(a) for a in self.each(talks)]
+
+    def each(self, talks: Sequence[list[dict]]) -> list[Answer | Exception]:
+        """An answer or the last failure for each talk; one that fails costs the others nothing."""
+        return list(self.pool.map(lambda t: caught(lambda: with_backoff(lambda: self._call(t))), talks))
 
     def close(self) -> None:
         self.pool.shutdown(wait=False, cancel_futures=True)
@@ -165,6 +177,40 @@ class ServedModel:
         self._stop()
 
 
+class SharedServer:
+    """The machine's chat server of a name, started by whichever worker needs it first."""
+
+    def __init__(self, name: str, command: Sequence[str], url: str, model: str, patience: float = 600.0, health: str = "/health", linger: float = served.LINGER):
+        self.name, self.command = name, list(command)
+        self.server = ChatServer(served.acquire(name, url, self.command, patience, health, linger), model)
+
+    def answers(self, talks: Sequence[list[dict]]) -> list[Answer]:
+        return self.server.answers(talks)
+
+    def each(self, talks: Sequence[list[dict]]) -> list[Answer | Exception]:
+        return self.server.each(talks)
+
+    def close(self) -> None:
+        self.server.close()
+        served.release(self.name, self.command)
+
+
+class FlakyRuntime:
+    """Another runtime, but the talks whose last message's hash falls on 0 of n fail."""
+
+    def __init__(self, inner: Runtime, n: int):
+        self.inner, self.n = inner, n
+
+    def answers(self, talks: Sequence[list[dict]]) -> list[Answer]:
+        for t in talks:
+            if int(hashlib.md5(t[-1]["content"].encode()).hexdigest()[:8], 16) % self.n == 0:
+                raise ValueError("the server is busy")
+        return self.inner.answers(talks)
+
+    def close(self) -> None:
+        self.inner.close()
+
+
 def echo_letter(prompt: str) -> str:
     return "A" if len(prompt) % 2 else "B"
 
@@ -173,24 +219,89 @@ def yes_if_long(prompt: str) -> str:
     return "YES" if len(prompt) > 400 else "NO"
 
 
-PROVIDERS: dict[str, Callable[[], Runtime]] = {"stub_letter": lambda: StubRuntime(echo_letter), "stub_judge": lambda: StubRuntime(yes_if_long)}
+def first_new_word(prompt: str) -> str:
+    """A stand-in extractor: the turn's first word of seven letters or more that is not known yet."""
+    known, _, rest = prompt.partition("\n\nAssistant:\n")
+    turn = rest.rpartition("\n\nUser:\n")[2]
+    have = {line.partition(". ")[2] for line in known.splitlines()}
+    new = next((w for w in re.findall("[A-Za-z]{7,}", turn) if w not in have), None)
+    return json.dumps({"scs": [{"text": new, "evidence": "turn"}] if new else []})
+
+
+PROVIDERS: dict[str, Callable[[], Runtime]] = {"stub_letter": lambda: StubRuntime(echo_letter), "stub_judge": lambda: StubRuntime(yes_if_long), "stub_extractor": lambda: StubRuntime(first_new_word)}
 
 
-def runtime(provider: str) -> Runtime:
+def runtime(provider: str, options: dict | None = None) -> Runtime:
     """The runtime of a provider; a server's key is read from the variable ``CHAT_KEY_NAME`` names, if any."""
     if provider in PROVIDERS:
         return PROVIDERS[provider]()
     kind, _, rest = provider.partition(":")
     if kind == "local":
         return LocalModel(rest)
+    if kind == "flaky":
+        n, _, inner = rest.partition(":")
+        return FlakyRuntime(runtime(inner, options), int(n))
     if kind == "chat":
         url, _, model = rest.partition("#")
-        return ChatServer(url, model, os.environ.get("CHAT_KEY_NAME"))
+        return ChatServer(url, model, os.environ.get("CHAT_KEY_NAME"), options)
     if kind == "serve":
-        # SERVED_<name>: url, model and command, parted by white space
+        # SERVED_<name>: url, model and command, parted by white space; {port} stands for a free port
         url, model, *command = shlex.split(credential(f"SERVED_{rest}"))
-        return ServedModel(command, url, model)
-    raise ValueError(f"no runtime {provider}; there are {', '.join(sorted(PROVIDERS))}, local:, chat: and serve:")
+        return SharedServer(rest, command, url, model, linger=float(os.environ.get("SERVED_LINGER", served.LINGER)))
+    raise ValueError(f"no runtime {provider}; there are {', '.join(sorted(PROVIDERS))}, local:, chat:, serve: and flaky:")
+
+
+_KEPT: dict[tuple[str, str], Runtime] = {}
+
+
+def kept_runtime(provider: str, options: dict | None = None) -> Runtime:
+    """This process's runtime of a provider, made at its first use and closed when the process ends."""
+    key = provider, json.dumps(options or {}, sort_keys=True)
+    if key not in _KEPT:
+        _KEPT[key] = runtime(provider, options)
+        atexit.register(_KEPT[key].close)
+    return _KEPT[key]
+
+
+def forget_runtime(provider: str, options: dict | None = None) -> None:
+    """Close and drop a kept runtime, such as one whose server has gone."""
+    if found := _KEPT.pop((provider, json.dumps(options or {}, sort_keys=True)), None):
+        atexit.unregister(found.close)
+        found.close()
+
+
+def caught(call: Callable[[], Answer]) -> Answer | Exception:
+    try:
+        return call()
+    except Exception as e:
+        return e
+
+
+def raised(found: Answer | Exception) -> Answer:
+    if isinstance(found, Exception):
+        raise found
+    return found
+
+
+def tried(model: Runtime, talks: Sequence[list[dict]]) -> list[Answer | Exception]:
+    """An answer or a failure for each talk; no good answer is asked for twice.
+
+    A runtime with ``each`` tells them apart itself.  Any other answers a batch or fails as a
+    whole; then nothing of it has been answered, and its halves are tried, down to single talks.
+    """
+    each = getattr(model, "each", None)
+    if each is not None:
+        return each(talks)
+    try:
+        found = model.answers(talks)
+        if len(found) != len(talks):
+            raise ValueError(f"{len(found)} answers to {len(talks)} talks")
+        return list(found)
+    except Exception:
+        if len(talks) == 1:
+            return [caught(lambda: with_backoff(lambda: model.answers(talks), 3, 0.0)[0])]
+        middle = len(talks) // 2
+        return tried(model, talks[:middle]) + tried(model, talks[middle:])
 
 
 def with_backoff(call: Callable[[], object], attempts: int = 6, cap: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> object:
@@ -210,32 +321,26 @@ def with_backoff(call: Callable[[], object], attempts: int = 6, cap: float = 60.
     raise ValueError("at least one attempt is needed")
 
 
-def generated(df: DataFrame, provider: str, messages: str, id_cols: Sequence[str], partitions: int | None = None) -> DataFrame:
+def generated(df: DataFrame, provider: str, messages: str, id_cols: Sequence[str], partitions: int | None = None, options: dict | None = None) -> DataFrame:
     """``id_cols, output, status, error``: one model for each worker, called by batches.
 
-    A failing batch is tried again row by row; a row that fails is an error row.
-    ``partitions`` sets how many workers call side by side.
+    A talk that fails is an error row, and only what failed is tried again.
+    ``partitions`` sets how many workers call side by side; ``options`` go to the server.
     """
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in id_cols)
     ids = list(id_cols)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = runtime(provider)
-        try:
-            for batch in batches:
-                talks = [[dict(m.asDict() if hasattr(m, "asDict") else m) for m in c] for c in batch[messages]]
-                try:
-                    rows = [(a.said, "success", None) for a in with_backoff(lambda t=talks: model.answers(t), 2, 0.0)]
-                except Exception:
-                    rows = []
-                    for t in talks:
-                        try:
-                            rows.append((with_backoff(lambda t=t: model.answers([t]), 3, 0.0)[0].said, "success", None))
-                        except Exception as e:
-                            rows.append((None, "error", str(e)))
-                yield pd.concat([batch[ids].reset_index(drop=True), pd.DataFrame(rows, columns=["output", "status", "error"])], axis=1)
-        finally:
-            model.close()
+        for batch in batches:
+            talks = [[dict(m.asDict() if hasattr(m, "asDict") else m) for m in c] for c in batch[messages]]
+            if not talks:
+                continue
+            found = tried(kept_runtime(provider, options), talks)
+            if all(isinstance(a, OSError) for a in found):  # the server has gone: reach it, or start it, anew
+                forget_runtime(provider, options)
+                found = tried(kept_runtime(provider, options), talks)
+            rows = [(None, "error", str(a)) if isinstance(a, Exception) else (a.said, "success", None) for a in found]
+            yield pd.concat([batch[ids].reset_index(drop=True), pd.DataFrame(rows, columns=["output", "status", "error"])], axis=1)
 
     spread = df if partitions is None else df.repartition(partitions, *ids)
     return spread.select(*ids, messages).mapInPandas(run, f"{fields}, output string, status string, error string")

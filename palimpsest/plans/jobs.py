@@ -15,7 +15,9 @@ from palimpsest.operators import extraction as E
 from palimpsest.operators import phases, runs
 from palimpsest.operators import stitching as K
 from palimpsest.operators.common import row_index
+from palimpsest.operators.calls import CallStore
 from palimpsest.operators.compactors import compactor
+from palimpsest.operators.conditions import ConditionRun
 from palimpsest.plans.analyses import tables_of
 from palimpsest.sources import readers, writers
 
@@ -75,7 +77,11 @@ def dataset_summary(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def evaluate(spark: SparkSession, config: dict) -> list[str]:
-    """Run every expected run of a configuration on its datasets; finished pairs are not run again."""
+    """Run every expected run of a configuration on its datasets.
+
+    Only conditions without a readable answer are run, and calls that any run of the same
+    root has made are not made again.
+    """
     done = []
     for run in runs.expected_runs(config):
         spec, root = run["spec"], runs.results_dir(config["root"], bool(config.get("test")))
@@ -83,8 +89,8 @@ def evaluate(spark: SparkSession, config: dict) -> list[str]:
         data = readers.read_dataset(spark, spec["dataset"]["path"], spec["dataset"].get("rows"), bool(config.get("test")))
         work = phases.pairs(spark, data, attrs.get("position", "top"), attrs.get("repeat", 1), attrs.get("explicitness", True), attrs.get("hard", True))
         path = f"{root}/{run['run_id']}"
-        before = spark.read.parquet(path) if writers.recovered(spark, path) else None
-        made = phases.evaluated(work, compactor(spec["compactor"]["name"]), spec["probe"]["runtime"], spec["evaluator"]["runtime"], before)
+        conditions = ConditionRun(spark, f"{path}__log", CallStore(spark, f"{root}/calls"))
+        made = conditions.step(work, compactor(spec["compactor"]["name"]), spec["probe"]["runtime"], spec["evaluator"]["runtime"])
         writers.replace_table(made, path)
         writers.write_json(spark, spec, f"{path}.json")
         done.append(run["run_id"])
@@ -132,11 +138,20 @@ def reprobe(spark: SparkSession, config: dict) -> DataFrame:
 
 
 def extract(spark: SparkSession, config: dict) -> DataFrame:
-    """Run the extractor over a saved dataset's pairs: ``dataset``, ``out``; registries, and whether each was found."""
+    """Run the extractor over a saved dataset's pairs: ``dataset``, ``out``; registries, and whether each was found.
+
+    ``runtime``: a model to extract with, turn by turn; rules without it.
+    """
     data = readers.read_dataset(spark, config["dataset"], config.get("rows"), bool(config.get("test")))
-    work = phases.pairs(spark, data, config.get("position", "top")).select(*phases.KEYS, "sssc_type", "wrapped", E.registry(F.col("injected")).alias("registry"))
+    work = phases.pairs(spark, data, config.get("position", "top"))
+    identity = runs.extractor_run_id(config["name"], config.get("runtime", "rules"), "lexical")
+    if "runtime" in config:
+        fold = E.ModelExtraction(spark, f"{config['out']}/{identity}__log", CallStore(spark, f"{config['out']}/calls"), {"source_row_index": "long", "sssc_id": "int"})
+        found = fold.run(work.select(*phases.KEYS, F.col("injected").alias("messages")), config["runtime"])
+        work = work.select(*phases.KEYS, "sssc_type", "wrapped").join(found.select(*phases.KEYS, "registry", "finished"), list(phases.KEYS))
+    else:
+        work = work.select(*phases.KEYS, "sssc_type", "wrapped", E.registry(F.col("injected")).alias("registry"))
     kept = F.exists("registry", lambda x: F.contains(x["text"], F.col("wrapped")) | F.contains(F.col("wrapped"), x["text"]))
-    identity = runs.extractor_run_id(config["name"], "rules", "lexical")
     return writers.replace_table(work.withColumn("retention", kept).withColumn("run_id", F.lit(identity)).drop("wrapped"), f"{config['out']}/{identity}")
 
 
