@@ -7,7 +7,8 @@ all at once, with the postings of the word k places further on, where the phrase
 last k words is frequent too; the places at which both are found are the longer phrase's
 list, and its length is the exact frequency in the slice.  Slices tell only phrases and list
 lengths (a narrow row for each phrase of a slice); lengths are summed over all slices, and
-a slice gets back which of its lists go on.  Lists themselves stay in their slice's row.
+a slice gets back which of its lists go on.  Lists themselves stay in their slice's row: those
+that go on are made a second time, so that candidates' lists are never written down.
 
 A candidate's score is that of its weakest cut, from exact frequencies in integers of 38
 digits.  A phrase that lies inside a longer candidate of the same frequency is dropped; as
@@ -23,6 +24,7 @@ not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,28 +100,28 @@ def _row(slice_id: int, lang: str, places: int, phrases: pa.Array, n: np.ndarray
     return pa.RecordBatch.from_arrays(arrays, ["slice", "lang", "places", "phrases", "n", "lists", "words", "word_n", "word_lists"])
 
 
+_NONE = pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, np.int64)
+
+
 def word_postings(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """Every slice's words with their lists; ``places`` is the number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
-        none = pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, np.int64)
         texts: dict[str, list[np.ndarray]] = {}
         numbers: dict[str, Words] = {}
-        held = 0
+        held: Counter[str] = Counter()
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal made, held
-            for lang, parts in texts.items():
-                number = np.concatenate(parts)
+        def flush(langs: list[str]) -> Iterator[pa.RecordBatch]:
+            nonlocal made
+            for lang in langs:
+                number = np.concatenate(texts.pop(lang))
                 place = np.flatnonzero(number)
                 lists, n = by_list(number[place] - 1, place, len(numbers[lang]) - 1)
-                words = pa.array(list(numbers[lang])[1:], pa.binary()).cast(pa.string())
-                yield _row((task << 32) + made, lang, len(place), words, n, lists, *none)
+                words = pa.array(list(numbers.pop(lang))[1:], pa.binary()).cast(pa.string())
+                yield _row((task << 32) + made, lang, len(place), words, n, lists, *_NONE)
                 made += 1
-            texts.clear()
-            numbers.clear()
-            held = 0
+                del held[lang]
 
         for batch in batches:
             for part in slices(batch):
@@ -130,10 +132,12 @@ def word_postings(df: DataFrame, lang_col: str = "lang", text_col: str = "text")
                     known = numbers.setdefault(lang, Words())
                     found.append(b".")  # texts do not meet
                     texts.setdefault(lang, []).append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
-                    held += len(found)
-                    if held >= SLICE_PLACES:
-                        yield from flush()
-        yield from flush()
+                    held[lang] += len(found)
+                    if held[lang] >= SLICE_PLACES:
+                        yield from flush([lang])
+                    elif held.total() >= 4 * SLICE_PLACES:
+                        yield from flush(list(held))
+        yield from flush(list(held))
 
     chosen = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(run, _STATE)
@@ -155,51 +159,99 @@ def merged(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (right[at] == left if len(right) else np.zeros(len(left), bool)), at
 
 
-def lengthened(state: DataFrame, k: int) -> DataFrame:
-    """The lists of k + 1 words from a slice's row and its k-word lists that go on: their numbers and phrases (``kept``)."""
-    read = state.select("slice", "lang", "places", "n", "lists", "words", "word_n", "word_lists", "kept.i", "kept.phrase")
+class Slice:
+    """A slice's row: its frequent phrases of k words, and the postings of the words that may follow them."""
+
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        self.id, self.lang, self.places = (batch.column(c)[row].as_py() for c in (0, 1, 2))
+        self.phrases, n, self.words, word_n = (batch.column(c)[row].values for c in (3, 4, 6, 7))
+        lists, word_lists = (unpacked(batch.column(c)[row].as_py()) for c in (5, 8))
+        self.n, self.lists = n.to_numpy(), lists
+        self.word_n, self.word_lists = word_n.to_numpy(), word_lists
+
+    def only(self, kept: np.ndarray) -> pa.RecordBatch:
+        """The row with the kept lists alone."""
+        number = np.full(len(self.n), False)
+        number[kept] = True
+        return _row(self.id, self.lang, self.places, self.phrases.take(pa.array(np.flatnonzero(number))), self.n[number], self.lists[np.repeat(number, self.n)], *_NONE)
+
+    def candidates(self, k: int) -> None:
+        """The lists of k + 1 words, in a fixed order, from the merge of lists with adjacent words' postings."""
+        place, phrase = chosen_lists(self.n, self.lists, np.arange(len(self.n)))
+        self.word_place, self.word = place, phrase
+        if k == 1:
+            self.words = self.phrases
+        else:
+            self.word_place, self.word = chosen_lists(self.word_n, self.word_lists, np.arange(len(self.word_n)))
+        follows, at = merged(place + k, self.word_place)
+        frequent, _ = merged(place + 1, place)  # the phrase of the last k words
+        follows &= frequent
+        width = max(1, len(self.words))
+        pairs, number = np.unique(phrase[follows] * np.int64(width) + self.word[at[follows]], return_inverse=True)
+        self.first, self.last = np.divmod(pairs, width)
+        self.lists, self.n = by_list(number, place[follows], len(pairs))
+
+    def spelled(self, some: np.ndarray) -> pa.Array:
+        return pc.binary_join_element_wise(self.phrases.take(pa.array(self.first[some])), self.words.take(pa.array(self.last[some])), " ")
+
+    def longer(self, k: int, kept: np.ndarray) -> pa.RecordBatch:
+        """The row for k + 1 words: the kept candidates, and the words that may follow them."""
+        kept = np.sort(kept)
+        number = np.full(len(self.n), False)
+        number[kept] = True
+        lists = self.lists[np.repeat(number, self.n)]
+        useful, _ = merged(self.word_place, np.unique(lists + k + 1))
+        used, renamed = np.unique(self.word[useful], return_inverse=True)
+        word_lists, word_n = by_list(renamed, self.word_place[useful], len(used))
+        return _row(self.id, self.lang, self.places, self.spelled(kept), self.n[kept], lists, self.words.take(pa.array(used)), word_n, word_lists)
+
+
+def candidate_counts(state: DataFrame, k: int) -> DataFrame:
+    """``slice, lang, phrase, i, n``: a narrow row for each phrase of k + 1 words of a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = Slice(batch, row)
+                own.candidates(k)
+                for at in range(0, len(own.n), 50_000):
+                    some = np.arange(at, min(at + 50_000, len(own.n)))
+                    arrays = [pa.array(np.full(len(some), own.id)), pa.repeat(pa.scalar(own.lang), len(some)), own.spelled(some), pa.array(some.astype(np.int32)), pa.array(own.n[some].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["slice", "lang", "phrase", "i", "n"])
+
+    return state.mapInArrow(run, "slice long, lang string, phrase string, i int, n int")
+
+
+def going_on(state: DataFrame, k: int) -> DataFrame:
+    """A slice's row for k words from the one for k - 1 and the numbers of the lists that go on (``kept``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                slice_id, lang, places = (batch.column(c)[row].as_py() for c in (0, 1, 2))
-                n, words, word_n, kept, phrases = (batch.column(c)[row].values for c in (3, 5, 6, 8, 9))
-                lists, word_lists = (unpacked(batch.column(c)[row].as_py()) for c in (4, 7))
-                place, phrase = chosen_lists(n.to_numpy(), lists, kept.to_numpy())
+                own, kept = Slice(batch, row), batch.column(9)[row].values.to_numpy()
                 if k == 1:
-                    words, word_place, word = phrases, place, phrase
+                    yield own.only(kept)
                 else:
-                    word_place, word = chosen_lists(word_n.to_numpy(), word_lists, np.arange(len(words)))
-                follows, at = merged(place + k, word_place)
-                frequent, _ = merged(place + 1, place)  # the phrase of the last k words
-                follows &= frequent
-                key = phrase[follows] * np.int64(max(1, len(words))) + word[at[follows]]
-                pairs, number = np.unique(key, return_inverse=True)
-                longer, counts = by_list(number, place[follows], len(pairs))
-                first, last = np.divmod(pairs, max(1, len(words)))
-                spelled = pc.binary_join_element_wise(phrases.take(pa.array(first)), words.take(pa.array(last)), " ")
-                # only words that may follow the longer phrases are needed from now on
-                useful, _ = merged(word_place, np.unique(place[follows] + k + 1))
-                used, renamed = np.unique(word[useful], return_inverse=True)
-                word_lists, word_n = by_list(renamed, word_place[useful], len(used))
-                yield _row(slice_id, lang, places, spelled, counts, longer, words.take(pa.array(used)), word_n, word_lists)
-
-    return read.mapInArrow(run, _STATE)
+                    own.candidates(k - 1)
+                    yield own.longer(k - 1, kept)
+
+    return state.mapInArrow(run, _STATE)
 
 
 def frequent_phrases(df: DataFrame, longest: int, least: int, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``lang, k, phrase, f`` of all phrases of up to ``longest`` words found ``least`` times, and ``lang, n``."""
     state, levels = stored(word_postings(df, lang_col, text_col)), []
     totals = stored(state.groupBy("lang").agg(F.sum("places").alias("n")))
+    told = state.select("slice", "lang", "n", F.posexplode("phrases").alias("i", "phrase")).select("slice", "lang", "phrase", "i", F.col("n")[F.col("i")].alias("n"))
     for k in range(1, longest + 1):
-        told = state.select("slice", "lang", "n", F.posexplode("phrases").alias("i", "phrase")).select("slice", "lang", "phrase", "i", F.col("n")[F.col("i")].alias("n"))
         summed = told.withColumn("f", F.sum("n").over(W.partitionBy("lang", "phrase")))  # a narrow row a slice
         found = stored(summed.filter(F.col("f") >= least).select("slice", "lang", "phrase", "i", "f"))
         levels.append(found.groupBy("lang", "phrase").agg(F.first("f").alias("f")).select("lang", F.lit(k).alias("k"), "phrase", "f"))
         if k == longest or found.isEmpty():
             break
-        kept = found.groupBy("slice").agg(F.collect_list(F.struct("i", "phrase")).alias("kept"))  # of one slice's lists
-        state = stored(lengthened(state.drop("phrases").join(kept, "slice"), k))
+        kept = found.groupBy("slice").agg(F.collect_list("i").alias("kept"))  # numbers of one slice's lists
+        state = stored(going_on(state.join(kept, "slice").select(*state.columns, "kept"), k))
+        told = candidate_counts(state, k)
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
