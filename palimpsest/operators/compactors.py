@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.messages import message, total_tokens, user_turns
+from palimpsest.functions.messages import MESSAGES, message, total_tokens, transcript, user_turns
 from palimpsest.functions.text import TOKEN_PATTERN, first_sentence
+from palimpsest.operators.constraints import summary_prompt
 
 
 class Compactor(Protocol):
@@ -58,8 +59,41 @@ class FirstSentences:
         return F.array(message("assistant", F.array_join(said, " ")))
 
 
+@dataclass(frozen=True)
+class ModelSummary:
+    """A model's summary of the transcript, as one assistant message, asked for in a style of ``SUMMARY_PROMPTS``.
+
+    It works on rows, not on a column: ``contexts`` asks through a store of calls, so an
+    equal transcript is summarised once, and a call that failed has no context until it is
+    asked again.
+    """
+
+    style: str
+    provider: str
+
+    def __post_init__(self) -> None:
+        summary_prompt(self.style, F.lit(""))  # an unknown style is an error here
+
+    @property
+    def name(self) -> str:
+        return f"summary_{self.style}@{self.provider}"
+
+    def compact(self, messages: Column) -> Column:
+        raise TypeError(f"{self.name} compacts rows, by contexts()")
+
+    def contexts(self, rows: DataFrame, store, keys: Sequence[str]) -> DataFrame:
+        """``keys, compacted_context`` of rows with ``injected`` messages; null where the call failed or said nothing."""
+        prompt = summary_prompt(self.style, transcript(F.col("injected")))
+        asked = rows.select(*keys, F.array(message("user", prompt)).cast(MESSAGES).alias("talk"))
+        said = F.trim("output")
+        answers = store.answered(asked, self.provider, "talk", keys)
+        return answers.select(*keys, F.when((F.col("status") == "success") & (said != ""), F.array(message("assistant", said)).cast(MESSAGES)).alias("compacted_context"))
+
+
 def compactor(name: str) -> Compactor:
-    """By name: ``recent_<n>`` or ``extract_<n>``."""
+    """By name: ``recent_<n>``, ``extract_<n>`` or ``summary_<style>@<provider>``."""
+    if summary := re.fullmatch(r"summary_(\w+)@(.+)", name):
+        return ModelSummary(summary[1], summary[2])
     found = re.fullmatch(r"(recent|extract)_(\d+)", name)
     if not found:
         raise ValueError(f"no compactor named {name}")

@@ -19,7 +19,7 @@ from palimpsest.functions.grading import graded_text, letter_grade, yes_no
 from palimpsest.functions.messages import MESSAGES, message, rendered
 from palimpsest.operators import constraints as C
 from palimpsest.operators.calls import CallStore, PartedLog
-from palimpsest.operators.compactors import Compactor
+from palimpsest.operators.compactors import Compactor, compaction
 from palimpsest.operators.phases import CASES, KEYS, case_context, compacted
 from palimpsest.operators.sampling import pending
 
@@ -38,7 +38,11 @@ class ConditionRun:
 
     def compact(self, rows: DataFrame, compactor: Compactor) -> DataFrame:
         """``rows`` with their contexts; only pairs without a good one are compacted."""
-        made = compacted(pending(rows, self.contexts.read().filter("compaction_status = 'success'"), KEYS), compactor)
+        todo = pending(rows, self.contexts.read().filter("compaction_status = 'success'"), KEYS)
+        if hasattr(compactor, "contexts"):
+            made = todo.join(compactor.contexts(todo, self.store, KEYS), list(KEYS)).withColumn("stats", compaction(F.col("injected"), F.col("compacted_context")))
+        else:
+            made = compacted(todo, compactor)
         failed = F.col("compacted_context").isNull()
         status = {"compaction_status": F.when(failed, "error").otherwise("success"), "compaction_error": F.when(failed, "no context was made")}
         self.contexts.append(made.select("*", "stats.tokens_before", "stats.tokens_after").withColumns(status))

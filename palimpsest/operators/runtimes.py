@@ -228,7 +228,12 @@ def first_new_word(prompt: str) -> str:
     return json.dumps({"scs": [{"text": new, "evidence": "turn"}] if new else []})
 
 
-PROVIDERS: dict[str, Callable[[], Runtime]] = {"stub_letter": lambda: StubRuntime(echo_letter), "stub_judge": lambda: StubRuntime(yes_if_long), "stub_extractor": lambda: StubRuntime(first_new_word)}
+def end_of(prompt: str) -> str:
+    """A stand-in summariser: how long the prompt is, and its last words."""
+    return f"{len(prompt)} characters, ending in {' '.join(prompt.split()[-12:])}"
+
+
+PROVIDERS: dict[str, Callable[[], Runtime]] = {"stub_letter": lambda: StubRuntime(echo_letter), "stub_judge": lambda: StubRuntime(yes_if_long), "stub_extractor": lambda: StubRuntime(first_new_word), "stub_summary": lambda: StubRuntime(end_of)}
 
 
 def runtime(provider: str, options: dict | None = None) -> Runtime:

@@ -200,12 +200,13 @@ def run_config_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(manifest(spark).select("run_id", "compactor", "position"), "run_id")
 
 
-@query(FACTS + ", k AS (SELECT run_id, source_row_index, sssc_id FROM facts WHERE sssc_id % 5 = 0 AND manifest_pos < 6) SELECT run_id, source_row_index, sssc_id, retention FROM facts JOIN k USING (run_id, source_row_index, sssc_id)")
+@query(FACTS + """, f AS MATERIALIZED (SELECT run_id, source_row_index, sssc_id, retention, manifest_pos FROM facts),
+k AS (SELECT run_id, source_row_index, sssc_id FROM f WHERE sssc_id % 5 = 0 AND manifest_pos < 6) SELECT run_id, source_row_index, sssc_id, retention FROM f JOIN k USING (run_id, source_row_index, sssc_id)""")
 def key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows named by a key list, looked up by their content keys."""
-    rows = facts(spark, sf_dir).select("run_id", "source_row_index", "sssc_id", "retention", runs.pair_key("run_id", "source_row_index", "sssc_id").alias("id"))
-    keys = rows.filter(F.col("sssc_id") % 5 == 0).filter(F.col("run_id").startswith("recent_2") | F.col("run_id").isin("recent_4__top", "recent_4__middle", "recent_4__bottom")).select("id")
-    return rows.join(keys, "id", "left_semi").drop("id")
+    """Rows named by a key list, looked up by the columns that make their key."""
+    rows = facts(spark, sf_dir).select("run_id", "source_row_index", "sssc_id", "retention")
+    keys = rows.filter(F.col("sssc_id") % 5 == 0).filter(F.col("run_id").startswith("recent_2") | F.col("run_id").isin("recent_4__top", "recent_4__middle", "recent_4__bottom")).select("run_id", "source_row_index", "sssc_id")
+    return rows.join(keys, ["run_id", "source_row_index", "sssc_id"], "left_semi")
 
 
 @query(f"WITH {CONV_SQL}, {catalogue_sql()}, s AS (SELECT 1::BIGINT AS one, lower(cat.sssc[1]) AS l, * FROM ctx, cat WHERE len(u) > 0) SELECT count(*) AS n, 1.0::DOUBLE AS avg_items, 1::INTEGER AS min_items, 1::INTEGER AS max_items, count(*) AS n_judged FROM s")

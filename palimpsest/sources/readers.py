@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 from palimpsest.functions.messages import projected, total_tokens
 from palimpsest.operators.common import row_index
 from palimpsest.sources.adapters import normalised
+from palimpsest.sources.writers import exists
 
 
 @dataclass(frozen=True)
@@ -158,12 +159,10 @@ def union_runs(spark: SparkSession, root: str, runs: Sequence[dict], experiment:
         if r["run_id"] in seen:
             continue
         seen.add(r["run_id"])
-        try:
-            table = spark.read.parquet(run_root(root, r["run_id"], experiment))
-        except Exception:
-            if missing == "raise":
-                raise
-            continue
+        path = run_root(root, r["run_id"], experiment)
+        if missing == "skip" and not exists(spark, path):
+            continue  # any other failure to read shows
+        table = spark.read.parquet(path)
         tables.append(table.withColumns({"run_id": F.lit(r["run_id"]), "run_label": F.lit(r.get("label", r["run_id"])), "experiment": F.lit(experiment), "manifest_pos": F.lit(i)}))
     if not tables:
         raise FileNotFoundError(f"no run of the manifest is below {root}")

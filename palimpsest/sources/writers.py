@@ -21,6 +21,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
+def moved(files, source, target) -> None:
+    """Rename, or raise: a file system tells a refused rename by its result alone, and moves into a folder that exists."""
+    if files.exists(target):
+        raise FileExistsError(f"{target} is in the way of {source}")
+    if not files.rename(source, target):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def complete(spark: SparkSession, path: str) -> bool:
     """Whether a table was written to its end: the committer's mark is there."""
     return exists(spark, f"{path}/_SUCCESS")
@@ -39,8 +47,8 @@ def replace_table(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").parquet(staged)
     if files.exists(where):
         files.delete(file_system(spark, old)[1], True)
-        files.rename(where, file_system(spark, old)[1])
-    files.rename(file_system(spark, staged)[1], where)
+        moved(files, where, file_system(spark, old)[1])
+    moved(files, file_system(spark, staged)[1], where)
     files.delete(file_system(spark, old)[1], True)
     return spark.read.parquet(path)
 
@@ -53,7 +61,7 @@ def recovered(spark: SparkSession, path: str) -> bool:
         for other in (staged, old):
             if complete(spark, other):
                 files.delete(where, True)
-                files.rename(file_system(spark, other)[1], where)
+                moved(files, file_system(spark, other)[1], where)
                 break
     for other in (staged, old):
         files.delete(file_system(spark, other)[1], True)

@@ -128,6 +128,20 @@ def test_failed_and_unreadable_conditions_run_again_alone(spark, tmp_path, pairs
     assert odd.latest().filter("condition = 'full_with_sssc' and verdict is not null and attempts = 2").count() == 45
 
 
+def test_a_models_summaries_by_name(spark, tmp_path, pairs):
+    store = CallStore(spark, f"{tmp_path}/calls")
+    run = ConditionRun(spark, f"{tmp_path}/run", store)
+    first = run.step(pairs, compactor("summary_brief@flaky:2:stub_summary"), "stub_letter", "stub_judge", cases=("compacted",)).cache()
+    failed = first.filter("compaction_status = 'error'").count()
+    assert 0 < failed < 45 and first.filter("compaction_status = 'error' and (compacted_status is not null or retention is not null)").isEmpty()
+    second = run.step(pairs, compactor("summary_brief@stub_summary"), "stub_letter", "stub_judge", cases=("compacted",))
+    assert second.filter("compaction_status <> 'success' or compacted_compliant is null or retention is null").isEmpty()
+    # contexts that were made stay as they are
+    assert run.contexts.read().filter("compaction_status = 'success'").count() == 45
+    with pytest.raises(ValueError, match="no summary prompt"):
+        compactor("summary_nothing@stub_summary")
+
+
 def fold(talk, steps=None):
     """The stand-in extractor's registry of a conversation, one turn after the other."""
     items = []
