@@ -94,6 +94,16 @@ def run_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(FACTS + """ SELECT run_id, dataset, compactor AS name, upper(substr(dataset, 1, 1)) || regexp_extract(dataset, '[0-9]+') || ' ' || compactor AS short,
+  regexp_replace(run_id, '[^A-Za-z0-9]+', '_', 'g') AS slug, count(*) AS n, sum(retention::INTEGER)::BIGINT AS n_true FROM facts GROUP BY ALL""")
+def fact_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All facts by the labels read from their runs: name out of a configuration, short row label, file name, verdicts as numbers."""
+    rows = facts(spark, sf_dir).select("run_id", "dataset", "compactor", F.col("retention").cast("string").alias("verdict"))
+    config = F.to_json(F.struct(F.col("compactor").alias("name"), F.struct(F.lit(1).alias("n")).alias("config")))
+    labels = [X.compactor_name(config).alias("name"), X.abbreviated(F.col("dataset"), F.col("compactor")).alias("short"), X.slug(F.col("run_id")).alias("slug")]
+    return rows.groupBy("run_id", "dataset", *labels).agg(F.count("*").alias("n"), F.sum(X.verdict_number(F.col("verdict"))).cast("long").alias("n_true"))
+
+
 @query("SELECT * FROM (VALUES ('compactor.config.n', '4'), ('compactor.name', 'recent_4'), ('seed', '42')) v(name, value)")
 def flattened_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = runs.config_cell({"seed": 42, "compactor": {"name": "recent_4", "config": {"n": 4}}})
