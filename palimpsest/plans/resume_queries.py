@@ -11,6 +11,7 @@ from palimpsest.operators.calls import CallStore
 from palimpsest.operators.common import shared_folder
 from palimpsest.operators.compactors import compactor
 from palimpsest.operators.conditions import ConditionRun
+from palimpsest.operators.constraints import EXPLICIT_HARD
 from palimpsest.operators.evaluation import contexts
 from palimpsest.operators.extraction import ModelExtraction
 from palimpsest.plans.phase_queries import _ANSWER, _pairs_sql, pairs_of
@@ -71,3 +72,19 @@ def shared_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         counted = run.latest().filter("verdict is not null").agg(F.count("*").alias("n_conditions")).select(F.lit(name).alias("compactor"), "n_conditions", F.lit(now - before).cast("long").alias("n_calls"))
         out, before = counted if out is None else out.unionByName(counted), now
     return out
+
+
+_JUDGED = f"""{_pairs_sql()}, w AS (SELECT pr.*, '{EXPLICIT_HARD}' || lower(substr(cat.sssc, 1, 1)) || substr(cat.sssc, 2) AS w, len(m) AS n FROM pr JOIN cat ON cat.id = pr.sssc_id),
+j AS (SELECT *, 'Instruction:' || chr(10) || w || chr(10) || chr(10) || 'Context:' || chr(10) || array_to_string(list_transform(range(greatest(n - 1, 1), n + 1),
+  lambda i: m[i].role || ':' || chr(10) || CASE WHEN u[1] = i - 1 THEN w || chr(10) ELSE '' END || m[i].content), chr(10) || chr(10)) AS asked FROM w)"""
+
+
+@query(f"""{_JUDGED} SELECT source_row_index, sssc_id, compliant_letter, length(asked) > 400 AS retention, 'success' AS compaction_status,
+  CASE WHEN ('0x' || substr(md5(asked), 1, 8))::BIGINT % 50 = 0 THEN 2 ELSE 1 END::INTEGER AS retention_attempts FROM (SELECT *, CASE WHEN swapped THEN 'B' ELSE 'A' END AS compliant_letter FROM j)""")
+def judged_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every compacted context judged for its instruction; what a busy judge left open is judged in a second pass."""
+    root, rows = fresh_folder(spark), pairs_of(spark, sf_dir)
+    run = ConditionRun(spark, root, CallStore(spark, f"{root}/calls"))
+    run.step(rows, compactor("recent_2"), "stub_letter", "flaky:50:stub_judge", (None, "stub_judge"), cases=("compacted",))
+    done = run.step(rows, compactor("recent_2"), "stub_letter", "stub_judge", cases=("compacted",))
+    return done.select("source_row_index", "sssc_id", "compliant_letter", "retention", "compaction_status", "retention_attempts")
