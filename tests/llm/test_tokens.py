@@ -3,6 +3,8 @@
 import functools
 import random
 import re
+import string
+import time
 import zlib
 from collections import Counter
 
@@ -270,6 +272,100 @@ def test_long_secrets_are_masked_whole():
             assert count == len(hits) == 1 and clean == text[: text.index(key)].rstrip("A") + secrets.MASK + text[text.index(key) + n :]
 
 
+PUNCTUATION = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
+ALNUM = string.ascii_letters + string.digits
+
+
+def drawn_secret(kind, rng, words):
+    """A text with a secret of a kind, and a part of it that may not stay."""
+    key = "".join(rng.choice(ALNUM + PUNCTUATION) for _ in range(16))
+    match kind:
+        case "quoted":
+            return f'the config has password = "{key}" in it', key[-8:]
+        case "json":
+            return f'{{"user":"bob","password":"{key}","port":1234567}}', key[:8]
+        case "unquoted":
+            return f"export DB_PASSWORD={key} and run", key[-8:]
+        case "url":
+            key = "".join(rng.choice(ALNUM + "!#$%@@&*") for _ in range(12))
+            return f"use postgres://user:{key}@db.host/x now", key
+        case "phrase":
+            key = rng.choice(["-", "_", "", " "]).join(rng.choice(words) for _ in range(3))
+            return f'{rng.choice(["password", "passphrase", "pwd"])} = "{key}" is set', key
+        case "hex":
+            key = "".join(rng.choice("0123456789abcdef") for _ in range(32))
+            return f"token: {key}, next", key[-8:]
+    lines = ["".join(rng.choice(ALNUM + "+/") for _ in range(64)) for _ in range(12)]
+    lines.append("".join(rng.choice(ALNUM) for _ in range(rng.randint(9, 40))) + "==")
+    block = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", *lines, "-----END RSA PRIVATE KEY-----"])
+    if kind == "pem_escaped":
+        block = block.replace("\n", "\\n")
+    return f"here is {rng.choice(['private_key: ', 'private_key = ' + chr(34), 'key: |' + chr(10), ''])}{block}\nand words", lines[-1]
+
+
+@pytest.mark.parametrize("kind", ["quoted", "json", "unquoted", "url", "phrase", "hex", "pem", "pem_escaped"])
+def test_secrets_of_each_form_are_masked_whole(kind):
+    forest, lexicon, rng = secrets.default_forest(RANKS), secrets.lexicon(RANKS), random.Random(1)
+    drawn = [drawn_secret(kind, rng, sorted(lexicon.words)) for _ in range(300)]
+    left = [text for text, part in drawn if part in secrets.findings_of(text, None, forest, lexicon, secrets.THRESHOLD)[2]]
+    assert len(left) <= 6, left[:3]
+
+
+CODE = (
+    "password = getpass.getpass()", "token = request.headers.get('Authorization')", "self.password = self.hash(password)", "api_key=os.environ['API_KEY'],",
+    "the password: please choose a new one", "secret: true", "const token = await fetchToken(clientId);", "title = 'The quick brown fox jumps over'",
+    'class="navbar-collapse-item"', "https://example.com/articles/how-to-build/12", "tokens=tokenizer.encode(text)", "private key: see the manual",
+    '<input type="password" name="password" placeholder="Enter password">', "import java.util.concurrent.ConcurrentHashMap", "from sklearn.preprocessing import StandardScaler",
+    "XMLHttpRequestEventTarget", "findAllByUserIdOrderByCreatedAt", "AbstractSingletonProxyFactoryBean", "NSMutableAttributedString", "getElementById",
+    "Donaudampfschifffahrtsgesellschaft", "internationalization-and-localization", "counterrevolutionaries", "key=lambda x: x.created_at",
+)
+
+
+def test_code_and_long_words_are_left():
+    forest, lexicon, rng = secrets.default_forest(RANKS), secrets.lexicon(RANKS), random.Random(9)
+    words = sorted(lexicon.words)
+    found = lambda text: secrets.findings_of(f"we call {text} here", None, forest, lexicon, secrets.THRESHOLD)[1]
+    assert not [c for c in CODE if found(c)]
+    camel = ["".join([rng.choice(words), *(rng.choice(words).capitalize() for _ in range(rng.randint(1, 4)))]) for _ in range(500)]
+    joined = [rng.choice(["-", "_", "/"]).join(rng.choice(words) for _ in range(rng.randint(3, 5))) for _ in range(500)]
+    assert sum(bool(found(c)) for c in camel) <= 10 and sum(bool(found(c)) for c in joined) <= 10
+
+
+def test_scan_takes_long_hard_texts_in_linear_time():
+    forest, lexicon = secrets.default_forest(RANKS), secrets.lexicon(RANKS)
+    start = time.monotonic()
+    for piece in ("password=", "=a", '="', "://a:b", "-----BEGIN PRIVATE KEY-----", "token: \\", "a.b", " : "):
+        text = piece * (150_000 // len(piece))
+        assert isinstance(secrets.findings_of(text, None, forest, lexicon, secrets.THRESHOLD)[2], str)
+    assert time.monotonic() - start < 120
+
+
+def walked(tree, x, node=0):
+    """One tree's share, by plain steps."""
+    feature, threshold, left, share = tree
+    if feature[node] < 0:
+        return share[node]
+    return walked(tree, x, left[node] + int(x[feature[node]] > threshold[node]))
+
+
+def test_op1_query_equals_plain_python(spark):
+    """Each candidate scored alone by plain tree walks, and masked through a flag for each character."""
+    got = {r.doc_id: r for r in queries.op1_secret_scan(spark, "/root/testdata/sf0.001").collect()}
+    forest, lexicon = secrets.default_forest(RANKS), secrets.lexicon(RANKS)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        text, flags = r.text or "", bytearray(len(r.text or ""))
+        for a, b, assigned in secrets.candidates(text):
+            x = secrets.features(text[a:b], text[max(0, a - 48) : a], text[b : b + 48], r.source, assigned, lexicon)
+            if sum(walked(tree, x) for tree in forest.trees) / len(forest.trees) >= secrets.THRESHOLD:
+                flags[a:b] = b"\1" * (b - a)
+        runs = [m.span() for m in re.finditer(b"\1+", bytes(flags))]
+        row = got[r.doc_id]
+        assert row.n_findings == len(row.findings) >= len(runs)
+        assert {i for f in row.findings for i in range(f.start, f.end)} == {i for a, b in runs for i in range(a, b)}
+
+
 @functools.cache
 def libraries():
     """The two vocabularies as their own libraries load them: how a word is encoded, and which ids are fallbacks."""
