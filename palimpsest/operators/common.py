@@ -44,6 +44,22 @@ def read_stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame
     return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
+#: What names a verdict's pair of context and constraint; facts are stored by its hash.
+PAIR = ("dataset", "source_row_index", "sssc_id")
+
+
+def stored_in_buckets(df: DataFrame, keys: Sequence[str], buckets: int, *partitions: str) -> tuple[str, str]:
+    """The rows as a table laid out by the hash of ``keys``: its path in the shared folder, and its name in the catalog.
+
+    One shuffle brings each bucket into one file a partition; joins, windows and groups on
+    all of ``keys`` then read the table without another.
+    """
+    name = f"palimpsest_{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{name}"
+    df.repartition(buckets, *keys).write.partitionBy(*partitions).bucketBy(buckets, *keys).option("path", path).saveAsTable(name, format="parquet")
+    return path, name
+
+
 def row_index(df: DataFrame, order: Sequence[str], name: str = "source_row_index") -> DataFrame:
     """Adds 0, 1, 2, ... in the given order, without gathering the rows in one task.
 

@@ -113,11 +113,12 @@ def token_budget(turns: DataFrame, budget: int, key: str = "conv_id", order: str
     token, and newline-like force tokens are ``?``, always kept first.
     """
     tokens = turns.select(key, order, F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), 0)).alias("at", "token")).withColumn("word", F.lower("token"))
-    spread = tokens.select(key, "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
-    rank = W.partitionBy(key).orderBy((F.col("token") != "?").cast("int"), "df", order, "at")
-    placed = tokens.join(spread, "word").withColumn("rank", F.row_number().over(rank))
-    kept = F.array_sort(F.collect_list(F.when(F.col("rank") <= budget, F.struct(order, "at", "token"))))
-    return placed.groupBy(key).agg(F.array_join(F.transform(kept, lambda x: x["token"]), " ").alias("kept"), F.count("*").alias("n_tokens"), F.count_if(F.col("rank") <= budget).alias("n_kept"))
+    listed = tokens.groupBy(key, "word").agg(F.collect_list(F.struct(order, "at", "token")).alias("places"))  # a row for each different word of a conversation
+    spread = listed.groupBy("word").agg(F.count("*").alias("df"))
+    ranked = F.transform("places", lambda x: F.struct((x["token"] != "?").cast("int").alias("late"), F.col("df").alias("df"), x[order].alias("turn"), x["at"].alias("at"), x["token"].alias("token")))
+    whole = listed.join(spread, "word").groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(ranked))).alias("all"))
+    best = F.transform(F.slice("all", 1, budget), lambda x: F.struct(x["turn"].alias("turn"), x["at"].alias("at"), x["token"].alias("token")))
+    return whole.select(key, F.array_join(F.transform(F.array_sort(best), lambda x: x["token"]), " ").alias("kept"), F.size("all").cast("long").alias("n_tokens"), F.least(F.size("all"), F.lit(budget)).cast("long").alias("n_kept"))
 
 
 def classified_tokens(df: DataFrame, scores: Callable[[list[str]], list[float]], rate: float, text: str = "text", id_cols: tuple[str, ...] = ("source_row_index",), force: tuple[str, ...] = ("\n", "?"), window: int = 512) -> DataFrame:

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from palimpsest.functions.messages import assemble, contains_text, user_turns
 from palimpsest.functions.text import draw, first_sentence, token_count
 from palimpsest.operators import constraints as C
-from palimpsest.operators.common import read_stored, stored
+from palimpsest.operators.common import PAIR, stored_in_buckets
 from palimpsest.operators.compactors import compactor
 from palimpsest.sources.writers import complete, file_system
 
@@ -70,12 +69,15 @@ def features(turns: DataFrame) -> DataFrame:
     ).filter(F.size("users") > 0)
 
 
-_STORED: dict[tuple, tuple[str, StructType]] = {}
+#: Bytes of conversations to a bucket of facts; the number of buckets follows from the input.
+BUCKET_BYTES = 8 << 20
+_STORED: dict[tuple, tuple[str, str, list[str]]] = {}
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``made_facts`` as a table in the shared folder, by run, written once for a session and an input.
+    """``made_facts`` as a table in the shared folder, by run and in buckets of the pair, written once for a session and an input.
 
+    Runs, judges and prompts are compared on the pair, so their joins need no shuffle.
     The input counts as the same while its files' names, sizes and times are.
     """
     files, where = file_system(spark, f"{sf_dir}/conversations.parquet")
@@ -83,9 +85,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in listed))
     key = (spark.sparkContext.applicationId, sf_dir, state)
     if key not in _STORED or not complete(spark, _STORED[key][0]):
-        made = made_facts(spark, sf_dir)
-        _STORED[key] = (stored(made, "run_id")[0], made.schema)
-    return read_stored(spark, *_STORED[key])
+        made, size = made_facts(spark, sf_dir), sum(n for _, n, _ in state)
+        _STORED[key] = (*stored_in_buckets(made, PAIR, max(4, -(-size // BUCKET_BYTES)), "run_id"), made.columns)
+    return spark.table(_STORED[key][1]).select(*_STORED[key][2])
 
 
 def made_facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.stats import agreement, bounds, cluster_interval, effect_retention, few_valued_interval, invalid_rate, kappa_of, mcnemar_exact, rate, resampled_means, slot_draws, value_counts
-from palimpsest.operators.common import checkpointed, numbered_within
+from palimpsest.operators.common import PAIR, checkpointed, numbered_within
 
-PAIR = ("dataset", "source_row_index", "sssc_id")
 CASES = ("uninjected", "injected", "compacted", "post")
 
 
@@ -159,9 +158,10 @@ def paired_metrics(facts: DataFrame, left_run: str, right_run: str, sets: Sequen
 def pairwise_runs(facts: DataFrame, runs: Sequence[str]) -> DataFrame:
     """Every pair of runs, in manifest order, for each case: agreement over pairs known to both."""
     rows = facts.filter(F.col("run_id").isin(*runs))
-    long = long_verdicts(rows, ["manifest_pos", "run_id", *PAIR])
-    left, right = (long.select(*PAIR, "case", F.col("manifest_pos").alias(f"{s}_pos"), F.col("run_id").alias(f"{s}_run"), F.col("verdict").alias(s)) for s in ("l", "r"))
-    met = left.join(right, [*PAIR, "case"]).filter("l_pos < r_pos and l is not null and r is not null")
+    side = lambda s: rows.select(*PAIR, F.col("manifest_pos").alias(f"{s}_pos"), F.col("run_id").alias(f"{s}_run"), *[F.col(c).alias(f"{s}_{c}") for c in CASES])
+    cases = F.explode(F.array(*[F.struct(F.lit(c).alias("case"), F.col(f"l_{c}").alias("l"), F.col(f"r_{c}").alias("r")) for c in CASES]))
+    pairs = side("l").join(side("r"), list(PAIR)).filter("l_pos < r_pos")  # on the pair alone, by which facts are stored
+    met = pairs.select("l_run", "r_run", cases.alias("x")).select("l_run", "r_run", "x.*").filter("l is not null and r is not null")
     x, y, same = F.avg(F.col("l").cast("double")), F.avg(F.col("r").cast("double")), F.avg((F.col("l") == F.col("r")).cast("double"))
     return met.groupBy("case", "l_run", "r_run").agg(F.count("*").alias("n_paired"), r10(x).alias("left_rate"), r10(y).alias("right_rate"), r10(y - x).alias("rate_delta"), r10(same).alias("agree_rate"), r10(kappa_of(same, x, y)).alias("cohen_kappa"))
 

@@ -163,7 +163,8 @@ def lexical_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexical judge on documents: which hold a benchmark text.
 
     Items and documents meet on words: an item is looked for only where its rarest
-    word occurs, so no text is compared with every other.
+    word occurs, so no text is compared with every other.  Words travel with ids alone;
+    a document's text joins what it met.
     """
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", plain(F.col("text")).alias("t"))
@@ -171,8 +172,9 @@ def lexical_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = items.select("item_id", "i", F.explode(F.array_distinct(F.split("i", " "))).alias("w"))
     spread = docs.select(F.explode(F.array_distinct(F.split("t", " "))).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     rarest = words.join(spread, "w", "left").groupBy("item_id", "i").agg(F.min_by("w", F.struct(F.coalesce("df", F.lit(0)), "w")).alias("w"))
-    places = docs.select("doc_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-    met = places.join(rarest, "w").filter(F.contains("t", "i"))
+    places = docs.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
+    near = places.join(rarest, "w").select("doc", "item_id", "i").distinct()
+    met = near.join(docs, F.col("doc").eqNullSafe(F.col("doc_id"))).filter(F.contains("t", "i"))
     return met.groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 

@@ -280,3 +280,53 @@ def test_a_process_keeps_its_runtime():
     assert first is U.kept_runtime("local:tests.test_resume:counted") is not U.kept_runtime("local:tests.test_resume:counted", {"a": 1})
     U.forget_runtime("local:tests.test_resume:counted")
     assert U.kept_runtime("local:tests.test_resume:counted") is not first
+
+
+def exchanges_below_joins(df):
+    """Hash exchanges of the executed plan that stand below a join."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    lines = plan.splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" +-:*()0123456789"))
+    joins = [i for i, line in enumerate(lines) if "Join" in line]
+    assert joins, plan
+    below = []
+    for i in joins:
+        for line in lines[i + 1 :]:
+            if depth(line) <= depth(lines[i]):
+                break
+            below += [line] * ("Exchange hashpartitioning" in line)
+    return below
+
+
+@pytest.mark.parametrize("name", ["pairwise", "probers", "rates"])
+def test_runs_are_compared_without_a_shuffle(spark, name):
+    from palimpsest.operators import metrics
+    from palimpsest.operators.evaluation import facts, made_facts
+
+    sf, runs = "/root/testdata/sf0.001", ("recent_4__top", "recent_4__middle", "recent_4__bottom")
+    make = {
+        "pairwise": lambda f: metrics.pairwise_runs(f, runs),
+        "probers": lambda f: metrics.prober_table(f, runs, runs[0]).drop("run_id"),
+        "rates": lambda f: metrics.prompt_pair_rates(f, "recent_4__top", "extract_3__top"),
+    }[name]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored, plain = make(facts(spark, sf)), make(made_facts(spark, sf))
+        assert sorted(map(str, stored.collect())) == sorted(map(str, plain.collect()))
+        assert len(exchanges_below_joins(plain)) > len(exchanges_below_joins(stored))
+        shuffled = [e for e in exchanges_below_joins(stored) if "sssc_id" in e]
+        assert not shuffled, shuffled
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_token_budget_on_hard_rows(spark):
+    from palimpsest.operators.compactors import token_budget
+
+    rows = [(1, 0, "a b ? a"), (1, 1, "c"), (2, 0, "a b"), (3, 0, ""), (None, 0, "c c"), (4, 0, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, text string")
+    got = {r.conv_id: (r.kept, r.n_tokens, r.n_kept) for r in token_budget(df, 3).collect()}
+    assert got == {1: ("a b ?", 5, 3), 2: ("a b", 2, 2), None: ("c c", 2, 2)}
+    assert token_budget(df.limit(0), 3).count() == 0
