@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.messages import MESSAGES, message, total_tokens, transcript, user_turns
 from palimpsest.functions.text import TOKEN_PATTERN, first_sentence
 from palimpsest.operators.constraints import summary_prompt
+from palimpsest.operators.tokenclass import TokenClassifier
 
 
 class Compactor(Protocol):
@@ -91,7 +92,9 @@ class ModelSummary:
 
 
 def compactor(name: str) -> Compactor:
-    """By name: ``recent_<n>``, ``extract_<n>`` or ``summary_<style>@<provider>``."""
+    """By name: ``recent_<n>``, ``extract_<n>``, ``summary_<style>@<provider>`` or ``tokens_<percent>@<weights>``."""
+    if classifier := re.fullmatch(r"tokens_(\d+)@(.+)", name):
+        return TokenClassifier(int(classifier[1]), classifier[2])
     if summary := re.fullmatch(r"summary_(\w+)@(.+)", name):
         return ModelSummary(summary[1], summary[2])
     found = re.fullmatch(r"(recent|extract)_(\d+)", name)

@@ -13,6 +13,8 @@ from palimpsest.operators.compactors import compactor
 from palimpsest.operators.conditions import ConditionRun
 from palimpsest.operators.constraints import EXPLICIT_HARD
 from palimpsest.operators.evaluation import contexts
+from palimpsest.functions.text import first_sentence
+from palimpsest.operators import tokenclass
 from palimpsest.operators.extraction import ModelExtraction
 from palimpsest.plans.phase_queries import _ANSWER, _pairs_sql, pairs_of
 from palimpsest.plans.registry import query
@@ -88,3 +90,30 @@ def judged_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     run.step(rows, compactor("recent_2"), "stub_letter", "flaky:50:stub_judge", (None, "stub_judge"), cases=("compacted",))
     done = run.step(rows, compactor("recent_2"), "stub_letter", "stub_judge", cases=("compacted",))
     return done.select("source_row_index", "sssc_id", "compliant_letter", "retention", "compaction_status", "retention_attempts")
+
+
+@query()
+def token_classifier_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A token classifier held out: every text is rated by the weights of the other fold, beside its rarest tokens.
+
+    A token counts as kept where its turn's first sentence has it.  ``hits``: kept ones
+    among as many best rated tokens; ``rare_hits``: among as many rarest ones.
+    """
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    folds = [turns.filter(F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(2)) == fold) for fold in (0, 1)]
+    rows = [tokenclass.labelled(fold, F.col("text"), first_sentence(F.col("text"))) for fold in folds]
+    weights = [tokenclass.train(r) for r in rows]
+    out = None
+    for fold, r in enumerate(rows):
+        hits = tokenclass.ranked_hits(r, weights[1 - fold]).agg(F.sum("n").alias("n_kept"), F.sum("hits").alias("hits"))
+        named = r.filter(F.size("tokens") > 0).withColumn("id", F.monotonically_increasing_id())
+        each = named.select("id", F.posexplode(F.arrays_zip("tokens", "kept")).alias("at", "x")).select("id", "at", F.lower("x.tokens").alias("word"), F.col("x.kept").cast("int").alias("kept"))
+        listed = each.groupBy("id", "word").agg(F.collect_list(F.struct("at", "kept")).alias("places"))
+        spread = listed.groupBy("word").agg(F.count("*").alias("df"))
+        rated = F.transform("places", lambda x: F.struct(F.col("df").alias("df"), x["at"].alias("at"), x["kept"].alias("kept")))
+        whole = listed.join(spread, "word").groupBy("id").agg(F.array_sort(F.flatten(F.collect_list(rated))).alias("a"))
+        total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x["kept"])
+        rare = whole.select(total(F.slice("a", 1, total("a"))).alias("n")).agg(F.sum("n").alias("rare_hits"))
+        one = hits.crossJoin(rare).select(F.lit(fold).alias("fold"), "n_kept", "hits", "rare_hits")  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out

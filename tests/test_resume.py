@@ -330,3 +330,32 @@ def test_token_budget_on_hard_rows(spark):
     got = {r.conv_id: (r.kept, r.n_tokens, r.n_kept) for r in token_budget(df, 3).collect()}
     assert got == {1: ("a b ?", 5, 3), 2: ("a b", 2, 2), None: ("c c", 2, 2)}
     assert token_budget(df.limit(0), 3).count() == 0
+
+
+def test_token_classifier_learns_what_is_kept(spark, tmp_path):
+    from palimpsest.operators import tokenclass as T
+    from palimpsest.plans.resume_queries import token_classifier_folds
+
+    rows = [(i, f"keep{i % 7} the plain words{i} number {i} . drop", f"keep{i % 7} {i}") for i in range(300)] + [(300, None, None), (301, "", "x")]
+    df = spark.createDataFrame(rows, "source_row_index long, text string, short string")
+    labels = T.labelled(df, F.col("text"), F.col("short"))
+    weights = T.train(labels)
+    held = spark.createDataFrame([(f"keep3 the plain words number {n} . drop", f"keep3 {n}") for n in range(1000, 1100)], "text string, short string")
+    got = T.ranked_hits(T.labelled(held, F.col("text"), F.col("short")), weights).agg(F.sum("n"), F.sum("hits")).first()
+    assert got[0] == 200 and got[1] >= 190
+    assert (T.train(labels) == weights).all() and not T.train(labels.limit(0)).any()
+
+    path = str(tmp_path / "weights")
+    T.save(spark, weights, path)
+    assert (T.load(spark, path) == weights).all()
+    made = compactor(f"tokens_25@{path}")
+    talks = [(1, [("user", "keep3 the plain words number 5 . drop"), ("assistant", None)]), (2, []), (3, None)]
+    injected = spark.createDataFrame(talks, f"source_row_index long, injected {MESSAGES}")
+    out = {r.source_row_index: [tuple(m) for m in r.compacted_context] for r in made.contexts(injected, None, ["source_row_index"]).collect()}
+    assert out == {1: [("user", "keep3 5"), ("assistant", "")], 2: [], 3: []} and made.name == f"tokens_25@{path}"
+    with pytest.raises(ValueError, match="percent"):
+        compactor("tokens_0@x")
+
+    folds = token_classifier_folds(spark, "/root/testdata/sf0.001").collect()
+    assert len(folds) == 2 and all(f.hits > f.rare_hits and f.hits <= f.n_kept for f in folds), folds
+    print(folds)
