@@ -33,9 +33,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: What ``stored`` and ``stored_in_buckets`` have written, by application: paths, and names in the catalog.
+_WRITTEN: dict[str, list[tuple[str, str | None]]] = {}
+
+
+def released(spark: SparkSession) -> int:
+    """Remove what this application has stored on the way; how many tables.  For the end of a job."""
+    written = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path, name in written:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return len(written)
+
+
 def stored(df: DataFrame, *partitions: str) -> tuple[str, DataFrame]:
     """The rows as a written table in the shared folder: its path, and the table read back."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append((path, None))
     df.write.partitionBy(*partitions).parquet(path)
     return path, read_stored(df.sparkSession, path, df.schema)
 
@@ -56,6 +72,7 @@ def stored_in_buckets(df: DataFrame, keys: Sequence[str], buckets: int, *partiti
     """
     name = f"palimpsest_{uuid.uuid4().hex}"
     path = f"{shared_folder(df.sparkSession)}/{name}"
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append((path, name))
     df.repartition(buckets, *keys).write.partitionBy(*partitions).bucketBy(buckets, *keys).option("path", path).saveAsTable(name, format="parquet")
     return path, name
 

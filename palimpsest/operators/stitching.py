@@ -100,7 +100,7 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, p: s + p)
 
 
-def _nearest_among(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
+def nearest_among(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k rows of ``b`` nearest to each of ``a``, itself left out; ``b`` is sorted by id."""
     x, y, parts = np.stack(a["v"]).astype(float), np.stack(b["v"]).astype(float), []
     for at in range(0, len(a), 512):
@@ -127,7 +127,7 @@ def nearest(vectors: DataFrame, k: int, id_col: str = "vec_id", vector_col: str
         pdf = pdf.sort_values("id", ignore_index=True)
         low, high = pdf[pdf["b"] == pdf["low"]], pdf[pdf["b"] == pdf["high"]]
         sides = [(low, high)] if len(low) == len(high) == len(pdf) else [(low, high), (high, low)]
-        parts = [_nearest_among(a.reset_index(drop=True), b.reset_index(drop=True), k) for a, b in sides if len(a) and len(b)]
+        parts = [nearest_among(a.reset_index(drop=True), b.reset_index(drop=True), k) for a, b in sides if len(a) and len(b)]
         return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "neighbour_id": [], "similarity": []})
 
     found = met.groupBy("low", "high").applyInPandas(solve, "query_id long, neighbour_id long, similarity double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,9 @@ from pyspark.sql import functions as F
 from palimpsest.functions import messages as M
 from palimpsest.functions.text import token_count
 from palimpsest.operators import constraints as C
+from palimpsest.operators import neighbours as N
 from palimpsest.operators import stitching as K
+from palimpsest.operators.common import shared_folder
 from palimpsest.operators.compactors import FirstSentences, RecentMessages, compaction, token_budget
 from palimpsest.operators.evaluation import contexts, judged_contexts, lengths, turns_of
 from palimpsest.plans.registry import CONV_SQL, catalogue_sql, draw_sql, query, tok
@@ -211,6 +215,18 @@ def masked_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.nearest_to_seed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+@query(f"""WITH s AS (SELECT a.vec_id AS seed_id, b.vec_id, round({_DOT}, 9) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id <> a.vec_id WHERE NOT (b.label < 7 AND b.vec_id % 11 <> 0))
+SELECT seed_id, arg_min(vec_id, struct_pack(d := -sim, i := vec_id)) AS nearest_id FROM s GROUP BY ALL""")
+def masked_neighbour_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's nearest among those not used, from a kept table of neighbours that was extended once."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    table, rows = N.NeighbourTable(spark, f"{shared_folder(spark)}/neighbours-{uuid.uuid4().hex}", 16), N.usable(vectors)
+    table.extend(rows.filter("id % 10 <> 3"))
+    table.extend(rows)
+    used = vectors.filter("label < 7 and vec_id % 11 <> 0").select(F.col("vec_id").alias("used_id"))
+    return table.nearest_unused(rows.select(F.col("id").alias("seed_id")), used).select("seed_id", "nearest_id")
+
+
 #: A step of the greedy stitching adds the nearest free context, gives the latest one back, or ends a row.
 _TOPIC_SQL = f"""WITH RECURSIVE {CONV_SQL},
 src AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v, list_sum(t)::BIGINT AS n

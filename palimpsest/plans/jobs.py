@@ -14,12 +14,13 @@ from palimpsest.functions.text import hashed_vector
 from palimpsest.operators import extraction as E
 from palimpsest.operators import phases, runs
 from palimpsest.operators import stitching as K
-from palimpsest.operators.common import row_index
+from palimpsest.operators.common import released, row_index
 from palimpsest.operators.calls import CallStore
 from palimpsest.operators.compactors import compactor
 from palimpsest.operators.conditions import ConditionRun
 from palimpsest.plans.analyses import tables_of
 from palimpsest.sources import readers, writers
+from palimpsest.sources.snapshots import SnapshotTable
 
 #: A pair of trimmed halves is built for this target, as one context seldom reaches it.
 PAIRED_TARGET = 220_000
@@ -80,7 +81,8 @@ def evaluate(spark: SparkSession, config: dict) -> list[str]:
     """Run every expected run of a configuration on its datasets.
 
     Only conditions without a readable answer are run, and calls that any run of the same
-    root has made are not made again.
+    root has made are not made again.  ``snapshots``: a table that every run's rows are
+    committed to as well, for readers who must not see a table while it is replaced.
     """
     done = []
     for run in runs.expected_runs(config):
@@ -91,8 +93,10 @@ def evaluate(spark: SparkSession, config: dict) -> list[str]:
         path = f"{root}/{run['run_id']}"
         conditions = ConditionRun(spark, f"{path}__log", CallStore(spark, f"{root}/calls"))
         made = conditions.step(work, compactor(spec["compactor"]["name"]), spec["probe"]["runtime"], spec["evaluator"]["runtime"])
-        writers.replace_table(made, path)
+        table = writers.replace_table(made, path)
         writers.write_json(spark, spec, f"{path}.json")
+        if "snapshots" in config:
+            SnapshotTable(spark, config["snapshots"], "run_id").replace_values(table.withColumn("run_id", F.lit(run["run_id"])))
         done.append(run["run_id"])
     return done
 
@@ -100,11 +104,14 @@ def evaluate(spark: SparkSession, config: dict) -> list[str]:
 def analyse(spark: SparkSession, config: dict) -> dict[str, list[str]]:
     """The tables of analyses as CSV, and a report of the main experiment's headline.
 
-    ``facts``: a Parquet table of facts, or ``root`` and ``manifest``: finished runs to be
+    ``facts``: a Parquet table of facts, or ``snapshots``: a table of committed ones (at its
+    newest ``version``, if none is named), or ``root`` and ``manifest``: finished runs to be
     joined.  ``out``; ``analyses`` (all that can be made, if absent); ``settings``.
     """
     if "facts" in config:
         facts = spark.read.parquet(config["facts"])
+    elif "snapshots" in config:
+        facts = SnapshotTable(spark, config["snapshots"], "run_id").read(config.get("version"))
     else:
         facts = readers.union_runs(spark, config["root"], config["manifest"], config.get("experiment", "main"), config.get("missing", "raise"))
     done = {}
@@ -163,7 +170,11 @@ def main(args: list[str]) -> None:
         sys.exit(f"{__doc__}\nJobs: {', '.join(JOBS)}")
     spark = SparkSession.builder.appName(args[0]).getOrCreate()
     with open(args[1]) as config:
-        JOBS[args[0]](spark, json.load(config))
+        settings = json.load(config)
+    try:
+        JOBS[args[0]](spark, settings)
+    finally:
+        released(spark)
 
 
 if __name__ == "__main__":

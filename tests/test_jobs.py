@@ -4,10 +4,13 @@ from pyspark.sql import functions as F
 from palimpsest.functions import messages as M
 from palimpsest.operators.evaluation import contexts, facts
 from palimpsest.operators import phases
+from palimpsest.operators.common import released, stored, stored_in_buckets
 from palimpsest.operators.compactors import compactor
 from palimpsest.plans import jobs
 from palimpsest.plans.analyses import ANALYSES
 from palimpsest.sources import readers
+from palimpsest.sources.snapshots import SnapshotTable
+from palimpsest.sources.writers import exists
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,7 +36,8 @@ def test_dataset_jobs(spark, tmp_path):
 
     config = {"root": root, "datasets": {"name": "d_1k", "path": f"{root}/trim", "rows": 3}, "probes": {"name": "p", "runtime": "stub_letter"}, "compactors": "recent_3", "evaluator": {"name": "j", "runtime": "stub_judge"}}
     (run,) = jobs.evaluate(spark, config)
-    assert jobs.evaluate(spark, config) == [run]
+    assert jobs.evaluate(spark, config | {"snapshots": f"{root}/committed"}) == [run]
+    assert SnapshotTable(spark, f"{root}/committed", "run_id").read().filter(F.col("run_id") == run).count() == 45
     table = readers.union_runs(spark, root, [{"run_id": run}], "main")
     assert table.count() == 45 and table.filter("run_id is null or retention is null").isEmpty()
 
@@ -56,6 +60,13 @@ def test_analysis_job(spark, tmp_path):
     assert report.startswith("## Headline") and report.count("\n|") == 14
     few = jobs.analyse(spark, {"facts": f"{tmp_path}/facts", "out": f"{tmp_path}/few", "analyses": ["repeats"]})
     assert few == {"repeats": ["repeat"]}
+    committed = SnapshotTable(spark, f"{tmp_path}/committed", "run_id")
+    committed.replace(spark.read.parquet(f"{tmp_path}/facts"))
+    committed.replace_values(committed.read().filter("run_id = 'recent_4__top' and status = 'success'"))
+    for version in (1, 2):
+        jobs.analyse(spark, {"snapshots": f"{tmp_path}/committed", "version": version, "out": f"{tmp_path}/v{version}", "analyses": ["main_experiment"]})
+    runs = [spark.read.option("header", True).csv(f"{tmp_path}/v{v}/main_experiment/per_run").count() for v in (1, 2)]
+    assert runs == [17, 17] and committed.read().count() < committed.read(1).count()
     with pytest.raises(ValueError, match="needs focal, home"):
         jobs.analyse(spark, {"facts": f"{tmp_path}/facts", "out": f"{tmp_path}/few", "analyses": ["style_match"]})
 
@@ -74,3 +85,13 @@ def test_extractor_reprobe_and_summary_jobs(spark, tmp_path):
     assert judged.count() == 60 and "verdict" in judged.columns
     summary = jobs.summarise_datasets(spark, {"roots": [root], "out": f"{root}/summary"}).collect()
     assert [(r.dataset, r.n_rows, r.avg_sources) for r in summary] == [("chat_cat_1k", 4, 1.0)]
+
+
+def test_what_a_job_stores_on_the_way_is_removed(spark, tmp_path):
+    before = facts(spark, SF).count()
+    path, table = stored(spark.range(5))
+    bucketed, name = stored_in_buckets(spark.range(5).withColumn("p", F.lit(1)), ["id"], 2, "p")
+    assert table.count() == spark.table(name).count() == 5
+    assert released(spark) >= 2 and released(spark) == 0
+    assert not exists(spark, path) and not exists(spark, bucketed) and not spark.catalog.tableExists(name)
+    assert facts(spark, SF).count() == before  # made again
