@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import checkpointed
 
 #: Changes shrink by DAMPING a round, so about 100 rounds always settle; MAX_ROUNDS is never reached.
-DAMPING, MAX_ROUNDS, CHECKPOINT_EVERY, TOLERANCE = 0.85, 400, 5, 1e-6
+DAMPING, MAX_ROUNDS, TOLERANCE = 0.85, 400, 1e-7
 THRESHOLD = 2.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)(?:href|src)\s*=\s*["']?([^"'>\s]+)"""
@@ -83,21 +83,19 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, dam
     ``seeds``: kind, host, seed (sums to 1 in a kind).  ``edges``: kind, src, dst,
     share (sums to 1 for each kind and src that has edges).  Returns kind, host, score.
     """
-    ranks, before = seeds.select("kind", "host", F.col("seed").alias("score")), None
+    ranks = seeds.select("kind", "host", F.col("seed").alias("score"))
     links = edges.select("kind", F.col("src").alias("host"), "dst", "share")
     sources = links.select("kind", "host").distinct()
-    for i in range(MAX_ROUNDS if rounds is None else rounds):
+    for _ in range(MAX_ROUNDS if rounds is None else rounds):
         sent = ranks.join(links, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("score") * F.col("share")).alias("part"))
         resting = ranks.join(sources, ["kind", "host"], "left_anti").groupBy("kind").agg(F.sum("score").alias("rest"))
         back = seeds.join(resting, "kind", "left").select("kind", "host", (F.col("seed") * (1 - damping + damping * F.coalesce("rest", F.lit(0.0)))).alias("part"))
-        ranks = sent.unionByName(back).groupBy("kind", "host").agg(F.sum("part").alias("score"))
-        if (i + 1) % CHECKPOINT_EVERY == 0:
-            ranks = checkpointed(ranks)
-            if before is not None:
-                moved = ranks.unionByName(before.withColumn("score", -F.col("score"))).groupBy("kind", "host").agg(F.sum("score").alias("d")).agg(F.sum(F.abs("d"))).first()[0]
-                if (moved or 0.0) < TOLERANCE:
-                    break
-            before = ranks
+        parts = sent.unionByName(back).withColumn("was", F.lit(0.0)).unionByName(ranks.select("kind", "host", F.lit(0.0).alias("part"), F.col("score").alias("was")))
+        # a row a host; each round's plan starts at the last round's rows, which also tell how far the ranks moved
+        moved = checkpointed(parts.groupBy("kind", "host").agg(F.sum("part").alias("score"), F.sum("was").alias("was")))
+        ranks = moved.select("kind", "host", "score")
+        if rounds is None and (moved.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] or 0.0) < TOLERANCE:
+            break
     else:
         if rounds is None:
             raise RuntimeError("the ranks did not settle")

@@ -134,10 +134,12 @@ def top_k(df: DataFrame, is_query, k: int, scale: int, id_col: str = "vec_id", v
                 columns = [pa.array(ids[at + row]), pa.array([data[at + i] for i in row], pa.binary()), pa.array(group.astype(np.int32)), pa.array(salt.astype(np.int32)), pa.array(out[row, group])]
                 yield pa.RecordBatch.from_arrays(columns, ["query_id", "q", "pivot", "salt", "out"])
 
-    queries = placed.filter(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
-    asked = queries.mapInArrow(send, "query_id long, q binary, pivot int, salt int, out double")
+    asking = placed.filter(is_query(F.col("id")))
+    blocks = max(1, -(-asking.count() // CELL_ROWS))  # a task holds one cell's rows and one block's queries
+    queries = asking.groupBy("id").agg(F.min("v").alias("v"), F.count("*").alias("own"))
+    asked = queries.mapInArrow(send, "query_id long, q binary, pivot int, salt int, out double").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     spread = F.create_map(*[F.lit(x) for i, c in enumerate(cells.tolist()) if c > 1 for x in (i, c)]) if (cells > 1).any() else F.create_map(F.lit(-1), F.lit(1))
-    salted = placed.select("id", "v", "pivot", "distance", F.pmod(F.xxhash64("id", "v"), F.coalesce(F.element_at(spread, F.col("pivot")), F.lit(1)).cast("long")).cast("int").alias("salt"))
+    salted = placed.select("id", "v", "pivot", "distance", F.pmod(F.xxhash64("id", "v"), F.coalesce(F.element_at(spread, F.col("pivot")), F.lit(1)).cast("long")).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -161,7 +163,7 @@ def top_k(df: DataFrame, is_query, k: int, scale: int, id_col: str = "vec_id", v
                 parts.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": row[best].astype(np.int64)}))
         return pd.concat(parts).astype("int64") if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
-    keys = ["pivot", "salt"]
+    keys = ["pivot", "salt", "block"]
     local = asked.groupBy(*keys).cogroup(salted.groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
