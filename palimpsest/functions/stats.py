@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from palimpsest.functions.text import draw
 
@@ -68,22 +72,60 @@ def mcnemar_exact(gains: Column, losses: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
-def slot_draws(sizes: DataFrame, keys: Sequence[str], replicates: int, seed: str) -> DataFrame:
-    """``keys, replicate, slot``: as many slots below ``n`` for each replicate, drawn with replacement.
+#: Replicates that a task draws together, and slots of one stratum that it holds at once.
+REPLICATES_TOGETHER, SLOTS_TOGETHER = 50, 1 << 21
 
-    A hash gives four draws; they depend on the seed, the group, the replicate and the
-    place only, so any partitioning gives the same.
+
+def drawn_slots(prefix: bytes, n: int) -> np.ndarray:
+    """``n`` slots below ``n``, drawn with replacement; a hash of the prefix and a block's number gives four draws."""
+    start = md5(prefix, usedforsecurity=False)
+
+    def digest(block: int) -> bytes:
+        hashed = start.copy()
+        hashed.update(b"%d" % block)
+        return hashed.digest()
+
+    words = np.frombuffer(b"".join(map(digest, range(-(-n // 4)))), ">u4")[:n]
+    return np.floor(words / 4294967296.0 * n).astype(np.int64)
+
+
+def resampled_sums(slots: DataFrame, keys: Sequence[str], columns: Sequence[str], replicates: int, seed: str) -> DataFrame:
+    """``keys, replicate`` and, for each of ``columns``, its sum over as many slots as the group has, drawn with replacement.
+
+    ``slots``: rows with their places ``slot`` (from 0 on) in the group of ``keys``; nulls
+    add nothing.  Draws depend on the seed, the group, the replicate and the place only, so
+    any partitioning gives the same.  They are made where they are summed: a task gets some
+    replicates and a bounded part of one group's slots, and no draw is a row, shuffled or
+    sent anywhere.  A group of several parts is drawn anew for each.
     """
-    tasks = -(-replicates // 50)  # replicates are spread before their draws are made
-    blocks = (
-        sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-        .repartition(tasks, *keys, "replicate")
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 4).cast("int"))))
-        .withColumn("hash", F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys], F.col("replicate").cast("string"), F.col("block").cast("string"))))
-    )
-    drawn = blocks.select(*keys, "replicate", "n", F.posexplode(F.transform(F.array(*[F.lit(i) for i in (1, 9, 17, 25)]), lambda i: F.col("hash").substr(i, F.lit(8)))).alias("part", "hex"), "block")
-    kept = drawn.filter(F.col("block") * 4 + F.col("part") < F.col("n"))
-    return kept.select(*keys, "replicate", F.floor(F.conv("hex", 16, 10).cast("long") / F.lit(4294967296.0) * F.col("n")).cast("long").alias("slot"))
+    keys, columns = list(keys), list(columns)
+    sizes = slots.groupBy(*keys).agg(F.count("*").alias("__n"))
+    named = F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys])
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]
+    rows = slots.select(*keys, F.col("slot").cast("long").alias("__slot"), *values, named.alias("__name"))
+    rows = rows.join(sizes, keys) if keys else rows.crossJoin(sizes)
+    batches = -(-replicates // REPLICATES_TOGETHER)
+    part = F.floor(F.col("__slot") / SLOTS_TOGETHER).cast("long")
+    dealt = rows.withColumn("__part", part).withColumn("__batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
+    group = [*keys, "__part", "__batch"]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        n, low, name = int(first["__n"]), int(first["__part"]) * SLOTS_TOGETHER, str(first["__name"])
+        held = np.zeros((len(columns), min(SLOTS_TOGETHER, n - low)))
+        held[:, pdf["__slot"].to_numpy() - low] = pdf[columns].to_numpy(float).T
+        of = range(int(first["__batch"]) * REPLICATES_TOGETHER, min(replicates, (int(first["__batch"]) + 1) * REPLICATES_TOGETHER))
+        sums = []
+        for replicate in of:
+            drawn = drawn_slots(f"{name}|{replicate}|".encode(), n) - low
+            if held.shape[1] < n:
+                drawn = drawn[(drawn >= 0) & (drawn < held.shape[1])]
+            sums.append([row[drawn].sum() for row in held])
+        return pd.DataFrame({**{k: [first[k]] * len(of) for k in keys}, "replicate": list(of), **{c: [row[i] for row in sums] for i, c in enumerate(columns)}})
+
+    schema = StructType([*[slots.schema[k] for k in keys], StructField("replicate", IntegerType()), *[StructField(c, DoubleType()) for c in columns]])
+    found = dealt.repartition(2 * batches, *group).groupBy(*group).applyInPandas(solve, schema)
+    return found.groupBy(*keys, "replicate").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def bounds(column: str, level: float) -> list[Column]:
@@ -99,8 +141,7 @@ def cluster_interval(clusters: DataFrame, strata: Sequence[str], value: str, wei
     """
     strata = list(strata)
     known = clusters.select(*strata, "slot", F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w"))
-    sizes = known.groupBy(*strata).agg(F.count("*").alias("n"))
-    means = slot_draws(sizes, strata, replicates, seed).join(known, [*strata, "slot"]).groupBy("replicate").agg((F.sum("v") / F.sum("w")).alias("m"))
+    means = resampled_sums(known, strata, ("v", "w"), replicates, seed).groupBy("replicate").agg((F.sum("v") / F.sum("w")).alias("m"))
     whole = known.agg(F.count("*").alias("n"), F.round(F.sum("v") / F.sum("w"), 9).alias("mean"))
     return whole.crossJoin(means.agg(*bounds("m", level)))  # one row each
 

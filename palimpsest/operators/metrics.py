@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.stats import agreement, bounds, cluster_interval, effect_retention, few_valued_interval, invalid_rate, kappa_of, mcnemar_exact, rate, resampled_means, slot_draws, value_counts
+from palimpsest.functions.stats import agreement, bounds, cluster_interval, effect_retention, few_valued_interval, invalid_rate, kappa_of, mcnemar_exact, rate, ratio, resampled_means, resampled_sums, value_counts
 from palimpsest.operators.common import PAIR, checkpointed, numbered_within
 
 CASES = ("uninjected", "injected", "compacted", "post")
@@ -301,10 +301,8 @@ def home_field_interval(facts: DataFrame, focal: str, home: str, replicates: int
     part = lambda who, f: f(F.when(who, F.col("retention").cast("double")))
     clusters = success(facts).groupBy("dataset", "source_row_index").agg(part(mine, F.sum).alias("fs"), part(mine, F.count).alias("fn"), part(~mine, F.sum).alias("ps"), part(~mine, F.count).alias("pn"))
     slots = numbered_within(clusters, ["dataset"], ["source_row_index"])
-    sizes = slots.groupBy("dataset").agg(F.count("*").alias("n"))
-    total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)))
-    drawn = slot_draws(sizes, ["dataset"], replicates, seed)
-    gaps = drawn.join(slots, ["dataset", "slot"]).groupBy("dataset", "replicate").agg((total("fs") / F.nullif(total("fn"), F.lit(0)) - total("ps") / F.nullif(total("pn"), F.lit(0))).alias("gap"))
+    gap = ratio(F.col("fs"), F.col("fn")) - ratio(F.col("ps"), F.col("pn"))
+    gaps = resampled_sums(slots, ["dataset"], ("fs", "fn", "ps", "pn"), replicates, seed).select("replicate", "dataset", gap.alias("gap"))
     at_home = F.col("dataset") == home
     did = gaps.groupBy("replicate").agg((F.avg(F.when(at_home, F.col("gap"))) - F.avg(F.when(~at_home, F.col("gap")))).alias("did")).filter("did is not null")
     return did.agg(F.count("*").alias("n_replicates"), *bounds("did", level))

@@ -45,7 +45,7 @@ few AS (SELECT {k}, n, round(mean, 9) AS mean, round(quantile_cont(m, 0.025), 9)
 
 
 def slots_sql(keys: tuple[str, ...], replicates: int, seed: str) -> str:
-    """``dr``: the twin of ``slot_draws`` over ``z`` (keys, n)."""
+    """``dr``: the twin of the draws of ``resampled_sums``, over ``z`` (keys, n)."""
     text = " || '|' || ".join([repr(seed), *[f"z.{k}::VARCHAR" for k in keys], "rep::VARCHAR", "(i // 4)::VARCHAR"])
     return f"""dr AS (SELECT {", ".join(f"z.{k}" for k in keys)}, rep, floor(('0x' || substr(md5({text}), (1 + 8 * (i % 4))::INTEGER, 8))::BIGINT / 4294967296.0 * z.n)::BIGINT AS slot
   FROM z, range(0, {replicates}) a(rep), range(0, (SELECT max(n) FROM z)) b(i) WHERE i < z.n)"""
