@@ -53,14 +53,16 @@ def lengths(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.sum(tokens).cast("int").alias("token_length"), F.count("*").cast("int").alias("turns"), F.count_if(F.col("role") == "user").cast("int").alias("users"))
 
 
-def features(turns: DataFrame) -> DataFrame:
+def features(turns: DataFrame, partitions: int | None = None) -> DataFrame:
     """What the facts need of a context: places and token counts of its turns.
 
     Tokens are counted before turns are gathered, so texts stay where they are read.
+    ``partitions``: over how many the contexts are dealt; they are small, and what is made of them is not.
     """
     user = F.col("role") == "user"
     narrow = turns.select("conv_id", F.struct(F.col("turn").alias("at"), user.alias("user"), (token_count(F.col("role")) + token_count(F.col("text")) + 1).alias("t"), F.when(user, token_count(first_sentence(F.col("text")))).alias("f")).alias("m"))
-    listed = narrow.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    dealt = narrow.repartition(partitions, "conv_id") if partitions else narrow
+    listed = dealt.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
     places = F.filter(F.transform("m", lambda x, i: F.when(x["user"], i)), lambda i: i.isNotNull())
     said = F.slice(F.transform(F.filter("m", lambda x: x["user"]), lambda x: x["f"]), 1, 3)
     return listed.select(
@@ -71,6 +73,8 @@ def features(turns: DataFrame) -> DataFrame:
 
 #: Bytes of conversations to a bucket of facts; the number of buckets follows from the input.
 BUCKET_BYTES = 8 << 20
+#: Bytes of conversations to a task that makes facts; a bucket's facts are hundreds of times their contexts' places.
+MADE_BYTES = 1 << 20
 _STORED: dict[tuple, tuple[str, str, list[str]]] = {}
 
 
@@ -85,18 +89,19 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = tuple(sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in listed))
     key = (spark.sparkContext.applicationId, sf_dir, state)
     if key not in _STORED or not complete(spark, _STORED[key][0]):
-        made, size = made_facts(spark, sf_dir), sum(n for _, n, _ in state)
+        size = sum(n for _, n, _ in state)
+        made = made_facts(spark, sf_dir, max(4, -(-size // MADE_BYTES)))
         _STORED[key] = (*stored_in_buckets(made, PAIR, max(4, -(-size // BUCKET_BYTES)), "run_id"), made.columns)
     return spark.table(_STORED[key][1]).select(*_STORED[key][2])
 
 
-def made_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def made_facts(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     """One row for each conversation, constraint and run.
 
     A constraint is retained where one of its target turns is kept; that equals the
     text judge's answer on the injected and compacted context.
     """
-    base = features(turns_of(spark, sf_dir)).crossJoin(manifest(spark)).crossJoin(C.catalogue(spark).select(F.col("id").alias("sssc_id"), F.col("type").alias("sssc_type")))
+    base = features(turns_of(spark, sf_dir), partitions).crossJoin(manifest(spark)).crossJoin(C.catalogue(spark).select(F.col("id").alias("sssc_id"), F.col("type").alias("sssc_type")))
     conv, cid, run, users = F.col("conv_id"), F.col("sssc_id"), F.col("run_id"), F.col("users")
     drawn = F.slice(F.array_sort(F.transform(users, lambda i: F.struct(draw("rep", conv, cid, i).alias("d"), i.alias("i")))), F.lit(1), F.least(F.col("repeat"), F.size(users)))
     n = F.size(users)
