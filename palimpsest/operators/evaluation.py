@@ -72,7 +72,7 @@ def features(turns: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 #: Bytes of conversations to a bucket of facts; the number of buckets follows from the input.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 2 << 20
 #: Bytes of conversations to a task that makes facts; a bucket's facts are hundreds of times their contexts' places.
 MADE_BYTES = 1 << 20
 _STORED: dict[tuple, tuple[str, str, list[str]]] = {}

@@ -181,10 +181,12 @@ def contrasts(facts: DataFrame, replicates: int = 5000) -> DataFrame:
 def stability_pairs(facts: DataFrame) -> DataFrame:
     """Each case at the top position against each other position: known to both, equal, deviation."""
     rows = facts.filter("repeat = 1 and explicit and hard").withColumn("retained", F.col("retention"))
-    long = rows.unpivot(["compactor", "position", *PAIR], [*CASES, "retained"], "metric", "verdict")
-    keys = ["compactor", "metric", *PAIR]
-    wide = long.groupBy(*keys).pivot("position", ["top", "middle", "bottom"]).agg(F.max(F.col("verdict").cast("int")))
-    other = wide.unpivot([*keys, "top"], ["middle", "bottom"], "comparison", "value")
+    metrics, places = (*CASES, "retained"), ("top", "middle", "bottom")
+    at = lambda m, p: F.max(F.when(F.col("position") == p, F.col(m).cast("int")))
+    # one row a compactor and pair, in the buckets where facts lie; metrics and comparisons are spread after that
+    wide = rows.groupBy("compactor", *PAIR).agg(*[F.struct(*[at(m, p).alias(p) for p in places]).alias(m) for m in metrics])
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m)["top"].alias("top"), F.lit(p).alias("comparison"), F.col(m)[p].alias("value")) for m in metrics for p in places[1:]]))
+    other = wide.select("compactor", *PAIR, cells.alias("c")).select("compactor", "c.metric", *PAIR, "c.top", "c.comparison", "c.value")
     return other.withColumn("comparable", F.col("top").isNotNull() & F.col("value").isNotNull()).withColumn("abs_deviation", F.abs(F.col("top") - F.col("value")))
 
 
