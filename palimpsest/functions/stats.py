@@ -165,8 +165,14 @@ def binomial_tables(cases: DataFrame, keys: Sequence[str]) -> DataFrame:
     return summed.groupBy(*keys).agg(F.min("__k").alias("low"), F.array_sort(F.collect_list("c")).alias("cdf"))
 
 
-def _below(values: Column, least: Column) -> Column:
-    return F.size(F.filter(values, lambda v: v < least))
+def binomial_quantiles(size: int, p: float, draws: np.ndarray) -> np.ndarray:
+    """The successes of ``size`` tries at each draw of the inverse distribution, by the terms of ``binomial_tables``."""
+    reach = 7 * np.sqrt(size * p * (1 - p)) + 9
+    low, high = max(0, int(np.floor(size * p - reach))), min(size, int(np.ceil(size * p + reach)))
+    k = np.arange(low + 1, high + 1)
+    logs = np.concatenate([[0.0], np.cumsum(np.log((size - k + 1) / k) + np.log(p / (1 - p)))])
+    summed = np.cumsum(np.exp(logs - logs.max()))
+    return low + np.searchsorted(summed / summed[-1], draws)
 
 
 def resampled_means(sizes: DataFrame, keys: Sequence[str], values: Sequence[float], replicates: int, seed: str) -> DataFrame:
@@ -176,25 +182,33 @@ def resampled_means(sizes: DataFrame, keys: Sequence[str], values: Sequence[floa
     gives multinomial counts of the values; they are drawn as such, one binomial after the
     other by its inverse distribution, so no replicate visits the rows.  Where replicates
     have different numbers left to draw, each draws for the least of them and for its own
-    rest apart, which is the same in distribution and needs small tables only.
+    rest apart, which is the same in distribution and needs small tables only.  A task
+    holds a group's replicates and one distribution at a time, whatever the group's rows.
     """
-    keys = list(keys)
-    rows = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("left", F.col("n")).withColumn("total", F.lit(0.0))
-    rest = F.col("n")
-    for i, value in enumerate(values[:-1]):
-        p = F.coalesce(F.col(f"k{i}") / F.nullif(rest, F.lit(0)), F.lit(0.0))
-        rows = rows.withColumn("p", p).withColumn("s1", F.min("left").over(W.partitionBy(*keys))).withColumn("s2", F.col("left") - F.col("s1"))
-        cases = rows.select(*keys, F.explode(F.array("s1", "s2")).alias("size"), "p").filter("p > 0 and p < 1 and size > 0").distinct()
-        tables = binomial_tables(cases, [*keys, "size"])
-        count = F.lit(0)
-        for part in (1, 2):
-            named = tables.select(*keys, F.col("size").alias(f"s{part}"), F.col("low").alias(f"low{part}"), F.col("cdf").alias(f"cdf{part}"))
-            rows = rows.withColumn(f"u{part}", draw(seed, *[F.col(c) for c in keys], F.col("replicate"), i, part)).join(named, [*keys, f"s{part}"], "left")
-            count = count + F.coalesce(F.col(f"low{part}") + _below(F.col(f"cdf{part}"), F.col(f"u{part}")), F.lit(0))
-        drawn = F.when(F.col("p") <= 0, F.lit(0)).when(F.col("p") >= 1, F.col("left")).otherwise(count)
-        rows = rows.withColumn("c", drawn).withColumn("total", F.col("total") + F.col("c") * F.lit(float(value))).withColumn("left", F.col("left") - F.col("c")).select(*sizes.columns, "replicate", "left", "total")
-        rest = rest - F.col(f"k{i}")
-    return rows.select(*keys, "replicate", ((F.col("total") + F.col("left") * F.lit(float(values[-1]))) / F.col("n")).alias("m"))
+    keys, last = list(keys), len(values) - 1
+    rows = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    draws = {f"u{i}_{part}": draw(seed, *[F.col(c) for c in keys], F.col("replicate"), i, part) for i in range(last) for part in (1, 2)}
+    schema = StructType([*[sizes.schema[k] for k in keys], StructField("replicate", IntegerType()), StructField("m", DoubleType())])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["n"].iloc[0])
+        rest, left, total = n, np.full(len(pdf), n), np.zeros(len(pdf))
+        for i, value in enumerate(values[:-1]):
+            k, got = int(pdf[f"k{i}"].iloc[0]), np.zeros(len(pdf), np.int64)
+            if rest and k >= rest:
+                got = left.copy()
+            elif rest and k > 0:
+                least = int(left.min())
+                got += binomial_quantiles(least, k / rest, pdf[f"u{i}_1"].to_numpy())
+                more = left - least
+                order = np.argsort(more, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(more[order])) + 1):
+                    if more[at[0]] > 0:
+                        got[at] += binomial_quantiles(int(more[at[0]]), k / rest, pdf[f"u{i}_2"].to_numpy()[at])
+            total, left, rest = total + got * float(value), left - got, rest - k
+        return pdf[keys].assign(replicate=pdf["replicate"], m=(total + left * float(values[-1])) / n if n else np.nan)
+
+    return rows.withColumns(draws).groupBy(*keys).applyInPandas(solve, schema)
 
 
 def value_counts(value: Column, values: Sequence[float]) -> list[Column]:
