@@ -101,14 +101,23 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def nearest_among(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k rows of ``b`` nearest to each of ``a``, itself left out; ``b`` is sorted by id."""
+    """The k rows of ``b`` nearest to each of ``a``, itself left out; ``b`` is sorted by id.
+
+    Only rows that can be among the k by their rounded scores are rounded and sorted.
+    """
     x, y, parts = np.stack(a["v"]).astype(float), np.stack(b["v"]).astype(float), []
+    others, k = b["id"].to_numpy(), min(k, len(b))
     for at in range(0, len(a), 512):
         ids = a["id"].to_numpy()[at : at + 512]
-        scores = np.round(x[at : at + 512] @ y.T, 9)
-        scores[ids[:, None] == b["id"].to_numpy()[None]] = -np.inf
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        parts.append(pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "neighbour_id": b["id"].to_numpy()[best.ravel()], "similarity": np.take_along_axis(scores, best, 1).ravel()}))
+        scores = x[at : at + 512] @ y.T
+        scores[np.isnan(scores) | (ids[:, None] == others[None])] = -np.inf
+        least = np.partition(scores, len(b) - k, axis=1)[:, len(b) - k]
+        row, col = np.nonzero(scores >= least[:, None] - 2e-9)  # rounding moves a score by 5e-10 at most
+        rounded = np.round(scores[row, col], 9)
+        order = np.lexsort((col, -rounded, row))
+        row, col, rounded = row[order], col[order], rounded[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        parts.append(pd.DataFrame({"query_id": ids[row[best]], "neighbour_id": others[col[best]], "similarity": rounded[best]}))
     out = pd.concat(parts)
     return out[np.isfinite(out["similarity"])]
 
