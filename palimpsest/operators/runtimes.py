@@ -28,7 +28,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +39,8 @@ from palimpsest.operators.stitching import byte_bins
 BATCH_ROWS, BATCH_BYTES = 50_000, 190 << 20
 #: Calls of one worker that wait for a server side by side.
 SIDE_BY_SIDE = 8
+#: Talks that a worker holds as objects at once.
+TALKS_TOGETHER = 256
 
 
 @dataclass(frozen=True)
@@ -329,26 +331,26 @@ def with_backoff(call: Callable[[], object], attempts: int = 6, cap: float = 60.
 def generated(df: DataFrame, provider: str, messages: str, id_cols: Sequence[str], partitions: int | None = None, options: dict | None = None) -> DataFrame:
     """``id_cols, output, status, error``: one model for each worker, called by batches.
 
-    A talk that fails is an error row, and only what failed is tried again.
+    A talk that fails is an error row, and only what failed is tried again.  Talks are
+    Python objects by ``TALKS_TOGETHER`` at most, so a worker's memory has that bound.
     ``partitions`` sets how many workers call side by side; ``options`` go to the server.
     """
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in id_cols)
     ids = list(id_cols)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            talks = [[dict(m.asDict() if hasattr(m, "asDict") else m) for m in c] for c in batch[messages]]
-            if not talks:
-                continue
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, TALKS_TOGETHER) for whole in batches for at in range(0, whole.num_rows, TALKS_TOGETHER)):
+            talks = batch.column(messages).to_pylist()
             found = tried(kept_runtime(provider, options), talks)
             if all(isinstance(a, OSError) for a in found):  # the server has gone: reach it, or start it, anew
                 forget_runtime(provider, options)
                 found = tried(kept_runtime(provider, options), talks)
             rows = [(None, "error", str(a)) if isinstance(a, Exception) else (a.said, "success", None) for a in found]
-            yield pd.concat([batch[ids].reset_index(drop=True), pd.DataFrame(rows, columns=["output", "status", "error"])], axis=1)
+            columns = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ids], *columns], [*ids, "output", "status", "error"])
 
     spread = df if partitions is None else df.repartition(partitions, *ids)
-    return spread.select(*ids, messages).mapInPandas(run, f"{fields}, output string, status string, error string")
+    return spread.select(*ids, messages).mapInArrow(run, f"{fields}, output string, status string, error string")
 
 
 def seeded(seed: int | None = None) -> random.Random:
