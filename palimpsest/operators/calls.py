@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators.common import beside, checkpointed
 from palimpsest.operators.runtimes import generated
 from palimpsest.sources.writers import complete, file_system
 
@@ -69,14 +70,18 @@ class CallStore(PartedLog):
         best = F.max_by(F.struct(*fields), F.struct(F.col("status") == "success", "attempt")).alias("best")
         return self.read().groupBy("call_key").agg(best, F.max("attempt").alias("attempt")).select("call_key", "best.*", "attempt")
 
-    def answered(self, asked: DataFrame, provider: str, messages: str, id_cols: Sequence[str], model: str | None = None, options: dict | None = None, again: Column | None = None, partitions: int | None = None) -> DataFrame:
+    def answered(self, asked: DataFrame, provider: str, messages: str, id_cols: Sequence[str], model: str | None = None, options: dict | None = None, again: Column | None = None, partitions: int | None = None, unique: Sequence[str] | None = None) -> DataFrame:
         """``id_cols, output, status, error``: what the store knows is not asked, the rest once for each distinct talk.
 
         ``model`` names what answers, where the provider is only the way to it.  ``again``
         marks rows whose good answer is of no use, such as one that cannot be read: their
-        calls are made anew, and the new answer counts.
+        calls are made anew, and the new answer counts.  ``unique``: columns of ``id_cols``
+        that name a row; then talks are sent from where they are made, and only their names
+        are shuffled.
         """
         name = model or provider
+        if unique:
+            return self._answered_in_place(asked, provider, messages, id_cols, name, options, again, partitions, unique)
         keyed = asked.withColumn("call_key", call_key(name, options, F.col(messages))).withColumn("__again", F.lit(False) if again is None else again)
         known = self.latest().select("call_key", F.col("attempt").alias("__before"), (F.col("status") == "success").alias("__good"))
         # equal talks are put together before they are sent
@@ -85,3 +90,18 @@ class CallStore(PartedLog):
         made = generated(open_calls.withColumn("attempt", F.coalesce("__before", F.lit(0)) + 1), provider, messages, ["call_key", "attempt"], partitions, options=options)
         self.append(made.withColumn("model", F.lit(name)))
         return keyed.select(*id_cols, "call_key").join(self.latest().select("call_key", "output", "status", "error"), "call_key", "left").drop("call_key")
+
+    def _answered_in_place(self, asked: DataFrame, provider: str, messages: str, id_cols: Sequence[str], name: str, options: dict | None, again: Column | None, partitions: int | None, unique: Sequence[str]) -> DataFrame:
+        keyed = asked.select(*id_cols, call_key(name, options, F.col(messages)).alias("call_key"), (F.lit(False) if again is None else again).alias("__again"))
+        keyed = checkpointed(keyed)  # names of talks
+        known = self.latest().select("call_key", F.col("attempt").alias("__before"), (F.col("status") == "success").alias("__good"))
+        # of equal talks the first row sends its own
+        senders = keyed.groupBy("call_key").agg(F.min(F.struct(*unique)).alias("__row"), F.max("__again").alias("__again"))
+        if self.parts():
+            senders = senders.join(known, "call_key", "left").filter("__again or not coalesce(__good, false)").withColumn("attempt", F.coalesce("__before", F.lit(0)) + 1)
+        else:
+            senders = senders.withColumn("attempt", F.lit(1))
+        open_calls = beside(asked.select(*unique, messages), senders.select("__row.*", "call_key", "attempt"), unique, "__sends").filter("__sends is not null")
+        made = generated(open_calls.select("__sends.*", messages), provider, messages, ["call_key", "attempt"], partitions, options=options)
+        self.append(made.withColumn("model", F.lit(name)))
+        return keyed.select(*id_cols, "call_key").join(self.latest().select("call_key", "output", "status", "error"), "call_key", "left").drop("call_key")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +78,19 @@ def stored_in_buckets(df: DataFrame, keys: Sequence[str], buckets: int, *partiti
     return path, name
 
 
+def beside(wide: DataFrame, narrow: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """``wide`` with the struct ``name`` of the one ``narrow`` row of its keys, or null.
+
+    The join is on the first key alone, for which few narrow rows are listed (what a run
+    knows of one context), so wide rows that lie by it are not shuffled.
+    """
+    first, *rest = keys
+    others = [c for c in narrow.columns if c != first]
+    listed = narrow.groupBy(first).agg(F.collect_list(F.struct(*others)).alias("__listed"))
+    same = lambda x: reduce(lambda a, b: a & b, [x[k] == F.col(k) for k in rest], F.lit(True))
+    return wide.join(listed, first, "left").withColumn(name, F.get(F.filter("__listed", same), F.lit(0))).drop("__listed")
+
+
 def row_index(df: DataFrame, order: Sequence[str], name: str = "source_row_index") -> DataFrame:
     """Adds 0, 1, 2, ... in the given order, without gathering the rows in one task.
 

@@ -21,7 +21,9 @@ CASES = ("full_with_sssc", "full_without_sssc", "compacted", "compacted_post_sss
 
 def pairs(spark: SparkSession, dataset: DataFrame, position: str = "top", repeat: int = 1, explicit: bool = True, hard: bool = True) -> DataFrame:
     """Every context with every constraint: wrapped text, injected context, probe and letter."""
-    crossed = dataset.select("source_row_index", "messages").crossJoin(C.catalogue(spark).withColumnRenamed("id", "sssc_id"))
+    # contexts are small and their pairs are not: they are dealt before they are crossed, and stay by their row
+    dealt = dataset.select("source_row_index", "messages").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source_row_index")
+    crossed = dealt.crossJoin(C.catalogue(spark).withColumnRenamed("id", "sssc_id"))
     wrapped = C.framed(F.col("sssc"), F.lit(explicit), F.lit(hard))
     row, cid = F.col("source_row_index"), F.col("sssc_id")
     probe = C.choice_probe(F.col("probe"), F.col("correct_answer"), F.col("incorrect_answer"), draw("swap", row, cid) < 0.5)
