@@ -15,7 +15,9 @@ from palimpsest.operators.common import ordered_fold, row_index
 
 #: A stitched row may exceed its target by this factor before its tail is cropped.
 SLACK = 0.8
-BLOCK_ROWS, MAX_BLOCKS = 4096, 1024
+BLOCK_ROWS = 4096
+#: Rows of a block that is scored at once by the greedy stitching, and seeds that are looked at ahead of their turn.
+SCORED_ROWS, MOST_GUESSED = 1024, 256
 
 
 def trimmed_rows(context: DataFrame, target: int, key: str = "conv_id", num_rows: int | None = None) -> DataFrame:
@@ -154,46 +156,54 @@ def nearest_to_seed(vectors: DataFrame) -> DataFrame:
 
 
 class FreeRows:
-    """Unused rows in blocks around pivots; the nearest is exact.
+    """Unused rows, and the nearest of them to many centres at once.
 
-    All scores of a block with pivot p and radius r lie below ``p.c + r |c|``, so blocks
-    are read best bound first, until none can hold a better row or an equal earlier one.
+    A block of rows is scored against all centres in one product of single precision;
+    rows that can be a centre's best, by that product's error, are scored once more in
+    double precision, so the nearest is exact.  Used rows are packed away by ``pack``.
     """
 
     def __init__(self, vectors: np.ndarray):
-        n = len(vectors)
-        self.pivots = vectors[np.linspace(0, n - 1, max(1, min(MAX_BLOCKS, round(n**0.5 / 2)))).astype(int)]
-        self.free, self.radius, norms = np.ones(n, bool), np.zeros(len(self.pivots)), (self.pivots**2).sum(1)
-        near = np.concatenate([(norms - 2 * vectors[at : at + BLOCK_ROWS] @ self.pivots.T).argmin(1) for at in range(0, n, BLOCK_ROWS)])
-        self.rows = np.split(np.argsort(near, kind="stable"), np.cumsum(np.bincount(near, minlength=len(self.pivots)))[:-1])
-        self.parts = [vectors[r] for r in self.rows]
-        for i, (part, pivot) in enumerate(zip(self.parts, self.pivots, strict=True)):
-            self.radius[i] = np.sqrt(((part - pivot) ** 2).sum(1)).max(initial=0.0)
-        self.block, self.used = near, np.zeros(len(self.pivots), int)
-
-    def nearest(self, centre: np.ndarray) -> int:
-        most = self.pivots @ centre + self.radius * np.linalg.norm(centre)
-        best, score = -1, -np.inf
-        for b in np.argsort(-most):
-            if most[b] < score - 1e-8:
-                break
-            open_rows = self.free[self.rows[b]]
-            if not open_rows.any():
-                continue
-            scores = np.where(open_rows, np.round(self.parts[b] @ centre, 9), -np.inf)
-            at = int(scores.argmax())
-            row = int(self.rows[b][at])
-            if best < 0 or scores[at] > score or (scores[at] == score and row < best):
-                best, score = row, scores[at]
-        return best
-
-    def settle(self, taken: list[int]) -> None:
-        """Rows that stay used; a block is packed when half of it is."""
-        np.add.at(self.used, self.block[taken], 1)
-        for b in np.unique(self.block[taken]):
-            if 2 * self.used[b] > len(self.rows[b]):
-                keep = self.free[self.rows[b]]
-                self.rows[b], self.parts[b], self.used[b] = self.rows[b][keep], self.parts[b][keep], 0
+        self.vectors, self.free, self.left = vectors, np.ones(len(vectors), bool), len(vectors)
+        self.error = 4 * (vectors.shape[1] + 4) * float(np.finfo(np.float32).eps)  # of two scores' difference, for lengths of at most 1
+        self.rows, self.single = np.arange(len(vectors)), vectors.astype(np.float32)
+
+    def take(self, row: int) -> None:
+        self.free[row], self.left = False, self.left - 1
+
+    def put_back(self, row: int) -> None:
+        self.free[row], self.left = True, self.left + 1
+
+    def pack(self) -> None:
+        keep = self.free[self.rows]
+        self.rows, self.single = self.rows[keep], self.single[keep]
+
+    def nearest(self, centres: np.ndarray, without: list[list[int]]) -> list[int]:
+        """Each centre's nearest free row that is not in its list, or -1: best rounded score, then smallest row."""
+        used = np.flatnonzero(~self.free[self.rows])
+        owner = np.repeat(np.arange(len(without)), [len(w) for w in without])
+        barred = np.concatenate([np.asarray(w, np.int64) for w in without])
+        place = np.searchsorted(self.rows, barred)
+        there = np.append(self.rows, -1)[place] == barred
+        order = np.argsort(place[there], kind="stable")
+        place, owner = place[there][order], owner[there][order]
+        single, starts = centres.astype(np.float32), np.arange(0, len(self.rows), SCORED_ROWS)
+        most = np.full((len(centres), len(starts)), -np.inf, np.float32)
+        gone, own = (np.searchsorted(x, np.append(starts, len(self.rows))) for x in (used, place))
+        for i, at in enumerate(starts):
+            scores = single @ self.single[at : at + SCORED_ROWS].T
+            scores[:, used[gone[i] : gone[i + 1]] - at] = -np.inf
+            scores[owner[own[i] : own[i + 1]], place[own[i] : own[i + 1]] - at] = -np.inf
+            most[:, i] = scores.max(1)
+        found, least = [], most.max(1, initial=-np.inf) - np.float32(self.error)
+        for c, barred_rows in enumerate(without):
+            rows = []
+            for at in starts[most[c] >= least[c]] if np.isfinite(least[c]) else ():
+                close = np.flatnonzero(self.single[at : at + SCORED_ROWS] @ single[c] >= least[c] - self.error)
+                rows += [r for r in self.rows[at + close].tolist() if self.free[r] and r not in barred_rows]
+            scores = np.round(self.vectors[rows] @ centres[c], 9) if rows else np.empty(0)
+            found.append(rows[int(scores.argmax())] if rows else -1)  # rows ascend
+        return found
 
 
 class Unfilled(ValueError):
@@ -203,6 +213,8 @@ class Unfilled(ValueError):
 def cohesive_pool(ids: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, target: int, later: np.ndarray | None = None, rows: int | None = None) -> list[tuple[list[int], int]]:
     """Greedy rows of one pool: seeds in id order, then the nearest unused to the centroid.
 
+    The next seeds' rows are guessed together, each as if it came next; a row taken by an
+    earlier seed meanwhile ends a guess, and the steps from there are made one by one.
     ``later``: lengths of rows that do not come first, without their leading system
     message.  Past ``target / SLACK`` the latest rows are put back, never the seed.  With
     ``rows``, so many are made, and it is an error if the pool cannot fill them; without,
@@ -214,27 +226,53 @@ def cohesive_pool(ids: np.ndarray, vectors: np.ndarray, lengths: np.ndarray, tar
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     vectors = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
     index, out, seed, most = FreeRows(vectors), [], 0, int(target / SLACK)
-    free = index.free
-    while free.any() if rows is None else len(out) < rows:
+    free, guessed, batch, wrong, used = index.free, {}, 1, 0, 0
+
+    def centre(taken: list[int]) -> np.ndarray:
+        mean = vectors[taken].mean(0)
+        return mean / max(np.linalg.norm(mean), 1e-12)
+
+    def guesses(seeds: list[int]) -> dict[int, list[int]]:
+        """What each seed would take if it came next."""
+        chains = {s: [s] for s in seeds}
+        totals = {s: int(lengths[s]) for s in seeds}
+        while open_seeds := [s for s, total in totals.items() if total < target]:
+            for s, row in zip(open_seeds, index.nearest(np.stack([centre(chains[s]) for s in open_seeds]), [chains[s] for s in open_seeds]), strict=True):
+                if row < 0:
+                    del totals[s]
+                else:
+                    chains[s].append(row)
+                    totals[s] += int(later[row])
+        return {s: chain[1:] for s, chain in chains.items()}
+
+    while index.left if rows is None else len(out) < rows:
         while seed < len(free) and not free[seed]:
             seed += 1
         if seed == len(free):
             raise Unfilled(f"{len(out)} of {rows} rows were made before the pool was used up")
-        taken, total = [seed], int(lengths[seed])
-        free[seed] = False
-        while total < target and free.any():
-            centre = vectors[taken].mean(0)
-            taken.append(index.nearest(centre / max(np.linalg.norm(centre), 1e-12)))
-            free[taken[-1]] = False
+        if seed not in guessed:
+            batch = max(1, batch // 2) if 4 * wrong > used else min(MOST_GUESSED, 2 * batch) if 8 * wrong <= used else batch
+            index.pack()
+            seeds = index.rows[: batch if rows is None else min(batch, rows - len(out))].tolist()
+            guessed, wrong, used = guesses(seeds) if len(seeds) > 1 else {seed: []}, 0, 0
+        # a guessed row that is still free is the nearest of what is free now
+        taken, total, guess = [seed], int(lengths[seed]), guessed[seed][::-1]
+        hoped = bool(guess)
+        index.take(seed)
+        while total < target and index.left:
+            if guess and not free[guess[-1]]:
+                guess, wrong = [], wrong + 1
+            taken.append(guess.pop() if guess else index.nearest(centre(taken)[None], [taken])[0])
+            index.take(taken[-1])
             total += int(later[taken[-1]])
+        used += hoped
         if total < target:
             if rows is None:
                 break
             raise Unfilled(f"the rows left hold {total} of {target} tokens; {len(out)} of {rows} rows were made")
         while len(taken) > 1 and total > most:
             total -= int(later[taken[-1]])
-            free[taken.pop()] = True
-        index.settle(taken)
+            index.put_back(taken.pop())
         out.append((ids[taken].tolist(), total))
     return out
 
