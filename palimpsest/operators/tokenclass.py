@@ -12,6 +12,7 @@ earlier tokens are kept; the weights depend on the rows and ``partitions`` alone
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator, Sequence
@@ -28,16 +29,41 @@ from palimpsest.operators.common import checkpointed
 
 #: Places of the hashed features: 512 KB of weights.
 WIDTH = 1 << 16
+#: Tokens whose features a worker remembers.
+KNOWN_TOKENS = 1 << 16
+
+
+_PLAIN = {**dict.fromkeys(range(ord("0"), ord("9") + 1), "0"), **dict.fromkeys([*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)], "a")}
+
+
+@functools.lru_cache(KNOWN_TOKENS)
+def token_places(token: str) -> tuple[int, int, int, int, int, int, bytes]:
+    """The hashed features a token gives: to itself, to the one after it, to the one before; ending and form.
+
+    The feature of form and earlier token is hashed from the last two: the earlier one's half, then the form.
+    """
+    low = token.lower()
+    plain = token.translate(_PLAIN) if token.isascii() else re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", token))
+    form = re.sub(r"(.)\1+", r"\1", plain).encode()
+    w, p, n, e = (zlib.crc32(f.encode()) % WIDTH for f in (f"w{low}", f"p{low}", f"n{low}", f"e{low[-3:]}"))
+    return w, p, n, e, zlib.crc32(b"f" + form) % WIDTH, zlib.crc32(f"s{low}|".encode()), form
+
+
+#: The hashed place of a token, by the bit length of its number in the text.
+_AT = np.array([zlib.crc32(f"b{b}".encode()) % WIDTH for b in range(64)], np.int64)
 
 
 def places(tokens: Sequence[str]) -> np.ndarray:
     """The hashed features of each token: itself, its neighbours, its form and its place."""
-    low = ["", *(t.lower() for t in tokens), ""]
-    rows = []
-    for i, token in enumerate(tokens):
-        form = re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", re.sub(r"[A-Z]", "A", token))))
-        rows.append([zlib.crc32(f.encode()) % WIDTH for f in (f"w{low[i + 1]}", f"p{low[i]}", f"n{low[i + 2]}", f"e{low[i + 1][-3:]}", f"f{form}", f"b{i.bit_length()}", f"s{low[i]}|{form}")])
-    return np.array(rows, np.int64).reshape(len(rows), 7)
+    if not len(tokens):
+        return np.empty((0, 7), np.int64)
+    known = [token_places(""), *map(token_places, tokens), token_places("")]
+    w, p, n, e, f, half, form = zip(*known, strict=True)
+    after = list(map(zlib.crc32, form[1:-1], half[:-2]))
+    out = np.array([w[1:-1], p[:-2], n[2:], e[1:-1], f[1:-1], f[1:-1], after], np.int64).T
+    out[:, 5] = _AT[np.frexp(np.arange(len(tokens)))[1]]  # the exponent is the bit length
+    out[:, 6] %= WIDTH
+    return out
 
 
 def scores(tokens: Sequence[str], weights: np.ndarray) -> np.ndarray:
@@ -53,23 +79,33 @@ def labelled(df: DataFrame, text: Column, short: Column) -> DataFrame:
 
 def train(rows: DataFrame, epochs: int = 4, partitions: int = 8) -> np.ndarray:
     """Weights from all rows of ``tokens, kept``."""
-    dealt = checkpointed(rows.filter(F.size("tokens") > 0).select("tokens", "kept").repartition(partitions, F.xxhash64("tokens")).sortWithinPartitions("tokens", "kept"))
+    ordered = rows.filter(F.size("tokens") > 0).select("tokens", "kept").repartition(partitions, F.xxhash64("tokens")).sortWithinPartitions("tokens", "kept")
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"places": [places(t).astype(np.uint16).tobytes() for t in batch["tokens"]], "kept": [np.asarray(k, bool).tobytes() for k in batch["kept"]]})
+
+    dealt = checkpointed(ordered.mapInPandas(hashed, "places binary, kept binary"))  # hashed once for all epochs
     weights = np.zeros(WIDTH)
     for _ in range(epochs):
         start = weights
 
         def epoch(batches: Iterator[pd.DataFrame], start: np.ndarray = start) -> Iterator[pd.DataFrame]:
-            now, late, step = start.copy(), np.zeros(WIDTH), 0  # late: each change times the steps before it
+            # single numbers are read and changed faster in lists than in arrays; late: each change times the steps before it
+            now, late, step = start.tolist(), [0.0] * WIDTH, 0
             for batch in batches:
-                for tokens, kept in zip(batch["tokens"], batch["kept"], strict=True):
-                    for at, keep in zip(places(tokens), kept, strict=True):
-                        sign = 1.0 if keep else -1.0
-                        if sign * now[at].sum() <= 0:
-                            np.add.at(now, at, sign)
-                            np.add.at(late, at, sign * step)
+                for hashes, kept in zip(batch["places"], batch["kept"], strict=True):
+                    for at, keep in zip(np.frombuffer(hashes, np.uint16).reshape(-1, 7).tolist(), kept, strict=True):
+                        a, b, c, d, e, f, g = at
+                        score = now[a] + now[b] + now[c] + now[d] + now[e] + now[f] + now[g]
+                        if score <= 0 if keep else score >= 0:
+                            sign = 1.0 if keep else -1.0
+                            for i in at:
+                                now[i] += sign
+                                late[i] += sign * step
                         step += 1
             if step:
-                mean = now - late / step
+                mean = np.array(now) - np.array(late) / step
                 used = np.flatnonzero(mean)
                 yield pd.DataFrame({"place": np.append(used, -1), "total": np.append(mean[used] * step, step)})
 
