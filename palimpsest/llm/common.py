@@ -77,6 +77,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_in_buckets(df: DataFrame, key: str) -> tuple[str, DataFrame]:
+    """The rows as a written table, each in its key's bucket, so that joins on the key leave them there: its name and rows."""
+    spark, name = df.sparkSession, f"palimpsest_{uuid.uuid4().hex}"
+    checkpoint_folder(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name, format="parquet")
+    return name, spark.table(name)
+
+
+def removed(spark: SparkSession, name: str) -> None:
+    """Remove what ``stored_in_buckets`` has written under this name."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 _CACHES: weakref.WeakSet = weakref.WeakSet()
 _OWNER: list[str] = [""]
 

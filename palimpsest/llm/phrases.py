@@ -5,10 +5,15 @@ a gap between pieces of text, and keeps for every word the ascending list of its
 Frequent phrases of k words are lengthened level by level: their lists are merge-joined,
 all at once, with the postings of the word k places further on, where the phrase of the
 last k words is frequent too; the places at which both are found are the longer phrase's
-list, and its length is the exact frequency in the slice.  Slices tell only phrases and list
-lengths (a narrow row for each phrase of a slice); lengths are summed over all slices, and
-a slice gets back which of its lists go on.  Lists themselves stay in their slice's row: those
-that go on are made a second time, so that candidates' lists are never written down.
+list, and its length is the exact frequency in the slice.  Slices tell hashes of candidates
+and list lengths, packed in a row for each part of the hashes: three bytes and one, about, a
+candidate.  Lengths are summed over all slices by hash, and a slice gets back a mark for each
+of its candidates: those whose hash reaches the threshold go on.  A hash never has less than
+a phrase it stands for, so no frequent phrase is lost; the few rare ones that share a hash
+with others are taken out by exact sums of the lengths of spelled phrases, which only those
+that go on have.  Lists themselves stay in their slice's row, and rows in their bucket: those
+that go on are made a second time, so that candidates' lists are never written down, and marks
+are brought to the rows, so that no list is shuffled.
 
 A candidate's score is that of its weakest cut, from exact frequencies in integers of 38
 digits.  A phrase that lies inside a longer candidate of the same frequency is dropped; as
@@ -35,10 +40,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import slices, stored, text_bytes
+from palimpsest.llm.common import removed, slices, stored, stored_in_buckets, text_bytes
 
 #: Word places of a slice, about, and parts into which a language's ranking is dealt first.
 SLICE_PLACES, RANK_PARTS = 1_000_000, 128
+#: Word places of the whole table to a part of the hashes, and different hashes in a part (three bytes).
+PART_PLACES, PART_KEYS = 4_000_000, 1 << 24
 #: Fixed values of the contract: what ends a piece; space and tab part words.
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _TO_MARK = bytes(ord(".") if c in PIECE_ENDS else c for c in range(256))
@@ -159,15 +166,29 @@ def merged(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (right[at] == left if len(right) else np.zeros(len(left), bool)), at
 
 
+def cut(data: np.ndarray, count: np.ndarray) -> pa.Array:
+    """The rows of ``data`` as binary values, each of as many rows as ``count`` says."""
+    ends = np.concatenate([[0], np.cumsum(count)]) * data[:1].nbytes if len(data) else np.zeros(len(count) + 1)
+    return pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def mixed(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """One hash of two."""
+    h = first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.view(np.uint64)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(32)
+
+
 class Slice:
     """A slice's row: its frequent phrases of k words, and the postings of the words that may follow them."""
 
     def __init__(self, batch: pa.RecordBatch, row: int):
         self.id, self.lang, self.places = (batch.column(c)[row].as_py() for c in (0, 1, 2))
-        self.phrases, n, self.words, word_n = (batch.column(c)[row].values for c in (3, 4, 6, 7))
+        self.phrases, n, self.words, word_n, phrase_hash, word_hash = (batch.column(c)[row].values for c in (3, 4, 6, 7, 9, 10))
         lists, word_lists = (unpacked(batch.column(c)[row].as_py()) for c in (5, 8))
         self.n, self.lists = n.to_numpy(), lists
         self.word_n, self.word_lists = word_n.to_numpy(), word_lists
+        self.phrase_hash, self.word_hash = phrase_hash.to_numpy(), word_hash.to_numpy()
 
     def only(self, kept: np.ndarray) -> pa.RecordBatch:
         """The row with the kept lists alone."""
@@ -180,7 +201,7 @@ class Slice:
         place, phrase = chosen_lists(self.n, self.lists, np.arange(len(self.n)))
         self.word_place, self.word = place, phrase
         if k == 1:
-            self.words = self.phrases
+            self.words, self.word_hash = self.phrases, self.phrase_hash
         else:
             self.word_place, self.word = chosen_lists(self.word_n, self.word_lists, np.arange(len(self.word_n)))
         follows, at = merged(place + k, self.word_place)
@@ -191,71 +212,113 @@ class Slice:
         self.first, self.last = np.divmod(pairs, width)
         self.lists, self.n = by_list(number, place[follows], len(pairs))
 
-    def spelled(self, some: np.ndarray) -> pa.Array:
-        return pc.binary_join_element_wise(self.phrases.take(pa.array(self.first[some])), self.words.take(pa.array(self.last[some])), " ")
-
-    def longer(self, k: int, kept: np.ndarray) -> pa.RecordBatch:
-        """The row for k + 1 words: the kept candidates, and the words that may follow them."""
-        kept = np.sort(kept)
+    def dealt(self, k: int, parts: int, keys: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The candidates of k words by part of their hashes, those hashes in that order, and how many a part has."""
+        if k == 1:
+            h = mixed(self.phrase_hash, self.phrase_hash)
+        else:
+            self.candidates(k - 1)
+            h = mixed(self.phrase_hash[self.first], self.word_hash[self.last])
+        rest, key = np.divmod(h, np.uint64(keys))
+        part = (rest % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        return order, key[order].astype(np.uint32), np.bincount(part, minlength=parts)
+
+    def longer(self, k: int, kept: np.ndarray, last: bool) -> pa.RecordBatch:
+        """The row for k + 1 words: the kept candidates, and the words that may follow them; after the ``last`` nothing is merged."""
         number = np.full(len(self.n), False)
         number[kept] = True
+        phrases = pc.binary_join_element_wise(self.phrases.take(pa.array(self.first[kept])), self.words.take(pa.array(self.last[kept])), " ")
+        if last:
+            return _row(self.id, self.lang, self.places, phrases, self.n[kept], np.empty(0, np.int64), *_NONE)
         lists = self.lists[np.repeat(number, self.n)]
         useful, _ = merged(self.word_place, np.unique(lists + k + 1))
         used, renamed = np.unique(self.word[useful], return_inverse=True)
         word_lists, word_n = by_list(renamed, self.word_place[useful], len(used))
-        return _row(self.id, self.lang, self.places, self.spelled(kept), self.n[kept], lists, self.words.take(pa.array(used)), word_n, word_lists)
+        return _row(self.id, self.lang, self.places, phrases, self.n[kept], lists, self.words.take(pa.array(used)), word_n, word_lists)
 
 
-def candidate_counts(state: DataFrame, k: int) -> DataFrame:
-    """``slice, lang, phrase, i, n``: a narrow row for each phrase of k + 1 words of a slice."""
+def _hashed(state: DataFrame) -> DataFrame:
+    return state.withColumns({f"{c}_hash": F.transform(c, lambda x: F.xxhash64(x)) for c in ("phrases", "words")})
+
+
+def hashed_counts(state: DataFrame, k: int, parts: int, least: int) -> DataFrame:
+    """``slice, lang, part, keys, n``: hashes and list lengths (``least`` at most) of a slice's candidates of k words."""
+    wide = np.min_scalar_type(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 own = Slice(batch, row)
-                own.candidates(k)
-                for at in range(0, len(own.n), 50_000):
-                    some = np.arange(at, min(at + 50_000, len(own.n)))
-                    arrays = [pa.array(np.full(len(some), own.id)), pa.repeat(pa.scalar(own.lang), len(some)), own.spelled(some), pa.array(some.astype(np.int32)), pa.array(own.n[some].astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["slice", "lang", "phrase", "i", "n"])
+                order, key, count = own.dealt(k, parts, PART_KEYS)
+                some = np.flatnonzero(count)
+                key = key.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+                arrays = [pa.repeat(pa.scalar(own.id, pa.int64()), len(some)), pa.repeat(pa.scalar(own.lang), len(some)), pa.array(some.astype(np.int32)), cut(key, count[some]), cut(np.minimum(own.n[order], least).astype(wide), count[some])]
+                yield pa.RecordBatch.from_arrays(arrays, ["slice", "lang", "part", "keys", "n"])
+
+    return _hashed(state).mapInArrow(run, "slice long, lang string, part int, keys binary, n binary")
+
+
+def marked(counts: DataFrame, least: int) -> DataFrame:
+    """``slice, part, marks``: a byte for each candidate, 1 where all with its hash come to ``least``; a part without any is left out."""
+    wide = np.min_scalar_type(least)
+
+    def run(rows: pa.Table) -> pa.Table:
+        n = np.frombuffer(b"".join(rows["n"].to_pylist()), wide)
+        data = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.uint8).reshape(-1, 3)
+        key = np.zeros((len(data), 4), np.uint8)
+        key[:, :3] = data
+        key = key.view("<u4").ravel()
+        order = np.argsort(key)
+        new = np.diff(key[order], prepend=-1) != 0
+        enough = np.add.reduceat(n[order], np.flatnonzero(new), dtype=np.int64) >= least
+        marks = np.empty(len(key), np.uint8)
+        marks[order] = enough[np.cumsum(new) - 1]
+        count = pc.binary_length(rows["keys"]).to_numpy() // 3
+        some = pa.array(np.logical_or.reduceat(marks, np.cumsum(count) - count))
+        return pa.table({"slice": rows["slice"], "part": rows["part"], "marks": cut(marks, count)}).filter(some)
 
-    return state.mapInArrow(run, "slice long, lang string, phrase string, i int, n int")
+    return counts.groupBy("lang", "part").applyInArrow(run, "slice long, part int, marks binary")
 
 
-def going_on(state: DataFrame, k: int) -> DataFrame:
-    """A slice's row for k words from the one for k - 1 and the numbers of the lists that go on (``kept``)."""
+def going_on(state: DataFrame, marks: DataFrame, k: int, parts: int, last: bool = False) -> DataFrame:
+    """A slice's row for k words from the one for k - 1 and its candidates' marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                own, kept = Slice(batch, row), batch.column(9)[row].values.to_numpy()
-                if k == 1:
-                    yield own.only(kept)
-                else:
-                    own.candidates(k - 1)
-                    yield own.longer(k - 1, kept)
+                own, told = Slice(batch, row), batch.column(11)[row].values
+                order, _, count = own.dealt(k, parts, PART_KEYS)
+                start, good = np.cumsum(count) - count, np.full(len(order), False)
+                for part, mark in zip(told.field(0).to_pylist(), told.field(1).to_pylist(), strict=True):
+                    good[start[part] : start[part] + count[part]] = np.frombuffer(mark, bool)
+                kept = np.sort(order[good])
+                yield own.only(kept) if k == 1 else own.longer(k - 1, kept, last)
 
-    return state.mapInArrow(run, _STATE)
+    own = marks.groupBy("slice").agg(F.collect_list(F.struct("part", "marks")).alias("marks"))  # a row a part of one slice's hashes
+    joined = _hashed(state.join(own, "slice"))
+    return joined.select(*state.columns, "phrases_hash", "words_hash", "marks").mapInArrow(run, _STATE)
 
 
 def frequent_phrases(df: DataFrame, longest: int, least: int, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``lang, k, phrase, f`` of all phrases of up to ``longest`` words found ``least`` times, and ``lang, n``."""
-    state, levels = stored(word_postings(df, lang_col, text_col)), []
+    (name, state), levels = stored_in_buckets(word_postings(df, lang_col, text_col), "slice"), []
     totals = stored(state.groupBy("lang").agg(F.sum("places").alias("n")))
-    told = state.select("slice", "lang", "n", F.posexplode("phrases").alias("i", "phrase")).select("slice", "lang", "phrase", "i", F.col("n")[F.col("i")].alias("n"))
+    parts = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // PART_PLACES
     for k in range(1, longest + 1):
-        summed = told.withColumn("f", F.sum("n").over(W.partitionBy("lang", "phrase")))  # a narrow row a slice
-        found = stored(summed.filter(F.col("f") >= least).select("slice", "lang", "phrase", "i", "f"))
-        levels.append(found.groupBy("lang", "phrase").agg(F.first("f").alias("f")).select("lang", F.lit(k).alias("k"), "phrase", "f"))
-        if k == longest or found.isEmpty():
+        marks, before = marked(hashed_counts(state, k, parts, least), least), name
+        name, state = stored_in_buckets(going_on(state, marks, k, parts, k == longest), "slice")
+        removed(df.sparkSession, before)
+        spelled = state.select("lang", F.explode(F.arrays_zip("phrases", "n")).alias("own")).groupBy("lang", F.col("own.phrases").alias("phrase"))
+        found = stored(spelled.agg(F.sum("own.n").alias("f")).filter(F.col("f") >= least).select("lang", F.lit(k).alias("k"), "phrase", "f"))
+        levels.append(found)
+        if found.isEmpty():
             break
-        kept = found.groupBy("slice").agg(F.collect_list("i").alias("kept"))  # numbers of one slice's lists
-        state = stored(going_on(state.join(kept, "slice").select(*state.columns, "kept"), k))
-        told = candidate_counts(state, k)
+    removed(df.sparkSession, name)
     every = levels[0]
     for level in levels[1:]:
         every = every.unionByName(level)
-    return stored(every), totals
+    return every, totals
 
 
 def _part(start: Column | int, count: Column | int) -> Column:

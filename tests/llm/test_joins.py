@@ -109,6 +109,39 @@ def test_phrases_are_brute_force(spark, monkeypatch, places):
         assert sorted(map(tuple, got.collect())) == brute_phrases(phrase_rows(), longest, least, top)
 
 
+@pytest.mark.parametrize(("keys", "least"), [(1, 3), (5, 3), (1 << 24, 3), (1 << 24, 300)])
+def test_phrases_whose_hashes_meet_are_brute_force(spark, monkeypatch, keys, least):
+    """Few different hashes in many parts let rare phrases through, which exact sums take out; lengths may pass a byte."""
+    for name, value in (("SLICE_PLACES", 50), ("PART_PLACES", 400), ("PART_KEYS", keys)):
+        monkeypatch.setattr(phrases, name, value)
+    rows = [*phrase_rows(), (12, "de", "so so far " * 350), (13, "de", "so far off, " * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    tables = len(spark.catalog.listTables())
+    got = phrases.collocations(df, 4, least, 50)
+    assert sorted(map(tuple, got.collect())) == brute_phrases(rows, 4, least, 50)
+    assert phrases.collocations(df.limit(0), 4, least, 50).collect() == []
+    assert len(spark.catalog.listTables()) == tables
+
+
+def test_rare_phrases_of_frequent_words_shuffle_few_bytes(spark, tmp_path, monkeypatch):
+    """Most pairs of frequent words are rare: each takes some bytes in a slice, not a spelled row; place lists stay where they are."""
+    monkeypatch.setattr(phrases, "SLICE_PLACES", 20_000)
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"frequent{w}" for w in rng.integers(0, 150, 1000)) for _ in range(80)]
+    spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = shuffled()
+    every = phrases.frequent_phrases(df, 2, 100)[0].collect()
+    assert sorted({r.k for r in every}) == [1] and len(every) == 150
+    assert shuffled() - before < 6 * 80_000  # bytes a word
+
+
 def test_places_round_trip():
     rng = np.random.default_rng(2)
     for most in (2, 200, 10**5, 2**31 - 1):
