@@ -11,7 +11,7 @@ candidate.  Lengths are summed over all slices by hash, and a slice gets back a
 of its candidates: those whose hash reaches the threshold go on.  A hash never has less than
 a phrase it stands for, so no frequent phrase is lost; the few rare ones that share a hash
 with others are taken out by exact sums of the lengths of spelled phrases, which only those
-that go on have.  Lists themselves stay in their slice's row, and rows in their bucket: those
+that go on have, in a row for each part too.  Lists themselves stay in their slice's row, and rows in their bucket: those
 that go on are made a second time, so that candidates' lists are never written down, and marks
 are brought to the rows, so that no list is shuffled.
 
@@ -300,6 +300,34 @@ def going_on(state: DataFrame, marks: DataFrame, k: int, parts: int, last: bool
     return joined.select(*state.columns, "phrases_hash", "words_hash", "marks").mapInArrow(run, _STATE)
 
 
+def spelled_counts(state: DataFrame, parts: int) -> DataFrame:
+    """``lang, part, phrases, n``: a slice's phrases by part of their hashes, with their list lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                phrases, n, h = (batch.column(c)[row].values for c in (1, 2, 3))
+                part = (h.to_numpy().view(np.uint64) % np.uint64(parts)).astype(np.int64)
+                order, count = pa.array(np.argsort(part, kind="stable")), np.bincount(part, minlength=parts)
+                some = np.flatnonzero(count)
+                ends = pa.array(np.concatenate([[0], np.cumsum(count[some])]), pa.int32())
+                arrays = [pa.repeat(batch.column(0)[row], len(some)), pa.array(some.astype(np.int32)), *(pa.ListArray.from_arrays(ends, x.take(order)) for x in (phrases, n))]
+                yield pa.RecordBatch.from_arrays(arrays, ["lang", "part", "phrases", "n"])
+
+    return _hashed(state).select("lang", "phrases", "n", "phrases_hash").mapInArrow(run, "lang string, part int, phrases array<string>, n array<int>")
+
+
+def summed(spelled: DataFrame, k: int, least: int) -> DataFrame:
+    """``lang, k, phrase, f``: phrases found ``least`` times over all slices."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        told = pa.table({"phrase": pc.list_flatten(rows["phrases"]), "n": pc.list_flatten(rows["n"]).cast(pa.int64())})
+        f = told.group_by("phrase", use_threads=False).aggregate([("n", "sum")]).filter(pc.field("n_sum") >= least)
+        return pa.table({"lang": pa.repeat(rows["lang"][0], len(f)), "k": pa.repeat(pa.scalar(k, pa.int32()), len(f)), "phrase": f["phrase"], "f": f["n_sum"]})
+
+    return spelled.groupBy("lang", "part").applyInArrow(run, "lang string, k int, phrase string, f long")
+
+
 def frequent_phrases(df: DataFrame, longest: int, least: int, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``lang, k, phrase, f`` of all phrases of up to ``longest`` words found ``least`` times, and ``lang, n``."""
     (name, state), levels = stored_in_buckets(word_postings(df, lang_col, text_col), "slice"), []
@@ -309,8 +337,7 @@ def frequent_phrases(df: DataFrame, longest: int, least: int, lang_col: str = "l
         marks, before = marked(hashed_counts(state, k, parts, least), least), name
         name, state = stored_in_buckets(going_on(state, marks, k, parts, k == longest), "slice")
         removed(df.sparkSession, before)
-        spelled = state.select("lang", F.explode(F.arrays_zip("phrases", "n")).alias("own")).groupBy("lang", F.col("own.phrases").alias("phrase"))
-        found = stored(spelled.agg(F.sum("own.n").alias("f")).filter(F.col("f") >= least).select("lang", F.lit(k).alias("k"), "phrase", "f"))
+        found = stored(summed(spelled_counts(state, parts), k, least))
         levels.append(found)
         if found.isEmpty():
             break
