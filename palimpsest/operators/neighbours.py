@@ -7,6 +7,11 @@ first k neighbours, drops the used ones by an anti-join, and goes on with twice
 those seeds alone that found none; seeds whose whole list is used meet the unused rows
 themselves, so every answer is exact.
 
+Vectors are compared in packed blocks that lie in stored files.  A task keeps the lists of a
+few blocks of queries while it reads the other blocks one after another, so no vector is
+copied or shuffled for a comparison, and what is written grows with the rows, not with
+their pairs.
+
 Defined results: null vectors and vectors with a null or non-finite component take no part;
 ties go to the smaller id; a row is not its own neighbour; a seed for which no row is left
 has none; seeds that are in no table are left out.
@@ -14,20 +19,22 @@ has none; seeds that are in no table are left out.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.operators.common import checkpointed
-from palimpsest.operators.stitching import BLOCK_ROWS, nearest_among
 from palimpsest.sources.snapshots import SnapshotTable
 
 FOUND = "query_id long, neighbour_id long, similarity double"
 LISTS = ("query_id", "rank", "neighbour_id", "similarity")
+#: Rows of a block, queries scored at once, tasks of a comparison (where there are as many pairs of blocks), and query blocks of a task at most.
+BLOCK_ROWS, SCORED_ROWS, TASKS, TASK_BLOCKS = 2048, 512, 32, 8
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -43,25 +50,97 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select(*LISTS)
 
 
-def nearest_of(queries: DataFrame, data: DataFrame, k: int, n_queries: int, n_data: int) -> DataFrame:
-    """``query_id, rank, neighbour_id, similarity``: for ``id, v`` rows, the k nearest rows of another table.
-
-    Both sides are dealt to blocks of bounded size, and a task compares one block with one.
-    The side with fewer blocks is the one that travels most: each row goes once to every
-    block of the other.  A task returns k candidates a query.
+def packed(rows: DataFrame, n: int) -> DataFrame:
+    """``block, ids, v``: ``n`` rows ``id, v`` as blocks of bounded size, with their ids and doubles as binaries."""
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        if pc.count_distinct(pa.chunked_array([pc.list_value_length(p.column(1)) for p in parts])).as_py() > 1:
+            raise ValueError("vectors of one length are compared")
+        ids, v = (b"".join(x.to_numpy(zero_copy_only=False).tobytes() for x in c) for c in ([p.column(0) for p in parts], [p.column(1).flatten() for p in parts]))
+        return pa.RecordBatch.from_arrays([pa.array([ids], pa.binary()), pa.array([v], pa.binary())], ["ids", "v"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                parts.append(batch.slice(at, BLOCK_ROWS))
+                if sum(p.num_rows for p in parts) >= 2 * BLOCK_ROWS:  # a partition is one block, unless an id repeats
+                    yield joined(parts)
+                    parts = []
+        if parts:
+            yield joined(parts)
+
+    blocks = rows.select("id", "v").repartition(max(1, -(-n // BLOCK_ROWS)), "id").mapInArrow(pack, "ids binary, v binary")
+    return checkpointed(blocks.select(F.monotonically_increasing_id().alias("block"), "ids", "v"))
+
+
+class Nearest:
+    """The k rows nearest to each query of a block, among the rows it has met; scores that are not finite count for nothing."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.near, self.similarity = np.full((len(ids), k), np.iinfo(np.int64).max), np.full((len(ids), k), -np.inf)
+
+    def meet(self, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> None:
+        """``x``: the queries' vectors; ``others, y``: a block of rows."""
+        shared = np.flatnonzero(np.isin(others, self.ids))
+        for at in range(0, len(x), SCORED_ROWS):
+            ids, least = self.ids[at : at + SCORED_ROWS], self.similarity[at : at + SCORED_ROWS, -1]
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = x[at : at + SCORED_ROWS] @ y.T
+            row, col = np.nonzero(ids[:, None] == others[shared])
+            scores[row, shared[col]] = -np.inf
+            if len(others) > self.k and np.isneginf(least).any():
+                scores[~np.isfinite(scores)] = -np.inf
+                least = np.maximum(least, np.partition(scores, len(others) - self.k, axis=1)[:, len(others) - self.k])
+            row, col = np.divmod(np.flatnonzero(scores >= least[:, None] - 2e-9), len(others))  # rounding moves a score by 5e-10 at most
+            score = scores[row, col]
+            sound = np.isfinite(score)
+            self._take(row[sound] + at, others[col[sound]], np.round(score[sound], 9))
+
+    def _take(self, row: np.ndarray, near: np.ndarray, score: np.ndarray) -> None:
+        worst = self.similarity[row, -1]
+        better = (score > worst) | ((score == worst) & (near < self.near[row, -1]))
+        listed = np.unique(row[better])
+        row = np.concatenate([np.repeat(listed, self.k), row[better]])
+        near, score = np.concatenate([self.near[listed].ravel(), near[better]]), np.concatenate([self.similarity[listed].ravel(), score[better]])
+        order = np.lexsort((near, -score, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        best = place < self.k
+        self.near[row[best], place[best]], self.similarity[row[best], place[best]] = near[order[best]], score[order[best]]
+
+    def rows(self) -> pa.RecordBatch:
+        found = np.isfinite(self.similarity)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, found.sum(1))), pa.array(self.near[found]), pa.array(self.similarity[found])], ["query_id", "neighbour_id", "similarity"])
+
+
+def nearest_of(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
+    """``query_id, neighbour_id, similarity``: for packed rows, k candidates or more among other packed rows.
+
+    Pairs of blocks are made by a Cartesian product of stored partitions, which shuffles
+    nothing: a task holds up to ``TASK_BLOCKS`` blocks of queries and reads a part of the
+    data, all of it once the queries alone make enough tasks, and returns k candidates a query.
     """
-    qb, db = max(1, -(-n_queries // BLOCK_ROWS)), max(1, -(-n_data // BLOCK_ROWS))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    asked = queries.select("id", "v", block(qb).alias("q"), every(db).alias("d"))
-    held = data.select(F.col("id").alias("id"), F.col("v").alias("v"), every(qb).alias("q"), block(db).alias("d"))
-
-    def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "neighbour_id": np.empty(0, np.int64), "similarity": np.empty(0)})
-        return nearest_among(a.reset_index(drop=True), b.sort_values("id", ignore_index=True), k)
-
-    return ranked(asked.groupBy("q", "d").cogroup(held.groupBy("q", "d")).applyInPandas(solve, FOUND), k)
+    blocks = queries.count()
+    groups = max(1, min(blocks, max(TASKS, -(-blocks // TASK_BLOCKS))))
+    asked = queries.coalesce(groups)
+    held = data.select(F.col("ids").alias("others"), F.col("v").alias("w")).coalesce(max(1, min(data.count(), -(-TASKS // groups))))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists: dict[int, Nearest] = {}
+        for batch in batches:
+            for block, *binaries in zip(*batch.columns, strict=True):
+                ids, others = (np.frombuffer(x.as_buffer(), np.int64) for x in binaries[:2])
+                x, y = (np.frombuffer(v.as_buffer()).reshape(len(i), -1) for i, v in zip((ids, others), binaries[2:], strict=True))
+                if block.as_py() not in lists:
+                    lists[block.as_py()] = Nearest(ids.copy(), k)
+                lists[block.as_py()].meet(x, others, y)
+        for found in lists.values():
+            yield found.rows()
+
+    pairs = held.crossJoin(asked.hint("shuffle_replicate_nl")).select("block", "ids", "others", "v", "w")
+    return pairs.mapInArrow(solve, FOUND)
 
 
 class NeighbourTable:
@@ -92,12 +171,12 @@ class NeighbourTable:
         new = checkpointed(vectors if had is None else vectors.join(had, "id", "left_anti"))
         n_new = new.count()
         if had is None:
-            self._commit(new, nearest_of(new, new, self.depth, n_new, n_new), based)
+            blocks = packed(new, n_new)
+            self._commit(new, ranked(nearest_of(blocks, blocks, self.depth), self.depth), based)
         elif n_new:
-            n_had, everything = had.count(), had.unionByName(new)
-            theirs = nearest_of(had, new, self.depth, n_had, n_new)
-            own = nearest_of(new, everything, self.depth, n_new, n_had + n_new)
-            self._commit(everything, ranked(self.lists().unionByName(theirs), self.depth).unionByName(own), based)
+            there, come = packed(had, had.count()), packed(new, n_new)
+            met = nearest_of(there, come, self.depth).unionByName(nearest_of(come, there.unionByName(come), self.depth))
+            self._commit(had.unionByName(new), ranked(self.lists().drop("rank").unionByName(met), self.depth), based)
         return n_new
 
     def neighbours(self, k: int) -> DataFrame:
@@ -125,7 +204,7 @@ class NeighbourTable:
             number, before, k = number + 1, k, 2 * k
         if (n := left.count()) > 0:
             free = rows.join(masked, rows["id"] == masked["neighbour_id"], "left_anti")
-            last = nearest_of(rows.join(left, rows["id"] == left["seed_id"], "left_semi"), free, 1, n, free.count())
+            last = ranked(nearest_of(packed(rows.join(left, rows["id"] == left["seed_id"], "left_semi"), n), packed(free, free.count()), 1), 1)
             done.append(last.select(F.col("query_id").alias("seed_id"), F.col("neighbour_id").alias("nearest_id"), "similarity", F.lit(-1).alias("round")))
         return _union(self.spark, done)
 
